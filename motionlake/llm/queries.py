@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionlake.llm import bpe, decontaminate, near_duplicates, planes
-from motionlake.llm.common import shared_path, table
+from motionlake.llm import bpe, decontaminate, near_duplicates, pii, planes, quality
+from motionlake.llm.common import holdout, shared_path, table
 
 TIKTOKEN = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,10 +52,21 @@ def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.read(spark, path)
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.report(docs, pii.train(docs))
+
+
 def op6_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), TIKTOKEN, public_tokenizers.PATTERN)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = holdout("doc_id", 3, 1)
+    model, stats = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~apart)
+    return quality.scores(stats, model).select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -77,7 +88,9 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(m) AS compone
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_planes": op2_token_planes,
+    "op5_personal_data": op5_personal_data,
     "op6_merge_replay": op6_merge_replay,
+    "op9_quality": op9_quality,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
