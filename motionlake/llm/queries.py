@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionlake.llm import bpe, decontaminate, near_duplicates, pii, planes, quality
+from motionlake.llm import bpe, decontaminate, html, language, near_duplicates, pii, planes, preferences, quality, topk
 from motionlake.llm.common import holdout, shared_path, table
 
 TIKTOKEN = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -52,6 +52,26 @@ def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.read(spark, path)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, apart = table(spark, sf_dir, "documents"), holdout("doc_id", 4, 2)
+    field = language.train(docs, ~apart)
+    return language.predict(docs, field).select("doc_id", apart.alias("held_out"), "lang_pred", "score")
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integers(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
+OP4_SQL = r"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, r.vec_id, CAST(list_inner_product(q.v, r.v) AS BIGINT) AS score FROM v q JOIN v r ON q.vec_id <> r.vec_id AND q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.report(docs, pii.train(docs))
@@ -61,6 +81,38 @@ def op6_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), TIKTOKEN, public_tokenizers.PATTERN)
 
 
+def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = preferences.format_pairs(turns, preferences.neighbour_pairs(turns))
+    spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.withColumns({c: spans(c) for c in ("chosen_mask", "rejected_mask")})
+
+
+OP7_SQL = r"""
+WITH c AS MATERIALIZED (SELECT conv_id, conv_id // 2 AS pair_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, role, text
+      FROM (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+p AS (SELECT pair_id, max(conv_id) FILTER (conv_id % 2 = 0) AS chosen_id, max(conv_id) FILTER (conv_id % 2 = 1) AS rejected_id FROM c GROUP BY pair_id),
+n AS (SELECT pair_id, min(coalesce(x.i, y.i)) FILTER (x.text IS NULL OR y.text IS NULL OR x.text <> y.text OR x.role <> y.role) AS d, count(*) AS most
+      FROM (SELECT * FROM c WHERE conv_id % 2 = 0) x FULL JOIN (SELECT * FROM c WHERE conv_id % 2 = 1) y USING (pair_id, i) GROUP BY pair_id),
+k AS (SELECT p.*, coalesce(d - 1, most) AS prompt_turns FROM p JOIN n USING (pair_id)),
+t AS (SELECT k.*, c.conv_id, i, role, '<|' || role || '|>' || chr(10) || text || chr(10) AS r, length(text) + 1 AS own,
+        i <= prompt_turns AS pre FROM k JOIN c USING (pair_id)),
+m AS (SELECT *, sum(length(r)) OVER (PARTITION BY conv_id, pre ORDER BY i) AS stop FROM t)
+SELECT pair_id, chosen_id, rejected_id, CAST(prompt_turns AS INTEGER) AS prompt_turns,
+  coalesce(string_agg(r, '' ORDER BY i) FILTER (pre AND conv_id % 2 = 0), '') AS prompt,
+  coalesce(string_agg(r, '' ORDER BY i) FILTER (NOT pre AND conv_id % 2 = 0), '') AS chosen,
+  coalesce(string_agg(r, '' ORDER BY i) FILTER (NOT pre AND conv_id % 2 = 1), '') AS rejected,
+  coalesce(string_agg(CAST(stop - own AS VARCHAR) || ':' || CAST(stop AS VARCHAR), ',' ORDER BY i) FILTER (NOT pre AND conv_id % 2 = 0 AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(CAST(stop - own AS VARCHAR) || ':' || CAST(stop AS VARCHAR), ',' ORDER BY i) FILTER (NOT pre AND conv_id % 2 = 1 AND role = 'assistant'), '') AS rejected_mask
+FROM m GROUP BY pair_id, chosen_id, rejected_id, prompt_turns
+"""
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.train(pages))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     apart = holdout("doc_id", 3, 1)
     model, stats = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~apart)
@@ -88,10 +140,19 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(m) AS compone
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_planes": op2_token_planes,
+    "op3_language": op3_language,
+    "op4_top_k": op4_top_k,
     "op5_personal_data": op5_personal_data,
     "op6_merge_replay": op6_merge_replay,
+    "op7_preferences": op7_preferences,
+    "op8_main_text": op8_main_text,
     "op9_quality": op9_quality,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op10_jaccard_join": OP10_SQL}
+SQL: dict[str, str] = {
+    "op1_decontamination": OP1_SQL,
+    "op4_top_k": OP4_SQL,
+    "op7_preferences": OP7_SQL,
+    "op10_jaccard_join": OP10_SQL,
+}
