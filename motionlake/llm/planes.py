@@ -61,7 +61,7 @@ class _Library:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         gap = self._ids(["\n"])[0]
         self.gap = gap[0] if len(gap) == 1 else None
-        self.table = ChunkTable(self.chunks, 600_000)
+        self.table = ChunkTable(self.chunks, 900_000)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -69,20 +69,24 @@ class _Library:
     def chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cores = [x[1:] if x[:1] == " " else x for x in chunks]
         short = [i for i, x in enumerate(cores) if self.gap is not None and x.split() == [x]]
-        alone = set(range(len(chunks))).difference(short)
-        lists: list[np.ndarray] = [np.zeros(0, np.int32)] * len(chunks)
+        alone = sorted(set(range(len(chunks))).difference(short))
+        flat, lengths = [], np.zeros(len(chunks), np.int64)
         for at in range(0, len(short), 2000):
             some = short[at : at + 2000]
             ids = np.array(self._ids(["\n".join([chunks[i] for i in some])])[0], np.int32)
-            for i, part in zip(some, np.split(ids, np.flatnonzero(ids == self.gap)), strict=True):
-                lists[i] = part
-        for i in short:
-            if len(lists[i]) and lists[i][0] == self.gap:
-                lists[i] = lists[i][1:]
-        order = sorted(alone)
-        for i, ids in zip(order, self._ids([chunks[i] for i in order]), strict=True):
-            lists[i] = np.array(ids, np.int32)
-        return np.concatenate(lists) if lists else np.zeros(0, np.int32), np.cumsum([len(x) for x in lists], dtype=np.int64)
+            gaps = np.flatnonzero(ids == self.gap)
+            lengths[some] = np.diff(np.concatenate([[-1], gaps, [len(ids)]])) - 1
+            flat.append(np.delete(ids, gaps))
+        lists = self._ids([chunks[i] for i in alone])
+        lengths[alone] = [len(x) for x in lists]
+        flat = np.concatenate([*flat, *(np.array(x, np.int32) for x in lists), np.zeros(0, np.int32)])
+        # back into the order of the chunks
+        order = np.array([*short, *alone], np.int64)
+        starts = np.zeros(len(chunks), np.int64)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return flat[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)], ends
 
 
 _libraries: dict[str, _Library] = {}
@@ -120,7 +124,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, kind: str
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
-            for piece in blocks(batch, "text", 4_000_000):
+            for piece in blocks(batch, "text", 6_000_000):
                 ids, ends = encode(piece.column("text").to_pylist())
                 start = 0
                 for doc, end in zip(piece.column("doc_id").to_pylist(), ends.tolist(), strict=True):
