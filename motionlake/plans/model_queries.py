@@ -62,7 +62,7 @@ def a26b(spark, sf_dir):
     return metrics.null_counts(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_tax"])
 
 
-@query("a27_window_sizes", f"WITH {EV}, w AS (SELECT unnest([3600, 7200]) AS window_s) SELECT window_s, count(DISTINCT epoch_us(_time) // (window_s * 1000000)) AS distinct_centers, count(*) FILTER (foot = 'Left') AS left_rows, count(*) FILTER (foot = 'Right') AS right_rows FROM ev, w GROUP BY 1")
+@query("a27_window_sizes", f"WITH {EV}, w AS (SELECT unnest([3600, 7200]) AS window_s) SELECT window_s, count(DISTINCT epoch_us(_time) // (CAST(window_s AS BIGINT) * 1000000)) AS distinct_centers, count(*) FILTER (foot = 'Left') AS left_rows, count(*) FILTER (foot = 'Right') AS right_rows FROM ev, w GROUP BY 1")
 def a27(spark, sf_dir):
     from motionlake.functions import times
 
@@ -175,7 +175,7 @@ def m3(spark, sf_dir):
 
 @query("m4_fold_summary")
 def m4(spark, sf_dir):
-    return folds.fold_summary(_judged(spark, sf_dir), _plan(spark, sf_dir), group="source", target="quality")
+    return folds.fold_summary(_judged(spark, sf_dir).drop("fold"), _plan(spark, sf_dir), group="source", target="quality")
 
 
 @query("m4_uncovered_groups", "SELECT DISTINCT source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE source < 'src5')")
@@ -223,7 +223,7 @@ def m9(spark, sf_dir):
 def m10(spark, sf_dir):
     e = predictions(spark, sf_dir).withColumn("fold", (F.col("reference") % 3).cast("int"))
     s = segments.context_sequences(e, by=["reference"], order="_time", features=["probability"], length=5, tie=["event_id"])
-    flat = models.flattened(s, 5).drop("sequence")
+    flat = models.flattened(s, 5).drop("sequence", "probability")
     bounds = flat.where("fold = 0").groupBy("reference").agg(F.min("_time").alias("start"), F.max("_time").alias("stop")).withColumn("fold", F.lit(0))
     train = intervals.sequence_embargo(flat.where("fold <> 0").drop("fold"), bounds, seconds=15).withColumn("fold", F.lit(1)).dropDuplicates(["event_id"])
     return _scored(models.out_of_fold(flat, models.sequence_classifier("target", 5, rounds=20), [0], train_on=lambda f: train))
@@ -246,10 +246,10 @@ def m12(spark, sf_dir):
 def m17(spark, sf_dir):
     """Labels shifted by each offset, a forest for each, out-of-fold metrics."""
     out = None
-    points = predictions(spark, sf_dir).drop("target").withColumn("fold", (F.col("reference") % 2).cast("int")).withColumn("hour", F.hour("_time").cast("double"))
+    points = predictions(spark, sf_dir).drop("target").withColumn("fold", (F.col("reference") % 2).cast("int")).withColumn("hour", F.hour("_time").cast("double")).withColumnRenamed("probability", "p")
     for offset in (0, 7200):
         rows = intervals.label_points(points, labels(spark, sf_dir), key="event_id", overlap="last", offset_s=offset).where("label <> 'NO_LABEL'").withColumn("target", lab.target(F.col("label")).cast("int"))
-        pred = models.out_of_fold(rows, models.random_forest(["probability", "hour"], "target", trees=10), [0, 1])
+        pred = models.out_of_fold(rows, models.random_forest(["p", "hour"], "target", trees=10), [0, 1])
         m = metrics.binary_metrics(pred, "target", "prediction").withColumn("offset_s", F.lit(offset))
         out = m if out is None else out.unionByName(m)
     return out

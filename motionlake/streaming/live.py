@@ -102,5 +102,7 @@ def live_hysteresis(samples: DataFrame, *, key: str, time: str, hi: float, lo: f
     """Hysteresis states in append mode: a row comes out once no later row can change its state, so up to k - 1 or
     m - 1 rows of a sequence are held back. samples: key, time, probability, in time order between batches."""
     kind = samples.schema[key].dataType
-    schema = StructType([StructField(key, kind), StructField(time, TimestampType()), samples.schema["probability"], *StructType.fromDDL("state int").fields])
-    return samples.select(key, time, "probability").groupBy(key).transformWithStateInPandas(_Hysteresis(hi, lo, k, m, key, time), outputStructType=schema, outputMode="Append", timeMode="None")
+    schema = StructType([StructField(key, kind), StructField("at", TimestampType()), samples.schema["probability"], *StructType.fromDDL("state int").fields])
+    rows = samples.select(key, F.col(time).alias("at"), "probability")  # a leading underscore would be lost on the way
+    made = rows.groupBy(key).transformWithStateInPandas(_Hysteresis(hi, lo, k, m, key, "at"), outputStructType=schema, outputMode="Append", timeMode="None")
+    return made.withColumnRenamed("at", time)
