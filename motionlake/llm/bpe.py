@@ -162,7 +162,7 @@ class Codec:
         self.ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
         self.replay = MergeReplay(self.ranks)
-        self.table = ChunkTable(self._chunks, 500_000)
+        self.table = ChunkTable(self._chunks, 300_000)
         tokens = sorted(self.ranks.items(), key=lambda x: x[1])
         if [x[1] for x in tokens] != list(range(len(tokens))):
             raise ValueError("ranks must number the tokens from 0")
@@ -229,8 +229,11 @@ def _with(df: DataFrame, name: str, kind: DataType) -> StructType:
     return StructType([*df.schema.fields, StructField(name, kind)])
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Append a column with the token ids of `text`; all other columns stay. A null or empty text has no ids."""
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", verify: bool = False) -> DataFrame:
+    """Append a column with the token ids of `text`; all other columns stay. A null or empty text has no ids.
+
+    With `verify` each text's ids are decoded at once, and the job stops if the bytes are not the text's.
+    """
     if ids in df.columns:
         raise ValueError(f"the table already has a column {ids}")
     keep = df.columns
@@ -238,8 +241,11 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path, pattern)
         for batch in batches:
-            for part in blocks(batch, text):
-                flat, ends = coder.encode(part.column(text).to_pylist())
+            for part in blocks(batch, text, 3_000_000):
+                texts = part.column(text).to_pylist()
+                flat, ends = coder.encode(texts)
+                if verify and any(x != (t or "").encode() for x, t in zip(coder.decode(flat, ends), texts, strict=True)):
+                    raise ValueError("decoded bytes differ from the text")
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), _lists(flat, ends)], names=[*keep, ids])
 
     return df.mapInArrow(run, _with(df, ids, ArrayType(IntegerType())))

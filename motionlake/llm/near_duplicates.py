@@ -109,6 +109,7 @@ def _shapes(docs: DataFrame, fragments: int) -> DataFrame:
                     rows[2].append(tokens[cuts[f] : cuts[f + 1]].tobytes())
                     rows[3].append(np.stack([ids[some], n[some], digest[some, 0].view(np.int64), digest[some, 1].view(np.int64)]).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["frag", "owners", "tokens", "infos"])
+        _words.clear()  # the worker goes on to other stages
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """In each fragment: frequencies; shingles of several documents go on to the tasks of their documents."""
