@@ -34,10 +34,8 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their ids; one whose ids don't decode to its text would stop the job."""
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
-    same = F.assert_true(F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8"), "decoded text differs")
-    return coded.where(same.isNull()).withColumn("n_tokens", F.size("ids")).drop("decoded")
+    coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, verify=True)
+    return coded.withColumn("n_tokens", F.size("ids"))
 
 
 STAGES = [
