@@ -155,7 +155,7 @@ def fit(labelled: DataFrame, size: int = 256, gamma: float = 0.05, ridge: float
     w = rng.normal(0, np.sqrt(2 * gamma), (N_STATISTICS, size))
     b = rng.uniform(0, 2 * np.pi, size)
     share = total[1] / n if total[0] else 0.5
-    if not 0 < share < 1:
+    if not total[0] or not 0 < share < 1:
         return Quality(mean, scale, w, b, np.zeros(size + 1), (np.array([0.0]), np.array([share])))
     d = size + 1
 
