@@ -50,10 +50,10 @@ def time_features(windows: DataFrame, *, keys: Sequence[str], value: str, order:
 def pair_features(pairs: DataFrame, *, keys: Sequence[str], left: str, right: str) -> DataFrame:
     """Correlation (0 if a side is constant), mean absolute, root mean square and deviation of the difference."""
     d = F.col(left) - F.col(right)
-    flat = (F.stddev_pop(left) == 0) | (F.stddev_pop(right) == 0)
-    corr = F.corr(left, right)
+    spread = F.stddev_pop(left) * F.stddev_pop(right)
+    corr = F.covar_pop(left, right) / F.when(spread > 0, spread)
     return pairs.where(d.isNotNull()).groupBy(*keys).agg(
-        F.when(flat | corr.isNull() | F.isnan(corr), 0.0).otherwise(corr).alias("corr"),
+        F.when(corr.isNull() | F.isnan(corr), 0.0).otherwise(corr).alias("corr"),
         F.avg(F.abs(d)).alias("diff_abs_mean"),
         F.sqrt(F.avg(d * d)).alias("diff_rms"),
         F.stddev_pop(d).alias("diff_std"),
