@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAF = 32
+#: Points of a leaf: few enough to prune, enough for one matrix product.
+LEAF = 128
 
 
 class Node:
@@ -53,21 +54,29 @@ def cover_tree(x: np.ndarray, rows: np.ndarray | None = None, radius: float | No
 
 def search(q: np.ndarray, q_ids: np.ndarray, r: np.ndarray, r_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers of q and r and scores: for each query its k best rows of r but the one of the same id."""
-    qi, ri = q.astype(np.int64), r.astype(np.int64)
     qf, rf = q.astype(np.float64), r.astype(np.float64)
-    best = np.full((len(q), k), np.iinfo(np.int64).min)
+    # products of doubles are exact below 2^53; larger vectors are multiplied as integers
+    exact = len(q) and len(r) and float(np.abs(qf).max()) * float(np.abs(rf).max()) * q.shape[1] < 2**53
+    qi, ri = (qf, rf) if exact else (q.astype(np.int64), r.astype(np.int64))
+    lowest = np.iinfo(np.int64).min
+    best = np.full((len(q), k), lowest)
     who = np.full((len(q), k), -1)
+    r_known = np.append(r_ids, np.iinfo(np.int64).max)  # the id of nobody comes last
     q_root, r_root = cover_tree(qf), cover_tree(rf)
 
     def leaf(a: Node, b: Node) -> None:
-        scores = qi[a.points] @ ri[b.points].T
-        scores[q_ids[a.points][:, None] == r_ids[b.points][None, :]] = np.iinfo(np.int64).min
-        all_s = np.hstack([best[a.points], scores])
-        all_w = np.hstack([who[a.points], np.broadcast_to(b.points, scores.shape)])
-        ids = np.where(all_w >= 0, r_ids[all_w], np.iinfo(np.int64).max)
-        order = np.stack([np.lexsort((i, ~s))[:k] for i, s in zip(ids, all_s, strict=True)])  # ~s: highest first, no overflow
-        best[a.points] = np.take_along_axis(all_s, order, 1)
-        who[a.points] = np.take_along_axis(all_w, order, 1)
+        scores = (qi[a.points] @ ri[b.points].T).astype(np.int64)
+        scores[q_ids[a.points][:, None] == r_ids[b.points][None, :]] = lowest
+        hit = scores >= best[a.points, -1:]
+        rows = np.flatnonzero(hit.any(1))
+        if len(rows):
+            columns = np.flatnonzero(hit.any(0))
+            own = a.points[rows]
+            all_s = np.hstack([best[own], scores[np.ix_(rows, columns)]])
+            all_w = np.hstack([who[own], np.broadcast_to(b.points[columns], (len(rows), len(columns)))])
+            order = np.lexsort((r_known[all_w], ~all_s))[:, :k]  # ~: highest first, without overflow; then the smaller id
+            best[own] = np.take_along_axis(all_s, order, 1)
+            who[own] = np.take_along_axis(all_w, order, 1)
         a.worst = float(best[a.points, -1].min())
 
     def bound(a: Node, b: Node) -> float:
@@ -91,7 +100,7 @@ def search(q: np.ndarray, q_ids: np.ndarray, r: np.ndarray, r_ids: np.ndarray, k
 
     if len(q) and len(r):
         descend(q_root, r_root)
-    rows, at = np.nonzero((who >= 0) & (best > np.iinfo(np.int64).min))
+    rows, at = np.nonzero((who >= 0) & (best > lowest))
     return rows, who[rows, at], best[rows, at]
 
 
@@ -103,7 +112,7 @@ def integers(vectors: DataFrame, scale: int = 1024, column: str = "embedding") -
     return rows.select("vec_id", F.transform(parts, lambda x: F.floor(x * scale)).alias("v"))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, block: int = 2048, query_block: int = 256) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, block: int = 4096, query_block: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row its k best other rows; ties go to the smaller id.
 
     vectors: vec_id and v, an array of integers. Only vectors of one length are compared. Repeated ids count once.
