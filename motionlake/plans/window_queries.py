@@ -212,7 +212,7 @@ def f1b(spark, sf_dir):
     return s.select("vec_id", F.col("bin").cast("long").alias("bin"), F.round("power", 3).alias("power"))
 
 
-@query("f2_frequencies", "SELECT count(*) AS n_rows, 1.5625 AS f_001_hz, 9.375 AS f_006_hz FROM embeddings WHERE len(embedding) = 64")
+@query("f2_frequencies", "SELECT count(*) AS n_rows, CAST(1.5625 AS DOUBLE) AS f_001_hz, CAST(9.375 AS DOUBLE) AS f_006_hz FROM embeddings WHERE len(embedding) = 64")
 def f2(spark, sf_dir):
     freqs = spectral.frequencies(_N, _FS, _FMAX)
     wide = spectral.bins_to_columns(_spectra(spark, sf_dir), len(freqs), freqs=freqs)
