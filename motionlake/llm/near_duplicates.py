@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motionlake.llm.chunks import blocks
@@ -70,15 +70,11 @@ def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
     return np.unique(_scatter(out))
 
 
-def _fragments(spark: SparkSession, rows: int) -> int:
+def _fragments(rows: int) -> int:
     """How many fragments: some two thousand documents' worth of shingles each; at least 64."""
     return int(min(max(64, rows // 2000), 2**20))
 
 
-def _pack(batches: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
-    return [np.concatenate(x) for x in zip(*batches, strict=True)]
-
-
 def _shapes(docs: DataFrame, fragments: int) -> DataFrame:
     """doc_id, n, digest (two longs), prefix (shared shingles of the prefix) of each document with an id."""
 
@@ -295,9 +291,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     five words. Null and empty texts have no shingle and are linked with nothing. A repeated doc_id gives one row;
     if its texts differ, the larger set counts. Rows without a doc_id cannot be named and are left out.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    shapes = written(_shapes(docs, _fragments(spark, docs.count())), "shapes")
+    shapes = written(_shapes(docs, _fragments(docs.count())), "shapes")
     # equal sets are one class, named by its smallest document; a document's own class if its set is empty
     same = shapes.groupBy("n", "high", "low").agg(F.min("doc_id").alias("class"), F.min_by("prefix", "doc_id").alias("prefix"))
     classes = written(same.where("n > 0"), "classes")
