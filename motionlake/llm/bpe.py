@@ -230,12 +230,12 @@ def _with(df: DataFrame, name: str, kind: DataType) -> StructType:
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", verify: bool = False) -> DataFrame:
-    """Append a column with the token ids of `text`; all other columns stay. A null or empty text has no ids.
+    """Append a column with the token ids of `text`; all other columns stay, but one of the new column's name is
+    replaced. A null or empty text has no ids.
 
     With `verify` each text's ids are decoded at once, and the job stops if the bytes are not the text's.
     """
-    if ids in df.columns:
-        raise ValueError(f"the table already has a column {ids}")
+    df = df.drop(ids)
     keep = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,9 +252,9 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Append the bytes that a column of token ids stands for. A null list decodes to nothing."""
-    if out in df.columns:
-        raise ValueError(f"the table already has a column {out}")
+    """Append the bytes that a column of token ids stands for, in place of a column of that name. A null list decodes
+    to nothing."""
+    df = df.drop(out)
     keep = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

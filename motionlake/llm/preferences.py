@@ -57,7 +57,7 @@ def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     equal conversations has two empty completions. The first turn that differs begins the completions."""
     told = conversations(turns)
     side = lambda name: told.select(F.col("conv_id").alias(f"{name}_id"), F.col("turns").alias(f"{name}_turns"))
-    both = pairs.join(side("chosen"), "chosen_id", "left").join(side("rejected"), "rejected_id", "left")
+    both = pairs.select("pair_id", "chosen_id", "rejected_id").join(side("chosen"), "chosen_id", "left").join(side("rejected"), "rejected_id", "left")
     empty = F.array().cast("array<struct<role:string,text:string>>")
     both = both.withColumns({f"{s}_turns": F.coalesce(f"{s}_turns", empty) for s in ("chosen", "rejected")})
     both = both.withColumn("prompt_turns", common_prefix(F.col("chosen_turns"), F.col("rejected_turns")))

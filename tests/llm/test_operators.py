@@ -246,8 +246,8 @@ def test_merge_replay_equals_the_library(spark):
         assert rows[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     coded = bpe.encode(docs(spark, ODD), TIK, P.PATTERN, verify=True)
     assert [bytes(r.decoded).decode() for r in bpe.decode(coded, TIK, P.PATTERN).orderBy("doc_id").collect()] == [t or "" for t in ODD]
-    with pytest.raises(ValueError, match="already"):
-        bpe.encode(coded, TIK, P.PATTERN)
+    again = bpe.encode(coded.withColumn("ids", F.lit("clash")).withColumn("n_tokens", F.lit(1)), TIK, P.PATTERN)
+    assert again.orderBy("doc_id").select("doc_id", "ids").collect() == coded.orderBy("doc_id").select("doc_id", "ids").collect()
 
 
 def test_replay_where_ranks_go_back():
@@ -410,3 +410,24 @@ def test_pipeline_stages_keep_what_they_should(spark):
     assert out.columns == table.columns and out.count() == 22
     last = corpus_pipeline.STAGES[4][1](spark, table, "")
     assert last.columns == [*table.columns, "ids", "n_tokens"] and last.count() == 22
+
+
+CLASHING = ("ids", "n_tokens", "score", "print", "w", "x", "n", "frag", "prefix", "class", "component_id", "begins", "shard", "predicted", "spans", "word", "key", "count")
+
+
+def test_clashing_columns_change_nothing(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = [prose(rng, 40) for _ in range(6)] + [None]
+    plain = docs(spark, texts)
+    wide = plain.withColumns({c: F.lit(7) for c in CLASHING})
+    items = spark.createDataFrame([(1, texts[0], 9)], "item_id long, text string, w int")
+    assert sorted(map(str, decontaminate.find(wide, items).collect())) == sorted(map(str, decontaminate.find(plain, items).collect()))
+    kept = decontaminate.clean(wide, items)
+    assert kept.columns == wide.columns and kept.count() == 6
+    assert sorted(near_duplicates.jaccard_components(wide).collect()) == sorted(near_duplicates.jaccard_components(plain).collect())
+    assert near_duplicates.keep_one(wide).columns == wide.columns
+    assert pii.redact(wide, pii.train(wide)).columns == wide.columns
+    last = corpus_pipeline.STAGES[4][1](spark, wide, "")
+    assert set(last.columns) == {*wide.columns} and last.where("doc_id = 0").collect()[0].n_tokens > 7
