@@ -321,17 +321,76 @@ def _streamed(spark, sf_dir, make, mode="append"):
     from motionlake.plans.common import table as given
 
     given(spark, sf_dir, "events")  # UTC
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet" if _is_folder(spark, sf_dir) else f"{sf_dir}/events*.parquet")
-    e = source.select("event_id", F.col("user_id").cast("string").alias("reference"), F.col("event_type").alias("foot"), F.col("ts").cast("timestamp").alias("_time"), "value")
-    out = make(e)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out, path = make(_shaped(_source(spark, sf_dir))), _fresh(spark)
     if mode == "append":
-        run = out.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        _append(out, path)
     else:
         run = out.writeStream.outputMode(mode).foreachBatch(lambda df, i: df.write.mode("append").parquet(f"{path}/rows")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
+        run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/rows")
+
+
+def _source(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet" if _is_folder(spark, sf_dir) else f"{sf_dir}/events*.parquet")
+
+
+def _shaped(e):
+    return e.select("event_id", F.col("user_id").cast("string").alias("reference"), F.col("event_type").alias("foot"), F.col("ts").cast("timestamp").alias("_time"), "value")
+
+
+def _fresh(spark):
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _append(out, path):
+    """What the source holds beyond the checkpoint."""
+    out.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def _closed(spark, sf_dir, make, size_s):
+    """All rows of windows of up to size_s, in append mode: the watermark stays behind the table's first event, whatever
+    the order of its files, until an event behind all others closes every window. That event's own never closes."""
+    source, path = _source(spark, sf_dir), _fresh(spark)
+    us = F.unix_micros("_time")
+    low, high = events(spark, sf_dir).agg(F.min(us), F.max(us)).collect()[0]
+    late_s = (high - low) // 1_000_000 + 2 if high is not None else 1
+    out = make(_shaped(source.unionByName(_folder_stream(spark, f"{path}/closing", source.schema))), f"{late_s} seconds")
+    _append(out, path)
+    if high is not None:
+        at = F.timestamp_micros(F.lit(high + (late_s + size_s + 2) * 1_000_000))
+        last = [(at if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in source.schema.fields]
+        spark.range(1).select(*last).write.mode("append").parquet(f"{path}/closing")
+        _append(out, path)
+    return spark.read.schema(out.schema).parquet(f"{path}/rows")
+
+
+def _folder_stream(spark, path, schema):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def _in_order(spark, sf_dir, make):
+    """As _streamed, but batches follow time, one slice of the table after the other (a slice for every four files),
+    and rows with `end` close all references."""
+    path = _fresh(spark)
+    e = _shaped(table(spark, sf_dir, "events")).withColumn("end", F.lit(False))
+    n = -(-len(spark.read.parquet(f"{sf_dir}/events.parquet").inputFiles()) // 4)
+    bounds = e.agg(F.percentile_approx(F.unix_micros("_time"), [i / n for i in range(1, n)], 10_000)).collect()[0][0] if n > 1 else None
+    number = F.lit(0)
+    for b in sorted(set(bounds or [])):
+        number = number + F.when(F.unix_micros("_time") < b, 0).otherwise(1)  # without a time: the last one
+    e.withColumn("slice", number).write.partitionBy("slice").parquet(f"{path}/slices")
+    out = make(_folder_stream(spark, f"{path}/in", e.schema))
+    for i in range(len(set(bounds or [])) + 1):
+        rows = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in e.schema)}, slice int").parquet(f"{path}/slices").where(F.col("slice") == i)
+        rows.drop("slice").write.mode("append").parquet(f"{path}/in")
+        _append(out, path)
+    ends = e.select("reference").distinct().select(*(F.lit(True).alias(c) if c == "end" else F.col(c) if c == "reference" else F.lit(None).cast(e.schema[c].dataType).alias(c) for c in e.columns))
+    ends.write.mode("append").parquet(f"{path}/in")
+    _append(out, path)
     return spark.read.schema(out.schema).parquet(f"{path}/rows")
 
 
@@ -348,17 +407,17 @@ def x1(spark, sf_dir):
 
 @query("x2_stream_energy")
 def x2(spark, sf_dir):
-    return _streamed(spark, sf_dir, lambda e: live.motion_energy(e, by=["reference", "foot"], value="value", window="1 day", late="1 hour"))
+    return _closed(spark, sf_dir, lambda e, late: live.motion_energy(e, by=["reference", "foot"], value="value", window="1 day", late=late), 86_400)
 
 
 @query("x3_stream_sliding")
 def x3(spark, sf_dir):
-    return _streamed(spark, sf_dir, lambda e: live.sliding_statistics(e, by=["foot"], value="value", size="2 days", slide="1 day", late="1 hour"))
+    return _closed(spark, sf_dir, lambda e, late: live.sliding_statistics(e, by=["foot"], value="value", size="2 days", slide="1 day", late=late), 2 * 86_400)
 
 
 @query("x4_stream_sessions")
 def x4(spark, sf_dir):
-    return _streamed(spark, sf_dir, lambda e: live.activity_sessions(e, by=["reference"], gap="12 hours", late="1 hour"))
+    return _closed(spark, sf_dir, lambda e, late: live.activity_sessions(e, by=["reference"], gap="12 hours", late=late), 43_200)
 
 
 @query("x5_stream_labels", "WITH f AS (SELECT user_id, min(ts) AS start, min(ts) + INTERVAL 5 DAY AS stop FROM events GROUP BY 1) SELECT CASE WHEN ts < stop THEN 'walking' ELSE 'NO_LABEL' END AS label, count(*) AS n_rows FROM events JOIN f USING (user_id) GROUP BY 1")
@@ -371,7 +430,7 @@ def x5(spark, sf_dir):
 @query("x6_stream_hysteresis")
 def x6(spark, sf_dir):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return _streamed(spark, sf_dir, lambda e: live.live_hysteresis(e.withColumn("probability", F.least(F.col("value") / 200, F.lit(1.0))), key="reference", time="_time", hi=0.1, lo=0.05, k=2, m=2))
+    return _in_order(spark, sf_dir, lambda e: live.live_hysteresis(e.withColumn("probability", F.least(F.col("value") / 200, F.lit(1.0))), key="reference", time="_time", hi=0.1, lo=0.05, k=2, m=2, tie=["event_id"], end="end"))
 
 
 @query("x7_stream_coverage", "SELECT user_id || '' AS reference, event_type AS foot, count(*) AS n_rows FROM events GROUP BY 1, 2")

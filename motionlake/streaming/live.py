@@ -54,8 +54,8 @@ def live_coverage(samples: DataFrame, *, time: str = "_time", window: str = "1 h
 class _Hysteresis(StatefulProcessor):
     """Keeps rows whose state may still be set back, and the machine's counters, for each sequence."""
 
-    def __init__(self, hi: float, lo: float, k: int, m: int, key: str, time: str):
-        self.hi, self.lo, self.k, self.m, self.key, self.time = hi, lo, k, m, key, time
+    def __init__(self, hi: float, lo: float, k: int, m: int, key: str, time: str, tie: Sequence[str] = ()):
+        self.hi, self.lo, self.k, self.m, self.key, self.time, self.tie = hi, lo, k, m, key, time, list(tie)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.machine = handle.getValueState("machine", "on boolean, run int")
@@ -67,7 +67,9 @@ class _Hysteresis(StatefulProcessor):
         frames = [pdf for pdf in rows if len(pdf)]
         if not frames:
             return
-        new = pd.concat(frames).sort_values(self.time, kind="stable")
+        new = pd.concat(frames)
+        ended = bool(new["ends"].any())
+        new = new[~new["ends"]].sort_values([self.time, *self.tie], kind="stable")
         out: list[tuple[Any, float, int]] = []
         for t, p in zip(new[self.time], new["probability"], strict=True):
             held.append((t, p))
@@ -87,6 +89,9 @@ class _Hysteresis(StatefulProcessor):
                 elif run == 0:
                     out += [(*x, 0) for x in held]
                     held = []
+        if ended:  # no later row sets these back
+            out += [(*x, int(on)) for x in held]
+            held, on, run = [], False, 0
         self.machine.update((on, run))
         self.held.clear()
         if held:
@@ -98,11 +103,13 @@ class _Hysteresis(StatefulProcessor):
         pass
 
 
-def live_hysteresis(samples: DataFrame, *, key: str, time: str, hi: float, lo: float, k: int, m: int) -> DataFrame:
+def live_hysteresis(samples: DataFrame, *, key: str, time: str, hi: float, lo: float, k: int, m: int, tie: Sequence[str] = (), end: str | None = None) -> DataFrame:
     """Hysteresis states in append mode: a row comes out once no later row can change its state, so up to k - 1 or
-    m - 1 rows of a sequence are held back. samples: key, time, probability, in time order between batches."""
+    m - 1 rows of a sequence are held back. samples: key, time, probability, in time order between batches. A row whose
+    boolean column `end` is true has no state of its own: it ends its sequence and brings out what is held back."""
     kind = samples.schema[key].dataType
     schema = StructType([StructField(key, kind), StructField("at", TimestampType()), samples.schema["probability"], *StructType.fromDDL("state int").fields])
-    rows = samples.select(key, F.col(time).alias("at"), "probability")  # a leading underscore would be lost on the way
-    made = rows.groupBy(key).transformWithStateInPandas(_Hysteresis(hi, lo, k, m, key, "at"), outputStructType=schema, outputMode="Append", timeMode="None")
+    ends = F.coalesce(F.col(end), F.lit(False)) if end else F.lit(False)
+    rows = samples.select(key, F.col(time).alias("at"), "probability", ends.alias("ends"), *tie)  # a leading underscore would be lost on the way
+    made = rows.groupBy(key).transformWithStateInPandas(_Hysteresis(hi, lo, k, m, key, "at", tie), outputStructType=schema, outputMode="Append", timeMode="None")
     return made.withColumnRenamed("at", time)

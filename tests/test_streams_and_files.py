@@ -76,3 +76,34 @@ def test_sinks_and_resume(spark, tmp_path):
     sinks.save_audit(df, f"{tmp_path}/audit")
     assert [(r.status, r.n_rows) for r in points.audit_statuses(spark, f"{tmp_path}/audit").collect()] == [("ok", 2)]
     assert points.pending(df, df.where("reference = 'a'"), ["reference"]).count() == 1
+
+
+def test_registered_streams_keep_every_row(spark, tmp_path):
+    """Ten files, the latest events first: windows, sessions and states equal those of the batch operators."""
+    from motionlake.plans import common, registry
+
+    data = [(i, i % 5, ("view", "click")[i // 5 % 2], T0 + timedelta(hours=3 * (i // 10) + i % 3), float((i * 37) % 43)) for i in range(1000)]
+    for part in range(9, -1, -1):
+        spark.createDataFrame(data[part * 100 : part * 100 + 100], "event_id long, user_id long, event_type string, ts timestamp_ntz, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    sf_dir = str(tmp_path)
+    e = common.events(spark, sf_dir).drop("foot").withColumnRenamed("event_type", "foot").withColumn("reference", F.col("reference").cast("string")).cache()
+
+    def rows(df):
+        times = [F.col(f.name).cast("timestamp_ntz") if f.dataType.typeName() == "timestamp" else F.round(f.name, 6) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields]
+        return sorted(map(tuple, df.select(*times).collect()), key=str)
+
+    energy = autolabel.motion_energy(e, by=["reference", "foot"], value="value", window_us=86_400_000_000)
+    assert rows(registry.QUERIES["x2_stream_energy"](spark, sf_dir)) == rows(energy.select("reference", "foot", "window_start", "energy", "samples"))
+
+    statistics = [F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")]
+    day = F.date_trunc("day", "_time")
+    both = e.withColumn("window_start", F.explode(F.array(day, day - F.expr("INTERVAL 1 DAY"))))
+    assert rows(registry.QUERIES["x3_stream_sliding"](spark, sf_dir)) == rows(both.groupBy("foot", "window_start").agg(*statistics))
+
+    parted = segments.gap_segments(e, by=["reference"], time="_time", gap_us=12 * 3_600_000_000, tie=["event_id"])
+    sessions = parted.groupBy("reference", "segment").agg(F.min("_time").alias("first"), F.max("_time").alias("last"), F.count(F.lit(1)).alias("n")).drop("segment")
+    assert rows(registry.QUERIES["x4_stream_sessions"](spark, sf_dir)) == rows(sessions)
+
+    p = e.withColumn("probability", F.least(F.col("value") / 200, F.lit(1.0)))
+    states = segments.hysteresis(p, "probability", hi=0.1, lo=0.05, k=2, m=2, by=["reference"], order=["_time", "event_id"])
+    assert rows(registry.QUERIES["x6_stream_hysteresis"](spark, sf_dir)) == rows(states.select("reference", "_time", "probability", "state"))
