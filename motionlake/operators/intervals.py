@@ -197,3 +197,12 @@ def sequence_embargo(sequences: DataFrame, folds: DataFrame, *, by: str = "refer
     hit = (F.col(by) == F.col("_test")) & (times.micros("seq_start") <= F.col("_high")) & (times.micros("seq_stop") >= F.col("_low"))
     return each.where(~hit).drop("_test", "_low", "_high")
 
+
+def sequence_embargo_groups(sequences: DataFrame, folds: DataFrame, *, by: str = "reference", start: str = "seq_start", stop: str = "seq_stop", seconds: float) -> DataFrame:
+    """As sequence_embargo, for folds that test many references: a row goes from a fold where it meets the widened
+    span of any of the fold's references. Folds are few, their references are joined by (fold, reference)."""
+    e = int(seconds * times.SECOND)
+    f = folds.select(F.col("fold").alias("_fold"), F.col(by).alias("_test"), (times.micros("start") - e).alias("_low"), (times.micros("stop") + e).alias("_high"))
+    each = sequences.crossJoin(F.broadcast(folds.select("fold").distinct()))
+    hit = (F.col("fold") == F.col("_fold")) & (F.col(by) == F.col("_test")) & (times.micros(start) <= F.col("_high")) & (times.micros(stop) >= F.col("_low"))
+    return each.join(f, hit, "left_anti")

@@ -210,7 +210,7 @@ def m7(spark, sf_dir):
 @query("m8_boosted_trees")
 def m8(spark, sf_dir):
     rows, names = _ml(spark, sf_dir)
-    return _scored(models.out_of_fold(rows, models.boosted_trees(names, "target", rounds=10), [0]))
+    return _scored(models.out_of_fold(rows, models.boosted_trees(names, "target", rounds=10), [0, 1, 2]))
 
 
 @query("m9_logistic_regression")
@@ -224,9 +224,12 @@ def m10(spark, sf_dir):
     e = predictions(spark, sf_dir).withColumn("fold", (F.col("reference") % 3).cast("int"))
     s = segments.context_sequences(e, by=["reference"], order="_time", features=["probability"], length=5, tie=["event_id"])
     flat = models.flattened(s, 5).drop("sequence", "probability")
-    bounds = flat.where("fold = 0").groupBy("reference").agg(F.min("_time").alias("start"), F.max("_time").alias("stop")).withColumn("fold", F.lit(0))
-    train = intervals.sequence_embargo(flat.where("fold <> 0").drop("fold"), bounds, seconds=15).withColumn("fold", F.lit(1)).dropDuplicates(["event_id"])
-    return _scored(models.out_of_fold(flat, models.sequence_classifier("target", 5, rounds=20), [0], train_on=lambda f: train))
+    bounds = flat.groupBy("fold", "reference").agg(F.min("_time").alias("start"), F.max("_time").alias("stop"))
+
+    def train(f):
+        return intervals.sequence_embargo_groups(flat.where(F.col("fold") != f).drop("fold"), bounds.where(F.col("fold") == f), seconds=15)
+
+    return _scored(models.out_of_fold(flat, models.sequence_classifier("target", 5, rounds=20), [0, 1, 2], train_on=train))
 
 
 @query("m11_batch_scoring")
@@ -258,7 +261,7 @@ def m17(spark, sf_dir):
 @query("m18_class_weight_sweep")
 def m18(spark, sf_dir):
     rows, names = _ml(spark, sf_dir)
-    return models.sweep_class_weights(rows, names, "target", weights=[{0: 1.0, 1: 1.0}, {0: 1.0, 1: 2.0}], thresholds=[0.4, 0.5], folds=[0, 1], trees=10)
+    return models.sweep_class_weights(rows, names, "target", weights=[{0: 1.0, 1: 1.0}, {0: 1.0, 1: 2.0}], thresholds=[0.4, 0.5], folds=[0, 1, 2], trees=10)
 
 
 @query("f9_normalized_sequences", f"WITH {EV}, q AS (SELECT event_id, list(value) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS l FROM ev WINDOW w AS (PARTITION BY reference ORDER BY _time, event_id)), s AS (SELECT * FROM q WHERE len(l) = 3), m AS (SELECT avg(v) AS m, stddev_pop(v) AS d FROM (SELECT unnest(l) AS v FROM s WHERE event_id % 2 = 0)) SELECT event_id, (l[2] - m) / d AS center_value FROM s, m WHERE event_id % 2 = 1", "center_value")
@@ -318,9 +321,6 @@ def c3(spark, sf_dir):
 
 def _streamed(spark, sf_dir, make, mode="append"):
     """The rows that a streaming query over the events, a file at a time, has written to a table of files."""
-    from motionlake.plans.common import table as given
-
-    given(spark, sf_dir, "events")  # UTC
     out, path = make(_shaped(_source(spark, sf_dir))), _fresh(spark)
     if mode == "append":
         _append(out, path)
@@ -331,6 +331,9 @@ def _streamed(spark, sf_dir, make, mode="append"):
 
 
 def _source(spark, sf_dir):
+    from motionlake.plans.common import table as given
+
+    given(spark, sf_dir, "events")  # UTC
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet" if _is_folder(spark, sf_dir) else f"{sf_dir}/events*.parquet")
 
