@@ -79,7 +79,7 @@ def interval_overlaps(intervals: DataFrame, *, by: str = "reference", start: str
 def resolve_conflicts(intervals: DataFrame, *, by: str = "reference", label: str = "label", start: str = "start", stop: str = "stop") -> DataFrame:
     """`dropped` for each interval: pairs of overlapping, differently labelled intervals are met in order, the
     shorter goes (of equal ones the earlier), and what has gone no longer counts. Chains make this depend on the
-    order, so each reference is one pass over its intervals, a label table of a few rows."""
+    order, so each chain of overlapping intervals is one pass in one task; chains are cut by the latest stop so far."""
     from pyspark.sql.types import BooleanType, StructField, StructType
 
     schema = StructType([*intervals.schema.fields, StructField("dropped", BooleanType())])
@@ -94,9 +94,18 @@ def resolve_conflicts(intervals: DataFrame, *, by: str = "reference", label: str
                     break
                 if not gone[j] and kind[i] != kind[j]:
                     gone[i if end[i] - begin[i] <= end[j] - begin[j] else j] = True
-        return pdf.assign(dropped=gone)
-
-    return intervals.groupBy(by).applyInPandas(run, schema)
+        return pdf.drop(columns="_chain").assign(dropped=gone)
+
+    order = Window.partitionBy(by).orderBy(F.col(start).asc_nulls_last(), F.col(stop).asc_nulls_last(), F.col(label).asc_nulls_last())
+    latest = F.max(stop).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((F.col(start) >= latest).cast("int"), F.lit(0))
+    chained = intervals.withColumn("_chain", new).withColumn("_chain", F.sum("_chain").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    chain = Window.partitionBy(by, "_chain")
+    known = F.count(label).over(chain)
+    alike = F.min(label).over(chain).eqNullSafe(F.max(label).over(chain)) & ((known == F.count(F.lit(1)).over(chain)) | (known == 0))
+    rows = chained.withColumn("_alike", alike)  # most chains are a single interval
+    calm = rows.where("_alike").select(*intervals.columns, F.lit(False).alias("dropped"))
+    return calm.unionByName(rows.where("not _alike").drop("_alike").groupBy(by, "_chain").applyInPandas(run, schema))
 
 
 def shifted(candidates: DataFrame, offsets_minutes: Sequence[int], start: str = "start", stop: str = "stop") -> DataFrame:

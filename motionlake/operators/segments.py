@@ -95,7 +95,24 @@ def hysteresis_states(p: np.ndarray, hi: float, lo: float, k: int, m: int) -> np
 
 
 def hysteresis(df: DataFrame, probability: str, *, hi: float, lo: float, k: int, m: int, by: Sequence[str], order: Sequence[str], out: str = "state") -> DataFrame:
-    """The states of each sequence. An ordered fold with look-back: one pass over each sequence."""
+    """The states of each sequence.
+
+    Where lo is not above hi, a run of k values of at least hi is 1 as a whole, a run of m values below lo is 0, and any
+    other row carries the state before it: windows that spill, however long a sequence is. Else a value may count for
+    both ways; then each sequence is one ordered pass in one task.
+    """
+    if lo <= hi:
+        p = F.coalesce(F.nanvl(F.col(probability).cast("double"), F.lit(0.0)), F.lit(0.0))
+        row = F.row_number().over(Window.partitionBy(*by).orderBy(*(F.col(c).asc_nulls_last() for c in order)))  # ties keep one order below
+        inorder = Window.partitionBy(*by).orderBy("_row")
+        rows = df.withColumn("_row", row).withColumn("_side", F.when(p >= hi, 1).when(p < lo, 0))
+        new = (~F.col("_side").eqNullSafe(F.lag("_side").over(inorder))).cast("int")
+        runs = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(inorder))
+        size = F.count(F.lit(1)).over(Window.partitionBy(*by, "_run"))
+        sure = F.when((F.col("_side") == 1) & (size >= k), 1).when((F.col("_side") == 0) & (size >= m), 0)
+        before = inorder.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        made = runs.withColumn("_sure", sure).withColumn("_state", F.coalesce(F.last("_sure", ignorenulls=True).over(before), F.lit(0)).cast("int"))
+        return made.select(*df.columns, F.col("_state").alias(out))
     schema = StructType([*df.schema.fields, StructField(out, IntegerType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
