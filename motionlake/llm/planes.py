@@ -49,9 +49,13 @@ def from_planes(planes: list[bytes], n: int, kind: str) -> np.ndarray:
 
 
 class _Library:
-    """The tokenizers library over distinct chunks: many short ones at once, parted by a newline token."""
+    """The tokenizers library over distinct chunks: many short ones at once, parted by a newline token.
 
-    def __init__(self, path: str):
+    Unless `ordinary`, a text that holds the content of an added token (<|endoftext|>) is encoded whole, as the library
+    does by default; chunks serve all other texts.
+    """
+
+    def __init__(self, path: str, ordinary: bool):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -62,6 +66,27 @@ class _Library:
         gap = self._ids(["\n"])[0]
         self.gap = gap[0] if len(gap) == 1 else None
         self.table = ChunkTable(self.chunks, 900_000)
+        self.whole, self.added = None, []
+        if not ordinary:
+            self.whole = Tokenizer.from_file(path)
+            self.added = [x.content for x in self.whole.get_added_tokens_decoder().values()]
+
+    def _holds_added(self, text: str | None) -> bool:
+        if not text:
+            return False
+        seen = [text] if self.whole.normalizer is None else [text, self.whole.normalizer.normalize_str(text)]
+        return any(c in t for c in self.added for t in seen)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text's end."""
+        apart = {i for i, t in enumerate(texts) if self._holds_added(t)} if self.added else ()
+        if not apart:
+            return self.table(texts)
+        ids, ends = self.table([None if i in apart else t for i, t in enumerate(texts)])
+        own = np.split(ids, ends[:-1])
+        for i in apart:
+            own[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, np.int32)
+        return np.concatenate(own), np.cumsum([len(x) for x in own])
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -89,25 +114,26 @@ class _Library:
         return flat[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)], ends
 
 
-_libraries: dict[str, _Library] = {}
+_libraries: dict[tuple[str, bool], _Library] = {}
 
 
-def library_encoder(path: str) -> Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]:
+def library_encoder(path: str, ordinary: bool = True) -> Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]:
     """Encode texts with the tokenizers library and the tokenizer file at `path`."""
-    if path not in _libraries:
-        _libraries[path] = _Library(path)
-    return _libraries[path].table
+    if (path, ordinary) not in _libraries:
+        _libraries[path, ordinary] = _Library(path, ordinary)
+    return _libraries[path, ordinary].encode
 
 
-def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, kind: str = "byte", block: int = BLOCK) -> None:
+def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, kind: str = "byte", block: int = BLOCK, ordinary: bool = True) -> None:
     """Encode `text` of each document, append end_id, and write all ids in ascending doc_id order to `out`.
 
     Null text counts as empty (end_id alone). Documents without an id come first; equal ids keep an order by
-    text. Spark deals the documents out by range, so shards are as even as the rows allow.
+    text. Spark deals the documents out by range, so shards are as even as the rows allow. `ordinary`: an added token's
+    string in a text is ordinary text; else it becomes that token, the library's default.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = library_encoder(tokenizer)
+        encode = library_encoder(tokenizer, ordinary)
         shard, number, first = TaskContext.get().partitionId(), 0, 0
         kept: list[np.ndarray] = []
         held = 0

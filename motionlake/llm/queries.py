@@ -48,7 +48,7 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
 
 def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "op2-tokens")
-    planes.write(table(spark, sf_dir, "documents"), path, TOKENIZER)
+    planes.write(table(spark, sf_dir, "documents"), path, TOKENIZER, ordinary=False)
     return planes.read(spark, path)
 
 

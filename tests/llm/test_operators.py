@@ -90,6 +90,23 @@ def test_token_planes(spark, tmp_path, kind):
     assert [r.offset for r in index] == np.concatenate([[0], np.cumsum([r.n_ids for r in index])])[:-1].tolist()
 
 
+def test_token_planes_query_equals_the_unmodified_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from motionlake.llm import queries
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rng = random.Random(1)
+    texts = [*ODD, "a <|endoftext|> x", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "<|endoftext |>", *(prose(rng, 60) for _ in range(20)), "b <|endoftext|>"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op2_token_planes(spark, str(tmp_path)).collect()}
+    start = 0
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        assert got[i] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), i
+        start += len(ids)
+
+
 # 3
 
 
