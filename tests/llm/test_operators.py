@@ -448,3 +448,60 @@ def test_clashing_columns_change_nothing(spark):
     assert pii.redact(wide, pii.train(wide)).columns == wide.columns
     last = corpus_pipeline.STAGES[4][1](spark, wide, "")
     assert set(last.columns) == {*wide.columns} and last.where("doc_id = 0").collect()[0].n_tokens > 7
+
+
+def plain_ids(text, ranks):
+    pattern = P.PATTERN.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9").replace(" ?a-zA-Z+", " ?[a-zA-Z]+").replace(" ?0-9+", " ?[0-9]+")
+    out = []
+    for piece in re.findall(pattern, text):
+        parts = [bytes([b]) for b in piece.encode()]
+        while len(parts) > 1:
+            rank, i = min((ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if rank == 1 << 30:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        out += [ranks[x] for x in parts]
+    return out
+
+
+def test_pipeline_equals_a_plain_chain(spark, tmp_path, monkeypatch):
+    """run() on labels, near copies, benchmark passages and personal data, against plain Python with the same models."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    good = lambda: ". ".join(prose(rng, 9, 3000).capitalize() for _ in range(6)) + "."
+    bad = lambda: " ".join(f"{w.upper()}!!" for w in prose(rng, 50, 3000).split())
+    texts = [good() if i % 3 else bad() for i in range(90)]
+    for i in range(1, 31, 3):
+        texts.append(texts[i].rsplit(" ", 1)[0] + " Other.")
+    items = [(1, prose(rng, 20)), (2, prose(rng, 15))]
+    texts += [f"{good()} {items[i % 2][1]}." for i in range(6)]
+    texts += [f"{good()} Write to some.body{i}@example.org or call +1 (988) 555-24{i}5." for i in range(6)]
+    docs(spark, texts).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    fitted = {}
+    for module in (quality, pii):
+        train = module.train
+        monkeypatch.setattr(module, "train", lambda *a, _name=module.__name__, _train=train, **k: fitted.setdefault(_name, _train(*a, **k)))
+    got = {r.doc_id: (r.text, list(r.ids), r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    model, detector = fitted[quality.__name__][0], fitted[pii.__name__]
+
+    fine = [i for i, t in enumerate(texts) if model.score(np.array([quality.statistics(t)]))[0] >= 0.5]
+    single = [fine[k] for k, (_, root) in enumerate(brute_components([texts[i] for i in fine])) if root == k]
+    clean = []
+    for i in single:
+        n, hit, _ = brute_hits(texts[i], items)
+        if not (hit and 20 * hit >= n):
+            clean.append(i)
+    assert len(texts) > len(fine) > len(single) > len(clean) > 6
+    ranks, want = bpe.load_ranks(TIK), {}
+    for i in clean:
+        text, marks = texts[i], {}
+        for a, b, kind in detector.spans(text)[1]:
+            first = next((marks[x] for x in range(a, b) if x in marks), (a, kind))
+            marks |= {x: first for x in range(a, b) if x not in marks}
+        text = "".join(text[x] if x not in marks else f"[{marks[x][1].upper()}]" if marks[x][0] == x else "" for x in range(len(text)))
+        ids = plain_ids(text, ranks)
+        want[i] = (text, ids, len(ids))
+    assert got == want and sum("[EMAIL]" in t for t, _, _ in got.values()) == 6
