@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, StructField, StructType
 
 from motionlake.llm.chunks import ChunkTable, blocks
+from motionlake.llm.common import in_arrow
 
 _NONE = np.int32(2**31 - 1)
 #: A word of Latin letters with sentence marks behind it: two pieces under the usual byte-level pattern.
@@ -247,8 +248,9 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
                 if verify and any(x != (t or "").encode() for x, t in zip(coder.decode(flat, ends), texts, strict=True)):
                     raise ValueError("decoded bytes differ from the text")
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), _lists(flat, ends)], names=[*keep, ids])
+        coder.table.clear()  # the worker goes on to other stages
 
-    return df.mapInArrow(run, _with(df, ids, ArrayType(IntegerType())))
+    return in_arrow(df, run, _with(df, ids, ArrayType(IntegerType())))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -265,7 +267,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
             data = coder.decode(flat, np.cumsum([len(x) for x in lists], dtype=np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names=[*keep, out])
 
-    return df.mapInArrow(run, _with(df, out, BinaryType()))
+    return in_arrow(df, run, _with(df, out, BinaryType()))
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -286,6 +288,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(spelled), pa.array(back)],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        coder.table.clear()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

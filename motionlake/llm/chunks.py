@@ -36,9 +36,9 @@ class ChunkTable:
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 300_000):
         self.encode, self.limit = encode, limit
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.known, self.fresh = 0, []
         self.first, self.later = _Codes(self, ""), _Codes(self, " ")
         self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
@@ -54,7 +54,7 @@ class ChunkTable:
     def __call__(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and for each text where its ids end. Null counts as empty."""
         if self.known > self.limit:
-            self._clear()
+            self.clear()
         parts, counts = [], []
         for text in texts:
             if not text:

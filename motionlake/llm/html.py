@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from motionlake.llm.chunks import blocks as text_blocks
-from motionlake.llm.common import bounded_sample
+from motionlake.llm.common import bounded_sample, in_arrow
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -278,7 +278,7 @@ def train(pages: DataFrame, sample_rows: int = 400, most: int = 20_000) -> np.nd
                 rows[1] += [not found[i].bad for i in told]
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.list_(pa.float64())), pa.array(rows[1], pa.bool_())], names=["x", "y"])
 
-    found = bounded_sample(pages.select("page_id", "html"), "page_id", sample_rows).mapInArrow(run, "x array<double>, y boolean").limit(most).collect()
+    found = in_arrow(bounded_sample(pages.select("page_id", "html"), "page_id", sample_rows), run, "x array<double>, y boolean").limit(most).collect()
     y = np.array([r.y for r in found], float)
     if not 0 < y.sum() < len(y):
         weights = np.zeros(N_FEATURES)
@@ -300,4 +300,4 @@ def extract(pages: DataFrame, weights: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"{kinds}, text string, n_chars long")
+    return in_arrow(pages.select("page_id", "url", "html"), run, f"{kinds}, text string, n_chars long")

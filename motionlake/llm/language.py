@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motionlake.llm.chunks import blocks
-from motionlake.llm.common import bounded_sample
+from motionlake.llm.common import bounded_sample, in_arrow
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Buckets of hashed features.
@@ -230,7 +230,7 @@ def predict(docs: DataFrame, field: Field | None) -> DataFrame:
                 names, scores = labeller.documents(texts) if labeller else (["und"] * len(texts), np.zeros(len(texts)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def label_words(docs: DataFrame, field: Field) -> DataFrame:
@@ -248,4 +248,4 @@ def label_words(docs: DataFrame, field: Field) -> DataFrame:
                 kind = pa.list_(pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([words_of(t) for t in texts], kind), pa.array(langs, kind)], names=["doc_id", "words", "langs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words array<string>, langs array<string>")
+    return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words array<string>, langs array<string>")

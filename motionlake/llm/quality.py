@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motionlake.llm.chunks import blocks
-from motionlake.llm.common import written
+from motionlake.llm.common import in_arrow, written
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -69,7 +69,7 @@ N_STATISTICS = 20
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and x, the statistics of its text, of each row."""
+    """doc_id and x, the statistics of its text, of each row; repeated rows give a row each, an empty table none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,7 +77,7 @@ def measured(docs: DataFrame) -> DataFrame:
                 rows = [statistics(x) for x in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
 @dataclass
@@ -121,12 +121,12 @@ def _summed(rows: DataFrame, size: int, add: Callable[[pa.RecordBatch], np.ndarr
                 total += row.values.to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
 
-    parts = rows.mapInArrow(each, "v array<double>").repartition(4).mapInArrow(again, "v array<double>").collect()
+    parts = in_arrow(in_arrow(rows, each, "v array<double>").repartition(4), again, "v array<double>").collect()
     return np.sum([r.v for r in parts], axis=0)
 
 
 def _matrix(batch: pa.RecordBatch, column: str = "x") -> np.ndarray:
-    return np.asarray(batch.column(column).flatten().to_numpy(), float).reshape(batch.num_rows, -1)
+    return np.asarray(batch.column(column).flatten().to_numpy(), float).reshape(batch.num_rows, N_STATISTICS)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,17 +194,17 @@ def train(docs: DataFrame, labels: DataFrame, learn: object = None) -> tuple[Qua
 
 
 def scores(stats: DataFrame, model: Quality) -> DataFrame:
-    """doc_id, score of each row of statistics."""
+    """doc_id, score of each row of statistics, repeated ones and such without an id included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_matrix(batch)), pa.float64())], names=["doc_id", "score"])
 
-    return stats.mapInArrow(run, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double")
+    return in_arrow(stats, run, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def keep(docs: DataFrame, model: Quality, least: float = 0.5) -> DataFrame:
-    """The documents that score at least so much, all columns."""
+    """The documents that score at least so much, all columns. Null texts score as empty ones; ids play no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,4 +212,4 @@ def keep(docs: DataFrame, model: Quality, least: float = 0.5) -> DataFrame:
                 x = np.array([statistics(t) for t in part.column("text").to_pylist()]).reshape(-1, N_STATISTICS)
                 yield part.filter(pa.array(model.score(x) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

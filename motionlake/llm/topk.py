@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motionlake.llm.common import in_arrow
+
 #: Points of a leaf: few enough to prune, enough for one matrix product.
 LEAF = 128
 
@@ -144,6 +146,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, block: int = 4096,
                 a, b, s = search(q, q_ids, r, r_ids, k)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[a], pa.int64()), pa.array(r_ids[b], pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
 
-    found = met.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = in_arrow(met, run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
