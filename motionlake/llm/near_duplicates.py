@@ -7,10 +7,16 @@ travel back; of the others each document learns enough to know its prefix, the |
 shingles of its order, one of which every partner shares. Candidates are verified by partial overlaps: each
 fragment counts the shingles that a pair shares there, and the counts are summed per pair.
 
+Frequent shingles don't meet in one task: what FREQUENT documents of one block of texts hold goes to its fragment
+as a count alone, and stands behind all other shingles in the order. A document needs the frequencies of such
+shingles only where its prefix reaches that far; only then are they joined.
+
 Work stays linear in groups of copies: equal sets collapse into classes first; each prefix shingle links its
-holders to one of them only (star pairs); what the verified stars leave in several components is compared in
-blocks within its family, and a block reports a spanning forest of its links, never all pairs. The result is
-exact: every pair of the same family that is not already in one component is counted in full.
+holders to one of them only (star pairs). What the verified stars leave in several components is compared in
+blocks of documents: two blocks meet if their documents share a prefix shingle and their lengths allow a link, and
+they report a spanning forest of their links, never all pairs. The result is exact, up to collisions of the 64-bit
+hashes that stand for shingles: every pair that shares a prefix shingle and is not already in one component is
+counted in full.
 """
 
 from __future__ import annotations
@@ -22,9 +28,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from motionlake.llm.chunks import blocks
-from motionlake.llm.common import broadcast_within, written
+from motionlake.llm.common import Scratch, broadcast_within, in_arrow, require_integer
 
 WORDS = 5
 #: Link when DENOMINATOR * intersection >= NUMERATOR * union.
@@ -33,6 +40,12 @@ NUMERATOR, DENOMINATOR = 3, 4
 BLOCK = 64
 #: Fragments in which the overlap of a star pair is counted.
 OVERLAP_FRAGMENTS = 8
+#: Characters of a block of texts, and how many of its documents make a shingle frequent.
+BLOCK_CHARS, FREQUENT = 8_000_000, 8
+#: Copies that a row has in a lookup of a key that many rows may hold.
+SALTS = 16
+#: A node of so many edges is looked up in SALTS places.
+HOT_DEGREE = 2000
 _MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
 
 
@@ -76,12 +89,15 @@ def _fragments(rows: int) -> int:
 
 
 def _shapes(docs: DataFrame, fragments: int) -> DataFrame:
-    """doc_id, n, digest (two longs), prefix (shared shingles of the prefix) of each document with an id."""
+    """doc_id, n, digest (two longs), prefix, missing, frequent for each document with an id: its prefix as far as
+    others share it, how many entries it lacks, and the frequent shingles they are to be taken from. Rows without a
+    doc_id hold frequent shingles (prefix) and their frequencies (frequent)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents to fragments: of each block one row for a fragment, with documents, counts and shingles."""
+        """Documents to fragments. Of each block one row for a number f: rare shingles of fragment f with their owners,
+        counts of its frequent ones; and of the documents whose home is f their facts and frequent shingles."""
         for batch in batches:
-            for part in blocks(batch, "text", 8_000_000):
+            for part in blocks(batch, "text", BLOCK_CHARS):
                 ids = np.array(part.column("doc_id").to_pylist(), np.int64)
                 sets = [shingles(x) for x in part.column("text").to_pylist()]
                 n = np.array([len(x) for x in sets], np.int64)
@@ -89,114 +105,176 @@ def _shapes(docs: DataFrame, fragments: int) -> DataFrame:
                 home = (_scatter(ids.astype(np.uint64)) % np.uint64(fragments)).astype(np.int64)
                 tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 owner = np.repeat(np.arange(len(sets)), n)
+                del sets
+                order = np.argsort(tokens, kind="stable")  # equal shingles together, and so each fragment
+                tokens, owner = tokens[order], owner[order]
+                edge = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, np.int64)
+                size = np.diff(np.r_[edge, len(tokens)])
+                often = np.repeat(size >= FREQUENT, size)
+                counted, counts = tokens[edge[size >= FREQUENT]], size[size >= FREQUENT]
+                own, tok = owner[often], tokens[often]
+                tokens, owner = tokens[~often], owner[~often]
+                at_home = np.argsort(home[own], kind="stable")
+                own, tok = own[at_home], tok[at_home]
                 frag = (tokens >> np.uint64(44)).astype(np.int64) * fragments >> 20
-                order = np.argsort(frag, kind="stable")  # by fragment, documents in order within
+                order = np.argsort(frag * len(ids) + owner, kind="stable")  # by fragment, documents in order within
                 tokens, owner, frag = tokens[order], owner[order], frag[order]
-                cuts = np.searchsorted(frag, np.arange(fragments + 1))
-                homes = np.argsort(home, kind="stable")
-                home_cuts = np.searchsorted(home[homes], np.arange(fragments + 1))
-                used = np.flatnonzero((np.diff(cuts) > 0) | (np.diff(home_cuts) > 0))
-                rows: list[list] = [[], [], [], []]
+                edges = np.arange(fragments + 1)
+                cuts, homes = np.searchsorted(frag, edges), np.argsort(home, kind="stable")
+                home_cuts, own_cuts = np.searchsorted(home[homes], edges), np.searchsorted(home[own], edges)
+                count_cuts = np.searchsorted((counted >> np.uint64(44)).astype(np.int64) * fragments >> 20, edges)
+                used = np.flatnonzero(np.diff(cuts) + np.diff(home_cuts) + np.diff(count_cuts))
+                rows: list[list] = [[], [], [], [], [], []]
                 for f in used.tolist():
-                    own, some = owner[cuts[f] : cuts[f + 1]], homes[home_cuts[f] : home_cuts[f + 1]]
-                    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+                    mine, some = owner[cuts[f] : cuts[f + 1]], homes[home_cuts[f] : home_cuts[f + 1]]
+                    first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]]) if len(mine) else np.zeros(0, np.int64)
+                    frequent, few = slice(own_cuts[f], own_cuts[f + 1]), slice(count_cuts[f], count_cuts[f + 1])
                     rows[0].append(f)
-                    rows[1].append(np.stack([ids[own[first]], np.diff(np.r_[first, len(own)])]).tobytes())
+                    rows[1].append(np.stack([ids[mine[first]], np.diff(np.r_[first, len(mine)])]).tobytes())
                     rows[2].append(tokens[cuts[f] : cuts[f + 1]].tobytes())
-                    rows[3].append(np.stack([ids[some], n[some], digest[some, 0].view(np.int64), digest[some, 1].view(np.int64)]).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["frag", "owners", "tokens", "infos"])
+                    rows[3].append(np.stack([counted[few].view(np.int64), counts[few]]).tobytes())
+                    rows[4].append(np.stack([ids[some], n[some], digest[some, 0].view(np.int64), digest[some, 1].view(np.int64)]).tobytes())
+                    rows[5].append(np.stack([ids[own[frequent]], tok[frequent].view(np.int64)]).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["frag", "owners", "tokens", "counts", "infos", "own"])
         _words.clear()  # the worker goes on to other stages
 
+    def row(at: int, postings: bytes = b"", infos: bytes = b"", own: bytes = b"", often: bytes = b"") -> pa.RecordBatch:
+        columns = [pa.array([at], pa.int32()), *(pa.array([x], pa.binary()) for x in (postings, infos, own, often))]
+        return pa.RecordBatch.from_arrays(columns, names=["home", "postings", "infos", "own", "often"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """In each fragment: frequencies; shingles of several documents go on to the tasks of their documents."""
-        tokens, owners, infos = [], [], []
+        """In each fragment: frequencies; shingles of several documents go on to the tasks of their documents, with
+        frequency 0 if they are frequent in any block."""
+        tokens, owners, often = [], [], []
         for batch in batches:
-            for own, tok, info in zip(batch.column("owners").to_pylist(), batch.column("tokens").to_pylist(), batch.column("infos").to_pylist(), strict=True):
-                ids, counts = np.frombuffer(own, np.int64).reshape(2, -1)
-                owners.append(np.repeat(ids, counts))
+            for frag, own, tok, counts, infos, frequent in zip(*(batch.column(c).to_pylist() for c in ("frag", "owners", "tokens", "counts", "infos", "own")), strict=True):
+                ids, size = np.frombuffer(own, np.int64).reshape(2, -1)
+                owners.append(np.repeat(ids, size))
                 tokens.append(np.frombuffer(tok, np.uint64))
-                infos.append(info)
-        empty = np.zeros(0, np.int64)
-        for info in infos:  # already at home: the fragment of a document's facts is that of its id
-            home = np.frombuffer(info, np.int64).reshape(4, -1)
-            if home.shape[1]:
-                at = int(_scatter(home[0, :1].astype(np.uint64))[0] % np.uint64(fragments))
-                yield _row(at, empty, empty, empty, info)
+                often.append(np.frombuffer(counts, np.int64).reshape(2, -1))
+                if infos or frequent:  # already at home
+                    yield row(frag, infos=infos, own=frequent)
         if not tokens:
             return
+        seen, total = np.concatenate(often, axis=1)
+        seen, place = np.unique(seen.view(np.uint64), return_inverse=True)
+        if len(seen):
+            frag = int(seen[0] >> np.uint64(44)) * fragments >> 20
+            sums = np.zeros(len(seen), np.int64)
+            np.add.at(sums, place, total)
+            yield row(frag, often=np.stack([seen.view(np.int64), sums]).tobytes())
         tok, own = np.concatenate(tokens), np.concatenate(owners)
-        del tokens, owners
+        del tokens, owners, often
         order = np.argsort(tok, kind="stable")
         tok, own = tok[order], own[order]
-        edge = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
-        freq = np.repeat(np.diff(np.r_[edge, len(tok)]), np.diff(np.r_[edge, len(tok)]))
-        shared = freq > 1
+        edge = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]]) if len(tok) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[edge, len(tok)])
+        freq = np.repeat(np.where(np.isin(tok[edge], seen, assume_unique=True), 0, size), size)
+        shared = freq != 1
         tok, own, freq = tok[shared], own[shared], freq[shared]
         home = (_scatter(own.astype(np.uint64)) % np.uint64(fragments)).astype(np.int64)
         order = np.argsort(home, kind="stable")
         tok, own, freq, home = tok[order].view(np.int64), own[order], freq[order], home[order]
-        for part in np.split(np.arange(len(home)), np.flatnonzero(np.diff(home)) + 1):
-            if len(part):
-                yield _row(int(home[part[0]]), own[part], tok[part], freq[part], b"")
+        if not len(home):
+            return
+        cuts = np.flatnonzero(np.r_[True, home[1:] != home[:-1]])
+        for lo, hi in zip(cuts, np.r_[cuts[1:], len(home)], strict=True):
+            yield row(int(home[lo]), postings=np.stack([own[lo:hi], tok[lo:hi], freq[lo:hi]]).tobytes())
+
+    def lists(tok: np.ndarray, start: np.ndarray, take: np.ndarray) -> pa.Array:
+        """Of each document the first entries of its part of tok."""
+        index = np.repeat(start - (np.cumsum(take) - take), take) + np.arange(int(take.sum()))
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(take)], pa.int32()), pa.array(tok[index], pa.int64()))
 
-    def _row(at: int, own: np.ndarray, tok: np.ndarray, freq: np.ndarray, info: bytes) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([at], pa.int32()), pa.array([np.stack([own, tok, freq]).tobytes()], pa.binary()), pa.array([info], pa.binary())], names=["home", "postings", "infos"]
-        )
+    names = ["doc_id", "n", "high", "low", "prefix", "missing", "frequent"]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """In each document's task: its prefix, as far as others share it."""
-        postings, infos = [], []
+        postings, infos, often = [np.zeros((3, 0), np.int64)], [], []
         for batch in batches:
-            postings += [np.frombuffer(x, np.int64).reshape(3, -1) for x in batch.column("postings").to_pylist()]
+            postings += [np.frombuffer(x, np.int64).reshape(3, -1) for x in batch.column("postings").to_pylist() if x]
             infos += [np.frombuffer(x, np.int64).reshape(4, -1) for x in batch.column("infos").to_pylist() if x]
+            often += [np.frombuffer(x, np.int64).reshape(2, -1) for x in batch.column("often").to_pylist() if x]
+            for x in batch.column("own").to_pylist():
+                if x:
+                    own = np.frombuffer(x, np.int64).reshape(2, -1)
+                    postings.append(np.vstack([own, np.zeros((1, own.shape[1]), np.int64)]))
+        for tok, sums in often:
+            one = [pa.nulls(1, pa.int64())] * 4
+            both = [pa.array([x], pa.list_(pa.int64())) for x in (tok, sums)]
+            yield pa.RecordBatch.from_arrays([*one, both[0], pa.nulls(1, pa.int64()), both[1]], names=names)
         if not infos:
             return
         ids, n, high, low = np.concatenate(infos, axis=1)
-        order = np.lexsort((n, ids))
+        order = np.argsort(ids)
         ids, n, high, low = ids[order], n[order], high[order], low[order]
-        last = np.r_[ids[1:] != ids[:-1], True]  # a repeated id counts once
-        ids, n, high, low = ids[last], n[last], high[last], low[last]
         own, tok, freq = np.concatenate(postings, axis=1)
-        order = np.lexsort((tok, freq, own))
-        own, tok = own[order], tok[order]
+        del postings, infos
+        order = np.lexsort((tok, freq, freq == 0, own))  # frequent ones last
+        own, tok, last = own[order], tok[order], freq[order] == 0
         start, end = np.searchsorted(own, ids), np.searchsorted(own, ids, side="right")
-        need = n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
-        take = np.clip(need - (n - (end - start)), 0, end - start)  # what one document alone holds stands first
-        take[n == 0] = 0
-        prefix = pa.ListArray.from_arrays(
-            pa.array(np.r_[0, np.cumsum(take)], pa.int32()),
-            pa.array(tok[np.repeat(start, take) + np.arange(int(take.sum())) - np.repeat(np.cumsum(take) - take, take)], pa.int64()),
-        )
-        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (ids, n, high, low)), prefix], names=["doc_id", "n", "high", "low", "prefix"])
-
-    cut_ = docs.select("doc_id", "text").mapInArrow(cut, "frag int, owners binary, tokens binary, infos binary")
-    counted = cut_.repartitionById(fragments, "frag").mapInArrow(count, "home int, postings binary, infos binary")
-    return counted.repartitionById(fragments, "home").mapInArrow(gather, "doc_id long, n long, high long, low long, prefix array<long>")
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+        behind = np.concatenate([[0], np.cumsum(last)])
+        frequent = behind[end] - behind[start]
+        need = np.where(n > 0, n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1, 0)
+        need = np.maximum(need - (n - (end - start)), 0)  # what one document alone holds stands first
+        take = np.minimum(need, end - start - frequent)
+        missing = np.minimum(need - take, frequent)
+        columns = [*(pa.array(x, pa.int64()) for x in (ids, n, high, low)), lists(tok, start, take), pa.array(missing, pa.int64()), lists(tok, end - frequent, np.where(missing > 0, frequent, 0))]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    cut_ = in_arrow(docs.select("doc_id", "text"), cut, "frag int, owners binary, tokens binary, counts binary, infos binary, own binary")
+    counted = in_arrow(cut_.repartitionById(fragments, "frag"), count, "home int, postings binary, infos binary, own binary, often binary")
+    return in_arrow(counted.repartitionById(fragments, "home"), gather, "doc_id long, n long, high long, low long, prefix array<long>, missing long, frequent array<long>")
+
+
+def _postings(shapes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """classes (n, high, low, class) of equal sets, named by their smallest document, and class, n, token: a row for
+    each shared shingle of the prefix of each class."""
+    known = shapes.where("doc_id is not null and n > 0")
+    facts = F.min_by(F.struct("prefix", "missing", "frequent"), "doc_id").alias("f")
+    classes = scratch.write(known.groupBy("n", "high", "low").agg(F.min("doc_id").alias("class"), facts).select("n", "high", "low", "class", "f.*"), "classes")
+    plain = classes.select("class", "n", F.explode("prefix").alias("token"))
+    often = shapes.where("doc_id is null").select(F.inline(F.arrays_zip(F.col("prefix").alias("token"), F.col("frequent").alias("freq"))))
+    lacking = classes.where("missing > 0").select("class", "n", "missing", F.explode("frequent").alias("token"))
+    # a frequent shingle may stand in very many classes: each row of frequencies has copies for them
+    copies = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    ranked = lacking.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).join(copies, ["token", "salt"])
+    chosen = F.array_sort(F.collect_list(F.struct("freq", "token")))  # of one document: no more than its shingles
+    first = ranked.groupBy("class", "n", "missing").agg(chosen.alias("all")).select("class", "n", F.explode(F.slice("all", 1, F.col("missing").cast("int"))).alias("x"))
+    return classes, scratch.write(plain.unionByName(first.select("class", "n", F.col("x.token").alias("token"))), "postings")
+
+
+def components(edges: DataFrame, most_rounds: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """node, root (the smallest node that edges a-b reach), for nodes of edges.
 
-    Every round sends each node's smallest known neighbour to all its neighbours and halves the paths.
+    Every round sends each node's smallest known root to all its neighbours, hooks roots onto smaller ones and halves
+    the paths. Nodes of many edges and roots of many nodes are looked up in several places, so that no task holds
+    all that share one.
     """
-    edges = edges.where("a <> b")
-    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root"), "roots")
+    scratch = scratch or Scratch(edges.sparkSession)
+    edges = edges.where("a <> b").select("a", "b")
+    both = scratch.write(edges.union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
+    spread = lambda rows, by: rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copied = lambda rows: rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    labels = scratch.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"), (F.count(F.lit(1)) >= HOT_DEGREE).alias("hot")).withColumnRenamed("a", "node"), "roots")
+    if hot := bool(labels.where("hot").limit(1).count()):
+        far = both.join(labels.where("hot").select(F.col("node").alias("b"), "hot"), "b", "left")
+        both = scratch.write(spread(far, "a").select("a", "b", F.when(F.col("hot"), F.col("salt")).otherwise(0).alias("salt")), "edges")
     for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
+        served, at = labels.select(F.col("node").alias("b"), "root", "hot"), ["b"]
+        if hot:
+            served, at = served.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0)))), ["b", "salt"]
+        near = both.join(served, at).groupBy("a").agg(F.min("root").alias("near"))
         # a node's root may itself have a smaller neighbour: hook the roots, then jump
-        hooks = labels.join(near.withColumnRenamed("a", "node"), "node").groupBy("root").agg(F.min("near").alias("up"))
-        stepped = labels.join(hooks.where("up < root"), "root", "left").select("node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved"))
-        jumped = written(
-            stepped.alias("x")
-            .join(stepped.select(F.col("node").alias("root"), F.col("root").alias("far"), F.col("moved").alias("also")), "root", "left")
-            .select("node", F.least("root", F.coalesce("far", "root")).alias("root"), (F.col("moved") | F.coalesce("also", F.lit(False))).alias("moved")),
-            "roots",
-        )
-        labels = jumped.select("node", "root")
-        if not jumped.where("moved").limit(1).count():
-            return labels
+        hooks = labels.join(near.withColumnRenamed("a", "node"), "node").groupBy("root").agg(F.min("near").alias("up")).where("up < root")
+        hooks = scratch.write(hooks, "hooks")
+        if not hooks.limit(1).count():
+            return labels.select("node", "root")
+        jumps = spread(hooks, "root").join(copied(hooks.select(F.col("root").alias("up"), F.col("up").alias("far"))), ["up", "salt"], "left")
+        jumps = jumps.select("root", F.coalesce("far", "up").alias("to"))
+        moved = scratch.write(spread(labels, "node").join(copied(jumps), ["root", "salt"], "left").select("node", F.coalesce("to", "root").alias("root"), "hot"), "roots")
+        scratch.drop(labels, hooks)
+        labels = moved
     raise RuntimeError("components did not settle")
 
 
@@ -215,8 +293,8 @@ def _segments(docs: DataFrame, ids: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=["class", "n", "frag", "tokens"])
 
-    some = docs.join(broadcast_within(ids, 4_000_000), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return some.mapInArrow(cut, "class long, n long, frag int, tokens array<long>")
+    some = docs.join(broadcast_within(ids, 4_000_000), "doc_id", "left_semi")
+    return in_arrow(some, cut, "class long, n long, frag int, tokens array<long>")
 
 
 def _stars(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -240,8 +318,8 @@ def _block_links(units: DataFrame) -> DataFrame:
         _, column, freq = np.unique(tokens, return_inverse=True, return_counts=True)
         shared = freq[column] > 1
         own, column = own[shared], column[shared]
-        overlap = np.zeros((len(ids), len(ids)), np.float32)
-        width = 4096
+        overlap = np.zeros((len(ids), len(ids)), np.int64)
+        width = 4096  # counts up to this are exact in single precision
         order = np.argsort(column, kind="stable")
         own, column = own[order], column[order]
         for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
@@ -250,7 +328,7 @@ def _block_links(units: DataFrame) -> DataFrame:
                 continue
             held = np.zeros((len(ids), width), np.float32)
             held[own[a:b], column[a:b] - lo] = 1
-            overlap += held @ held.T
+            overlap += (held @ held.T).astype(np.int64)
         linked = DENOMINATOR * overlap >= NUMERATOR * (n[:, None] + n[None, :] - overlap)
         linked &= comp[:, None] != comp[None, :]
         if half:  # only pairs between the two blocks; each block is compared with itself elsewhere
@@ -278,74 +356,120 @@ def _block_links(units: DataFrame) -> DataFrame:
                 get = lambda c: np.concatenate([x.field(c).to_numpy(zero_copy_only=False) for x in both])  # noqa: E731, B023
                 sets = [s.values.to_numpy() for x in both for s in x.field("tokens")]
                 half = len(both[0]) if len(both) == 2 else 0
-                found = links(get("class"), get("n").astype(np.float32), get("comp"), sets, half)
+                found = links(get("class"), get("n"), get("comp"), sets, half)
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return units.mapInArrow(run, "a long, b long")
+    return in_arrow(units, run, "a long, b long")
+
+
+def _one_text_each(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs with one row for each doc_id: of several the one that _best_rows chooses."""
+    again = scratch.write(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if not again.limit(1).count():
+        return docs
+    best = scratch.write(_best_rows(docs, again), "best")
+    return docs.join(broadcast_within(again, 4_000_000), "doc_id", "left_anti").select(*docs.columns).unionByName(best)
+
+
+def _best_rows(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """Of the rows of each listed doc_id the one whose text has most shingles; then the greatest text, then the last
+    row in an order of all columns."""
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, "text"):
+                n = pa.array([len(shingles(x)) for x in part.column("text").to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, n], names=["id", "text", "row", "size"])
+
+    own = docs.join(broadcast_within(again, 4_000_000), "doc_id", "left_semi")
+    rows = own.select(F.col("doc_id").cast("long").alias("id"), "text", F.struct(*docs.columns).alias("row"))
+    rows = in_arrow(rows, sized, StructType([*rows.schema.fields, StructField("size", LongType())]))
+    return rows.groupBy("id").agg(F.max_by("row", F.struct("size", "text", F.to_json("row"))).alias("row")).select("row.*")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each document: components of links of similarity 0.75 or more.
 
     A document's words are parted by ASCII white space, with A-Z lowered; its set holds its distinct shingles of
-    five words. Null and empty texts have no shingle and are linked with nothing. A repeated doc_id gives one row;
-    if its texts differ, the larger set counts. Rows without a doc_id cannot be named and are left out.
+    five words. Null and empty texts have no shingle and are linked with nothing. doc_id is an integer; a repeated one
+    gives one row, and if its texts differ, the largest set counts, of equally large ones the greatest text. Rows
+    without a doc_id cannot be named and are left out.
     """
+    require_integer(docs, "doc_id")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    shapes = written(_shapes(docs, _fragments(docs.count())), "shapes")
+    scratch = Scratch(docs.sparkSession)
+    docs = _one_text_each(docs, scratch)
+    shapes = scratch.write(_shapes(docs, _fragments(docs.count())), "shapes")
     # equal sets are one class, named by its smallest document; a document's own class if its set is empty
-    same = shapes.groupBy("n", "high", "low").agg(F.min("doc_id").alias("class"), F.min_by("prefix", "doc_id").alias("prefix"))
-    classes = written(same.where("n > 0"), "classes")
-    postings = written(classes.select("class", "n", F.explode("prefix").alias("token")), "postings")
-    stars = written(postings.groupBy("token").agg(F.min(F.struct("class", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1"), "stars")
+    classes, postings = _postings(shapes, scratch)
+    stars = scratch.write(postings.groupBy("token").agg(F.min(F.struct("class", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1"), "stars")
     spokes = stars.select("token", F.col("hub.class").alias("a"), F.col("hub.n").alias("na")).join(postings.withColumnsRenamed({"class": "b", "n": "nb"}), "token")
-    spokes = spokes.where("a <> b").select("a", "b", "na", "nb").distinct()
-    spokes = written(spokes, "spokes")
-    involved = written(spokes.select(F.col("a").alias("doc_id")).union(spokes.select("b")).distinct(), "involved")
-    segments = written(_segments(docs, involved), "segments")
+    spokes = scratch.write(spokes.where("a <> b").select("a", "b", "na", "nb").distinct(), "spokes")
+    involved = scratch.write(spokes.select(F.col("a").alias("doc_id")).union(spokes.select("b")).distinct(), "involved")
+    segments = scratch.write(_segments(docs, involved), "segments")
     close = spokes.where("4 * least(na, nb) >= 3 * greatest(na, nb)")
-    links = written(_stars(close, segments), "links")
-    comps = components(links)
-    more = _family_links(segments, involved, postings.join(stars.select("token"), "token"), comps)
-    roots = components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    links = scratch.write(_stars(close, segments), "links")
+    comps = components(links, scratch=scratch)
+    more = _family_links(segments, involved, postings.join(stars.select("token"), "token"), comps, scratch)
+    roots = components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), scratch=scratch)
     named = classes.select("n", "high", "low", "class").join(roots, F.col("class") == F.col("node"), "left").select("n", "high", "low", F.coalesce("root", "class").alias("component_id"))
-    named = written(named, "named")
-    found = shapes.select("doc_id", "n", "high", "low").join(named, ["n", "high", "low"], "left")
+    named = scratch.write(named, "named")
+    scratch.drop_others(shapes, named)
+    found = shapes.where("doc_id is not null").select("doc_id", "n", "high", "low").join(named, ["n", "high", "low"], "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _family_links(segments: DataFrame, involved: DataFrame, postings: DataFrame, comps: DataFrame) -> DataFrame:
-    """Links between components that share prefix shingles: all their pairs are compared, block against block."""
+def _family_links(segments: DataFrame, involved: DataFrame, postings: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links between components that share prefix shingles.
+
+    Only shingles that stand in several components are still open, and only their holders are compared. A family, the
+    components that open shingles tie together, is dealt into blocks, and two blocks meet if they hold the same open
+    shingle and documents of lengths that a link allows.
+    """
     members = involved.select(F.col("doc_id").alias("class")).join(comps.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("root", "class").alias("comp"))
-    members = written(members, "members")
-    held = written(postings.select("class", "token").join(members, "class").select("token", "comp").distinct(), "held")
-    hubs = held.groupBy("token").agg(F.min("comp").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    hubs = written(hubs.select("token", "a"), "hubs")
-    families = components(hubs.join(held.withColumnRenamed("comp", "b"), "token").where("a <> b").select("a", "b").distinct())
-    placed = written(members.join(families.select(F.col("node").alias("comp"), F.col("root").alias("family")), "comp"), "placed")
+    members = scratch.write(members, "members")
+    held = scratch.write(postings.join(members, "class").select("class", "n", "token", "comp"), "held")
+    tokens = held.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("most")).where("a < most")
+    tokens = scratch.write(tokens.select("token", "a"), "tokens")
+    held_open = scratch.write(held.join(tokens, "token"), "open")
+    scratch.drop(held, members)
+    families = components(held_open.where("a <> comp").select("a", F.col("comp").alias("b")).distinct(), scratch=scratch)
+    # a document stands with others that share its first open shingle
+    active = held_open.groupBy("class", "n", "comp").agg(F.min("token").alias("lead"))
+    placed = scratch.write(active.join(families.select(F.col("node").alias("comp"), F.col("root").alias("family")), "comp"), "placed")
     # blocks: a component of a block's size or more has its own; smaller ones of a family are mixed
-    sizes = placed.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("size"))
-    sizes = written(sizes.withColumn("pool", F.struct((F.col("size") >= BLOCK).alias("own"), F.when(F.col("size") >= BLOCK, F.col("comp")).otherwise(F.lit(0)).alias("comp"))), "sizes")
-    pools = written(sizes.groupBy("family", "pool").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("parts")), "pools")
-    blocked = placed.join(sizes.select("family", "comp", "pool"), ["family", "comp"]).join(pools, ["family", "pool"])
-    key = F.struct("family", "pool", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"))
-    blocked = blocked.select("class", "comp", key.alias("block"))
+    sizes = scratch.write(placed.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("size")).withColumn("own", F.when(F.col("size") >= BLOCK, F.col("comp"))), "sizes")
+    pools = scratch.write(sizes.groupBy("family", "own").agg(F.sum("size").alias("total")), "pools")
+    sized = sizes.join(pools.withColumnsRenamed({"family": "f", "own": "o"}), (F.col("family") == F.col("f")) & F.col("own").eqNullSafe(F.col("o"))).select("family", "comp", "own", F.ceil(F.col("total") / BLOCK).cast("int").alias("parts"))
+    rows = placed.join(sized, ["family", "comp"])
+    leads = scratch.write(rows.withColumn("pool", F.struct("family", "own", F.pmod(F.xxhash64("lead"), F.col("parts")).cast("int").alias("part"))), "leads")
+    many = leads.groupBy("pool").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("pieces"))
+    piece = F.pmod(F.xxhash64("class"), F.col("pieces")).cast("int")
+    blocked = leads.join(many, "pool").select("class", "n", "comp", F.struct("pool.family", "pool.own", "pool.part", piece.alias("piece")).alias("block"))
+    blocked = scratch.write(blocked, "blocked")
     whole = segments.groupBy("class", "n").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("frag", "tokens"))), lambda x: x["tokens"])).alias("tokens"))
-    full = blocked.join(whole, "class").groupBy("block").agg(F.collect_list(F.struct("class", "n", "comp", "tokens")).alias("rows"))
-    full = written(full, "blocks")
-    names = full.select("block", F.col("block.family").alias("family"))
-    pairs = names.select(F.col("block").alias("x"), "family").join(names.select(F.col("block").alias("y"), "family"), "family").where("x <= y and not (x.pool = y.pool and x.pool.own)").select("x", "y")
-    units = written(pairs, "units").join(full.select(F.col("block").alias("x"), F.col("rows").alias("first")), "x").join(full.select(F.col("block").alias("y"), F.col("rows").alias("other")), "y")
+    full = blocked.drop("n").join(whole, "class").groupBy("block").agg(F.collect_list(F.struct("class", "n", "comp", "tokens")).alias("rows"))
+    full = scratch.write(full, "blocks")
+    spread = blocked.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    shared = held_open.select("class", "token").join(blocked.select("class", "block"), "class").select("token", "block").distinct().join(spread, "block")
+    shared = scratch.write(shared, "shared")
+    x, y = (shared.select("token", F.struct("block", "low", "high").alias(c)) for c in "xy")
+    fits = (DENOMINATOR * F.col("x.high") >= NUMERATOR * F.col("y.low")) & (DENOMINATOR * F.col("y.high") >= NUMERATOR * F.col("x.low"))
+    apart = (F.col("x.block") <= F.col("y.block")) & ~F.coalesce(F.col("x.block.own") == F.col("y.block.own"), F.lit(False))
+    pairs = x.join(y, "token").where(apart & fits).select(F.col("x.block").alias("x"), F.col("y.block").alias("y")).distinct()
+    units = scratch.write(pairs, "units").join(full.select(F.col("block").alias("x"), F.col("rows").alias("first")), "x").join(full.select(F.col("block").alias("y"), F.col("rows").alias("other")), "y")
     units = units.select("first", F.when(F.col("x") != F.col("y"), F.col("other")).alias("second"))
-    return written(_block_links(units), "block-links")
+    return scratch.write(_block_links(units), "block-links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the smallest doc_id, all columns; rows without an id stay."""
+    """One document of each component, that with the smallest doc_id, all columns; rows without an id stay. Of the rows
+    of a repeated id that one stays whose text counts."""
+    scratch = Scratch(docs.sparkSession)
     found = jaccard_components(docs)
-    gone = written(found.where("doc_id <> component_id").select("doc_id"), "gone")
-    again = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    listed = broadcast_within(gone.unionByName(again), 4_000_000)
-    once = docs.join(listed, "doc_id", "left_anti")
-    repeated = docs.join(broadcast_within(again, 4_000_000), "doc_id", "left_semi").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return once.select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    gone = scratch.write(found.where("doc_id <> component_id").select("doc_id"), "gone")
+    again = scratch.write(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").cast("long").alias("doc_id")), "again")
+    once = docs.join(broadcast_within(gone.unionByName(again), 4_000_000), "doc_id", "left_anti").select(*docs.columns)
+    if not again.limit(1).count():
+        return once
+    return once.unionByName(_best_rows(docs, again).join(gone, "doc_id", "left_anti").select(*docs.columns))
