@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motionlake.llm.chunks import ChunkTable, blocks
+from motionlake.llm.common import in_arrow, require_integer
 
 BLOCK = 65_536
 #: parts: one entry for each document that has ids in the block: id, whether they begin or go on, how many.
@@ -127,7 +128,7 @@ def library_encoder(path: str, ordinary: bool = True) -> Callable[[list[str | No
 def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, kind: str = "byte", block: int = BLOCK, ordinary: bool = True) -> None:
     """Encode `text` of each document, append end_id, and write all ids in ascending doc_id order to `out`.
 
-    Null text counts as empty (end_id alone). Documents without an id come first; equal ids keep an order by
+    doc_id is an integer. Null text counts as empty (end_id alone). Documents without an id come first; equal ids keep an order by
     text. Spark deals the documents out by range, so shards are as even as the rows allow. `ordinary`: an added token's
     string in a text is ordinary text; else it becomes that token, the library's default.
     """
@@ -168,8 +169,9 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, kind: str
         if held:
             yield emit()
 
+    require_integer(docs, "doc_id")
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id")
-    dealt.sortWithinPartitions("doc_id", "text").mapInArrow(run, SCHEMA).write.parquet(out)
+    in_arrow(dealt.sortWithinPartitions("doc_id", "text"), run, SCHEMA).write.parquet(out)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -203,15 +205,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 names=["shard", "at", "doc_id", "begins", "n", "crc", "data"],
             )
 
-    parts = spark.read.parquet(path).mapInArrow(run, "shard int, at long, doc_id long, begins boolean, n int, crc long, data binary")
+    parts = in_arrow(spark.read.parquet(path), run, "shard int, at long, doc_id long, begins boolean, n int, crc long, data binary")
     # parts of one document: those after its beginning, within the shard, up to the next beginning
-    whole = parts.where("crc is not null").select("shard", F.col("at").alias("first"), "doc_id", F.col("n").cast("long").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
-    order = Window.partitionBy("shard").orderBy("at")
-    open_ = parts.where("crc is null").withColumn("first", F.last(F.when(F.col("begins"), F.col("at")), ignorenulls=True).over(order))
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("at", "data"))), lambda x: x["data"])
+    begin = F.last(F.when(F.col("begins"), F.col("at")), ignorenulls=True).over(Window.partitionBy("shard").orderBy("at"))
+    pieces = F.transform(F.array_sort(F.collect_list(F.when(F.col("data").isNotNull(), F.struct("at", "data")))), lambda x: x["data"])
     joined = F.aggregate(pieces, F.lit(b""), lambda a, b: F.concat(a, b))
-    spread = open_.groupBy("shard", "first").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.crc32(joined).alias("ids_crc32"))
+    whole = parts.withColumn("first", begin).groupBy("shard", "first").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.coalesce(F.max("crc"), F.crc32(joined)).alias("ids_crc32"))
     index = spark.read.parquet(path).groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shards = index.select("shard", before.alias("before"))
-    return whole.unionByName(spread).join(shards, "shard").select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+    return whole.join(shards, "shard").select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
