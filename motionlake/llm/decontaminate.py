@@ -50,7 +50,7 @@ def windows(items: DataFrame, size: int = 13) -> DataFrame:
 
 
 def find(docs: DataFrame, items: DataFrame, size: int = 13) -> DataFrame:
-    """For each document: doc_id, n_words, n_hit, n_items, items (sorted ids as text).
+    """For each document: doc_id, n_words, n_hit, n_items, items (sorted ids as text), print (a hash of its text).
 
     Hit words stand inside an occurrence of a window. Null and empty texts have no words; documents without an
     id are kept; rows that repeat both doc_id and text count once. An empty benchmark hits nothing.
@@ -97,6 +97,7 @@ def find(docs: DataFrame, items: DataFrame, size: int = 13) -> DataFrame:
             F.size(F.array_distinct(hit_words)).cast("long").alias("n_hit"),
             F.size("items").cast("long").alias("n_items"),
             "items",
+            "print",
         )
     )
 
@@ -107,7 +108,9 @@ def contaminated(found: DataFrame, share: int = 20) -> Column:
 
 
 def clean(docs: DataFrame, items: DataFrame, size: int = 13) -> DataFrame:
-    """The documents that are not contaminated, all columns. Documents without an id are kept."""
+    """The documents that are not contaminated, all columns. Each row is judged by its own text, with or without an id."""
     found = find(docs, items, size)
-    bad = found.where(contaminated(found)).select("doc_id").distinct()
-    return docs.join(broadcast_within(bad, 2_000_000), "doc_id", "left_anti").select(*docs.columns)
+    bad = written(found.where(contaminated(found)).select("doc_id", "print"), "contaminated")
+    bad = broadcast_within(bad, 2_000_000).select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"))
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_print"))
+    return docs.join(bad, same, "left_anti").select(*docs.columns)

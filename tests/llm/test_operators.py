@@ -53,6 +53,8 @@ def test_decontamination(spark):
     found = decontaminate.find(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
     got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in found.collect()}
     assert got == {i: brute_hits(t, items) for i, t in enumerate(texts)}
+    twice = spark.createDataFrame([(7, items[4][1], None), (7, "clean", None), (None, items[4][1], None), (None, None, None)], "doc_id long, text string, lang string")
+    assert sorted(((r.doc_id, r.text) for r in decontaminate.clean(twice, spark.createDataFrame(items, "item_id long, text string")).collect()), key=str) == [(7, "clean"), (None, None)]
     kept = {r.doc_id for r in decontaminate.clean(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert kept == {i for i, (n, h, _) in got.items() if not (h and 20 * h >= n)}
     assert decontaminate.find(docs(spark, texts).limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
@@ -234,6 +236,33 @@ def test_personal_data(spark):
     assert none.trees is None and pii.report(table.limit(0), none).count() == 0
 
 
+def test_wider_spans_in_long_texts():
+    """Keys and spelled-out data are found, in time that grows with the text."""
+    import time
+
+    rng = random.Random(4)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    card = lambda: next(c for c in (str(rng.randrange(10**15, 10**16)) for _ in range(10_000)) if pii.luhn(c))
+    seen = [case for i in range(400) for case in pii.cases(f'{prose(rng, 5)} token = "{key()}" {prose(rng, i % 7)} u{i}.v@mail{i % 9}.example.org 10.2.{i % 256}.7 {card()} ordinary-hyphenated-words-2 number {rng.randrange(10**15, 10**16)}')]
+    x, y = np.array([pii.features(*c[:4]) for c in seen]), np.array([c[4] for c in seen], float)
+    trees = Boosted().fit(x[::2], y[::2])
+    calibration, p = {}, trees.probability(x[1::2])
+    for kind in pii.ALL_KINDS:
+        own = np.array([c[3] == kind for c in seen[1::2]])
+        if own.any():
+            order = np.argsort(p[own], kind="stable")
+            calibration[kind] = quality.isotonic(p[own][order], y[1::2][own][order], np.ones(len(order)))
+    detector = pii.Detector(trees, calibration, 0.95)
+    planted = [f'{prose(rng, 6)} token = "{key()}" {prose(rng, 4)}' for _ in range(100)] + [f"{prose(rng, 6)} {':'.join(f'{rng.randrange(1, 65536):x}' for _ in range(8))} {prose(rng, 4)}" for _ in range(100)]
+    assert np.mean([len(detector.spans(t)[1]) == 1 for t in planted]) >= 0.9
+    clean = [prose(rng, 30) for _ in range(50)] + ["the-quick-brown-fox-jumps-2-times", "12:30:45:12:30:45:12:30"]
+    assert not any(detector.spans(t)[1] for t in clean)
+    began = time.time()
+    for text in ("4111 1111 1111 1111 4111.1111.1111.1112 " * 25_000, "a@b.co x (at) y.org " * 50_000, "A1" * 500_000, "x" * 1_000_000, f'token = "{key()}" ' * 20_000):
+        detector.spans(text)
+    assert time.time() - began < 90
+
+
 def test_boosting_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 3))
@@ -401,6 +430,36 @@ def test_jaccard_components(spark):
     assert near_duplicates.jaccard_components(docs(spark, ["one two three four five six", "completely different words stand here today"])).count() == 2
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3])
+def test_repeated_ids_count_once(spark, parts):
+    rows = [(1, "z", None), (1, "a b c d e f g h i", 5), (1, "a b c d e f g h i", 6), (2, "a b c d e f g h i j", None), (3, "other words stand here now", 1), (3, None, 2), (None, "z", 3)]
+    table = spark.createDataFrame(rows, "doc_id int, text string, n_chars long").repartition(parts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.jaccard_components(table).collect()}
+    assert got == {1: (5, 1), 2: (6, 1), 3: (1, 3)}
+    kept = sorted((tuple(r) for r in near_duplicates.keep_one(table).collect()), key=str)
+    assert kept == [(1, "a b c d e f g h i", 6), (3, "other words stand here now", 1), (None, "z", 3)]
+
+
+def test_frequent_shingles_and_percolating_families(spark):
+    """All documents hold one passage, most of which are little else, so that prefixes reach frequent shingles."""
+    rng = random.Random(11)
+    passage = prose(rng, 25, 10_000)
+    texts = [f"{passage} {prose(rng, rng.randint(1, 12), 60)}" for _ in range(90)]
+    chain = prose(rng, 400, 10_000).split()  # each shares half with its neighbours: a family without a link
+    texts += [" ".join(chain[i : i + 24]) for i in range(0, 376, 12)]
+    texts += [" ".join(chain[i : i + 24] + ["tail"] * (i % 3)) for i in range(0, 376, 12)]
+    rng.shuffle(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.jaccard_components(docs(spark, texts).repartition(3)).collect()}
+    assert got == dict(enumerate(brute_components(texts)))
+
+
+def test_components_of_a_hot_node(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "HOT_DEGREE", 20)
+    edges = [(900, i) for i in range(100, 160)] + [(i, i + 500) for i in range(100, 160)] + [(7, 659), (1, 2)]
+    got = {r.node: r.root for r in near_duplicates.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys([900, *range(100, 160), *range(600, 660), 7], 7) | {1: 1, 2: 1}
+
+
 def test_components_of_a_chain(spark):
     rng = random.Random(1)
     order = list(range(60))
