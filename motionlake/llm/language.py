@@ -13,20 +13,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motionlake.llm.chunks import blocks
-from motionlake.llm.common import bounded_sample, in_arrow
+from motionlake.llm.common import in_arrow
 
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 #: Buckets of hashed features.
 BUCKETS = 2**17
 _POWERS = np.cumprod(np.full(512, 0x01000193, np.uint32), dtype=np.uint32)
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters, lowered. Fractions, superscripts and number signs are no letters."""
+    if not text:
+        return []
+    text = text.lower()
+    words = _WORD.findall(text)
+    if text.isascii() or all(map(str.isalpha, words)):
+        return words
+    return [x for w in words for x in ((w,) if w.isalpha() else _LETTERS.findall(w))]
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -77,13 +86,20 @@ class Field:
 
 
 def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Forward-backward over many texts at once: label probabilities of each word, in the order of `scores`.
+    """Label probabilities of each word, in the order of `scores`."""
+    return expectations(scores, lengths, moves)[0]
+
+
+def expectations(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over many texts at once: label probabilities of each word, in the order of `scores`, and, if
+    asked for, how often each label is expected to follow each other one, over all neighbouring words.
 
     Texts run side by side, longest first, so that each step has the texts that are that long.
     """
     n, k = scores.shape
+    follow = np.zeros((k, k))
     if not n:
-        return scores
+        return scores, follow
     order = np.argsort(-lengths, kind="stable")
     starts = np.concatenate([[0], np.cumsum(lengths)])[:-1][order]
     sizes = lengths[order]
@@ -107,11 +123,26 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.
             c = begin[t + 2] - b
             g = (back[:c] * local[b : b + c]) @ move.T
             back[:c] = g / g.sum(1, keepdims=True)
+        if pairs and t:  # forward holds what comes before only, up to this step
+            both = forward[begin[t - 1] : begin[t - 1] + b - a, :, None] * move[None] * (local[a:b] * back[: b - a])[:, None, :]
+            follow += (both / both.sum((1, 2), keepdims=True)).sum(0)
         forward[a:b] *= back[: b - a]
     forward /= forward.sum(1, keepdims=True)
     out = np.empty((n, k))
     out[index] = forward
-    return out
+    return out, follow
+
+
+def gradients(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the negative log likelihood of the labels `gold`, by each word's scores and by the moves."""
+    wrong, follow = expectations(scores, lengths, moves, pairs=True)
+    wrong = wrong.copy()
+    wrong[np.arange(len(gold)), gold] -= 1
+    inner = np.ones(len(gold), bool)
+    inner[(np.cumsum(lengths) - lengths)[lengths > 0]] = False  # a text's first word follows none
+    inner = np.flatnonzero(inner)
+    np.add.at(follow, (gold[inner - 1], gold[inner]), -1.0)
+    return wrong, follow
 
 
 def _fit(texts: list[list[str]], langs: list[str], rounds: int, seed: int) -> Field:
@@ -145,33 +176,35 @@ def _fit(texts: list[list[str]], langs: list[str], rounds: int, seed: int) -> Fi
             flat = np.repeat(starts[used] - (np.cumsum(some) - some), some) + np.arange(some.sum())
             own = buckets[flat]
             scores = np.add.reduceat(weights[own], np.cumsum(some) - some) / np.sqrt(some)[:, None]
-            p = marginals(scores[inverse], lengths, moves)
-            wrong = p.copy()
-            wrong[np.arange(len(gold)), gold] -= 1
+            wrong, pairs = gradients(scores[inverse], lengths, moves, gold)
             word_grad = np.stack([np.bincount(inverse, wrong[:, c], len(used)) for c in range(k)], 1) / np.sqrt(some)[:, None]
             spread = np.repeat(word_grad, some, axis=0)
             grad = np.stack([np.bincount(own, spread[:, c], BUCKETS) for c in range(k)], 1) / len(lengths)
             past_w += grad**2
             weights -= 0.5 * grad / np.sqrt(past_w)
-            inner = np.ones(len(ids), bool)
-            inner[np.cumsum(lengths) - lengths] = False
-            inner = np.flatnonzero(inner)
-            pairs = np.zeros((k, k))
-            np.add.at(pairs, (gold[inner - 1], gold[inner]), -1.0)
-            move = np.exp(moves)
-            both = p[inner - 1][:, :, None] * move[None] * p[inner][:, None, :]  # pair probabilities from the margins
-            pairs += (both / both.sum((1, 2), keepdims=True)).sum(0)
             pairs = pairs / len(lengths)
             past_m += pairs**2
             moves = np.clip(moves - 0.2 * pairs / np.sqrt(past_m), -4, 4)
     return Field(labels, weights.astype(np.float32), moves)
 
 
-def train(docs: DataFrame, learn: Column | None = None, sample_rows: int = 800, rounds: int = 3, seed: int = 3) -> Field | None:
-    """Fit on whole texts of at most `sample_rows` documents with a language for which `learn` holds; None if there is none."""
-    known = docs.where("lang is not null and text is not null")
-    known = known.where(learn) if learn is not None else known
-    rows = bounded_sample(known.select("doc_id", "text", "lang"), "doc_id", sample_rows).collect()
+def train(docs: DataFrame, learn: Column | None = None, sample_rows: int = 800, most_chars: int = 50_000, rounds: int = 3, seed: int = 3) -> Field | None:
+    """Fit on whole texts of documents with a language for which `learn` holds; None if there is none.
+
+    The sample is bounded: at most `sample_rows` documents, of each language about as many as of any other (all it has,
+    if fewer), none longer than `most_chars`; so at most their product reaches the driver. A document is chosen by a
+    hash of its id.
+    """
+    known = docs.where(F.col("lang").isNotNull() & (F.length("text") <= most_chars))
+    known = (known.where(learn) if learn is not None else known).select("doc_id", "text", "lang")
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample_rows).collect()  # one row a language
+    if not sizes:
+        return None
+    each = -(-sample_rows // len(sizes))
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r.lang, min(1.0, 1.2 * each / r["count"]))))
+    h = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1_000_000)) / 1_000_000
+    place = h / F.try_element_at(share, F.col("lang"))  # from 0 to 1 in each language
+    rows = known.where(place < 1).orderBy(place, "doc_id", "text").limit(sample_rows).collect()
     rows = [(t, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id)) if (t := words_of(r.text))]
     return _fit([r[0] for r in rows], [r[1] for r in rows], rounds, seed) if rows else None
 
@@ -202,8 +235,8 @@ class Labeller:
                     fresh.append(w)
             codes.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
             lengths.append(len(words))
-        for at in range(0, len(fresh), 50_000):
-            self.table = np.concatenate([self.table, self.field.emissions(fresh[at : at + 50_000])])
+        parts = [self.field.emissions(fresh[at : at + 50_000]) for at in range(0, len(fresh), 50_000)]
+        self.table = np.concatenate([self.table, *parts])
         assert len(self.table) == known + len(fresh)
         flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
         return marginals(self.table[flat], np.array(lengths, np.int64), self.field.moves), np.array(lengths, np.int64)
@@ -220,7 +253,8 @@ class Labeller:
 
 
 def predict(docs: DataFrame, field: Field | None) -> DataFrame:
-    """doc_id, lang_pred, score of each row. Without a field every language is `und`."""
+    """doc_id, lang_pred, score of each row, repeated ones included. A null text or one without letters is `und` with
+    score 0, and so is every text without a field."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(field) if field else None
