@@ -1,9 +1,11 @@
 """Exact top-k by inner product: a dual-tree search over cover trees.
 
-Queries and candidates are dealt out in blocks. A task indexes one block of each by a cover tree (every node
-covers its points within a radius, and radii halve from level to level) and descends both together: a pair of
-nodes is dropped when no point below can beat the worst k-th score in the query group. Scores are integers, so
-results are exact; bounds are loosened by more than floating point can err.
+Candidates are dealt to the nearest of a bounded number of pivots, and so are queries. Of every query group and
+pivot only centre and radius are needed to bound all their inner products. Each group first searches the candidates of
+its most promising pivot; the worst k-th score found there prunes the pivots that it has to meet at all, and goes
+along as the score to beat. Where a group and the candidates of a pivot do meet, a task indexes both by a cover tree and
+descends both together: a pair of nodes is dropped when no point below can beat the worst k-th score of the query
+group. Scores are integers, so results are exact; bounds are loosened by more than floating point can err.
 """
 
 from __future__ import annotations
@@ -15,61 +17,92 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motionlake.llm.common import in_arrow
+from motionlake.llm.common import Scratch, in_arrow, require_integer
 
 #: Points of a leaf: few enough to prune, enough for one matrix product.
 LEAF = 128
+#: Hubs of a level at most.
+HUBS = 64
+_LOWEST = np.iinfo(np.int64).min
 
 
 class Node:
-    __slots__ = ("children", "far", "hub", "points", "worst")
+    """A hub (one of its points), how far its points lie from it, and its points or children. Children's hubs stand at
+    least `cover` apart, and every point lies within `cover` of its child's hub."""
 
-    def __init__(self, hub: np.ndarray, far: float, points: np.ndarray, children: list[Node]):
-        self.hub, self.far, self.points, self.children = hub, far, points, children
+    __slots__ = ("children", "cover", "far", "hub", "norm", "points", "worst")
+
+    def __init__(self, hub: np.ndarray, far: float, points: np.ndarray):
+        self.hub, self.far, self.points = hub, far, points
+        self.norm = float(np.linalg.norm(hub))
+        self.children: list[Node] = []
+        self.cover = 0.0
         self.worst = -np.inf  # of a query group: the least k-th score
 
 
-def cover_tree(x: np.ndarray, rows: np.ndarray | None = None, radius: float | None = None) -> Node:
-    """Hubs of a level stand farther apart than its radius, and each point goes to the hub nearest to it."""
-    rows = np.arange(len(x)) if rows is None else rows
-    hub = x[rows].mean(0)
-    away = np.sqrt(((x[rows] - hub) ** 2).sum(1))
-    far = float(away.max()) if len(rows) else 0.0
-    if len(rows) <= LEAF or far == 0.0:
-        return Node(hub, far, rows, [])
-    radius = min(far, radius if radius is not None else far) / 2
-    while True:
-        left, hubs = np.full(len(rows), np.inf), []
-        owner = np.zeros(len(rows), int)
-        pick = int(away.argmax())
-        while left[pick] > radius and len(hubs) < 64:  # farthest first; beyond 64 hubs the rest joins the nearest
-            d = np.sqrt(((x[rows] - x[rows[pick]]) ** 2).sum(1))
-            owner[d < left] = len(hubs)
-            left = np.minimum(left, d)
+def _away(x: np.ndarray, rows: np.ndarray, hub: int) -> np.ndarray:
+    return np.sqrt(((x[rows] - x[hub]) ** 2).sum(1))
+
+
+def cover_tree(x: np.ndarray) -> Node:
+    """Hubs of a level are chosen farthest first, HUBS at most, until all points lie within half of the level above; the
+    distance of the next hub that would be chosen both separates and covers. Equal points make a leaf."""
+    rows = np.arange(len(x))
+    if not len(x):
+        return Node(np.zeros(x.shape[1]), 0.0, rows)
+    away = _away(x, rows, 0)
+    root = Node(x[0], float(away.max()), rows)
+    todo = [(root, 0, away)]
+    while todo:
+        node, hub, left = todo.pop()
+        rows = node.points
+        if len(rows) <= LEAF or node.far == 0.0:
+            continue
+        hubs, owner, distances = [hub], np.zeros(len(rows), int), left.copy()
+        while len(hubs) < HUBS and distances.max() > node.far / 2:
+            pick = int(rows[distances.argmax()])
+            d = _away(x, rows, pick)
+            owner[d < distances] = len(hubs)
+            distances = np.minimum(distances, d)
             hubs.append(pick)
-            pick = int(left.argmax())
-        if len(hubs) > 1:
-            break
-        radius /= 2
-    return Node(hub, far, rows, [cover_tree(x, rows[owner == h], radius) for h in range(len(hubs)) if (owner == h).any()])
+        node.cover = float(distances.max())
+        for h, pick in enumerate(hubs):
+            own = owner == h
+            child = Node(x[pick], float(distances[own].max()), rows[own])
+            node.children.append(child)
+            todo.append((child, pick, distances[own]))
+    return root
+
 
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of integer rows in 64 bits; larger ones are the largest such number of their sign."""
+    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    if most < 2**53:  # exact in doubles
+        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    if most < 2**62:
+        return a @ b.T
+    wide = a.astype(object) @ b.astype(object).T
+    return np.clip(wide, _LOWEST + 1, np.iinfo(np.int64).max).astype(np.int64)
 
-def search(q: np.ndarray, q_ids: np.ndarray, r: np.ndarray, r_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers of q and r and scores: for each query its k best rows of r but the one of the same id."""
+
+def search(q: np.ndarray, q_ids: np.ndarray, r: np.ndarray, r_ids: np.ndarray, k: int, beat: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers of q, ids of r and scores: for each query its k best rows of r but the one of the same id. `beat`:
+    scores that are known to be reached k times elsewhere, so that lower ones don't matter."""
     qf, rf = q.astype(np.float64), r.astype(np.float64)
-    # products of doubles are exact below 2^53; larger vectors are multiplied as integers
-    exact = len(q) and len(r) and float(np.abs(qf).max()) * float(np.abs(rf).max()) * q.shape[1] < 2**53
-    qi, ri = (qf, rf) if exact else (q.astype(np.int64), r.astype(np.int64))
-    lowest = np.iinfo(np.int64).min
-    best = np.full((len(q), k), lowest)
+    fine = len(q) and len(r) and float(np.abs(qf).max()) * float(np.abs(rf).max()) * q.shape[1] < 2**53
+    qi, ri = (qf, rf) if fine else (q, r)
+    best = np.full((len(q), k), _LOWEST)
     who = np.full((len(q), k), -1)
+    floor = np.full(len(q), _LOWEST) if beat is None else beat
     r_known = np.append(r_ids, np.iinfo(np.int64).max)  # the id of nobody comes last
-    q_root, r_root = cover_tree(qf), cover_tree(rf)
+
+    def worst(a: Node) -> float:
+        return float(np.maximum(best[a.points, -1], floor[a.points]).min())
 
     def leaf(a: Node, b: Node) -> None:
-        scores = (qi[a.points] @ ri[b.points].T).astype(np.int64)
-        scores[q_ids[a.points][:, None] == r_ids[b.points][None, :]] = lowest
-        hit = scores >= best[a.points, -1:]
+        scores = (qi[a.points] @ ri[b.points].T).astype(np.int64) if fine else _products(q[a.points], r[b.points])
+        scores[q_ids[a.points][:, None] == r_ids[b.points][None, :]] = _LOWEST
+        hit = scores >= np.maximum(best[a.points, -1], floor[a.points])[:, None]
         rows = np.flatnonzero(hit.any(1))
         if len(rows):
             columns = np.flatnonzero(hit.any(0))
@@ -79,73 +112,165 @@ def search(q: np.ndarray, q_ids: np.ndarray, r: np.ndarray, r_ids: np.ndarray, k
             order = np.lexsort((r_known[all_w], ~all_s))[:, :k]  # ~: highest first, without overflow; then the smaller id
             best[own] = np.take_along_axis(all_s, order, 1)
             who[own] = np.take_along_axis(all_w, order, 1)
-        a.worst = float(best[a.points, -1].min())
-
-    def bound(a: Node, b: Node) -> float:
-        top = float(a.hub @ b.hub) + np.linalg.norm(a.hub) * b.far + np.linalg.norm(b.hub) * a.far + a.far * b.far
-        return top + 1e-6 * abs(top) + 1.0
+        a.worst = worst(a)
 
     def descend(a: Node, b: Node) -> None:
-        if bound(a, b) < a.worst:
+        if bound(a.hub @ b.hub, a.norm, a.far, b.norm, b.far) < a.worst:
             return
         if not a.children and not b.children:
             leaf(a, b)
-            return
-        if a.children and (not b.children or a.far >= b.far):
+        elif a.children and (not b.children or a.far >= b.far):
             for c in a.children:
                 c.worst = max(c.worst, a.worst)
                 descend(c, b)
             a.worst = max(a.worst, min(c.worst for c in a.children))
         else:  # most promising first
-            for c in sorted(b.children, key=lambda c: -bound(a, c)):
+            for c in sorted(b.children, key=lambda c: -bound(a.hub @ c.hub, a.norm, a.far, c.norm, c.far)):
                 descend(a, c)
 
     if len(q) and len(r):
+        q_root, r_root = cover_tree(qf), cover_tree(rf)
+        q_root.worst = worst(q_root)
         descend(q_root, r_root)
-    rows, at = np.nonzero((who >= 0) & (best > lowest))
-    return rows, who[rows, at], best[rows, at]
+    rows, at = np.nonzero((who >= 0) & (best > _LOWEST) & (best >= floor[:, None]))
+    return rows, r_ids[who[rows, at]], best[rows, at]
+
+
+def bound(product: np.ndarray, a_norm: np.ndarray, a_far: np.ndarray, b_norm: np.ndarray, b_far: np.ndarray) -> np.ndarray:
+    """No inner product of a point within a_far of one centre and one within b_far of the other is larger."""
+    top = product + a_norm * b_far + b_norm * a_far + a_far * b_far
+    return top + 1e-6 * (np.abs(product) + a_norm * b_norm + np.abs(top)) + 1.0
 
 
 def integers(vectors: DataFrame, scale: int = 1024, column: str = "embedding") -> DataFrame:
-    """vec_id and v, floor(scale * component) of each vector; null vectors and such with null or non-finite parts go."""
+    """vec_id and v, floor(scale * component) of each vector; null vectors and such with null or non-finite parts go.
+    Components beyond 64 bits become the largest such number of their sign."""
     parts = F.transform(F.col(column), lambda x: x.cast("double"))
     fine = F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col(column).isNotNull()).where(fine)
     return rows.select("vec_id", F.transform(parts, lambda x: F.floor(x * scale)).alias("v"))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, block: int = 4096, query_block: int = 1024) -> DataFrame:
+def _rows(batch: pa.RecordBatch, i: int, ids: str, vectors: str) -> tuple[np.ndarray, np.ndarray]:
+    known = batch.column(ids)[i].values.to_numpy()
+    x = batch.column(vectors)[i].values.flatten().to_numpy().reshape(len(known), -1)
+    return known, x if x.shape[1] else np.zeros((len(known), 1), np.int64)
+
+
+def _placed(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """vectors with pivot, the number of the nearest one, and away, how far it is."""
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("v")
+            size = np.diff(column.offsets.to_numpy())
+            flat = column.flatten().to_numpy().astype(np.float64)
+            start = np.cumsum(size) - size
+            pivot, away = np.zeros(len(size), np.int32), np.zeros(len(size))
+            for d in np.unique(size):
+                own = np.flatnonzero(size == d)
+                x = flat[start[own][:, None] + np.arange(d)]
+                p = pivots[int(d)].astype(np.float64)
+                for lo in range(0, len(own), 4096):
+                    some = x[lo : lo + 4096]
+                    pick = ((p**2).sum(1)[None, :] - 2 * some @ p.T).argmin(1)
+                    pivot[own[lo : lo + 4096]] = pick
+                    away[own[lo : lo + 4096]] = np.sqrt(((some - p[pick]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot), pa.array(away)], names=[*batch.schema.names, "pivot", "away"])
+
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "v", "d", "is_query")
+    return in_arrow(rows, nearest, "vec_id long, v array<long>, d int, is_query boolean, pivot int, away double")
+
+
+def _blocks(placed: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """d, pivot, piece, ids, vs: the vectors of a pivot, dealt into blocks of about so many."""
+    parts = placed.join(F.broadcast(sizes.select("d", "pivot", F.ceil(F.col("n") / block).cast("int").alias("pieces"))), ["d", "pivot"])  # a row a pivot
+    piece = F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int").alias("piece")
+    return parts.groupBy("d", "pivot", piece).agg(F.collect_list("vec_id").alias("ids"), F.collect_list("v").alias("vs"))
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, block: int = 4096, query_block: int = 1024, most_pivots: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row its k best other rows; ties go to the smaller id.
 
-    vectors: vec_id and v, an array of integers. Only vectors of one length are compared. Repeated ids count once.
+    vectors: vec_id (an integer) and v, an array of integers. Only vectors of one length are compared. A repeated id
+    counts once, with its greatest vector. Without rows or queries the result is empty. Scores beyond 64 bits count as
+    the largest such number of their sign. At most `most_pivots` vectors of each length, chosen by a hash of the id,
+    are pivots; they, their radii and counts are all that passes the driver.
     """
-    vectors = vectors.dropDuplicates(["vec_id"]).withColumn("d", F.size("v"))
-    rows = vectors.count()
-
-    def dealt(df: DataFrame, size: int, of: int) -> DataFrame:
-        parts = max(1, -(-of // size))
-        packed = df.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-        return packed.groupBy("d", "part").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("v").alias("vs"))
-
-    candidates = dealt(vectors, block, rows).withColumnsRenamed({"part": "r_part", "ids": "r_ids", "vs": "r_vs"})
-    queries = vectors.where(is_query)
-    asked = dealt(queries, query_block, queries.count()).withColumnsRenamed({"ids": "q_ids", "vs": "q_vs"})
-    # every block of queries meets every block of candidates
-    asked = asked.withColumn("r_part", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-rows // block)) - 1))))
-    met = asked.join(candidates, ["d", "r_part"]).select("d", "q_ids", "q_vs", "r_ids", "r_vs")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                get = lambda c: batch.column(c)[i].values  # noqa: E731, B023
-                q_ids, r_ids = get("q_ids").to_numpy(), get("r_ids").to_numpy()
-                q = get("q_vs").flatten().to_numpy().reshape(len(q_ids), -1)
-                r = get("r_vs").flatten().to_numpy().reshape(len(r_ids), -1)
-                if not q.shape[1]:
-                    q, r = np.zeros((len(q_ids), 1), np.int64), np.zeros((len(r_ids), 1), np.int64)
-                a, b, s = search(q, q_ids, r, r_ids, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a], pa.int64()), pa.array(r_ids[b], pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
-
-    found = in_arrow(met, run, "query_id long, vec_id long, score long")
+    require_integer(vectors, "vec_id")
+    spark = vectors.sparkSession
+    scratch = Scratch(spark)
+    vectors = scratch.write(vectors.groupBy("vec_id").agg(F.max("v").alias("v")).withColumns({"d": F.size("v"), "is_query": F.coalesce(is_query, F.lit(False))}), "vectors")
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    lengths = vectors.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("asked")).collect()  # a row for each length of vectors
+    pivots: dict[int, np.ndarray] = {}
+    for length in lengths:
+        count = min(most_pivots, max(1, length.n // block), length.n)
+        order = F.xxhash64("vec_id", F.lit("pivot"))
+        some = vectors.where(F.col("d") == length.d).orderBy(order, "vec_id").limit(count).select("v").collect()
+        pivots[length.d] = np.array([r.v for r in some], np.int64).reshape(count, length.d)
+    if not any(length.asked for length in lengths):
+        return empty
+
+    placed = scratch.write(_placed(vectors.where(F.col("d").isin([x.d for x in lengths if x.asked])), pivots), "placed")
+    scratch.drop(vectors)
+    facts = placed.groupBy("d", "pivot").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("far"), F.count_if("is_query").alias("asked"))
+    known = facts.collect()  # a row a pivot
+    sizes = spark.createDataFrame(known, facts.schema)
+    candidates = scratch.write(_blocks(placed, sizes, block), "candidates")
+    asked = placed.where("is_query")
+    queries = scratch.write(_blocks(asked, sizes.withColumn("n", F.col("asked")).where("n > 0"), query_block).withColumnsRenamed({"ids": "q_ids", "vs": "q_vs", "pivot": "q_pivot", "piece": "q_piece"}), "queries")
+    scratch.drop(placed)
+    centres = {d: np.array([r.pivot for r in known if r.d == d]) for d in {r.d for r in known}}
+    radii = {d: np.array([r.far for r in known if r.d == d]) for d in centres}
+    pieces = {d: np.array([-(-r.n // block) for r in known if r.d == d]) for d in centres}
+
+    def bounds(d: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each pivot with candidates: an upper bound of all scores of the group, and the product of the centres."""
+        p = pivots[d][centres[d]].astype(np.float64)
+        centre = q.mean(0)
+        far = np.sqrt(((q - centre) ** 2).sum(1)).max()
+        product = p @ centre
+        return bound(product, np.linalg.norm(centre), far, np.linalg.norm(p, axis=1), radii[d]), product
+
+    key = ["d", "q_pivot", "q_piece"]
+    target = "d int, q_pivot int, q_piece int, pivot int, piece int, q_ids array<long>, q_vs array<array<long>>, beat array<long>"
+
+    def routed(seeding: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    ids, q = _rows(batch, i, "q_ids", "q_vs")
+                    d = batch.column("d")[i].as_py()
+                    top, product = bounds(d, q.astype(np.float64))
+                    seed = int(product.argmax())
+                    beat = np.full(len(ids), _LOWEST) if seeding else batch.column("beat")[i].values.to_numpy()
+                    to = [(seed, 0)] if seeding else [(j, piece) for j in np.flatnonzero(top >= beat.min()).tolist() for piece in range(pieces[d][j]) if (j, piece) != (seed, 0)]
+                    one = batch.slice(i, 1)
+                    for j, piece in to:
+                        columns = [*(one.column(c) for c in key), pa.array([centres[d][j]], pa.int32()), pa.array([piece], pa.int32()), one.column("q_ids"), one.column("q_vs"), pa.array([beat], pa.list_(pa.int64()))]
+                        yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in target.split(", ")])
+
+        return run
+
+    def met(routes: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    (q_ids, q), (r_ids, r) = _rows(batch, i, "q_ids", "q_vs"), _rows(batch, i, "ids", "vs")
+                    rows, found, scores = search(q, q_ids, r, r_ids, k, batch.column("beat")[i].values.to_numpy())
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows], pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "vec_id", "score"])
+
+        return in_arrow(routes.join(candidates, ["d", "pivot", "piece"]), run, "query_id long, vec_id long, score long")
+
+    first = scratch.write(met(in_arrow(queries, routed(True), target)), "seeds")
+    kth = first.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))  # k rows a query at most
+    kth = kth.select("query_id", F.when(F.size("s") >= k, F.get("s", F.lit(k - 1))).otherwise(F.lit(_LOWEST)).alias("kth"))
+    beaten = queries.select(*key, F.posexplode("q_ids").alias("at", "query_id")).join(kth, "query_id", "left").groupBy(*key)
+    beaten = beaten.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("kth", F.lit(_LOWEST)).alias("kth")))), lambda x: x["kth"]).alias("beat"))
+    found = first.unionByName(met(in_arrow(queries.join(beaten, key), routed(False), target)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = scratch.write(ranked, "top")
+    scratch.drop_others(ranked)
+    return ranked
