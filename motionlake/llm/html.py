@@ -17,20 +17,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from motionlake.llm.chunks import blocks as text_blocks
 from motionlake.llm.common import bounded_sample, in_arrow
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: What follows the name of a tag, quotes closed, and the same where a quote of the page never closes.
+_REST = re.compile(r"([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>")
+_NAME = re.compile(r"(/?)([A-Za-z][A-Za-z0-9:-]*)")
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 #: Fixed values of HTML: elements without content, with raw content, and such as begin a new block of text.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select option".split())
+_RAW = frozenset("script style noscript template textarea title svg iframe object canvas select option".split())
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hr html label legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Opening block tags and the open elements that they end.
+_CLOSES = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")} | dict.fromkeys(
+    "p div article section ul ol table h1 h2 h3 h4 h5 h6 nav footer aside header form blockquote pre".split(), ("p",)
+)
 _BAD_ELEMENTS = frozenset("nav footer aside form menu dialog button label fieldset legend".split())
 #: Words in class, id and role that mark boilerplate, and such as mark content.
 _BAD_WORDS = frozenset(
@@ -77,23 +84,122 @@ class _Element:
         self.link = tag == "a" or (up.link if up else False)
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """(kind, name, rest, end) of each piece of a page in order: text, open, close; end is where it ends.
+
+    Each character is looked at a bounded number of times: where a search for a closing mark has failed once, it
+    would fail again for every later one, and is not repeated. The caller may send a place to go on from.
+    """
+    at, quotes, data = 0, True, True
+    while at < len(page):
+        start = page.find("<", at)
+        if start < 0:
+            yield "text", "", page[at:], len(page)
+            return
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            end = len(page) if end < 0 else end + 3
+            kind, name, rest = "skip", "", ""
+        elif data and page.startswith("<![CDATA[", start) and (end := page.find("]]>", start + 9)) >= 0:
+            kind, name, rest, end = "data", "", page[start + 9 : end], end + 3
+        elif page.startswith(("<!", "<?"), start):
+            data = data and not page.startswith("<![CDATA[", start)
+            end = page.find(">", start)
+            end = len(page) if end < 0 else end + 1
+            kind, name, rest = "skip", "", ""
+        elif m := _NAME.match(page, start + 1):
+            whole = _REST.match(page, m.end()) if quotes else None
+            if whole:
+                rest, end = whole[1], whole.end()
+            else:
+                quotes, end = False, page.find(">", m.end())
+                if end < 0:  # no tag ends any more
+                    yield "text", "", page[at:], len(page)
+                    return
+                rest, end = page[m.end() : end], end + 1
+            kind, name = ("close" if m[1] else "open"), m[2].lower()
+        else:  # a lone mark
+            yield "text", "", page[at : start + 1], start + 1
+            at = start + 1
+            continue
+        if start > at:
+            yield "text", "", page[at:start], start
+        at = (yield kind, name, rest, end) or end
+
+
+class _Stack:
+    """Open elements. Blocks are found without passing the inline elements above them, and inline elements are only
+    looked for where one is open, so that each is passed once, when it is closed."""
+
+    def __init__(self) -> None:
+        self.all = [_Element("html", 0, None, "")]
+        self.at = [0]  # where the blocks stand
+        self.counts: dict[str, int] = {}  # open blocks by tag
+        self.inline: list[dict[str, int]] = [{}]  # open inline elements above each block, by tag
+
+    def top(self) -> _Element:
+        return self.all[-1]
+
+    def block(self) -> _Element:
+        return self.all[self.at[-1]]
+
+    def push(self, e: _Element) -> None:
+        self.all.append(e)
+        if e.tag in _BLOCK:
+            self.at.append(len(self.all) - 1)
+            self.counts[e.tag] = self.counts.get(e.tag, 0) + 1
+            self.inline.append({})
+        else:
+            self.inline[-1][e.tag] = self.inline[-1].get(e.tag, 0) + 1
+
+    def pop_block(self) -> str:
+        """Close the innermost block and all that is in it."""
+        tag = self.block().tag
+        del self.all[self.at.pop() :]
+        self.inline.pop()
+        self.counts[tag] -= 1
+        return tag
+
+    def close(self, tag: str) -> None:
+        """A closing inline tag never closes a block around it; a stray one closes nothing."""
+        if tag in _BLOCK:
+            if self.counts.get(tag):
+                while self.pop_block() != tag:
+                    pass
+        elif self.inline[-1].get(tag):
+            while (gone := self.all.pop().tag) != tag:
+                self.inline[-1][gone] -= 1
+            self.inline[-1][tag] -= 1
+
+    def make_room(self, tag: str) -> None:
+        """Close what an opening block tag ends: a paragraph, list item, cell or row before it."""
+        closes = _CLOSES.get(tag, ())
+        while closes and len(self.at) > 1:
+            own = self.block().tag
+            if own in closes:
+                self.pop_block()
+                if not (tag == "tr" and own in ("td", "th")):
+                    break
+            else:
+                break
+
+
 def parse(page: str | None) -> list[Block]:
-    """The text blocks of a page in order. Unclosed and stray tags are taken as browsers mostly take them."""
+    """The text blocks of a page in order. Unclosed and stray tags are taken as browsers mostly take them. Time grows
+    with the length of the page."""
     if not page:
         return []
-    root = _Element("html", 0, None, "")
-    stack, count, out = [root], 0, []
+    stack, count, out = _Stack(), 0, []
     parts: list[str] = []
     linked = 0
-    owner = root  # the element in which the running block began
+    owner = stack.top()  # the element in which the running block began
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip(" ")
             if text:
-                near = next((e for e in reversed(stack) if e.tag in _BLOCK), root)
-                e = owner if owner.tag in _BLOCK else near
+                e = owner if owner.tag in _BLOCK else stack.block()
                 out.append(Block(text, linked, e.number, e.tag, e.bad or owner.bad, e.good, e.worded, e.hidden or owner.hidden))
             parts.clear()
         linked = 0
@@ -102,50 +208,38 @@ def parse(page: str | None) -> list[Block]:
         nonlocal linked, owner
         if text:
             if not parts:
-                owner = stack[-1]
+                owner = stack.top()
             parts.append(text)
-            if stack[-1].link:
+            if stack.top().link:
                 linked += len(text.strip())
 
-    at = 0
-    while m := _TOKEN.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                add(entities.escape(m[0][9:-3]))
-            continue
-        if m[1]:
+    found, go_on = tokens(page), None
+    while True:
+        try:
+            kind, tag, rest, at = found.send(go_on)
+        except StopIteration:
+            break
+        go_on = None
+        if kind == "text":
+            add(rest)
+        elif kind == "data":
+            add(entities.escape(rest))
+        elif kind == "close":
             if tag in _BLOCK:
                 flush()
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            # a closing inline tag never closes a block around it
-            if depth and (tag in _BLOCK or not any(e.tag in _BLOCK for e in stack[depth + 1 :])):
-                del stack[depth:]
-            continue
-        if tag in _RAW and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if tag == "br":
-            add(" ")
-        if tag in _BLOCK:
-            flush()
-            closes = {"p": ("p",), "li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}.get(tag)
-            if tag in ("div", "article", "section", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "nav", "footer", "aside", "header", "form", "blockquote", "pre"):
-                closes = ("p",)
-            if closes:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in closes:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in _BLOCK and not (tag == "tr" and stack[i].tag in ("td", "th")):
-                        break
-        if tag not in _VOID and not m[3].endswith("/"):
-            count += 1
-            stack.append(_Element(tag, count, stack[-1], m[3]))
-    add(page[at:])
+            stack.close(tag)
+        elif kind == "open" and tag in _RAW and not rest.rstrip().endswith("/"):
+            end = re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(page, at)
+            go_on = end.end() if end else len(page)
+        elif kind == "open":
+            if tag == "br":
+                add(" ")
+            if tag in _BLOCK:
+                flush()
+                stack.make_room(tag)
+            if tag not in _VOID and not rest.endswith("/"):
+                count += 1
+                stack.push(_Element(tag, count, stack.top(), rest))
     flush()
     return out
 
@@ -193,42 +287,52 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> n
 
 def minimum_cut(content: np.ndarray, boilerplate: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray:
     """Labels (True: content) of least total price: a block pays `boilerplate` if it is content and `content` if not,
-    and an edge pays its weight if its ends differ. Shortest augmenting paths; the source side is content."""
+    and an edge pays its weight if its ends differ. Maximum flow by layers of shortest paths; the source side is content."""
     n = len(content)
     common = np.minimum(content, boilerplate)
-    supply, drain = content - common, boilerplate - common
+    supply, drain = (content - common).tolist(), (boilerplate - common).tolist()
     ties: list[dict[int, float]] = [{} for _ in range(n)]
     for a, b, w in edges:
         ties[a][b] = ties[a].get(b, 0.0) + w
         ties[b][a] = ties[b].get(a, 0.0) + w
-    supply, drain = supply.tolist(), drain.tolist()
     tiny = 1e-9
-    for start in range(n):
-        while supply[start] > tiny:
-            before = {start: start}
-            queue, end = deque([start]), -1
-            while queue:
-                v = queue.popleft()
+    while True:  # layers of shortest paths, then as much flow as they take
+        depth = [0 if x > tiny else -1 for x in supply]
+        queue = deque(i for i in range(n) if depth[i] == 0)
+        ends = False
+        while queue:
+            v = queue.popleft()
+            ends = ends or drain[v] > tiny
+            for u, room in ties[v].items():
+                if room > tiny and depth[u] < 0:
+                    depth[u] = depth[v] + 1
+                    queue.append(u)
+        if not ends:
+            break
+        ways = [list(t) for t in ties]  # what is left to try; a way that failed is not tried again
+        for start in range(n):
+            path = [start]
+            while supply[start] > tiny and path:
+                v = path[-1]
                 if drain[v] > tiny:
-                    end = v
-                    break
-                for u, room in ties[v].items():
-                    if room > tiny and u not in before:
-                        before[u] = v
-                        queue.append(u)
-            if end < 0:
-                break
-            path, v = [end], end
-            while v != start:
-                v = before[v]
-                path.append(v)
-            path.reverse()
-            flow = min([supply[start], drain[end], *(ties[a][b] for a, b in zip(path, path[1:], strict=False))])
-            supply[start] -= flow
-            drain[end] -= flow
-            for a, b in zip(path, path[1:], strict=False):
-                ties[a][b] -= flow
-                ties[b][a] += flow
+                    flow = min([supply[start], drain[v], *(ties[a][b] for a, b in zip(path, path[1:], strict=False))])
+                    supply[start] -= flow
+                    drain[v] -= flow
+                    for a, b in zip(path, path[1:], strict=False):
+                        ties[a][b] -= flow
+                        ties[b][a] += flow
+                    path = [start]
+                    continue
+                while ways[v]:
+                    u = ways[v][-1]
+                    if ties[v][u] > tiny and depth[u] == depth[v] + 1:
+                        path.append(u)
+                        break
+                    ways[v].pop()
+                else:
+                    path.pop()
+                    if path:
+                        ways[path[-1]].pop()
     label = np.zeros(n, bool)
     queue = deque(i for i in range(n) if supply[i] > tiny)
     label[list(queue)] = True
@@ -261,30 +365,37 @@ def extract_text(page: str | None, weights: np.ndarray) -> str:
     return "\n\n".join(b.text for b in main_blocks(parse(page), weights))
 
 
-def train(pages: DataFrame, sample_rows: int = 400, most: int = 20_000) -> np.ndarray:
-    """Weights from blocks of at most `sample_rows` pages (chosen by a hash of the id) whose elements tell their kind.
+def train(pages: DataFrame, sample_rows: int = 400, most: int = 20_000, repeated: int = 5) -> np.ndarray:
+    """Weights from blocks of at most `sample_rows` pages (chosen by a hash of the id), `most` blocks at most.
 
-    Each block counts twice: as it is, and without what its elements say, so that text features learn too. Without
+    Boilerplate is what stands in an element that says so, and text that `repeated` of these pages hold, whatever its
+    elements; content is the rest of articles and main elements. Each block counts twice: as it is, and without what its elements say, so that text features learn too. Without
     blocks of both kinds the elements alone decide.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], []]
-            for page in batch.column("html").to_pylist():
-                found = parse(page)
-                told = [i for i, b in enumerate(found) if b.bad or b.good]
-                rows[0] += features(found)[told].tolist()
-                rows[1] += [not found[i].bad for i in told]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.list_(pa.float64())), pa.array(rows[1], pa.bool_())], names=["x", "y"])
-
-    found = in_arrow(bounded_sample(pages.select("page_id", "html"), "page_id", sample_rows), run, "x array<double>, y boolean").limit(most).collect()
-    y = np.array([r.y for r in found], float)
+            rows: list[list] = [[], [], [], []]
+            for page, html_ in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                found = parse(html_)
+                rows[0] += features(found).tolist()
+                rows[1] += [False if b.bad else True if b.good else None for b in found]
+                rows[2] += [xxhash.xxh3_64_intdigest(b.text.encode("utf-8", "surrogatepass")) >> 1 for b in found]
+                rows[3] += [page] * len(found)
+            kinds = [pa.list_(pa.float64()), pa.bool_(), pa.int64(), batch.schema.field("page_id").type]
+            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=["x", "y", "text", "page"])
+
+    found = in_arrow(bounded_sample(pages.select("page_id", "html"), "page_id", sample_rows), run, f"x array<double>, y boolean, text long, page {pages.schema['page_id'].dataType.simpleString()}").limit(most).collect()
+    holders: dict[int, set] = {}
+    for r in found:
+        holders.setdefault(r.text, set()).add(r.page)
+    found = [(r.x, r.y and len(holders[r.text]) < repeated) for r in found if r.y is not None or len(holders[r.text]) >= repeated]
+    y = np.array([bool(r[1]) for r in found], float)
     if not 0 < y.sum() < len(y):
         weights = np.zeros(N_FEATURES)
         weights[[0, 2, 3, 12, 13, 15]] = (-0.5, 1.0, -3.0, -3.0, 3.0, -3.0)
         return weights
-    x = np.array([r.x for r in found])
+    x = np.array([r[0] for r in found])
     plain = x.copy()
     plain[:, 12:] = 0
     return fit(np.vstack([x, x, plain]), np.concatenate([y, y, y]))
