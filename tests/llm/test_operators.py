@@ -129,6 +129,47 @@ def test_marginals_equal_enumeration():
         at += n
 
 
+def likelihood(scores, lengths, moves, gold):
+    """Log probability of the labels, by enumeration."""
+    import itertools
+
+    total, at = 0.0, 0
+    for n in lengths:
+        score = lambda path: sum(scores[at + i, y] for i, y in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:]))  # noqa: E731, B023
+        if n:
+            total += score(gold[at : at + n]) - np.log(sum(np.exp(score(p)) for p in itertools.product(range(scores.shape[1]), repeat=int(n))))
+        at += n
+    return total
+
+
+def test_gradients_equal_finite_differences():
+    rng = np.random.default_rng(2)
+    lengths = np.array([3, 0, 1, 4])
+    scores, moves, gold = rng.normal(size=(8, 3)) * 2, rng.normal(size=(3, 3)) * 2, rng.integers(3, size=8)
+    by_score, by_move = language.gradients(scores, lengths, moves, gold)
+    for x, got in ((scores, by_score), (moves, by_move)):
+        for i in np.ndindex(*x.shape):
+            x[i] += 1e-5
+            up = likelihood(scores, lengths, moves, gold)
+            x[i] -= 2e-5
+            down = likelihood(scores, lengths, moves, gold)
+            x[i] += 1e-5
+            assert got[i] == pytest.approx(-(up - down) / 2e-5, abs=1e-5)
+
+
+def test_languages_of_odd_texts(spark):
+    rng = random.Random(0)
+    rows = [(i, " ".join(rng.choice(("kal", "mir", "tos")) for _ in range(20)), "aa", 1) for i in range(300)]
+    rows += [(1000 + i, " ".join(rng.choice(("üsch", "opf", "zug")) for _ in range(20)), "bb", 1) for i in range(4)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
+    field = language.train(table, sample_rows=20)
+    assert field.labels == ["aa", "bb"]  # a language with few documents is learned too
+    odd = ["½ ² Ⅷ", "12 34 !", None, "", "kal mir tos", "üsch² opf", "kal mir " * 150_000]
+    got = [r for r in language.predict(docs(spark, odd + odd[4:6]).withColumn("lang_pred", F.lit("x")), field).orderBy("doc_id").collect()]
+    assert [r.lang_pred for r in got] == ["und"] * 4 + ["aa", "bb", "aa", "aa", "bb"] and [r.score for r in got[:4]] == [0.0] * 4
+    assert language.predict(table.limit(0), field).count() == 0
+
+
 def test_language(spark):
     rng = random.Random(0)
     sounds = {"aa": "kal mir tos ven dra".split(), "bb": "üsch opf bein zug lich".split()}
@@ -169,11 +210,39 @@ def test_top_k_equals_brute_force(spark):
     assert few.count() == 2
 
 
+@pytest.mark.parametrize("block", [40, 4096])
+def test_top_k_prunes_nothing_that_counts(spark, block):
+    """Clusters, ties, repeated ids and columns of clashing names; several pivots and pieces."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(60, 6)) * 0.05 + 3 * rng.normal(size=6) for _ in range(8)] + [np.ones((150, 6))])
+    v = np.floor(1024 * x).astype(np.int64)
+    rows = [(int(i), v[i].tolist(), 1, 2) for i in range(len(v))] + [(7, (v[7] - 1).tolist(), 1, 2), (5000, [1, 2], 0, 0), (5001, [3, 4], 0, 0), (None, [1, 2], 0, 0)]
+    table = spark.createDataFrame(rows, "vec_id long, v array<long>, pivot int, score int").where("vec_id is not null").repartition(4)
+    got = {}
+    for r in topk.top_k(table, F.col("vec_id") % 50 == 0, k=10, block=block, query_block=7).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in range(0, len(v), 50):
+        s = v @ v[q]
+        order = [i for i in np.lexsort((np.arange(len(v)), -s)) if i != q][:10]
+        assert sorted(got.pop(q)) == [(k + 1, int(i), int(s[i])) for k, i in enumerate(order)]
+    assert got == {5000: [(1, 5001, 11)]}
+
+
+def test_top_k_of_equal_and_huge_vectors(spark):
+    huge = [(i, [3.07e15] * 4) for i in range(300)] + [(300, [-3.07e15] * 4), (301, [1e38] * 4)]
+    v = topk.integers(spark.createDataFrame(huge, "vec_id long, embedding array<double>"))
+    got = topk.top_k(v, F.col("vec_id") == 100, k=3).orderBy("rank").collect()
+    most = 2**63 - 1
+    assert [(r.vec_id, r.score) for r in got] == [(0, most), (1, most), (2, most)]
+
+
 def test_cover_tree_covers():
     x = np.random.default_rng(2).normal(size=(300, 5))
     stack = [topk.cover_tree(x)]
     while stack:
         n = stack.pop()
+        for i, c in enumerate(n.children):  # children's hubs separate, and cover
+            assert all(np.linalg.norm(c.hub - o.hub) >= n.cover - 1e-9 for o in n.children[:i]) and c.far <= n.cover + 1e-9
         assert np.sqrt(((x[n.points] - n.hub) ** 2).sum(1)).max() <= n.far + 1e-9
         if n.children:
             assert sorted(np.concatenate([c.points for c in n.children]).tolist()) == sorted(n.points.tolist())
@@ -339,6 +408,29 @@ def test_main_text(spark):
     assert html.train(pages.limit(0)).shape == (html.N_FEATURES,)
 
 
+def test_long_and_broken_pages():
+    import time
+
+    n = 60_000
+    pages = ["<a " * n, '<a "' * n, "<![CDATA[" * n, "<b>" * n + "</i>" * n, "<div>" + "<b>" * n + "<p>x</p>" * n, "<b>" + "<div>" * n + "</b>" * n, "<!--" * n, "<p>text</p>" * n, "<" * n, "<script>" * n]
+    began = time.time()
+    for page in pages:
+        html.parse(page)
+    rng = np.random.default_rng(0)
+    html.minimum_cut(rng.random(10_000), rng.random(10_000), [(i, i + 1, 0.3) for i in range(9_999)])
+    assert time.time() - began < 60
+    assert [b.text for b in html.parse("<p>a < b <a href='x'>c</p><p>d<math>x</math> <a title=\"e>f\">g</a><![CDATA[<h>]]><p>i <a \"j>k")] == ["a < b c", "dx g<h>", "i k"]
+    assert [b.text for b in html.parse("<table><tr><td>a<td>b<tr><td>c</table><ul><li>d<li>e</ul></x><dl><dt>f<dd>g</dl>")] == list("abcdefg")
+
+
+def test_pages_with_other_columns_and_repeated_rows(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE, "x", 1), (1, "u", PAGE, "x", 1), (None, None, PAGE, "x", 1)], "page_id long, url string, html string, text string, n_chars int")
+    weights = html.train(pages)
+    got = html.extract(pages, weights).collect()
+    assert len(got) == 3 and len({r.text for r in got}) == 1 and got[0].n_chars > 0
+    assert html.extract(pages.limit(0), weights).count() == 0
+
+
 def test_minimum_cut_equals_enumeration():
     import itertools
 
@@ -372,6 +464,32 @@ def test_quality(spark):
     assert {r.score for r in quality.scores(stats, none).collect()} == {0.5}
 
 
+def test_quality_equals_one_direct_fit(spark):
+    """Scores against the same features, equations and pooling worked out at once in numpy."""
+    rng = random.Random(10)
+    texts = [prose(rng, rng.randint(3, 60), 40) + rng.choice(("", ".", " !!", " | # 77", "\nA\nA")) * rng.randint(0, 9) for _ in range(240)] + [None, "", "x " * 400_000]
+    y = np.array([float((t or "").count("!") > 0 or rng.random() < 0.2) for t in texts])
+    table = docs(spark, texts).withColumns({"x": F.lit(1), "y": F.lit(2), "fold": F.lit(3)}).repartition(5)
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    model, stats = quality.train(table, labels)
+    got = {r.doc_id: r.score for r in quality.scores(stats, model).collect()}
+
+    x = np.array([quality.statistics(t) for t in texts])
+    mean, scale = x.mean(0), x.std(0) + 1e-6
+    g = np.random.default_rng(7)
+    w, b = g.normal(0, np.sqrt(0.1), (20, 256)), g.uniform(0, 2 * np.pi, 256)
+    z = np.hstack([np.cos(np.clip((x - mean) / scale, -8, 8) @ w + b) * np.sqrt(2 / 256), np.ones((len(x), 1))])
+    folds = {r.doc_id: r.f for r in spark.range(len(texts)).select(F.col("id").alias("doc_id"), F.pmod(F.xxhash64("id"), F.lit(2)).alias("f")).collect()}
+    fold = np.array([folds[i] for i in range(len(texts))])
+    solve = lambda own: np.linalg.solve(z[own].T @ z[own] + 1e-4 * len(x) / 257 * np.eye(257), z[own].T @ y[own])
+    apart = np.where(fold == 0, z @ solve(fold == 1), z @ solve(fold == 0))
+    at = np.clip((apart + 1) / 3 * 2000, 0, 1999).astype(int)
+    used = np.unique(at)
+    pools = quality.isotonic(-1 + (used + 0.5) * 3 / 2000, np.array([y[at == u].mean() for u in used]), np.array([(at == u).sum() for u in used]))
+    want = np.clip(np.interp(z @ solve(fold >= 0), *pools), 0, 1)
+    assert np.allclose([got[i] for i in range(len(texts))], want, atol=1e-4)
+
+
 def test_isotonic_pools():
     x, y = quality.isotonic(np.arange(5.0), np.array([0, 1, 0, 1, 1.0]), np.ones(5))
     assert y.tolist() == [0.0, 0.5, 1.0] and (np.diff(x) > 0).all() or y.tolist() == [0.0, 0.5, 1.0, 1.0]
@@ -509,6 +627,33 @@ def test_clashing_columns_change_nothing(spark):
     assert set(last.columns) == {*wide.columns} and last.where("doc_id = 0").collect()[0].n_tokens > 7
 
 
+def test_empty_tables_and_repeated_rows(spark, tmp_path):
+    plain = docs(spark, ["a b c", None])
+    none, twice = plain.limit(0), plain.unionByName(plain)
+    planes.write(none, f"{tmp_path}/none", P.path("byte_bpe_50k.json"))
+    assert planes.read(spark, f"{tmp_path}/none").count() == 0
+    planes.write(twice, f"{tmp_path}/twice", P.path("byte_bpe_50k.json"))
+    assert sorted((r.doc_id, r.start, r.n_tokens) for r in planes.read(spark, f"{tmp_path}/twice").collect()) == [(0, 0, 4), (0, 4, 4), (1, 8, 1), (1, 9, 1)]
+    assert bpe.digests(none, TIK, P.PATTERN).count() == 0 and bpe.digests(twice, TIK, P.PATTERN).count() == 4
+    assert quality.measured(none).count() == 0 and quality.measured(twice).count() == 4
+    model, _ = quality.train(none, spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality.keep(none, model).count() == 0 and quality.keep(twice, model).count() == 4
+    assert pii.report(twice, pii.Detector(None, {}, 1.0)).count() == 4
+    with pytest.raises(ValueError):
+        near_duplicates.jaccard_components(plain.withColumn("doc_id", F.lit("x")))
+
+
+def test_pipeline_of_empty_and_null_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, rows in (("empty", []), ("nulls", [(None, None, None, None, None), (3, None, None, None, None), (4, "", "en", "s", 0)])):
+        spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert sorted(((r.doc_id, r.text, r.n_tokens) for r in out.collect()), key=str) == [(r[0], r[1], 0) for r in sorted(rows, key=str)][:: 1]
+
+
 def plain_ids(text, ranks):
     pattern = P.PATTERN.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9").replace(" ?a-zA-Z+", " ?[a-zA-Z]+").replace(" ?0-9+", " ?[0-9]+")
     out = []
