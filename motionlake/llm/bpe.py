@@ -163,7 +163,7 @@ class Codec:
         self.ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
         self.replay = MergeReplay(self.ranks)
-        self.table = ChunkTable(self._chunks, 300_000)
+        self.table = ChunkTable(self._chunks, 150_000)
         tokens = sorted(self.ranks.items(), key=lambda x: x[1])
         if [x[1] for x in tokens] != list(range(len(tokens))):
             raise ValueError("ranks must number the tokens from 0")
@@ -242,7 +242,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path, pattern)
         for batch in batches:
-            for part in blocks(batch, text, 3_000_000):
+            for part in blocks(batch, text, 1_500_000):
                 texts = part.column(text).to_pylist()
                 flat, ends = coder.encode(texts)
                 if verify and any(x != (t or "").encode() for x, t in zip(coder.decode(flat, ends), texts, strict=True)):
@@ -279,7 +279,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path, pattern)
         for batch in batches:
-            for part in blocks(batch, "text"):
+            for part in blocks(batch, "text", 1_500_000):
                 ids, ends = coder.encode(part.column("text").to_pylist())
                 counts = np.diff(ends, prepend=0)
                 spelled = [hashlib.sha256(x).hexdigest() for x in coder.decimal(ids, ends)]

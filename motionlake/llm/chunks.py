@@ -77,7 +77,7 @@ class ChunkTable:
         return self.ids[index], ends
 
 
-def blocks(batch, column: str, chars: int = 8_000_000):
+def blocks(batch, column: str, chars: int = 3_000_000):
     """Slices of an Arrow record batch whose text is about so long at most (one row at least)."""
     import pyarrow.compute as pc
 

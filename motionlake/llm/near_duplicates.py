@@ -41,7 +41,7 @@ BLOCK = 64
 #: Fragments in which the overlap of a star pair is counted.
 OVERLAP_FRAGMENTS = 8
 #: Characters of a block of texts, and how many of its documents make a shingle frequent.
-BLOCK_CHARS, FREQUENT = 8_000_000, 8
+BLOCK_CHARS, FREQUENT = 3_000_000, 8
 #: Copies that a row has in a lookup of a key that many rows may hold.
 SALTS = 16
 #: A node of so many edges is looked up in SALTS places.
@@ -61,7 +61,7 @@ class _Words(dict):
     """Hashes of words, kept while a Python worker lives, up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
