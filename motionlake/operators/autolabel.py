@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionlake.functions import labels as lab
@@ -21,15 +21,13 @@ def motion_energy(samples: DataFrame, *, by: Sequence[str], value: str, time: st
 def robust_score(rows: DataFrame, *, by: Sequence[str], value: str, out: str = "score") -> DataFrame:
     """(x - median) / (1.4826 MAD) within the keys, below 0 as 0; MAD 0 falls back on mean and deviation, then on 0.
 
-    Two aggregates joined back: no window has to hold a key's rows.
+    One exchange by the keys serves all statistics. rows are windows, already aggregated, of a block.
     """
-    keys = list(by)
-    centre = rows.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("_med"), F.avg(value).alias("_avg"), F.stddev_pop(value).alias("_std"))
-    near = rows.join(centre, keys)
-    spread = near.groupBy(*keys).agg(F.percentile(F.abs(F.col(value) - F.col("_med")), F.lit(0.5)).alias("_mad"))
-    x = F.col(value)
+    w, x = Window.partitionBy(*by), F.col(value)
+    near = rows.withColumns({"_med": F.percentile(value, F.lit(0.5)).over(w), "_avg": F.avg(value).over(w), "_std": F.stddev_pop(value).over(w)})
+    near = near.withColumn("_mad", F.percentile(F.abs(x - F.col("_med")), F.lit(0.5)).over(w))
     z = F.when(F.col("_mad") > 0, (x - F.col("_med")) / (1.4826 * F.col("_mad"))).when(F.col("_std") > 0, (x - F.col("_avg")) / F.col("_std")).otherwise(0.0)
-    return near.join(spread, keys).withColumn(out, F.greatest(z, F.lit(0.0))).drop("_med", "_avg", "_std", "_mad")
+    return near.withColumn(out, F.greatest(z, F.lit(0.0))).drop("_med", "_avg", "_std", "_mad")
 
 
 def motion_score(scored: DataFrame, *, by: Sequence[str], foot: str = "foot") -> DataFrame:
@@ -37,11 +35,27 @@ def motion_score(scored: DataFrame, *, by: Sequence[str], foot: str = "foot") ->
     return scored.groupBy(*by, "window_start").agg(F.avg("score").alias("score"), F.sum("samples").alias("samples"), F.countDistinct(foot).alias("feet"))
 
 
+def _limits(low_q: float, high_q: float) -> tuple[Column, Column, Column]:
+    """Low and high quantile and maximum of the finite scores."""
+    fine = F.when(F.abs("score") < float("inf"), F.col("score"))
+    return F.percentile(fine, F.lit(low_q)), F.percentile(fine, F.lit(high_q)), F.max(fine)
+
+
+def _high(low: str, high: str, most: str) -> Column:
+    return F.when(F.col(high) <= F.col(low), F.col(most)).otherwise(F.col(high))
+
+
 def thresholds(scores: DataFrame, *, by: Sequence[str], low_q: float = 0.35, high_q: float = 0.75) -> DataFrame:
     """Exact quantiles of the finite scores; a high one that is not above the low one becomes the maximum."""
-    fine = F.when(F.abs("score") < float("inf"), F.col("score"))
-    q = scores.groupBy(*by).agg(F.percentile(fine, F.lit(low_q)).alias("low"), F.percentile(fine, F.lit(high_q)).alias("_high"), F.max(fine).alias("_max"))
-    return q.withColumn("high", F.when(F.col("_high") <= F.col("low"), F.col("_max")).otherwise(F.col("_high"))).drop("_high", "_max")
+    low, high, most = _limits(low_q, high_q)
+    q = scores.groupBy(*by).agg(low.alias("low"), high.alias("_high"), most.alias("_max"))
+    return q.withColumn("high", _high("low", "_high", "_max")).drop("_high", "_max")
+
+
+def with_thresholds(scores: DataFrame, *, by: Sequence[str], low_q: float = 0.35, high_q: float = 0.75) -> DataFrame:
+    """scores with low and high, in the exchange that brought them together."""
+    low, high, most = (c.over(Window.partitionBy(*by)) for c in _limits(low_q, high_q))
+    return scores.withColumns({"low": low, "_high": high, "_max": most}).withColumn("high", _high("low", "_high", "_max")).drop("_high", "_max")
 
 
 def window_class(score: Column, low: Column, high: Column, ambiguous: bool = False) -> Column:
@@ -69,7 +83,7 @@ def suggest(samples: DataFrame, *, block: str, value: str, window_us: int, least
     """Energy, robust score, thresholds and segments of each block in one plan."""
     energy = motion_energy(samples, by=[block, "foot"], value=value, time=time, window_us=window_us)
     score = motion_score(robust_score(energy, by=[block], value="energy"), by=[block])
-    rows = score.join(thresholds(score, by=[block]), block)
+    rows = with_thresholds(score, by=[block])
     rows = rows.withColumn("label", window_class(F.col("score"), F.col("low"), F.col("high")))
     return label_runs(rows, by=[block], window_us=window_us, least_s=least_s)
 

@@ -58,26 +58,44 @@ def interpolate_gaps(grid: DataFrame, signals: Sequence[str], *, keys: Sequence[
     """Linear interpolation by row inside gaps, at most `limit` rows from the left of each; the rest stays null.
 
     A long gap is filled in part, on the line to its far end. Without a limit (none, zero or less) gaps are filled
-    whole, and with `edges` the leading and trailing nulls take the nearest value.
+    whole, and with `edges` the leading and trailing nulls take the nearest value. `order`, micro-seconds, is cut into
+    buckets of a day, so that windows never hold a long recording: what a bucket needs of those around it, its first
+    row's number and the nearest values, comes from a row for each bucket.
     """
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    rows = grid.withColumn("_n", number)
+    bucket = [*keys, "_b"]
+    cut = grid.withColumn("_b", F.floor(F.col(order) / DAY_US))
+    ahead, back = (Window.partitionBy(*bucket).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (order, F.desc(order)))
+    numbered = cut.withColumn("_n", F.row_number().over(Window.partitionBy(*bucket).orderBy(order)))
+    seen = {s: F.when(F.col(s).isNotNull(), F.struct(F.col("_n").cast("long").alias("n"), F.col(s).cast("double").alias("v"))) for s in signals}
+    made = {}
+    for i, s in enumerate(signals):
+        made |= {f"_l{i}": F.last(seen[s], ignorenulls=True).over(ahead), f"_r{i}": F.last(seen[s], ignorenulls=True).over(back)}
+    near = numbered.withColumns(made)
+    ends = [F.count(F.lit(1)).alias("_rows")]
+    for i, s in enumerate(signals):
+        ends += [F.max(seen[s]).alias(f"_last{i}"), F.min(seen[s]).alias(f"_first{i}")]  # by number
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = numbered.groupBy(*bucket).agg(*ends).withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    at = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(c)["n"] + F.col("_start")).alias("n"), F.col(c)["v"].alias("v")))
+    carried = {}
+    for i in range(len(signals)):
+        carried |= {f"_before{i}": F.last(at(f"_last{i}"), ignorenulls=True).over(before), f"_after{i}": F.last(at(f"_first{i}"), ignorenulls=True).over(after)}
+    joined = near.join(buckets.withColumns(carried).select(*bucket, "_start", *carried), bucket)
+    n = F.col("_start") + F.col("_n")
     out = {}
-    for s in signals:
-        seen = F.when(F.col(s).isNotNull(), F.struct(F.col("_n").alias("n"), F.col(s).alias("v")))
-        left, right = F.last(seen, ignorenulls=True).over(before), F.first(seen, ignorenulls=True).over(after)
-        line = left["v"] + (right["v"] - left["v"]) * (F.col("_n") - left["n"]) / (right["n"] - left["n"])
+    for i, s in enumerate(signals):
+        left, right = F.coalesce(at(f"_l{i}"), f"_before{i}"), F.coalesce(at(f"_r{i}"), f"_after{i}")
+        line = left["v"] + (right["v"] - left["v"]) * (n - left["n"]) / (right["n"] - left["n"])
         inside = left.isNotNull() & right.isNotNull()
         if limit is not None and limit > 0:
-            filled = F.when(inside & (F.col("_n") - left["n"] <= limit), line)
+            filled = F.when(inside & (n - left["n"] <= limit), line)
         else:
             filled = F.when(inside, line)
             if edges:
                 filled = F.coalesce(filled, left["v"], right["v"])
         out[s] = F.coalesce(F.col(s), filled)
-    return rows.withColumns(out).drop("_n")
+    return joined.withColumns(out).select(*grid.columns)
 
 
 def window_centers(bounds: DataFrame, *, keys: Sequence[str], window_us: int, step_us: int, anchor_us: int | None = None, double_half: bool = True) -> DataFrame:

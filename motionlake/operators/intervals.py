@@ -29,22 +29,25 @@ def in_buckets(intervals: DataFrame, start: str, stop: str, width: int) -> DataF
 
 
 def label_points(
-    points: DataFrame, labels: DataFrame, *, on: str = "reference", time: str = "_time", key: str, overlap: str = "first", order: Sequence[str] = ("start", "stop", "label"), offset_s: float = 0, default: str = NO_LABEL, width_us: int = DAY_US
+    points: DataFrame, labels: DataFrame, *, on: str = "reference", time: str = "_time", overlap: str = "first", order: Sequence[str] = ("start", "stop", "label"), offset_s: float = 0, default: str = NO_LABEL, width_us: int = DAY_US
 ) -> DataFrame:
-    """`label` of the half-open interval [start, stop) around each point, by `key`, the points' unique column.
+    """`label` of the half-open interval [start, stop) around each point.
 
     Where intervals overlap the first or the last in `order` wins; a point in none gets the default. offset_s
-    shifts all intervals.
+    shifts all intervals. The intervals of a reference that touch a bucket are one row, so points are shuffled once, or
+    not at all where Spark broadcasts those rows.
     """
     shift = F.lit(int(offset_s * times.SECOND))
     ranked = labels.withColumn("_rank", F.struct(*order))
     if offset_s:
         ranked = ranked.withColumns({c: times.from_micros(times.micros(c) + shift) for c in ("start", "stop")})
-    dealt = in_buckets(ranked.where("start < stop").select(on, "start", "stop", "label", "_rank"), "start", "stop", width_us)
-    timed = points.select(key, on, time).withColumn("_bucket", _bucket(times.micros(time), width_us))
-    pick = F.min_by if overlap == "first" else F.max_by
-    found = timed.join(dealt, [on, "_bucket"]).where((F.col(time) >= F.col("start")) & (F.col(time) < F.col("stop"))).groupBy(key).agg(pick("label", "_rank").alias("label"))
-    return points.join(found, key, "left").withColumn("label", F.coalesce("label", F.lit(default)))
+    dealt = in_buckets(ranked.where("start < stop").select(F.col(on).alias("_on"), F.col("start").alias("_start"), F.col("stop").alias("_stop"), F.col("label").alias("_label"), "_rank"), "_start", "_stop", width_us)
+    near = dealt.groupBy("_on", F.col("_bucket").alias("_of")).agg(F.collect_list(F.struct("_rank", "_label", "_start", "_stop")).alias("_near"))
+    timed = points.withColumn("_bucket", _bucket(times.micros(time), width_us))
+    met = timed.join(near, (timed[on] == near["_on"]) & (timed["_bucket"] == near["_of"]), "left")
+    around = F.filter("_near", lambda x: (F.col(time) >= x["_start"]) & (F.col(time) < x["_stop"]))
+    best = (F.array_min if overlap == "first" else F.array_max)(around)["_label"]
+    return met.withColumn("label", F.coalesce(best, F.lit(default))).select(*(c for c in points.columns if c != "label"), "label")
 
 
 def exclude_windows(windows: DataFrame, exclusions: DataFrame, *, keys: Sequence[str]) -> DataFrame:
@@ -186,32 +189,31 @@ def asof_nearest(left: DataFrame, right: DataFrame, *, on: str, key: str, by: st
     return left.join(best, key).select(*left.columns, F.col("_m._right_time").alias("right_time"), *(F.col(f"_m.right_{c}") for c in right_columns))
 
 
-def embargo(rows: DataFrame, folds: DataFrame, *, by: str = "reference", time: str = "_time", seconds: float) -> DataFrame:
-    """Training rows of each fold: all rows but those of the fold's test reference within [start - e, stop + e].
+def _training_rows(rows: DataFrame, folds: DataFrame, by: str, seconds: float, hit) -> DataFrame:
+    """Each row once for each fold in whose training set it belongs.
 
-    folds: fold, reference, start, stop. Folds are few; each row is kept once for each fold it trains.
+    The spans that a fold tests are kept by reference, so that a row meets only those of its own, by an equi join; the
+    list of folds is one row.
     """
     e = int(seconds * times.SECOND)
-    f = folds.select("fold", F.col(by).alias("_test"), (times.micros("start") - e).alias("_low"), (times.micros("stop") + e).alias("_high"))
-    each = rows.crossJoin(F.broadcast(f))  # folds are a plan of a few rows
-    us = times.micros(time)
-    return each.where(~((F.col(by) == F.col("_test")) & (us >= F.col("_low")) & (us <= F.col("_high")))).drop("_test", "_low", "_high")
+    span = F.struct("fold", (times.micros("start") - e).alias("low"), (times.micros("stop") + e).alias("high"))
+    tested = folds.select(F.col(by).alias("_test"), span.alias("_span")).groupBy("_test").agg(F.collect_list("_span").alias("_spans"))
+    listed = folds.agg(F.array_sort(F.collect_set("fold")).alias("_folds"))
+    met = rows.join(tested, rows[by] == tested["_test"], "left").crossJoin(F.broadcast(listed))  # one row
+    out = F.transform(F.filter(F.coalesce("_spans", F.array().cast(tested.schema["_spans"].dataType)), hit), lambda x: x["fold"])
+    return met.withColumn("fold", F.explode(F.array_except("_folds", out))).drop("_test", "_spans", "_folds")
 
 
-def sequence_embargo(sequences: DataFrame, folds: DataFrame, *, by: str = "reference", seconds: float) -> DataFrame:
-    """As embargo, for rows that span [seq_start, seq_stop]: overlap with the widened test span removes them."""
-    e = int(seconds * times.SECOND)
-    f = folds.select("fold", F.col(by).alias("_test"), (times.micros("start") - e).alias("_low"), (times.micros("stop") + e).alias("_high"))
-    each = sequences.crossJoin(F.broadcast(f))
-    hit = (F.col(by) == F.col("_test")) & (times.micros("seq_start") <= F.col("_high")) & (times.micros("seq_stop") >= F.col("_low"))
-    return each.where(~hit).drop("_test", "_low", "_high")
+def embargo(rows: DataFrame, folds: DataFrame, *, by: str = "reference", time: str = "_time", seconds: float) -> DataFrame:
+    """Training rows of each fold: all rows but those of the fold's test references within [start - e, stop + e].
 
+    folds: fold, reference, start, stop, a row for each test reference of a fold.
+    """
+    us = times.micros(time)
+    return _training_rows(rows, folds, by, seconds, lambda x: (us >= x["low"]) & (us <= x["high"]))
 
-def sequence_embargo_groups(sequences: DataFrame, folds: DataFrame, *, by: str = "reference", start: str = "seq_start", stop: str = "seq_stop", seconds: float) -> DataFrame:
-    """As sequence_embargo, for folds that test many references: a row goes from a fold where it meets the widened
-    span of any of the fold's references. Folds are few, their references are joined by (fold, reference)."""
-    e = int(seconds * times.SECOND)
-    f = folds.select(F.col("fold").alias("_fold"), F.col(by).alias("_test"), (times.micros("start") - e).alias("_low"), (times.micros("stop") + e).alias("_high"))
-    each = sequences.crossJoin(F.broadcast(folds.select("fold").distinct()))
-    hit = (F.col("fold") == F.col("_fold")) & (F.col(by) == F.col("_test")) & (times.micros(start) <= F.col("_high")) & (times.micros(stop) >= F.col("_low"))
-    return each.join(f, hit, "left_anti")
+
+def sequence_embargo(sequences: DataFrame, folds: DataFrame, *, by: str = "reference", start: str = "seq_start", stop: str = "seq_stop", seconds: float) -> DataFrame:
+    """As embargo, for rows that span [seq_start, seq_stop]: overlap with a widened test span removes them."""
+    low, high = times.micros(start), times.micros(stop)
+    return _training_rows(sequences, folds, by, seconds, lambda x: (low <= x["high"]) & (high >= x["low"]))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motionlake.operators.segments import hysteresis, min_run
+from motionlake.operators.segments import hysteresis
 
 
 def _over(a: Column, b: Column) -> Column:
@@ -119,43 +119,55 @@ def sweep_threshold(df: DataFrame, y: str, probability: str, grid: Sequence[floa
     return from_counts(counts)
 
 
-def _gridded(df: DataFrame, grid: Sequence[dict[str, float]]) -> DataFrame:
-    """Every row under every point of a small parameter grid that is part of the plan."""
-    rows = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in g.items())) for g in grid))
-    return df.select("*", F.inline(rows))
+def _run_metrics(df: DataFrame, y: str, flags: Sequence[tuple[dict[str, float], Column]], least: Sequence[int], points: Sequence[dict[str, float]], *, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Metrics of flagged rows in runs of at least min_run rows, for each of the points.
+
+    Rows are sorted once for all flags; a histogram of run lengths for each flag then gives every min_run, so that rows
+    are not repeated for each point of the grid.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    names = [f"_f{i}" for i in range(len(flags))]
+    rows = df.select(*by, *(c for c in order if c not in by), F.col(y).alias("_y"), *(F.coalesce(f, F.lit(False)).alias(n) for n, (_, f) in zip(names, flags, strict=True)))
+    runs = rows.withColumns({f"_c{i}": (~F.col(n).eqNullSafe(F.lag(n).over(w))).cast("int") for i, n in enumerate(names)})
+    runs = runs.withColumns({f"_r{i}": F.sum(f"_c{i}").over(w) for i in range(len(names))})
+    each = runs.select(*by, "_y", F.posexplode(F.array(*(F.struct(F.col(n).alias("flag"), F.col(f"_r{i}").alias("run")) for i, n in enumerate(names)))).alias("_of", "_x"))
+    lengths = each.groupBy(*by, "_of", "_x.run", "_x.flag").agg(F.count(F.lit(1)).alias("length"), F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg"))
+    # runs longer than any limit count alike
+    hist = lengths.groupBy("_of", "flag", F.least("length", F.lit(max(least))).alias("length")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    of = [next(i for i, (p, _) in enumerate(flags) if all(point[k] == v for k, v in p.items())) for point in points]
+    grid = F.array(*(F.struct(F.lit(i).alias("i"), *(F.lit(v).alias(k) for k, v in point.items())) for i, point in zip(of, points, strict=True)))
+    met = hist.withColumn("_p", F.explode(grid)).where("_p.i = _of")
+    hat = F.col("flag") & (F.col("length") >= F.col("_p.min_run"))
+    add = lambda c, on: F.sum(F.when(on, F.col(c)).otherwise(0))
+    counts = met.groupBy(*(F.col(f"_p.{k}").alias(k) for k in points[0])).agg(add("pos", hat).alias("tp"), add("neg", hat).alias("fp"), add("pos", ~hat).alias("fn"), add("neg", ~hat).alias("tn"))
+    return from_counts(counts)
 
 
 def sweep_min_run(df: DataFrame, y: str, probability: str, grid: Sequence[tuple[float, int]], *, by: Sequence[str], order: Sequence[str], gate: tuple[str, float] | None = None) -> DataFrame:
     """Metrics of thresholded and persistence-filtered predictions for each (threshold, min_run)."""
-    rows = _gridded(df, [{"threshold": float(t), "min_run": int(k)} for t, k in grid])
-    flag = F.col(probability) >= F.col("threshold")
-    if gate:
-        flag = flag & (F.col(gate[0]) >= gate[1])
-    kept = min_run(rows, flag, F.col("min_run"), by=["threshold", "min_run", *by], order=order, out="_hat")
-    return binary_metrics(kept, y, "_hat", by=["threshold", "min_run"])
+    also = F.col(gate[0]) >= gate[1] if gate else F.lit(True)
+    flags = [({"threshold": t}, (F.col(probability) >= t) & also) for t in sorted({float(t) for t, _ in grid})]
+    points = [{"threshold": float(t), "min_run": int(k)} for t, k in grid]
+    return _run_metrics(df, y, flags, [k for _, k in grid], points, by=by, order=order)
 
 
 def sweep_consensus(df: DataFrame, y: str, first: str, second: str, grid: Sequence[tuple[float, float, int]], *, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Metrics where both probabilities reach their thresholds, then runs are filtered."""
-    rows = _gridded(df, [{"first_threshold": float(a), "second_threshold": float(b), "min_run": int(k)} for a, b, k in grid])
-    flag = (F.col(first) >= F.col("first_threshold")) & (F.col(second) >= F.col("second_threshold"))
-    keys = ["first_threshold", "second_threshold", "min_run"]
-    kept = min_run(rows, flag, F.col("min_run"), by=[*keys, *by], order=order, out="_hat")
-    return binary_metrics(kept, y, "_hat", by=keys)
+    pairs = sorted({(float(a), float(b)) for a, b, _ in grid})
+    flags = [({"first_threshold": a, "second_threshold": b}, (F.col(first) >= a) & (F.col(second) >= b)) for a, b in pairs]
+    points = [{"first_threshold": float(a), "second_threshold": float(b), "min_run": int(k)} for a, b, k in grid]
+    return _run_metrics(df, y, flags, [k for _, _, k in grid], points, by=by, order=order)
 
 
 def sweep_hysteresis(df: DataFrame, y: str, probability: str, grid: Sequence[tuple[float, float, int, int]], *, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Metrics for each (enter, exit, enter_run, exit_run) with exit not above enter."""
-    out = None
+    """Metrics for each (enter, exit, enter_run, exit_run) with exit not above enter, all in one plan: a row stands once
+    for each point, and the windows of all points share one exchange."""
+    points = [{"enter": float(hi), "exit": float(lo), "enter_run": int(k), "exit_run": int(m)} for hi, lo, k, m in grid if lo <= hi]
     columns = list(dict.fromkeys([*by, *order, y, probability]))
-    for hi, lo, k, m in grid:
-        if lo > hi:
-            continue
-        made = hysteresis(df.select(*columns), probability, hi=hi, lo=lo, k=k, m=m, by=by, order=order, out="_hat")
-        point = {"enter": float(hi), "exit": float(lo), "enter_run": int(k), "exit_run": int(m)}
-        row = binary_metrics(made, y, "_hat").select(*(F.lit(v).alias(c) for c, v in point.items()), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    each = df.select(*columns, F.inline(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in p.items())) for p in points))))
+    keys = ["enter", "exit", "enter_run", "exit_run"]
+    made = hysteresis(each, probability, hi=F.col("enter"), lo=F.col("exit"), k=F.col("enter_run"), m=F.col("exit_run"), by=[*keys, *by], order=order, out="_hat")
+    return binary_metrics(made, y, "_hat", by=keys)
 
 
 def ranked_reviews(df: DataFrame, order: Sequence[Column], n: int, prefix: str = "R") -> DataFrame:
@@ -163,3 +175,12 @@ def ranked_reviews(df: DataFrame, order: Sequence[Column], n: int, prefix: str =
     top = df.orderBy(*order).limit(n)
     rank = F.row_number().over(Window.orderBy(*order))
     return top.withColumn("review_id", F.concat(F.lit(prefix), F.lpad(rank.cast("string"), 4, "0")))
+
+
+def window_sizes(samples: DataFrame, sizes_s: Sequence[int], *, time: str = "_time", feet: Sequence[str] = ("Left", "Right")) -> DataFrame:
+    """For each window size: distinct window centers and the rows of each foot."""
+    from motionlake.functions import times
+
+    each = samples.withColumn("window_s", F.explode(F.array(*(F.lit(int(s)) for s in sizes_s))))
+    center = F.floor(times.micros(time) / (F.col("window_s").cast("long") * times.SECOND))
+    return each.groupBy("window_s").agg(F.countDistinct(center).alias("distinct_centers"), *(F.count_if(F.col("foot") == f).alias(f"{f.lower()}_rows") for f in feet))

@@ -17,15 +17,46 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from motionlake.functions import times
 
 
-def gap_segments(df: DataFrame, *, by: Sequence[str], time: str, gap_us: int, tie: Sequence[str] = (), out: str = "segment", change: Sequence[str] = ()) -> DataFrame:
+BUCKET_US = 86_400 * times.SECOND
+
+
+def _numbered(rows: DataFrame, inner: Column, across: Column, *, by: Sequence[str], order: Sequence[str], facts: Column, out: str) -> DataFrame:
+    """`out`: how many rows up to each one are new, for rows with `_b`, the time bucket, however many one key has.
+
+    inner: whether a row is new after the row before it in its bucket, by `_before`, that row's facts (null for the
+    first). across: the same for the first row of a bucket, by its facts `_first` and those of the last row before it,
+    `_carry`, null for the first of all. Windows hold a bucket; only a row for each bucket passes one over a whole key.
+    """
+    w = Window.partitionBy(*by, "_b").orderBy(*order)
+    rows = rows.withColumn("_facts", facts).withColumn("_before", F.lag("_facts").over(w))
+    rows = rows.withColumn("_new", F.when(F.col("_before").isNull(), 0).otherwise(inner.cast("int")))
+    place = F.struct(*order)
+    ends = rows.groupBy(*by, "_b").agg(F.min_by("_facts", place).alias("_first"), F.max_by("_facts", place).alias("_last"), F.sum("_new").alias("_n"))
+    buckets = Window.partitionBy(*by).orderBy("_b")
+    ends = ends.withColumn("_carry", F.lag("_last").over(buckets)).withColumn("_start", F.when(F.col("_carry").isNull(), 1).otherwise(across.cast("int")))
+    before = F.coalesce(F.sum(F.col("_n") + F.col("_start")).over(buckets.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ends.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_b"])), (before + F.col("_start")).alias("_offset"))
+    same = F.lit(True)
+    for i, c in enumerate([*by, "_b"]):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    numbered = rows.withColumn("_n", F.sum("_new").over(w)).join(offsets, same)
+    return numbered.withColumn(out, F.col("_offset") + F.col("_n")).drop("_facts", "_before", "_new", "_n", "_offset", "_b", *(f"_k{i}" for i in range(len(by) + 1)))
+
+
+def gap_segments(df: DataFrame, *, by: Sequence[str], time: str, gap_us: int, tie: Sequence[str] = (), out: str = "segment", change: Sequence[str] = (), bucket_us: int = BUCKET_US) -> DataFrame:
     """Number of the segment within its keys, from 1: a gap of more than gap_us, or a change of a column in `change`,
     begins the next."""
-    order = Window.partitionBy(*by).orderBy(time, *tie)
+
+    def new(now: Column, before: Column) -> Column:
+        found = now["us"] - before["us"] > gap_us
+        for i in range(len(change)):
+            found = found | ~now[f"c{i}"].eqNullSafe(before[f"c{i}"])
+        return found
+
     us = times.micros(time)
-    new = (us - F.lag(us).over(order) > gap_us) | F.lag(us).over(order).isNull()
-    for c in change:
-        new = new | ~F.col(c).eqNullSafe(F.lag(c).over(order))
-    return df.withColumn("_new", new.cast("int")).withColumn(out, F.sum("_new").over(order)).drop("_new")
+    facts = F.struct(us.alias("us"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(change)))
+    rows = df.withColumn("_b", F.floor(us / bucket_us))
+    return _numbered(rows, new(F.col("_facts"), F.col("_before")), new(F.col("_first"), F.col("_carry")), by=by, order=[time, *tie], facts=facts, out=out)
 
 
 def global_blocks(segmented: DataFrame, *, by: str = "reference", segment: str = "segment", out: str = "block_id") -> DataFrame:
@@ -36,12 +67,14 @@ def global_blocks(segmented: DataFrame, *, by: str = "reference", segment: str =
     return segmented.join(offsets, by).withColumn(out, F.col("_before") + F.col(segment) - 1).drop("_before")
 
 
-def islands(df: DataFrame, flag: Column, *, by: Sequence[str], order: Sequence[str], out: str = "run") -> DataFrame:
-    """Rows with a flag and the number of their run of equal flags within the keys."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    rows = df.withColumn("_flag", flag)
-    changed = (~F.col("_flag").eqNullSafe(F.lag("_flag").over(w))).cast("int")
-    return rows.withColumn("_new", changed).withColumn(out, F.sum("_new").over(w)).drop("_new").withColumnRenamed("_flag", "flag")
+def islands(df: DataFrame, flag: Column, *, by: Sequence[str], order: Sequence[str], out: str = "run", bucket_us: int = BUCKET_US) -> DataFrame:
+    """Rows with a flag and the number of their run of equal flags within the keys, from 1. Where `order` begins with a
+    time, keys are cut into buckets of it, so that no task holds a whole key."""
+    kind = df.schema[order[0]].dataType.typeName()
+    bucket = F.floor(times.micros(order[0]) / bucket_us) if kind.startswith("timestamp") else F.lit(0).cast("long")
+    rows = df.withColumn("flag", flag).withColumn("_b", bucket)
+    differ = lambda a, b: ~F.col(a)["flag"].eqNullSafe(F.col(b)["flag"])
+    return _numbered(rows, differ("_facts", "_before"), differ("_first", "_carry"), by=by, order=order, facts=F.struct("flag"), out=out)
 
 
 def run_table(df: DataFrame, *, by: Sequence[str], time: str, values: Sequence[Column] = (), least: int = 1, pad_s: float = 0.0) -> DataFrame:
@@ -71,8 +104,10 @@ def transition_filter(df: DataFrame, margin_s: float, distance: str = "nearest_t
 def min_run(df: DataFrame, flag: Column, k: int | Column, *, by: Sequence[str], order: Sequence[str], out: str = "kept") -> DataFrame:
     """1 for flagged rows in runs of at least k rows (rows, not seconds), else 0."""
     runs = islands(df, F.coalesce(flag, F.lit(False)), by=by, order=order, out="_run")
-    size = F.count(F.lit(1)).over(Window.partitionBy(*by, "_run"))
-    return runs.withColumn(out, (F.col("flag") & (size >= k)).cast("int")).drop("_run", "flag")
+    # a run may be as long as its key: sizes are counted before the shuffle and joined back
+    sizes = runs.where("flag").groupBy(*by, "_run").agg(F.count(F.lit(1)).alias("_size"))
+    enough = F.coalesce(F.col("_size") >= k, F.lit(False))
+    return runs.join(sizes, [*by, "_run"], "left").withColumn(out, (F.col("flag") & enough).cast("int")).select(*df.columns, out)
 
 
 def hysteresis_states(p: np.ndarray, hi: float, lo: float, k: int, m: int) -> np.ndarray:
@@ -94,14 +129,14 @@ def hysteresis_states(p: np.ndarray, hi: float, lo: float, k: int, m: int) -> np
     return out
 
 
-def hysteresis(df: DataFrame, probability: str, *, hi: float, lo: float, k: int, m: int, by: Sequence[str], order: Sequence[str], out: str = "state") -> DataFrame:
+def hysteresis(df: DataFrame, probability: str, *, hi: float | Column, lo: float | Column, k: int | Column, m: int | Column, by: Sequence[str], order: Sequence[str], out: str = "state") -> DataFrame:
     """The states of each sequence.
 
     Where lo is not above hi, a run of k values of at least hi is 1 as a whole, a run of m values below lo is 0, and any
     other row carries the state before it: windows that spill, however long a sequence is. Else a value may count for
     both ways; then each sequence is one ordered pass in one task.
     """
-    if lo <= hi:
+    if isinstance(hi, Column) or lo <= hi:  # columns have to keep to it
         p = F.coalesce(F.nanvl(F.col(probability).cast("double"), F.lit(0.0)), F.lit(0.0))
         row = F.row_number().over(Window.partitionBy(*by).orderBy(*(F.col(c).asc_nulls_last() for c in order)))  # ties keep one order below
         inorder = Window.partitionBy(*by).orderBy("_row")

@@ -1,24 +1,27 @@
 """Power spectra of windows.
 
 Detrending, taper and Fourier transform are linear, so they fold into one coefficient for each bin and sample:
-power is a weighted sum of squares of two scalar products, computed inside Spark expressions.
+power is a weighted sum of squares of two scalar products, one matrix product for each Arrow batch of windows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 FLOOR = 1e-12
 
 
 def taper_of(name: str, n: int) -> np.ndarray:
-    """Periodic windows."""
-    t = 2 * np.pi * np.arange(n) / n
-    return {"hann": 0.5 - 0.5 * np.cos(t), "hamming": 0.54 - 0.46 * np.cos(t), "boxcar": np.ones(n)}[name]
+    """Periodic windows, and `hanning`, the symmetric one of plotted spectrograms."""
+    t, u = 2 * np.pi * np.arange(n) / n, 2 * np.pi * np.arange(n) / max(n - 1, 1)
+    return {"hann": 0.5 - 0.5 * np.cos(t), "hamming": 0.54 - 0.46 * np.cos(t), "boxcar": np.ones(n), "hanning": 0.5 - 0.5 * np.cos(u)}[name]
 
 
 def frequencies(n: int, fs: float, fmax: float) -> list[float]:
@@ -41,24 +44,47 @@ def coefficients(n: int, fs: float, fmax: float, taper: str = "hann", detrend: s
     return wave.real, wave.imag, factor
 
 
-def _dot(x: Column, row: np.ndarray) -> Column:
-    c = F.array(*(F.lit(float(v)) for v in row))
-    return F.aggregate(F.zip_with(x, c, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-
-
 def power_spectrum(windows: DataFrame, *, samples: str, n: int, fs: float, fmax: float, taper: str = "hann", detrend: str = "linear", scale: str = "db", out: str = "power") -> DataFrame:
-    """`power`, an array of one value a bin up to fmax, of windows with `samples`, an array of n numbers.
+    """`out`, an array of one value a bin up to fmax, of windows with `samples`, an array of n numbers.
 
     Windows of another length, or with a null, get a null.
     """
     re, im, factor = coefficients(n, fs, fmax, taper, detrend)
-    x = F.transform(F.col(samples), lambda v: v.cast("double"))
-    values = []
-    for k in range(len(factor)):
-        p = float(factor[k]) * (_dot(x, re[k]) * _dot(x, re[k]) + _dot(x, im[k]) * _dot(x, im[k]))
-        values.append(10 * F.log10(p + FLOOR) if scale == "db" else p)
-    whole = (F.size(samples) == n) & ~F.exists(F.col(samples), lambda v: v.isNull())
-    return windows.withColumn(out, F.when(whole, F.array(*values)))
+    kernel, bins = np.vstack([re, im]).T, len(factor)
+    keep = [c for c in windows.columns if c != out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(samples)
+            own = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(pc.list_value_length(column), n), False).to_numpy(zero_copy_only=False)))
+            flat = column.take(pa.array(own)).flatten()
+            whole = ~np.asarray(flat.is_null().to_numpy(zero_copy_only=False)).reshape(-1, n).any(1)
+            x = np.asarray(flat.cast(pa.float64()).to_numpy(zero_copy_only=False)).reshape(-1, n)[whole]
+            waves = x @ kernel
+            power = factor * (waves[:, :bins] ** 2 + waves[:, bins:] ** 2)
+            if scale == "db":
+                power = 10 * np.log10(power + FLOOR)
+            there = np.zeros(batch.num_rows, bool)
+            there[own[whole]] = True
+            ends = np.concatenate([[0], np.cumsum(there) * bins]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~there, False)), pa.array(power.ravel(), pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists], names=[*keep, out])
+
+    schema = StructType([*(f for f in windows.schema.fields if f.name != out), StructField(out, ArrayType(DoubleType()))])
+    return windows.mapInArrow(run, schema)
+
+
+def magnitude_spectrogram(samples: DataFrame, *, keys: Sequence[str], value: str, index: str, fs: float, n: int = 256, overlap: int = 128, scale: str = "db") -> DataFrame:
+    """keys, window (from 0), time_s (of its center), power (an array of n // 2 + 1 values) of each whole window of n
+    samples; the next begins n - overlap later. `index` numbers the samples of a key from 0. Symmetric taper, no detrending.
+    """
+    step = n - overlap
+    last, first = F.floor(F.col(index) / step), F.greatest(F.ceil((F.col(index) - n + 1) / step), F.lit(0))
+    rows = samples.select(*keys, F.col(index).alias("_i"), F.col(value).cast("double").alias("_v"), F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("window"))
+    values = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"])
+    windows = rows.groupBy(*keys, "window").agg(values.alias("_samples"))
+    found = power_spectrum(windows, samples="_samples", n=n, fs=fs, fmax=fs / 2, taper="hanning", detrend="none", scale=scale).where("power is not null")
+    return found.select(*keys, "window", ((F.col("window") * step + n / 2) / fs).alias("time_s"), "power")
 
 
 def bins_to_columns(spectra: DataFrame, n_bins: int, power: str = "power", freqs: Sequence[float] | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +40,25 @@ def query(name: str, sql: str | None = None, doubles: str = "") -> Callable:
     return wrap
 
 
+#: Settings that the registered queries need.
+SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+_own: WeakKeyDictionary[SparkSession, SparkSession] = WeakKeyDictionary()
+
+
+def session(spark: SparkSession) -> SparkSession:
+    """The session itself if its settings are those that the queries need, else one beside it: the caller's stays as it is."""
+    if all(spark.conf.get(k, None) == v for k, v in SETTINGS.items()):
+        return spark
+    if spark not in _own:
+        _own[spark] = spark.newSession()
+        for k, v in SETTINGS.items():
+            _own[spark].conf.set(k, v)
+    return _own[spark]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; its zone-less timestamps are UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark = session(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.withColumns({f.name: F.col(f.name).cast("timestamp") for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"} or {df.columns[0]: F.col(df.columns[0])})
 

@@ -15,7 +15,7 @@ _LABELLED = """SELECT e.event_id, e.reference, coalesce({pick}(l.label, (l.start
 
 def _label(spark, sf_dir, **how):
     points = events(spark, sf_dir).select("event_id", "reference", "_time")
-    return intervals.label_points(points, labels(spark, sf_dir), key="event_id", **how).select("event_id", "reference", "label")
+    return intervals.label_points(points, labels(spark, sf_dir), **how).select("event_id", "reference", "label")
 
 
 @query("j1_label_first", f"WITH {LB} {_LABELLED.format(pick='arg_min', shift=0)}")
@@ -59,19 +59,21 @@ def j7(spark, sf_dir):
 
 
 def _folds(spark, sf_dir):
-    return events(spark, sf_dir).where("reference < 4 and event_type = 'signup'").groupBy("reference").agg(F.min("_time").alias("start"), F.max("_time").alias("stop")).withColumn("fold", F.col("reference").cast("int"))
+    """Every reference is tested by one of five folds, over the time of its signups."""
+    spans = events(spark, sf_dir).where("event_type = 'signup'").groupBy("reference").agg(F.min("_time").alias("start"), F.max("_time").alias("stop"))
+    return spans.withColumn("fold", (F.col("reference") % 5).cast("int"))
 
 
-_FOLDS = "f AS (SELECT CAST(reference AS INTEGER) AS fold, reference, min(_time) AS start, max(_time) AS stop FROM ev WHERE reference < 4 AND event_type = 'signup' GROUP BY reference)"
+_FOLDS = "f AS (SELECT CAST(reference % 5 AS INTEGER) AS fold, reference, min(_time) AS start, max(_time) AS stop FROM ev WHERE event_type = 'signup' GROUP BY reference), k AS (SELECT DISTINCT fold FROM f)"
 
 
-@query("j8_embargo", f"WITH {EV}, {_FOLDS} SELECT fold, count(*) AS n_rows, CAST(sum(event_id) AS BIGINT) AS checksum FROM ev, f WHERE NOT (ev.reference = f.reference AND ev._time BETWEEN f.start - INTERVAL 60 SECOND AND f.stop + INTERVAL 60 SECOND) GROUP BY fold")
+@query("j8_embargo", f"WITH {EV}, {_FOLDS} SELECT fold, count(*) AS n_rows, CAST(sum(event_id) AS BIGINT) AS checksum FROM ev, k WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.fold = k.fold AND ev.reference = f.reference AND ev._time BETWEEN f.start - INTERVAL 60 SECOND AND f.stop + INTERVAL 60 SECOND) GROUP BY fold")
 def j8(spark, sf_dir):
     rows = intervals.embargo(events(spark, sf_dir), _folds(spark, sf_dir), seconds=60)
     return rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("event_id").alias("checksum"))
 
 
-@query("j9_sequence_embargo", f"WITH {EV}, {_FOLDS} SELECT fold, count(*) AS n_rows, CAST(sum(event_id) AS BIGINT) AS checksum FROM ev, f WHERE NOT (ev.reference = f.reference AND ev._time - INTERVAL 1 HOUR <= f.stop + INTERVAL 600 SECOND AND ev._time + INTERVAL 1 HOUR >= f.start - INTERVAL 600 SECOND) GROUP BY fold")
+@query("j9_sequence_embargo", f"WITH {EV}, {_FOLDS} SELECT fold, count(*) AS n_rows, CAST(sum(event_id) AS BIGINT) AS checksum FROM ev, k WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.fold = k.fold AND ev.reference = f.reference AND ev._time - INTERVAL 1 HOUR <= f.stop + INTERVAL 600 SECOND AND ev._time + INTERVAL 1 HOUR >= f.start - INTERVAL 600 SECOND) GROUP BY fold")
 def j9(spark, sf_dir):
     hour = F.expr("INTERVAL 1 HOUR")
     seqs = events(spark, sf_dir).withColumns({"seq_start": F.col("_time") - hour, "seq_stop": F.col("_time") + hour})
@@ -162,7 +164,11 @@ def j20(spark, sf_dir):
     return intervals.interval_overlaps(labels(spark, sf_dir), tie=["label_id"]).select("label_id", "previous_stop")
 
 
-@query("j21_resolve_conflicts")
+@query("j21_resolve_conflicts", f"""WITH RECURSIVE {LB}, n AS (SELECT *, row_number() OVER (PARTITION BY reference ORDER BY start, stop, label, label_id) AS i FROM lb),
+  p AS (SELECT a.reference, a.i AS i, b.i AS j, CASE WHEN epoch_us(a.stop) - epoch_us(a.start) <= epoch_us(b.stop) - epoch_us(b.start) THEN a.i ELSE b.i END AS loser, row_number() OVER (PARTITION BY a.reference ORDER BY a.i, b.i) AS k FROM n a JOIN n b ON a.reference = b.reference AND a.i < b.i AND b.start < a.stop AND a.label <> b.label),
+  r AS (SELECT DISTINCT reference, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone FROM lb
+    UNION ALL SELECT r.reference, p.k, CASE WHEN list_contains(gone, p.i) OR list_contains(gone, p.j) THEN gone ELSE list_append(gone, loser) END FROM r JOIN p ON p.reference = r.reference AND p.k = r.k + 1),
+  f AS (SELECT reference, arg_max(gone, k) AS gone FROM r GROUP BY 1) SELECT label_id, n.reference, start, stop, label, list_contains(gone, n.i) AS dropped FROM n JOIN f USING (reference)""")
 def j21(spark, sf_dir):
     return intervals.resolve_conflicts(labels(spark, sf_dir))
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from motionlake.functions import labels as lab
-from motionlake.operators import corrections, folds, intervals, metrics, models, segments
+from motionlake.operators import corrections, extraction, folds, intervals, metrics, models, segments
 from motionlake.plans import pipelines
-from motionlake.plans.common import EV, LB, PR, events, labels, predictions, query, table
+from motionlake.plans.common import EV, LB, PR, events, labels, predictions, query, session, table
+from motionlake.plans.window_queries import _HYST
+from motionlake.sources import sinks
 from motionlake.streaming import live
 
 _M = "round(CASE WHEN {tp}+{fp}=0 THEN 0 ELSE {tp}/({tp}+{fp}) END, 6) AS precision, round(CASE WHEN {tp}+{fn}=0 THEN 0 ELSE {tp}/({tp}+{fn}) END, 6) AS recall, round(CASE WHEN 2*{tp}+{fp}+{fn}=0 THEN 0 ELSE 2*{tp}/(2*{tp}+{fp}+{fn}) END, 6) AS f1"
@@ -64,11 +64,7 @@ def a26b(spark, sf_dir):
 
 @query("a27_window_sizes", f"WITH {EV}, w AS (SELECT unnest([3600, 7200]) AS window_s) SELECT window_s, count(DISTINCT epoch_us(_time) // (CAST(window_s AS BIGINT) * 1000000)) AS distinct_centers, count(*) FILTER (foot = 'Left') AS left_rows, count(*) FILTER (foot = 'Right') AS right_rows FROM ev, w GROUP BY 1")
 def a27(spark, sf_dir):
-    from motionlake.functions import times
-
-    e = events(spark, sf_dir).withColumn("window_s", F.explode(F.array(F.lit(3600), F.lit(7200))))
-    center = F.floor(times.micros("_time") / (F.col("window_s").cast("long") * 1_000_000))
-    return e.groupBy("window_s").agg(F.countDistinct(center).alias("distinct_centers"), F.count_if(F.col("foot") == "Left").alias("left_rows"), F.count_if(F.col("foot") == "Right").alias("right_rows"))
+    return metrics.window_sizes(events(spark, sf_dir), [3600, 7200])
 
 
 @query("a30_label_crosstab", "SELECT CASE quality WHEN 1 THEN 'walking' ELSE 'not_walking' END AS before, CASE toxic WHEN 1 THEN 'walking' ELSE 'not_walking' END AS after, count(*) AS n_rows FROM labels GROUP BY 1, 2")
@@ -96,12 +92,19 @@ def a19(spark, sf_dir):
     return _votes(spark, sf_dir)
 
 
-@query("a20_correction_rule", f"WITH {_VOTES} SELECT doc_id, CASE WHEN target = 0 AND votes >= 2 AND min_probability >= 0.1 THEN 1 WHEN target = 1 AND votes = 2 AND max_probability <= 0.5 THEN 0 END AS proposed FROM (SELECT *, votes AS v FROM cs) WHERE (target = 0 AND votes >= 2 AND min_probability >= 0.1) OR (target = 1 AND votes = 2 AND max_probability <= 0.5)")
+_POLL = "po AS (SELECT event_id, reference, _time, CAST(event_id % 2 AS INTEGER) AS target, m AS model, least(probability * (6 + m) / 2.0, 1.0) AS probability, CAST(least(probability * (6 + m) / 2.0, 1.0) >= 0.4 AS INTEGER) AS prediction FROM pr, (SELECT unnest([1, 2, 3]) AS m)), pc AS (SELECT event_id, min(target) AS target, count(DISTINCT model) AS n_models, sum(prediction) AS votes, min(probability) AS min_probability, max(probability) AS max_probability FROM po GROUP BY 1), pp AS (SELECT event_id, CASE WHEN target = 0 THEN 1 ELSE 0 END AS proposed, max_probability FROM pc WHERE (target = 0 AND votes = n_models AND min_probability >= 0.5) OR (target = 1 AND votes = 0 AND max_probability <= 0.2))"
+
+
+def _poll(spark, sf_dir):
+    """Three models that mostly agree: the same probability, scaled by each."""
+    p = predictions(spark, sf_dir).withColumn("model", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    p = p.withColumn("probability", F.least(F.col("probability") * (6 + F.col("model")) / 2, F.lit(1.0)))
+    return p.withColumn("prediction", (F.col("probability") >= 0.4).cast("int"))
+
+
+@query("a20_correction_rule", f"WITH {PR}, {_POLL} SELECT event_id, proposed FROM pp")
 def a20(spark, sf_dir):
-    """Votes are two of three here by construction; the rule is asked with the votes counted from two on."""
-    v = _votes(spark, sf_dir)
-    v = v.withColumn("votes", F.when((F.col("target") == 0) & (F.col("votes") >= 2), F.col("n_models")).when((F.col("target") == 1) & (F.col("votes") == 2), 0).otherwise(1))
-    return corrections.propose(v, high=0.1, low=0.5).select("doc_id", "proposed")
+    return corrections.propose(corrections.consensus(_poll(spark, sf_dir), keys=["event_id"]), high=0.5, low=0.2).select("event_id", "proposed")
 
 
 _GRID = [0.05, 0.1, 0.2, 0.4]
@@ -131,9 +134,11 @@ def m14(spark, sf_dir):
     return s.select("threshold", "min_run", *_SHORT)
 
 
-@query("m15_hysteresis_sweep")
+@query("m15_hysteresis_sweep", f"WITH RECURSIVE {PR}, {_HYST.format(grid='(0.1, 0.05, 2, 2), (0.2, 0.1, 1, 2), (0.1, 0.1, 3, 1)', k1=2, m1=1)}, sw AS (SELECT hi AS enter, lo AS exit, k AS enter_run, m AS exit_run, {_COUNTS.format(y='target', h='state = 1')} FROM hy GROUP BY ALL) SELECT CAST(enter AS DOUBLE) AS enter, CAST(exit AS DOUBLE) AS exit, enter_run, exit_run, tp, fp, fn, tn, {_MET} FROM sw", "enter exit")
 def m15(spark, sf_dir):
-    return metrics.sweep_hysteresis(predictions(spark, sf_dir), "target", "probability", [(0.1, 0.05, 2, 2), (0.2, 0.1, 1, 2), (0.05, 0.1, 1, 1)], by=["reference"], order=["_time", "event_id"])
+    grid = [(0.1, 0.05, 2, 2), (0.2, 0.1, 1, 2), (0.1, 0.1, 3, 1), (0.05, 0.1, 1, 1)]  # the last one leaves above where it enters
+    s = metrics.sweep_hysteresis(predictions(spark, sf_dir), "target", "probability", grid, by=["reference"], order=["_time", "event_id"])
+    return s.select("enter", "exit", "enter_run", "exit_run", *_SHORT)
 
 
 _TWO = "(SELECT *, ((event_id * 7) % 100) / 100.0 AS other FROM pr)"
@@ -152,11 +157,14 @@ def f8(spark, sf_dir):
     return segments.min_run(rows, (F.col("probability") >= 0.05) & (F.col("other") >= 0.3), 3, by=["reference"], order=["_time", "event_id"]).select("event_id", "kept")
 
 
-@query("m1_stratified_folds", "SELECT quality, n_folds, spread <= 1 AS even FROM (SELECT quality, least(count(*), 5) AS n_folds, CASE WHEN count(*) >= 0 THEN 1 END AS spread FROM labels GROUP BY 1)")
+#: crc32 of an id and a seed as text, bit by bit, in SQL.
+_CRC = """b AS (SELECT doc_id, quality, list_transform(string_split(CAST(doc_id AS VARCHAR) || ':1', ''), lambda c: CAST(ascii(c) AS BIGINT)) AS bytes FROM labels),
+  c AS (SELECT doc_id, quality, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda h, x: list_reduce(list_prepend(xor(h, x), [CAST(0 AS BIGINT)] || [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0]), lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, CAST(3988292384 AS BIGINT)) ELSE y // 2 END)), CAST(4294967295 AS BIGINT)) AS h FROM b)"""
+
+
+@query("m1_stratified_folds", f"WITH {_CRC} SELECT doc_id, quality, CAST((row_number() OVER (PARTITION BY quality ORDER BY h % 256, h, doc_id) - 1) % 5 AS INTEGER) AS fold FROM c")
 def m1(spark, sf_dir):
-    f = folds.stratified_folds(table(spark, sf_dir, "labels"), target="quality", key="doc_id", k=5, seed=1)
-    each = f.groupBy("quality", "fold").agg(F.count(F.lit(1)).alias("n"))
-    return each.groupBy("quality").agg(F.count(F.lit(1)).alias("n_folds"), (F.max("n") - F.min("n") <= 1).alias("even"))
+    return folds.stratified_folds(table(spark, sf_dir, "labels"), target="quality", key="doc_id", k=5, seed=1).select("doc_id", "quality", "fold")
 
 
 @query("m2_leave_one_group_out", "WITH g AS (SELECT DISTINCT lang AS fold_group FROM documents) SELECT fold_group, lang IS NOT DISTINCT FROM fold_group AS is_test, count(*) AS n_rows FROM documents, g GROUP BY 1, 2")
@@ -204,7 +212,7 @@ def _scored(pred):
 @query("m7_random_forest")
 def m7(spark, sf_dir):
     rows, names = _ml(spark, sf_dir)
-    return _scored(models.out_of_fold(rows, models.random_forest(names, "target", trees=30), [0, 1, 2]))
+    return _scored(models.out_of_fold(rows, models.random_forest(names, "target"), [0, 1, 2]))
 
 
 @query("m8_boosted_trees")
@@ -227,16 +235,18 @@ def m10(spark, sf_dir):
     bounds = flat.groupBy("fold", "reference").agg(F.min("_time").alias("start"), F.max("_time").alias("stop"))
 
     def train(f):
-        return intervals.sequence_embargo_groups(flat.where(F.col("fold") != f).drop("fold"), bounds.where(F.col("fold") == f), seconds=15)
+        return intervals.sequence_embargo(flat.where(F.col("fold") != f).drop("fold"), bounds.where(F.col("fold") == f), seconds=15)
 
     return _scored(models.out_of_fold(flat, models.sequence_classifier("target", 5, rounds=20), [0, 1, 2], train_on=train))
 
 
 @query("m11_batch_scoring")
 def m11(spark, sf_dir):
+    """A fitted model is saved, read back and applied to all rows."""
     rows, names = _ml(spark, sf_dir)
-    model = models.logistic(names, "target", rounds=30).fit(rows.where("fold <> 0"))
-    return models.score(rows, model, threshold=0.6).groupBy("prediction_label").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("walking_probability").alias("mean_probability"))
+    path = sinks.scratch_path(session(spark), "model")
+    models.save(models.logistic(names, "target", rounds=30).fit(rows.where("fold <> 0")), path)
+    return models.score(rows, models.load(path), threshold=0.6).groupBy("prediction_label").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("walking_probability").alias("mean_probability"))
 
 
 @query("m12_feature_importance")
@@ -247,15 +257,9 @@ def m12(spark, sf_dir):
 
 @query("m17_offset_sensitivity")
 def m17(spark, sf_dir):
-    """Labels shifted by each offset, a forest for each, out-of-fold metrics."""
-    out = None
-    points = predictions(spark, sf_dir).drop("target").withColumn("fold", (F.col("reference") % 2).cast("int")).withColumn("hour", F.hour("_time").cast("double")).withColumnRenamed("probability", "p")
-    for offset in (0, 7200):
-        rows = intervals.label_points(points, labels(spark, sf_dir), key="event_id", overlap="last", offset_s=offset).where("label <> 'NO_LABEL'").withColumn("target", lab.target(F.col("label")).cast("int"))
-        pred = models.out_of_fold(rows, models.random_forest(["p", "hour"], "target", trees=10), [0, 1])
-        m = metrics.binary_metrics(pred, "target", "prediction").withColumn("offset_s", F.lit(offset))
-        out = m if out is None else out.unionByName(m)
-    return out
+    """Labels shifted by up to two hours, as days stand for minutes here; a forest for each offset and fold of time blocks."""
+    points = predictions(spark, sf_dir).drop("target").withColumn("hour", F.hour("_time").cast("double")).withColumnRenamed("probability", "p")
+    return models.sweep_offsets(points, labels(spark, sf_dir), ["p", "hour"], [-7200, -3600, 0, 3600, 7200], gap_s=43_200, embargo_s=15, trees=20, tie=["event_id"])
 
 
 @query("m18_class_weight_sweep")
@@ -278,45 +282,168 @@ def r12(spark, sf_dir):
     return train.withColumn("validation", F.lit(False)).unionByName(validation.withColumn("validation", F.lit(True))).groupBy("validation").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("c1_main_dataset", f"""WITH {LB}, w AS (SELECT e.reference, date_trunc('day', e._time) AS day, arg_min(l.label, (l.start, l.stop, l.label)) AS label_, e.event_id, e.event_type, e.value FROM ev e LEFT JOIN lb l ON e.reference = l.reference AND e._time >= l.start AND e._time < l.stop GROUP BY ALL),
-  x AS (SELECT reference, day, label_ AS mov_type, avg(value) FILTER (event_type = 'view') AS view_value, avg(value) FILTER (event_type = 'click') AS click_value FROM w WHERE label_ IS NOT NULL GROUP BY 1, 2, 3)
-  SELECT *, CASE mov_type WHEN 'walking' THEN 1 ELSE 0 END AS target FROM x WHERE view_value IS NOT NULL AND click_value IS NOT NULL""", "view_value click_value")
+_STEP, _DAYS = 86_400_000_000, 4
+_HOW = {"signals": ["v"], "step_us": _STEP, "window_us": _DAYS * _STEP, "hop_us": _STEP, "fs": 1.0, "fmax": 0.5, "limit": 3, "least": 0.2, "detrend": "constant", "scale": "density", "double_half": False}
+
+
+def _spectrogram_sql(samples: str, requests: str, signals: str, least: float) -> str:
+    """Windows of five daily bins in the time that both feet share, gaps of up to three bins filled, and their spectrum:
+    sp (request_id, reference, foot, center_us, signal, completeness, bin, p). samples: reference, foot, _time, signal, v."""
+    return f"""xs AS ({samples}), rq AS ({requests}), sg AS (SELECT unnest([{signals}]) AS signal),
+  inq AS (SELECT rq.request_id, xs.* FROM xs JOIN rq ON rq.reference = xs.reference AND _time >= rq.start AND _time < rq.stop WHERE foot IS NOT NULL),
+  bn AS (SELECT request_id, reference, foot, signal, epoch_us(_time) // {_STEP} * {_STEP} AS t, avg(v) AS v FROM inq GROUP BY ALL),
+  bo AS (SELECT request_id, reference, foot, min(t) AS lo, max(t) AS hi FROM bn GROUP BY ALL), gd AS (SELECT request_id, reference, foot, signal, unnest(range(lo, hi + 1, {_STEP})) AS t FROM bo, sg),
+  gr AS (SELECT gd.*, v, row_number() OVER (PARTITION BY gd.request_id, gd.foot, gd.signal ORDER BY t) AS i FROM gd LEFT JOIN bn USING (request_id, reference, foot, signal, t)),
+  ed AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER b AS li, last_value(v IGNORE NULLS) OVER b AS lv, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER a AS ri, first_value(v IGNORE NULLS) OVER a AS rv FROM gr
+    WINDOW b AS (PARTITION BY request_id, foot, signal ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY request_id, foot, signal ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+  fl AS (SELECT request_id, reference, foot, signal, t, v IS NOT NULL AS seen, coalesce(v, CASE WHEN i - li <= 3 AND ri IS NOT NULL THEN lv + (rv - lv) * (i - li) / (ri - li) END) AS v FROM ed),
+  cm AS (SELECT request_id, max(lo) AS lo, min(hi) AS hi FROM bo GROUP BY 1 HAVING count(*) = 2),
+  ct AS (SELECT request_id, unnest(range(greatest(lo, epoch_us(start)) + {2 * _STEP}, least(hi, epoch_us(stop)) - {2 * _STEP} + 1, {_STEP})) AS center_us FROM cm JOIN rq USING (request_id)),
+  wn AS (SELECT fl.*, center_us, row_number() OVER (PARTITION BY request_id, foot, signal, center_us ORDER BY t) - 1 AS j, count(*) OVER (PARTITION BY request_id, foot, signal, center_us) AS n FROM fl JOIN ct USING (request_id) WHERE t BETWEEN center_us - {2 * _STEP} AND center_us + {2 * _STEP}),
+  cp AS (SELECT request_id, foot, center_us, count(*) FILTER (seen) / (5.0 * max(m)) AS completeness FROM wn, (SELECT count(*) AS m FROM sg) WHERE n = 5 GROUP BY request_id, foot, center_us HAVING count(*) FILTER (seen) / (5.0 * max(m)) >= {least}),
+  wh AS (SELECT request_id, foot, signal, center_us, avg(v) AS mean FROM wn GROUP BY ALL HAVING count(v) = 5),
+  yy AS (SELECT wn.*, completeness, (v - mean) * (0.5 - 0.5 * cos(2 * pi() * j / 5)) AS y FROM wn JOIN cp USING (request_id, foot, center_us) JOIN wh USING (request_id, foot, signal, center_us)),
+  tw AS (SELECT sum(pow(0.5 - 0.5 * cos(2 * pi() * i / 5), 2)) AS w FROM (SELECT unnest(range(0, 5)) AS i)),
+  sp AS (SELECT request_id, reference, foot, center_us, signal, completeness, k AS bin, max(CASE WHEN k = 0 THEN 1 ELSE 2 END / w) * (pow(sum(y * cos(2 * pi() * k * j / 5)), 2) + pow(sum(y * sin(2 * pi() * k * j / 5)), 2)) AS p FROM yy, (SELECT unnest(range(0, 3)) AS k), tw GROUP BY request_id, reference, foot, center_us, signal, completeness, k)"""
+
+
+def _samples(spark, sf_dir):
+    """Events of all kinds stand for a foot, half of the kinds each, so that both feet have samples on most days."""
+    e = events(spark, sf_dir)
+    return e.select("event_id", "reference", F.when(F.col("event_id") % 2 == 0, "Left").otherwise("Right").alias("foot"), "_time", F.col("value").alias("v"))
+
+
+_SAMPLES = "SELECT reference, CASE WHEN event_id % 2 = 0 THEN 'Left' ELSE 'Right' END AS foot, _time, 'v' AS signal, value AS v FROM ev"
+
+
+def _windows_asked(spark, sf_dir):
+    """A window table: the labelled span of each reference; of every fifth reference a long negative, not for training."""
+    r = pipelines.requests_of(labels(spark, sf_dir))
+    return r.withColumn("label", F.when(F.col("reference") % 5 == 0, "not_walking").otherwise("walking"))
+
+
+_ASKED = "SELECT reference AS request_id, reference, min(start) AS start, max(stop) AS stop FROM lb GROUP BY reference HAVING NOT (reference % 5 = 0 AND epoch_us(max(stop)) - epoch_us(min(start)) > 600000000)"
+_WIDE = ", ".join(f'max(p) FILTER (foot = \'{f}\' AND bin = {k}) AS "{f}_v_p_00{k}"' for f in ("Left", "Right") for k in range(3))
+_WIDE_NAMES = [f"{f}_v_p_00{k}" for f in ("Left", "Right") for k in range(3)]
+_WHOLE = " AND ".join(f'"{c}" IS NOT NULL' for c in _WIDE_NAMES)
+
+
+@query("c1_main_dataset", f"""WITH {LB}, {_spectrogram_sql(_SAMPLES, _ASKED, "'v'", 0.2)},
+  lc AS (SELECT sp.reference, center_us, foot, bin, p, arg_min(l.label, (l.start, l.stop, l.label)) AS mov_type FROM sp JOIN lb l ON l.reference = sp.reference AND make_timestamp(center_us) >= l.start AND make_timestamp(center_us) < l.stop GROUP BY ALL),
+  wd AS (SELECT reference, center_us, mov_type, {_WIDE} FROM lc GROUP BY 1, 2, 3) SELECT *, CASE mov_type WHEN 'walking' THEN 1 ELSE 0 END AS target FROM wd WHERE {_WHOLE}""", " ".join(f'"{c}"' for c in _WIDE_NAMES))
 def c1(spark, sf_dir):
-    out = pipelines.main_dataset(events(spark, sf_dir), labels(spark, sf_dir))
-    return out.withColumn("target", F.col("target").cast("int"))
+    out = pipelines.main_dataset(_samples(spark, sf_dir), _windows_asked(spark, sf_dir), labels(spark, sf_dir), **_HOW)
+    return out.select("reference", "center_us", "mov_type", *_WIDE_NAMES, "target")
 
 
 @query("c2_reproduce_evaluation")
 def c2(spark, sf_dir):
-    return pipelines.reproduce(events(spark, sf_dir), labels(spark, sf_dir))
+    path = sinks.scratch_path(session(spark), "final-model")
+    return pipelines.reproduce(_samples(spark, sf_dir), labels(spark, sf_dir), path, trees=30, leaf=2, **_HOW)
+
+
+_TILES = """ti AS (SELECT label_id, reference, tile, start + INTERVAL 1 DAY * (2 * tile) AS start, start + INTERVAL 1 DAY * (2 * tile + 2) AS stop FROM (SELECT *, unnest(range(0, 2)) AS tile FROM lb)),
+  tc AS (SELECT ti.label_id, ti.tile, ti.reference, ti.start, ti.stop, count(*) FILTER (foot = 'Left') AS l, count(*) FILTER (foot = 'Right') AS r FROM ti LEFT JOIN es ON es.reference = ti.reference AND es._time >= ti.start AND es._time < ti.stop GROUP BY ALL),
+  tq AS (SELECT *, least(l, r) >= 2 AS ok, row_number() OVER w AS scan_rank, coalesce(sum(CASE WHEN least(l, r) >= 2 THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tc WINDOW w AS (PARTITION BY reference ORDER BY label_id, tile)),
+  tv AS (SELECT * FROM tq WHERE ok AND scan_rank <= 6 AND before < 2)"""
+_AUTO = """en AS (SELECT tv.label_id, tv.tile, tv.reference, foot, time_bucket(INTERVAL 6 HOUR, _time, TIMESTAMP '1970-01-01') AS ws, coalesce(stddev_samp(value), 0) AS energy, count(*) AS samples FROM tv JOIN es ON es.reference = tv.reference AND es._time >= tv.start AND es._time < tv.stop GROUP BY ALL),
+  md AS (SELECT label_id, tile, quantile_cont(energy, 0.5) AS med, avg(energy) AS av, stddev_pop(energy) AS sd FROM en GROUP BY ALL), ma AS (SELECT label_id, tile, quantile_cont(abs(energy - med), 0.5) AS mad FROM en JOIN md USING (label_id, tile) GROUP BY ALL),
+  sc AS (SELECT en.*, greatest(0, CASE WHEN mad > 0 THEN (energy - med) / (1.4826 * mad) WHEN sd > 0 THEN (energy - av) / sd ELSE 0 END) AS score FROM en JOIN md USING (label_id, tile) JOIN ma USING (label_id, tile)),
+  ms AS (SELECT label_id, tile, reference, ws, avg(score) AS score, count(DISTINCT foot) AS feet FROM sc GROUP BY ALL),
+  th AS (SELECT label_id, tile, quantile_cont(score, 0.35) AS low, CASE WHEN quantile_cont(score, 0.75) <= quantile_cont(score, 0.35) THEN max(score) ELSE quantile_cont(score, 0.75) END AS high FROM ms GROUP BY ALL),
+  cw AS (SELECT ms.*, CASE WHEN score >= high THEN 'walking' WHEN score <= low THEN 'not_walking' END AS label FROM ms JOIN th USING (label_id, tile)),
+  cn AS (SELECT *, CASE WHEN lag(label) OVER w = label AND epoch_us(ws) - epoch_us(lag(ws) OVER w) <= 32400000000 THEN 0 ELSE 1 END AS new FROM cw WHERE label IS NOT NULL WINDOW w AS (PARTITION BY label_id, tile ORDER BY ws)),
+  cs AS (SELECT *, sum(new) OVER (PARTITION BY label_id, tile ORDER BY ws) AS segment FROM cn),
+  ac AS (SELECT reference, min(label) AS label, min(ws) AS start, max(ws) + INTERVAL 6 HOUR AS stop FROM cs GROUP BY label_id, tile, reference, segment HAVING epoch_us(max(ws)) - epoch_us(min(ws)) + 21600000000 >= 36000000000 AND min(feet) >= 1)"""
+
+
+@query("c4_label_extension", f"""WITH {LB}, es AS (SELECT event_id, reference, CASE WHEN event_id % 2 = 0 THEN 'Left' ELSE 'Right' END AS foot, _time, value FROM ev), {_TILES}, {_AUTO},
+  ba AS (SELECT e.event_id, e.reference, e._time, arg_min(l.label, (l.start, l.stop, l.label)) AS label FROM es e JOIN lb l ON e.reference = l.reference AND e._time >= l.start AND e._time < l.stop GROUP BY ALL),
+  au AS (SELECT e.event_id, e.reference, e._time, arg_max(l.label, (l.start, l.stop, l.label)) AS label FROM es e JOIN ac l ON e.reference = l.reference AND e._time >= l.start AND e._time < l.stop GROUP BY ALL)
+  SELECT *, 'base' AS dataset_source FROM ba UNION ALL SELECT *, 'auto' FROM au WHERE event_id NOT IN (SELECT event_id FROM ba)""")
+def c4(spark, sf_dir):
+    l = labels(spark, sf_dir)  # noqa: E741
+    candidates = l.withColumn("stop", F.col("start") + F.expr("INTERVAL 4 DAYS"))
+    samples = _samples(spark, sf_dir).withColumnRenamed("v", "value")
+    out = pipelines.label_extension(samples, l, candidates, tile_s=172_800, least_records=2, most_valid=2, most_scanned=6, window_us=21_600_000_000, least_s=36_000, feet=1)
+    return out.select("event_id", "reference", "_time", "label", "dataset_source")
+
+
+@query("c5_correction_audit", f"""WITH {PR}, {_POLL}, pl AS (SELECT pp.*, reference, _time FROM pp JOIN pr USING (event_id)),
+  gn AS (SELECT *, CASE WHEN lag(proposed) OVER w = proposed AND epoch_us(_time) - epoch_us(lag(_time) OVER w) <= 172800000000 THEN 0 ELSE 1 END AS new FROM pl WINDOW w AS (PARTITION BY reference ORDER BY _time, event_id)),
+  gr AS (SELECT *, sum(new) OVER (PARTITION BY reference ORDER BY _time, event_id) AS run FROM gn),
+  ru AS (SELECT reference, run, proposed, min(_time) AS run_start, max(_time) AS run_end, count(*) AS n_windows, max(max_probability) AS mp FROM gr GROUP BY ALL ORDER BY n_windows DESC, mp DESC, reference, run_start LIMIT 40),
+  ft AS (SELECT ru.reference, run, ru.proposed, run_start, run_end, foot, stddev_samp(value) AS s FROM ru JOIN (SELECT reference, CASE WHEN event_id % 2 = 0 THEN 'Left' ELSE 'Right' END AS foot, _time, value FROM ev) e ON e.reference = ru.reference AND e._time BETWEEN run_start AND run_end GROUP BY ALL),
+  de AS (SELECT reference, proposed, run_start, run_end, (proposed = 1 AND avg(s) >= 25) OR (proposed = 0 AND avg(s) <= 40) AS confirm FROM ft GROUP BY reference, run, proposed, run_start, run_end),
+  jd AS (SELECT event_id, pl.proposed, bool_or(coalesce(confirm, FALSE)) AS confirm FROM pl JOIN de ON de.reference = pl.reference AND de.proposed = pl.proposed AND pl._time BETWEEN run_start AND run_end GROUP BY ALL)
+  SELECT pr.event_id, CAST(CASE WHEN confirm THEN jd.proposed ELSE target END AS INTEGER) AS target, CASE WHEN (CASE WHEN confirm THEN jd.proposed ELSE target END) = 1 THEN 'walking' ELSE 'not_walking' END AS mov_type, coalesce(confirm, FALSE) AS corrected, jd.proposed AS asked, CASE WHEN confirm THEN 'confirm' WHEN confirm IS NOT NULL THEN 'leave' END AS decision FROM pr LEFT JOIN jd USING (event_id)""")
+def c5(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    data = p.select("event_id", "reference", "_time", "target", lab.label_of(F.col("target")).alias("mov_type"))
+    samples = _samples(spark, sf_dir).withColumnRenamed("v", "value")
+    out = pipelines.correction_audit(data, _poll(spark, sf_dir), samples, key="event_id", high=0.5, low=0.2, top=40, gap_us=2 * _STEP, moving=25, still=40)
+    return out.select("event_id", "target", "mov_type", "corrected", "asked", "decision")
 
 
-@query("c4_label_extension", f"WITH {LB} SELECT label, count(*) > 0 AS has_rows FROM lb GROUP BY 1")
-def c4(spark, sf_dir):
-    out = pipelines.label_extension(events(spark, sf_dir), labels(spark, sf_dir))
-    return out.groupBy("label").agg((F.count(F.lit(1)) > 0).alias("has_rows"))
+_CHOSEN = "ch AS (SELECT reference, row_number() OVER (ORDER BY n DESC, reference) AS order_index FROM (SELECT reference, count(*) AS n FROM ev WHERE event_type = 'signup' GROUP BY 1 HAVING count(*) >= 8))"
 
 
-@query("c5_correction_audit", f"WITH {_VOTES}, p AS (SELECT doc_id, CASE WHEN target = 0 THEN 1 ELSE 0 END AS proposed FROM cs WHERE (target = 0 AND votes = n_models AND min_probability >= 0.1) OR (target = 1 AND votes = 0 AND max_probability <= 0.5)) SELECT quality, count(*) AS n_rows, count(*) FILTER (p.proposed IS NOT NULL) AS n_corrected FROM labels LEFT JOIN p USING (doc_id) GROUP BY 1")
-def c5(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels")
-    data = rows.select("doc_id", "quality", F.col("quality").alias("target"), lab.label_of(F.col("quality")).alias("mov_type"))
-    fixed = corrections.apply(data, corrections.propose(_votes(spark, sf_dir), high=0.1, low=0.5), keys=["doc_id"])
-    return fixed.groupBy("quality").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("corrected")).alias("n_corrected"))
+def _chosen(spark, sf_dir):
+    s = events(spark, sf_dir).where("event_type = 'signup'").groupBy("reference").agg(F.count(F.lit(1)).alias("n")).where("n >= 8")
+    return s.withColumn("order_index", F.row_number().over(Window.orderBy(F.desc("n"), "reference"))).select("reference", "order_index")  # a row for each reference
 
 
-@query("c6_sequence_evaluation", f"WITH {LB}, l AS (SELECT e.event_id, e.reference, e._time, least(e.value / 200, 1.0) AS probability, arg_min(l.label, (l.start, l.stop, l.label)) AS label FROM ev e JOIN lb l ON e.reference = l.reference AND e._time >= l.start AND e._time < l.stop GROUP BY ALL), x AS (SELECT *, probability >= 0.1 AS flag FROM l), y AS (SELECT *, CASE WHEN flag IS DISTINCT FROM lag(flag) OVER w THEN 1 ELSE 0 END AS new FROM x WINDOW w AS (PARTITION BY reference ORDER BY _time, event_id)), z AS (SELECT *, sum(new) OVER (PARTITION BY reference ORDER BY _time, event_id) AS run FROM y), h AS (SELECT *, flag AND count(*) OVER (PARTITION BY reference, run) >= 2 AS hat, CASE label WHEN 'walking' THEN 1 ELSE 0 END AS target FROM z), c AS (SELECT reference, {_COUNTS.format(y='target', h='hat')} FROM h GROUP BY 1) SELECT reference, tp, fp, fn, tn, {_MET} FROM c")
+@query("c6_sequence_evaluation", f"""WITH {LB}, {_CHOSEN}, l AS (SELECT e.event_id, e.reference, e._time, least(e.value / 200, 1.0) AS probability, arg_min(l.label, (l.start, l.stop, l.label)) AS label FROM ev e JOIN lb l ON e.reference = l.reference AND e._time >= l.start AND e._time < l.stop GROUP BY ALL),
+  x AS (SELECT l.*, probability >= 0.1 AS flag, row_number() OVER (ORDER BY order_index, _time, event_id) AS position FROM l JOIN ch USING (reference)),
+  y AS (SELECT *, CASE WHEN flag IS DISTINCT FROM lag(flag) OVER w THEN 1 ELSE 0 END AS new FROM x WINDOW w AS (PARTITION BY reference ORDER BY _time, event_id)), z AS (SELECT *, sum(new) OVER (PARTITION BY reference ORDER BY _time, event_id) AS run FROM y),
+  h AS (SELECT *, flag AND count(*) OVER (PARTITION BY reference, run) >= 2 AS smooth, CASE label WHEN 'walking' THEN 1 ELSE 0 END AS target FROM z), s AS (SELECT *, unnest(['raw', 'smoothed']) AS stage FROM h),
+  c AS (SELECT reference, stage, min(position) AS first_position, max(position) AS last_position, {_COUNTS.format(y='target', h="CASE stage WHEN 'raw' THEN flag ELSE smooth END")} FROM s GROUP BY 1, 2)
+  SELECT reference, stage, first_position, last_position, tp, fp, fn, tn, {_MET} FROM c""")
 def c6(spark, sf_dir):
-    out = pipelines.sequence_evaluation(predictions(spark, sf_dir).drop("target"), labels(spark, sf_dir), threshold=0.1, min_run=2)
-    return out.select("reference", *_SHORT)
+    out = pipelines.sequence_evaluation(predictions(spark, sf_dir).drop("target"), labels(spark, sf_dir), _chosen(spark, sf_dir), threshold=0.1, min_run=2)
+    return out.select("reference", "stage", "first_position", "last_position", *_SHORT)
 
 
-@query("c3_hard_negatives")
-def c3(spark, sf_dir):
-    """Single-signal texts of one foot and signal for each user, read back, spread within seconds, spectra, wide, binary."""
-    from motionlake.plans.points_queries import s7
+@query("c6_scored_evaluation")
+def c6b(spark, sf_dir):
+    """The same with a model's own scores: fitted on half of the references, saved, read back, applied to all rows."""
+    rows = events(spark, sf_dir).select("event_id", "reference", "_time", "value", F.hour("_time").cast("double").alias("hour"))
+    known = intervals.label_points(rows, labels(spark, sf_dir)).where("label <> 'NO_LABEL' and reference % 2 = 0").withColumn("target", lab.target(F.col("label")).cast("int"))
+    path = sinks.scratch_path(session(spark), "model")
+    models.save(models.logistic(["value", "hour"], "target", rounds=30).fit(known), path)
+    scored = pipelines.scored(rows, models.load(path), threshold=0.5).select("event_id", "reference", "_time", "probability")
+    return pipelines.sequence_evaluation(scored, labels(spark, sf_dir), _chosen(spark, sf_dir), threshold=0.5, min_run=2).select("reference", "stage", *_SHORT)
+
+
+def _bundle(spark, sf_dir):
+    """Bundle rows: two signals, times cut to the second."""
+    e = _samples(spark, sf_dir)
+    return e.select("reference", "foot", F.when(F.col("event_id") % 3 == 0, "Gx").otherwise("Ax").alias("signal"), F.col("event_id").alias("sample_order"), F.date_trunc("second", "_time").alias("_time"), F.col("v").alias("value"))
 
-    return pipelines.hard_negatives(s7(spark, sf_dir))
+
+_BUNDLE = """SELECT reference, foot, make_timestamp(us) AS _time, signal, avg(v) AS v FROM (SELECT reference, foot, signal, v, epoch_us(sec) + (row_number() OVER (PARTITION BY reference, foot, signal, sec ORDER BY event_id) - 1) * 1000000 // count(*) OVER (PARTITION BY reference, foot, signal, sec) AS us
+  FROM (SELECT event_id, reference, CASE WHEN event_id % 2 = 0 THEN 'Left' ELSE 'Right' END AS foot, CASE WHEN event_id % 3 = 0 THEN 'Gx' ELSE 'Ax' END AS signal, date_trunc('second', _time) AS sec, value AS v FROM ev)) GROUP BY ALL"""
+_SPANS = "SELECT reference AS request_id, reference, min(start) AS start, max(stop) AS stop FROM lb GROUP BY reference"
+_BUNDLE_HOW = _HOW | {"signals": ["Ax", "Gx"], "least": 0.03}
+_FIVE = f"""{LB}, {_spectrogram_sql(_BUNDLE, _SPANS, "'Ax', 'Gx'", 0.03)},
+  f5 AS (SELECT request_id, reference, foot, center_us, completeness, s.signal, 'not_walking' AS mov_type, coalesce(max(p) FILTER (bin = 0 AND sp.signal = s.signal), 0.0) AS p_000, coalesce(max(p) FILTER (bin = 1 AND sp.signal = s.signal), 0.0) AS p_001, coalesce(max(p) FILTER (bin = 2 AND sp.signal = s.signal), 0.0) AS p_002 FROM sp, sg s GROUP BY ALL)"""
+
+
+@query("f5_bundle_spectrogram", f"WITH {_FIVE} SELECT * FROM f5", "completeness p_000 p_001 p_002")
+def f5(spark, sf_dir):
+    spans = pipelines.requests_of(labels(spark, sf_dir)).select("request_id", "reference", "start", "stop")
+    out = extraction.bundle_spectrogram(_bundle(spark, sf_dir), spans, **_BUNDLE_HOW)
+    return out.select("request_id", "reference", "foot", "center_us", "completeness", "signal", "mov_type", "p_000", "p_001", "p_002")
+
+
+_HARD = [f"{f}_{s}_p_00{k}" for f in ("Left", "Right") for s in ("Ax", "Gx") for k in range(3)]
+_HARD_SQL = ", ".join(f"max(p_00{k}) FILTER (foot = '{f}' AND signal = '{s}') AS \"{f}_{s}_p_00{k}\"" for f in ("Left", "Right") for s in ("Ax", "Gx") for k in range(3))
+
+
+@query("c3_hard_negatives", f"WITH {_FIVE}, w AS (SELECT reference, center_us, mov_type, {_HARD_SQL} FROM f5 GROUP BY 1, 2, 3) SELECT *, 0 AS target FROM w WHERE {' AND '.join(chr(34) + c + chr(34) + ' IS NOT NULL' for c in _HARD)}", " ".join(f'"{c}"' for c in _HARD))
+def c3(spark, sf_dir):
+    spans = pipelines.requests_of(labels(spark, sf_dir)).select("request_id", "reference", "start", "stop")
+    return pipelines.hard_negatives(_bundle(spark, sf_dir), spans, **_BUNDLE_HOW).select("reference", "center_us", "mov_type", *_HARD, "target")
 
 
 def _streamed(spark, sf_dir, make, mode="append"):
@@ -331,9 +458,7 @@ def _streamed(spark, sf_dir, make, mode="append"):
 
 
 def _source(spark, sf_dir):
-    from motionlake.plans.common import table as given
-
-    given(spark, sf_dir, "events")  # UTC
+    spark = session(spark)
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet" if _is_folder(spark, sf_dir) else f"{sf_dir}/events*.parquet")
 
@@ -343,8 +468,7 @@ def _shaped(e):
 
 
 def _fresh(spark):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return sinks.scratch_path(spark, "stream")
 
 
 def _append(out, path):
@@ -408,17 +532,17 @@ def x1(spark, sf_dir):
     return rows.groupBy("reference", "foot").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("x2_stream_energy")
+@query("x2_stream_energy", "SELECT user_id || '' AS reference, event_type AS foot, date_trunc('day', ts) AS window_start, coalesce(stddev_samp(value), 0) AS energy, count(*) AS samples FROM events GROUP BY 1, 2, 3", "energy")
 def x2(spark, sf_dir):
     return _closed(spark, sf_dir, lambda e, late: live.motion_energy(e, by=["reference", "foot"], value="value", window="1 day", late=late), 86_400)
 
 
-@query("x3_stream_sliding")
+@query("x3_stream_sliding", "SELECT event_type AS foot, w AS window_start, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max FROM (SELECT *, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS w FROM events) GROUP BY 1, 2", "mean std min max")
 def x3(spark, sf_dir):
     return _closed(spark, sf_dir, lambda e, late: live.sliding_statistics(e, by=["foot"], value="value", size="2 days", slide="1 day", late=late), 2 * 86_400)
 
 
-@query("x4_stream_sessions")
+@query("x4_stream_sessions", "WITH n AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 43200000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM n) SELECT user_id || '' AS reference, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, k")
 def x4(spark, sf_dir):
     return _closed(spark, sf_dir, lambda e, late: live.activity_sessions(e, by=["reference"], gap="12 hours", late=late), 43_200)
 
@@ -430,9 +554,8 @@ def x5(spark, sf_dir):
     return _streamed(spark, sf_dir, lambda e: live.label_stream(e, l)).groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("x6_stream_hysteresis")
+@query("x6_stream_hysteresis", f"WITH RECURSIVE {PR}, {_HYST.format(grid='(0.1, 0.05, 2, 2)', k1=1, m1=1)} SELECT reference || '' AS reference, _time, probability, state FROM hy", "probability")
 def x6(spark, sf_dir):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return _in_order(spark, sf_dir, lambda e: live.live_hysteresis(e.withColumn("probability", F.least(F.col("value") / 200, F.lit(1.0))), key="reference", time="_time", hi=0.1, lo=0.05, k=2, m=2, tie=["event_id"], end="end"))
 
 

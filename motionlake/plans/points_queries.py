@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from motionlake.functions import contracts, times
 from motionlake.functions import labels as lab
 from motionlake.operators import autolabel, features, reshape, selection
-from motionlake.plans.common import EV, EX, LB, events, exclusions, labels, predictions, query, table
-from motionlake.sources import points
+from motionlake.plans.common import EV, EX, LB, events, exclusions, labels, predictions, query, session, table
+from motionlake.sources import points, sinks
 
 
 def _points(spark, sf_dir):
@@ -89,10 +90,17 @@ def s14(spark, sf_dir):
     return points.pending(asked, done, ["reference", "day"]).select("event_id", "reference", "day")
 
 
-@query("p1_time_texts", "SELECT o_orderkey, o_orderdate + CASE WHEN month(o_orderdate) BETWEEN 4 AND 8 THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END AS local_time, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS rfc3339, strftime(o_orderdate, '%Y%m%dT%H%M%S') AS compact FROM orders WHERE month(o_orderdate) NOT IN (3, 9, 10)")
+_SUNDAY = "make_timestamp(year(d), {m}, {l}, 1, 0, 0) - INTERVAL 1 DAY * dayofweek(make_date(year(d), {m}, {l}))"  # the last of the month, 1:00
+#: When summer time begins and ends; up to 1995 it ended in September.
+_SPRING = _SUNDAY.format(m=3, l=31)
+_AUTUMN = f"CASE WHEN year(d) < 1996 THEN {_SUNDAY.format(m=9, l=30)} ELSE {_SUNDAY.format(m=10, l=31)} END"
+
+
+@query("p1_time_texts", f"WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 MINUTE * (o_orderkey % 1440) AS d FROM orders) SELECT o_orderkey, d + CASE WHEN d >= {_SPRING} AND d < {_AUTUMN} THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END AS local_time, strftime(d, '%Y-%m-%dT%H:%M:%SZ') AS rfc3339, strftime(d, '%Y%m%dT%H%M%S') AS compact FROM o")
 def p1(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("month(o_orderdate) not in (3, 9, 10)")
-    d = F.col("o_orderdate")
+    """Dates get a time of day, so that hours around the clock changes occur."""
+    o = table(spark, sf_dir, "orders")
+    d = times.from_micros(times.micros("o_orderdate") + (F.col("o_orderkey") % 1440) * 60 * times.SECOND)
     return o.select("o_orderkey", times.to_local(d, "Europe/Madrid").alias("local_time"), times.rfc3339(d).alias("rfc3339"), times.compact(d).alias("compact"))
 
 
@@ -202,6 +210,83 @@ def p19(spark, sf_dir):
     return selection.valid_manifest(o).select("o_orderkey")
 
 
-@query("p20_exclusion_windows", f"WITH {EX} SELECT reference, count(*) AS n_exclusions, min(start) AS first_start FROM ex GROUP BY reference")
+_LABEL_TEXTS = """lt AS (SELECT label_id, 'R' || reference AS reference, start, stop, CASE label_id % 4 WHEN 0 THEN ' walking' WHEN 1 THEN 'not_walking  ' WHEN 2 THEN label ELSE 'running' END AS mov_type FROM lb)"""
+
+
+def _label_texts(spark, sf_dir):
+    """A label table as people fill it in: texts of mixed forms, blanks, unknown labels."""
+    k = F.col("label_id") % 4
+    form = lambda c: F.when(k == 0, F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
+    mov = F.when(k == 0, " walking").when(k == 1, "not_walking  ").when(k == 2, F.col("label")).otherwise("running")
+    return labels(spark, sf_dir).select("label_id", F.concat(F.lit("R"), F.col("reference").cast("string")).alias("reference"), form("start").alias("datefrom"), form("stop").alias("dateuntil"), mov.alias("mov_type"))
+
+
+@query("p20_load_labels", f"WITH {LB}, {_LABEL_TEXTS} SELECT reference, date_trunc('second', start) AS start, date_trunc('second', stop) AS stop, trim(mov_type) AS label FROM lt WHERE trim(mov_type) IN ('walking', 'not_walking')")
 def p20(spark, sf_dir):
-    return exclusions(spark, sf_dir).groupBy("reference").agg(F.count(F.lit(1)).alias("n_exclusions"), F.min("start").alias("first_start"))
+    return points.load_labels(_label_texts(spark, sf_dir))
+
+
+@query("s6_read_csv", f"WITH {LB}, {_LABEL_TEXTS} SELECT reference, date_trunc('second', start) AS start, date_trunc('second', stop) AS stop, trim(mov_type) AS label, label_id % 2 AS part FROM lt WHERE trim(mov_type) IN ('walking', 'not_walking')")
+def s6(spark, sf_dir):
+    """Label tables written as CSV, two folders, and read back together with the folder of each row."""
+    path = sinks.scratch_path(spark, "labels")
+    rows = _label_texts(spark, sf_dir)
+    for part in (0, 1):
+        sinks.save(rows.where(F.col("label_id") % 2 == part).drop("label_id"), f"{path}/part{part}.csv")
+    files = session(spark).read.csv([f"{path}/part{p}.csv" for p in (0, 1)], header=True, schema="reference string, datefrom string, dateuntil string, mov_type string")
+    found = points.load_labels(files.select("*", F.col("_metadata.file_path").alias("source_file")))
+    return found.withColumn("part", F.regexp_extract("source_file", r"part([0-9])\.csv", 1).cast("long")).drop("source_file")
+
+
+@query("s10_append_chunks", f"WITH {_PT} SELECT reference, count(*) AS n_rows, CAST(sum(event_id) AS BIGINT) AS checksum FROM pt GROUP BY 1")
+def s10(spark, sf_dir):
+    """Chunks appended one after the other; a repeated run of some references replaces them."""
+    path, rows = sinks.scratch_path(spark, "chunks"), _points(spark, sf_dir).withColumn("part", F.col("reference") % 10)
+    for late in (False, True):
+        sinks.append(rows.where((F.col("field") == "view") == F.lit(late)), path, by="part")
+    sinks.replace(rows.where("part = 3"), path, by="part")
+    return session(spark).read.parquet(path).groupBy("reference").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("event_id").alias("checksum"))
+
+
+@query("s11_save_by_extension", "SELECT form, o_orderkey, o_totalprice FROM orders, (SELECT unnest(['csv', 'parquet']) AS form)", "o_totalprice")
+def s11(spark, sf_dir):
+    path, rows = sinks.scratch_path(spark, "saved"), table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    for form in ("csv", "parquet"):
+        sinks.save(rows, f"{path}/x.{form}")
+    back = {"csv": points.read_csv(session(spark), f"{path}/x.csv", "o_orderkey long, o_totalprice double"), "parquet": points.read_parquet(session(spark), f"{path}/x.parquet")}
+    return reshape.union_reports(back).withColumnRenamed("report", "form")
+
+
+@query("s12_save_each", f"WITH {LB} SELECT reference, label_id, label FROM lb")
+def s12(spark, sf_dir):
+    path = sinks.scratch_path(spark, "each")
+    sinks.save_each(labels(spark, sf_dir).select("reference", "label_id", "label"), path)
+    return session(spark).read.option("basePath", path).csv(path, header=True, schema="label_id long, label string, reference long")
+
+
+@query("s15_audit_statuses", f"WITH {EV} SELECT 'ok' AS status, count(*) FILTER (event_type <> 'view') AS n_rows FROM ev WHERE foot IS NOT NULL UNION ALL SELECT 'partial', count(*) FROM ev WHERE foot IS NOT NULL")
+def s15(spark, sf_dir):
+    """Two audit records, written and read back: row totals from counters, or from the feet where there are none."""
+    path, rows = sinks.scratch_path(spark, "audits"), events(spark, sf_dir).where("foot is not null")
+    sinks.save_audit(rows.where("event_type <> 'view'"), path)
+    sinks.audit_record(rows, "partial").drop("counters").write.mode("append").json(path)
+    return points.audit_statuses(session(spark), path).drop("file")
+
+
+@query("p14_feature_columns", "SELECT unnest(['c_acctbal', 'c_nationkey']) AS name, count(*) AS n_rows, avg(c_acctbal) AS mean FROM customer", "mean")
+def p14(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    names = contracts.numeric_features(c, ["c_custkey"])
+    return c.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("c_acctbal").alias("mean")).select(F.explode(F.array(*(F.lit(n) for n in sorted(names)))).alias("name"), "n_rows", "mean")
+
+
+@query("t4_sorted_output", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS place FROM orders")
+def t4(spark, sf_dir):
+    """Files in one order, read back with the place that each row has in it: rows before its file, and in it."""
+    path = sinks.scratch_path(spark, "sorted")
+    sinks.save_sorted(table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey"), path, ["o_orderdate", "o_orderkey"])
+    back = session(spark).read.parquet(path).withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), r"part-([0-9]+)", 1).cast("int"))
+    inside = Window.partitionBy("file").orderBy(F.col("_metadata.row_index"))
+    rows = back.withColumn("n", F.row_number().over(inside))
+    before = rows.groupBy("file").agg(F.max("n").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return rows.join(before.select("file", "before"), "file").select("o_orderkey", (F.col("before") + F.col("n") - 1).alias("place"))

@@ -60,12 +60,12 @@ def a7(spark, sf_dir):
 
 
 _CLASS = f"""WITH {LB}, {_INV}, {_LS}, ca AS (SELECT reference, min(label_id % 7) AS best_priority, count(*) AS n_candidates FROM lb WHERE label_id % 3 = 0 GROUP BY 1),
-  en AS (SELECT inv.reference, total_rows, valid_both_feet, common_hours, coalesce(intervals_walking, 0) AS w, coalesce(intervals_not_walking, 0) AS n, coalesce(n_candidates, 0) AS n_candidates, best_priority FROM inv LEFT JOIN (SELECT * FROM ls WHERE reference % 4 > 0) ls USING (reference) LEFT JOIN ca USING (reference)),
+  en AS (SELECT inv.reference, total_rows, valid_both_feet, common_hours, coalesce(intervals_walking, 0) AS w, coalesce(intervals_not_walking, 0) AS n, coalesce(n_candidates, 0) AS n_candidates, best_priority FROM inv LEFT JOIN ls USING (reference) LEFT JOIN ca USING (reference)),
   cl AS (SELECT *, CASE WHEN total_rows = 0 THEN 'no_data' WHEN NOT valid_both_feet THEN 'one_foot_only' WHEN w > 0 AND n > 0 THEN 'labelled_both_classes' WHEN w + n > 0 THEN 'labelled_one_class' WHEN n_candidates > 0 THEN 'candidate_to_label' ELSE 'unlabelled' END AS reference_class FROM en)"""
 
 
 def _classified(spark, sf_dir):
-    summary = coverage.label_summary(labels(spark, sf_dir).where("reference % 4 > 0"))
+    summary = coverage.label_summary(labels(spark, sf_dir))
     return coverage.classify_references(coverage.enrich(coverage.inventory(_feet(spark, sf_dir)), summary, coverage.candidate_summary(_candidates(spark, sf_dir))))
 
 
@@ -79,9 +79,11 @@ def a8(spark, sf_dir):
     return _classified(spark, sf_dir).select("reference", "reference_class", "action")
 
 
-@query("t3_priority_order", f"{_CLASS} SELECT reference, reference_class, common_hours FROM cl ORDER BY reference_class, common_hours DESC NULLS LAST, reference LIMIT 40", "common_hours")
+@query("t3_priority_order", f"{_CLASS} SELECT reference, reference_class, common_hours, row_number() OVER (ORDER BY reference_class, common_hours DESC NULLS LAST, reference) AS place FROM cl", "common_hours")
 def t3(spark, sf_dir):
-    return selection.priority_order(_classified(spark, sf_dir)).limit(40).select("reference", "reference_class", "common_hours")
+    rows = selection.priority_order(_classified(spark, sf_dir)).select("reference", "reference_class", "common_hours")
+    order = Window.orderBy(F.asc("reference_class"), F.desc_nulls_last("common_hours"), "reference")  # a row for each reference
+    return rows.withColumn("place", F.row_number().over(order))
 
 
 @query("a9_candidate_kind", f"WITH {LB}, {_LS}, k AS (SELECT reference, CASE WHEN intervals_walking > 0 AND intervals_not_walking > 0 THEN 'both_classes' WHEN intervals_not_walking > 0 THEN 'only_not_walking' WHEN intervals_walking > 0 THEN 'only_walking' ELSE 'no_labels' END AS candidate_kind FROM ls) SELECT *, CASE candidate_kind WHEN 'both_classes' THEN 1 WHEN 'only_not_walking' THEN 2 WHEN 'only_walking' THEN 3 ELSE 4 END AS candidate_priority FROM k")
@@ -206,17 +208,28 @@ def f1(spark, sf_dir):
     return s.select("vec_id", F.col("bin").cast("long").alias("bin"), (F.col("power") * 1000).alias("power"))
 
 
-@query("f1_power_spectrum_db", f"SELECT vec_id, bin, round(power, 3) AS power FROM ({_psd_sql('10 * log10(p + 1e-12)')}) WHERE bin > 0", "power")
+@query("f1_power_spectrum_db", _psd_sql("10 * log10(p + 1e-6)"), "power")
 def f1b(spark, sf_dir):
-    s = _spectra(spark, sf_dir).select("vec_id", F.posexplode("power").alias("bin", "power")).where("bin > 0")
-    return s.select("vec_id", F.col("bin").cast("long").alias("bin"), F.round("power", 3).alias("power"))
+    """Decibels above a floor of 1e-6: bin 0 of a detrended signal is rounding noise, far below it in any engine."""
+    s = _spectra(spark, sf_dir, scale="density").select("vec_id", F.posexplode("power").alias("bin", "power"))
+    return s.select("vec_id", F.col("bin").cast("long").alias("bin"), (10 * F.log10(F.col("power") + 1e-6)).alias("power"))
 
 
-@query("f2_frequencies", "SELECT count(*) AS n_rows, CAST(1.5625 AS DOUBLE) AS f_001_hz, CAST(9.375 AS DOUBLE) AS f_006_hz FROM embeddings WHERE len(embedding) = 64")
+@query("f2_frequencies", f"WITH n AS (SELECT vec_id, len(embedding) AS n FROM embeddings WHERE len(embedding) = {_N}), k AS (SELECT unnest(range(0, {_N} // 2 + 1)) AS k) SELECT vec_id, k AS bin, k * {_FS} / n AS hz FROM n, k WHERE k * {_FS} / n <= {_FMAX}", "hz")
 def f2(spark, sf_dir):
     freqs = spectral.frequencies(_N, _FS, _FMAX)
     wide = spectral.bins_to_columns(_spectra(spark, sf_dir), len(freqs), freqs=freqs)
-    return wide.groupBy("f_001_hz", "f_006_hz").agg(F.count(F.lit(1)).alias("n_rows"))
+    return wide.select("vec_id", F.posexplode(F.array(*(f"f_{i:03d}_hz" for i in range(len(freqs))))).alias("bin", "hz")).withColumn("bin", F.col("bin").cast("long"))
+
+
+@query("f10_magnitude_spectrogram", """WITH x AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+  w AS (SELECT vec_id, window_, i - 8 * window_ AS j, v * (0.5 - 0.5 * cos(2 * pi() * (i - 8 * window_) / 15)) AS y FROM x, (SELECT unnest(range(0, 7)) AS window_) WHERE i >= 8 * window_ AND i < 8 * window_ + 16),
+  k AS (SELECT unnest(range(0, 9)) AS k), t AS (SELECT sum(pow(0.5 - 0.5 * cos(2 * pi() * i / 15), 2)) AS t FROM (SELECT unnest(range(0, 16)) AS i))
+  SELECT vec_id, window_ AS "window", (8 * window_ + 8) / 50.0 AS time_s, k AS bin, 1000 * (CASE WHEN k IN (0, 8) THEN 1 ELSE 2 END) / (50.0 * max(t)) * (pow(sum(y * cos(2 * pi() * k * j / 16)), 2) + pow(sum(y * sin(2 * pi() * k * j / 16)), 2)) AS power FROM w, k, t GROUP BY 1, 2, 3, 4""", "time_s power")
+def f10(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    s = spectral.magnitude_spectrogram(e, keys=["vec_id"], value="v", index="i", fs=50.0, n=16, overlap=8, scale="density")
+    return s.select("vec_id", "window", "time_s", F.posexplode("power").alias("bin", "power")).select("vec_id", "window", "time_s", F.col("bin").cast("long").alias("bin"), (F.col("power") * 1000).alias("power"))
 
 
 @query("r2_bins_to_columns", f"WITH s AS ({_psd_sql('p * 1000')}) SELECT vec_id, max(power) FILTER (bin = 1) AS p_001, max(power) FILTER (bin = 6) AS p_006 FROM s GROUP BY 1", "p_001 p_006")
@@ -400,7 +413,17 @@ def w7(spark, sf_dir):
     return segments.min_run(predictions(spark, sf_dir), F.col("probability") >= 0.1, 2, by=["reference"], order=["_time", "event_id"]).select("event_id", "kept")
 
 
-@query("w8_hysteresis")
+#: The machine, row by row, all references and grid points side by side; then what a later row sets or clears back.
+_HYST = """o AS (SELECT *, row_number() OVER (PARTITION BY reference ORDER BY _time, event_id) AS i FROM pr), g AS (SELECT * FROM (VALUES {grid}) AS t(hi, lo, k, m)),
+  r AS (SELECT hi, lo, k, m, reference, CAST(0 AS BIGINT) AS i, FALSE AS is_on, 0 AS run, FALSE AS entered, FALSE AS left_ FROM g, (SELECT DISTINCT reference FROM o)
+    UNION ALL SELECT hi, lo, k, m, reference, i, CASE WHEN is_on THEN c < m ELSE c >= k END, CASE WHEN is_on AND c >= m OR NOT is_on AND c >= k THEN 0 ELSE c END, NOT is_on AND c >= k, is_on AND c >= m
+      FROM (SELECT r.hi, r.lo, r.k, r.m, r.reference, o.i, is_on, CASE WHEN is_on AND probability < lo OR NOT is_on AND probability >= hi THEN run + 1 ELSE 0 END AS c FROM r JOIN o ON o.reference = r.reference AND o.i = r.i + 1)),
+  st AS (SELECT hi, lo, k, m, reference, i, CAST((is_on OR bool_or(entered) OVER (w ROWS BETWEEN CURRENT ROW AND {k1} FOLLOWING) AND coalesce(min(CASE WHEN entered THEN i END) OVER (w ROWS BETWEEN CURRENT ROW AND {k1} FOLLOWING), i + k) < i + k)
+      AND NOT coalesce(min(CASE WHEN left_ THEN i END) OVER (w ROWS BETWEEN CURRENT ROW AND {m1} FOLLOWING) < i + m, FALSE) AS INTEGER) AS state FROM r WINDOW w AS (PARTITION BY hi, lo, k, m, reference ORDER BY i)),
+  hy AS (SELECT o.*, st.* EXCLUDE (reference, i) FROM st JOIN o ON o.reference = st.reference AND o.i = st.i)"""
+
+
+@query("w8_hysteresis", f"WITH RECURSIVE {PR}, {_HYST.format(grid='(0.1, 0.05, 2, 2)', k1=1, m1=1)} SELECT event_id, state FROM hy")
 def w8(spark, sf_dir):
     return segments.hysteresis(predictions(spark, sf_dir), "probability", hi=0.1, lo=0.05, k=2, m=2, by=["reference"], order=["_time", "event_id"]).select("event_id", "state")
 
@@ -520,7 +543,12 @@ def r8b(spark, sf_dir):
     return rows.withColumn("near_mean", F.avg("value").over(w)).where("not halo").select("event_id", "near_mean")
 
 
-@query("a34_peak_cadence")
+@query("a34_peak_cadence", """WITH RECURSIVE x AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+  s AS (SELECT vec_id, avg(v) + 0.6 * stddev_pop(v) AS high, count(*) AS n FROM x GROUP BY 1), q AS (SELECT *, lag(v) OVER w AS p, lead(v) OVER w AS f FROM x WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
+  pk AS (SELECT q.vec_id, i, row_number() OVER (PARTITION BY q.vec_id ORDER BY v DESC, i) AS k FROM q JOIN s USING (vec_id) WHERE v > p AND v >= f AND v >= high),
+  r AS (SELECT vec_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM s
+    UNION ALL SELECT r.vec_id, pk.k, CASE WHEN len(list_filter(kept, lambda y: abs(y - i) < 4)) > 0 THEN kept ELSE list_append(kept, i) END FROM r JOIN pk ON pk.vec_id = r.vec_id AND pk.k = r.k + 1),
+  f AS (SELECT vec_id, max(len(kept)) AS n_peaks FROM r GROUP BY 1) SELECT vec_id, n_peaks, 60.0 * n_peaks / (n / 50.0) AS cadence FROM f JOIN s USING (vec_id)""", "cadence")
 def a34(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.transform("embedding", lambda x: x.cast("double"))).alias("i", "v"))
     return features.peak_cadence(e, keys=["vec_id"], value="v", order="i", hz=50.0, distance=4)

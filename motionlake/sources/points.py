@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionlake.functions import times
+from motionlake.functions.contracts import require_columns
+from motionlake.functions.labels import NOT_WALKING, WALKING
 
 SIGNALS = ("Ax", "Ay", "Az", "Gx", "Gy", "Gz")
 
@@ -72,6 +74,26 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE")
 
 
+def load_labels(tables: DataFrame, zone: str | None = None, *, columns: Sequence[str] = ("reference", "datefrom", "dateuntil", "mov_type")) -> DataFrame:
+    """reference, start, stop, label, source_file: the label rows of one table or of files read together.
+
+    Labels are trimmed, and only known ones stay; bounds are texts of mixed forms (local time of `zone`, else UTC) or
+    timestamps; source_file stays if it is there. Rows with an unreadable bound stay with a null.
+    """
+    require_columns(tables, columns)
+    reference, start, stop, label = columns
+    bound = lambda c: times.parse_mixed(F.col(c), zone) if tables.schema[c].dataType.typeName() == "string" else F.col(c)
+    more = ["source_file"] if "source_file" in tables.columns else []
+    rows = tables.select(F.col(reference).cast("string").alias("reference"), bound(start).alias("start"), bound(stop).alias("stop"), F.trim(label).alias("label"), *more)
+    return rows.where(F.col("label").isin(WALKING, NOT_WALKING))
+
+
+def read_labels(spark: SparkSession, paths: list[str], zone: str | None = None) -> DataFrame:
+    """load_labels of CSV files, in order of reference and time, with the file of each row."""
+    found = spark.read.csv(paths, header=True, schema="reference string, datefrom string, dateuntil string, mov_type string")
+    return load_labels(found.select("*", F.col("_metadata.file_name").alias("source_file")), zone).orderBy("reference", "start", "stop")
+
+
 def read_files(spark: SparkSession, paths: list[str], columns: Sequence[str] | None = None) -> DataFrame:
     """Several parquet files as one table, with the file of each row."""
     found = spark.read.parquet(*paths)

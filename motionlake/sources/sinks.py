@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in spark.checkpoint.dir, the folder that driver and executors share. Where it is unset, a local
+    session gets a folder of its own; on a cluster the job stops."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def append(df: DataFrame, path: str, by: str = "reference") -> None:
     """Append to a table partitioned by reference; a repeated run of the same references goes through `replace`."""
     df.write.mode("append").partitionBy(by).parquet(path)

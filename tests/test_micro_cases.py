@@ -41,9 +41,9 @@ def test_nearest_takes_the_earlier_of_two_equally_near(spark):
 def test_overlapping_labels_and_interval_ends(spark):
     l = spark.createDataFrame([("a", at(0), at(20), "walking"), ("a", at(10), at(30), "not_walking")], "reference string, start timestamp, stop timestamp, label string")  # noqa: E741
     p = spark.createDataFrame([(i, "a", at(i)) for i in (0, 10, 19, 20, 30)], "id long, reference string, t timestamp")
-    first = dict(rows(intervals.label_points(p, l, key="id", time="t"), "id", "label"))
+    first = dict(rows(intervals.label_points(p, l, time="t"), "id", "label"))
     assert first == {0: "walking", 10: "walking", 19: "walking", 20: "not_walking", 30: "NO_LABEL"}
-    last = dict(rows(intervals.label_points(p, l, key="id", time="t", overlap="last"), "id", "label"))
+    last = dict(rows(intervals.label_points(p, l, time="t", overlap="last"), "id", "label"))
     assert last[10] == "not_walking" and last[0] == "walking"
 
 
@@ -51,7 +51,7 @@ def test_bucket_width_does_not_change_labels(spark):
     rng = random.Random(1)
     l = spark.createDataFrame([("a", at(s), at(s + rng.randint(1, 500)), f"l{i}") for i, s in enumerate(rng.sample(range(3000), 40))], "reference string, start timestamp, stop timestamp, label string")  # noqa: E741
     p = spark.createDataFrame([(i, "a", at(rng.random() * 3000)) for i in range(300)], "id long, reference string, t timestamp")
-    found = [sorted(rows(intervals.label_points(p, l, key="id", time="t", width_us=w * times.SECOND), "id", "label")) for w in (7, 100, 86_400)]
+    found = [sorted(rows(intervals.label_points(p, l, time="t", width_us=w * times.SECOND), "id", "label")) for w in (7, 100, 86_400)]
     assert found[0] == found[1] == found[2]
 
 

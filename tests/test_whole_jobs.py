@@ -34,7 +34,7 @@ def test_embargo_of_folds_with_many_references(spark):
     at = lambda s: T0 + timedelta(seconds=s)
     rows = spark.createDataFrame([(i, r, at(s - 1), at(s + 1)) for i, (r, s) in enumerate([("a", 0), ("a", 30), ("a", 100), ("b", 0), ("b", 100), ("c", 0)])], "id long, reference string, seq_start timestamp, seq_stop timestamp")
     folds = spark.createDataFrame([(0, "a", at(0), at(20)), (0, "b", at(90), at(95)), (1, "c", at(0), at(5))], "fold int, reference string, start timestamp, stop timestamp")
-    got = sorted((r.fold, r.id) for r in intervals.sequence_embargo_groups(rows, folds, seconds=15).collect())
+    got = sorted((r.fold, r.id) for r in intervals.sequence_embargo(rows, folds, seconds=15).collect())
     assert got == [(0, 2), (0, 3), (0, 5), (1, 0), (1, 1), (1, 2), (1, 3), (1, 4)]
 
 
