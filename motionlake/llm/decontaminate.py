@@ -61,10 +61,11 @@ def find(docs: DataFrame, items: DataFrame, size: int = 13) -> DataFrame:
     seen = tokens.select(F.explode("w").alias("token")).select(hashed("token").alias("token"))
     vocabulary = wins.select(F.explode(F.split("window", " ")).alias("token")).select(hashed("token").alias("token")).distinct()
     counts = seen.join(broadcast_within(vocabulary, BROADCAST_ROWS), "token").groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+    counts = written(counts, "frequencies")  # a row for each word of the benchmark
     ranked = (
         wins.select("item_id", "window", "n", F.posexplode(F.split("window", " ")).alias("at", "token"))
         .withColumn("token", hashed("token"))
-        .join(counts, "token")
+        .join(broadcast_within(counts, BROADCAST_ROWS), "token")
     )
     rarest = ranked.groupBy("item_id", "window", "n").agg(F.min(F.struct("freq", "token", "at")).alias("key"), F.count(F.lit(1)).alias("known"))
     # a window with a word that no document holds has no occurrence
