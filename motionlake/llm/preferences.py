@@ -75,9 +75,25 @@ def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def with_other_endings(turns: DataFrame) -> DataFrame:
+    """Each conversation twice: as 2 * conv_id as it is, and as 2 * conv_id + 1 with the text of its last assistant
+    turn replaced by that of conversation conv_id + 1; where that has none, the turn is left out.
+
+    A conversation without such a turn stays alike. Nulls and repeated rows count as in `conversations`.
+    """
+    role, text = F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    rows = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", role, text).distinct()
+    last = rows.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "role", "text")).alias("own"))
+    donors = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("own.text").alias("other"))
+    met = rows.join(last, "conv_id", "left").join(donors, "conv_id", "left")
+    ends = F.struct("turn", "role", "text").eqNullSafe(F.col("own"))
+    changed = met.where(~ends | F.col("other").isNotNull()).select((2 * F.col("conv_id") + 1).alias("conv_id"), "turn", "role", F.when(ends, F.col("other")).otherwise(F.col("text")).alias("text"))
+    return rows.withColumn("conv_id", 2 * F.col("conv_id")).unionByName(changed)
+
+
 def neighbour_pairs(turns: DataFrame) -> DataFrame:
-    """pair_id, chosen_id, rejected_id: conversations 2k and 2k+1. The table holds no preferences, so the even one
-    stands for the chosen; a conversation without its neighbour is paired with none."""
+    """pair_id, chosen_id, rejected_id: conversations 2k and 2k+1; the even one stands for the chosen, and one without
+    its neighbour is paired with none."""
     ids = turns.where("conv_id is not null").select("conv_id", F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id")).distinct()
     even = F.col("conv_id") == 2 * F.col("pair_id")
     return ids.groupBy("pair_id").agg(F.max(F.when(even, F.col("conv_id"))).alias("chosen_id"), F.max(F.when(~even, F.col("conv_id"))).alias("rejected_id"))

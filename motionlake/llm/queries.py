@@ -82,15 +82,19 @@ def op6_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
+    """The table holds no preferences: each conversation is preferred to itself with another one's last answer."""
+    turns = preferences.with_other_endings(table(spark, sf_dir, "conversations"))
     found = preferences.format_pairs(turns, preferences.neighbour_pairs(turns))
     spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
     return found.withColumns({c: spans(c) for c in ("chosen_mask", "rejected_mask")})
 
 
 OP7_SQL = r"""
-WITH c AS MATERIALIZED (SELECT conv_id, conv_id // 2 AS pair_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, role, text
-      FROM (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+WITH o AS MATERIALIZED (SELECT DISTINCT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+la AS (SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, text DESC) AS r FROM o WHERE role = 'assistant') WHERE r = 1),
+ch AS (SELECT o.*, o.role = 'assistant' AND o.turn IS NOT DISTINCT FROM a.turn AND a.text = o.text AS e, b.text AS other FROM o LEFT JOIN la a ON a.conv_id = o.conv_id LEFT JOIN la b ON b.conv_id = o.conv_id + 1),
+tw AS (SELECT 2 * conv_id AS conv_id, turn, role, text FROM o UNION ALL SELECT DISTINCT 2 * conv_id + 1, turn, role, CASE WHEN e THEN other ELSE text END FROM ch WHERE NOT coalesce(e, FALSE) OR other IS NOT NULL),
+c AS MATERIALIZED (SELECT conv_id, conv_id // 2 AS pair_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, role, text FROM tw),
 p AS (SELECT pair_id, max(conv_id) FILTER (conv_id % 2 = 0) AS chosen_id, max(conv_id) FILTER (conv_id % 2 = 1) AS rejected_id FROM c GROUP BY pair_id),
 n AS (SELECT pair_id, min(coalesce(x.i, y.i)) FILTER (x.text IS NULL OR y.text IS NULL OR x.text <> y.text OR x.role <> y.role) AS d, count(*) AS most
       FROM (SELECT * FROM c WHERE conv_id % 2 = 0) x FULL JOIN (SELECT * FROM c WHERE conv_id % 2 = 1) y USING (pair_id, i) GROUP BY pair_id),

@@ -389,6 +389,12 @@ def test_preferences(spark):
     assert (got[1].prompt_turns, got[1].rejected_id, got[1].rejected, got[1].chosen) == (0, None, "", "<|system|>\n\n")
     assert (got[2].prompt_turns, got[2].chosen, got[2].rejected) == (1, "", "")
     assert preferences.format_pairs(t.limit(0), preferences.neighbour_pairs(t.limit(0))).count() == 0
+    wide = preferences.with_other_endings(t.withColumns({"own": F.lit(1), "other": F.lit(2), "turns": F.lit(3)}).unionByName(t, allowMissingColumns=True))
+    got = {r.pair_id: r for r in preferences.format_pairs(wide, preferences.neighbour_pairs(wide)).collect()}
+    assert set(got) == {0, 1, 2, 4, 5}
+    assert (got[0].prompt, got[0].chosen, got[0].rejected) == ("<|user|>\nhi\n", "<|assistant|>\nyes\n<|user|>\nwhy\n", "<|assistant|>\nno\n<|user|>\nwhy\n")
+    assert (got[1].prompt, got[1].chosen, got[1].rejected) == ("<|user|>\nhi\n", "<|assistant|>\nno\n", "")
+    assert (got[4].prompt, got[4].chosen, got[4].rejected) == ("<|user|>\nx\n", "", "")
 
 
 # 8
@@ -627,6 +633,24 @@ def test_clashing_columns_change_nothing(spark):
     assert set(last.columns) == {*wide.columns} and last.where("doc_id = 0").collect()[0].n_tokens > 7
 
 
+def test_texts_of_a_megabyte(spark, tmp_path):
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    texts = [prose(rng, 250_000, 5000), "x" * 100_000 + " é" * 300_000, "word " * 200_000]
+    table = docs(spark, texts)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(TIK), special_tokens={})
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert [r.n_tokens for r in bpe.digests(table, TIK, P.PATTERN).orderBy("doc_id").collect()] == [len(enc.encode_ordinary(t)) for t in texts]
+    planes.write(table, f"{tmp_path}/long", P.path("byte_bpe_50k.json"), ordinary=False)
+    assert [r.n_tokens for r in planes.read(spark, f"{tmp_path}/long").orderBy("doc_id").collect()] == [len(lib.encode(t, add_special_tokens=False).ids) + 1 for t in texts]
+    found = decontaminate.find(table, spark.createDataFrame([(1, " ".join(texts[0].split()[777:795]))], "item_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_words for r in found] == [250_000, 300_001, 200_000] and found[0].n_hit >= 18
+    n = [r.n_shingles for r in near_duplicates.jaccard_components(table).orderBy("doc_id").collect()]
+    assert n[2] == 1 and n[1] == 2 and n[0] > 249_000
+
+
 def test_empty_tables_and_repeated_rows(spark, tmp_path):
     plain = docs(spark, ["a b c", None])
     none, twice = plain.limit(0), plain.unionByName(plain)
