@@ -25,9 +25,11 @@ def stratified_folds(df: DataFrame, *, target: str, key: str, k: int, seed: int
 
 
 def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:
-    """Each row once for each group, with is_test where the fold is its own group. Groups are few."""
-    groups = df.select(F.col(group).alias("fold_group")).distinct()
-    return df.crossJoin(F.broadcast(groups)).withColumn("is_test", F.col(group).eqNullSafe(F.col("fold_group")))
+    """Each row once for each group, with is_test where the fold is its own group. The list of groups is one row; rows
+    are repeated as they are read, without a join by rows."""
+    listed = df.agg(F.array_sort(F.collect_set(F.struct(F.col(group).alias("g")))).alias("_groups"))
+    each = df.crossJoin(F.broadcast(listed)).select(*df.columns, F.explode("_groups").alias("_g"))
+    return each.select(*df.columns, F.col("_g.g").alias("fold_group")).withColumn("is_test", F.col(group).eqNullSafe(F.col("fold_group")))
 
 
 def group_profile(df: DataFrame, *, group: str, target: str, time: str | None = None) -> DataFrame:

@@ -227,3 +227,67 @@ def test_features_of_constant_and_short_windows(spark):
     assert (out["a"].std, out["a"].zcr, out["a"].slope, out["b"].diff_max) == (0.0, 0.0, 0.0, 0.0)
     pair = spark.createDataFrame([("a", 1.0, float(i)) for i in range(4)], "k string, l double, r double")
     assert features.pair_features(pair, keys=["k"], left="l", right="r").collect()[0].corr == 0.0
+
+
+def test_segments_and_runs_cross_buckets(spark):
+    """Numbers do not depend on how a recording is cut into time buckets."""
+    import random
+
+    rng = random.Random(8)
+    data, us = [], 0
+    for ref in ("a", "b", None):
+        us = rng.randrange(10**12)
+        for i in range(200):
+            us += rng.choice((1, 1, 2, 9)) * 3_600_000_000
+            data.append((ref, T0 + timedelta(microseconds=us), i, rng.random() < 0.6, rng.choice("xy")))
+    df = spark.createDataFrame(data, "reference string, t timestamp, i long, f boolean, c string").repartition(5)
+    want, runs = {}, {}
+    for ref in ("a", "b", None):
+        n = r = 0
+        before = None
+        for x in (x for x in data if x[0] == ref):
+            n += before is None or (x[1] - before[1]).total_seconds() > 4 * 3600 or x[4] != before[4]
+            r += before is None or x[3] != before[3]
+            want[ref, x[2]], runs[ref, x[2]], before = n, r, x
+    for width in (3_600_000_000, 86_400_000_000, 10**15):
+        got = segments.gap_segments(df, by=["reference"], time="t", tie=["i"], gap_us=4 * 3_600_000_000, change=["c"], bucket_us=width)
+        assert {(x.reference, x.i): x.segment for x in got.collect()} == want and set(got.columns) == {*df.columns, "segment"}
+        got = segments.islands(df, F.col("f"), by=["reference"], order=["t", "i"], bucket_us=width)
+        assert {(x.reference, x.i): x.run for x in got.collect()} == runs
+
+
+def test_gaps_are_filled_across_buckets(spark):
+    import random
+
+    import numpy as np
+    import pandas as pd
+
+    rng = random.Random(9)
+    step = 6 * 3_600_000_000
+    values = [rng.random() if rng.random() < 0.3 else None for _ in range(120)]
+    grid_ = spark.createDataFrame([("a", i * step, v, -(v or 0.0) if v is not None else None) for i, v in enumerate(values)], "reference string, bin_us long, v double, w double").repartition(4)
+    s = pd.Series(values, dtype=float)
+    for limit, edges in ((2, False), (None, False), (None, True)):
+        got = grid.interpolate_gaps(grid_, ["v", "w"], keys=["reference"], limit=limit, edges=edges).orderBy("bin_us").collect()
+        want = s.interpolate(limit=limit, limit_area="inside") if not edges else s.interpolate().bfill().ffill()
+        assert np.allclose([np.nan if r.v is None else r.v for r in got], want, equal_nan=True), (limit, edges)
+        assert all(r.w == (None if r.v is None else -r.v) for r in got)
+
+
+def test_the_callers_session_stays(spark):
+    from motionlake.plans import common
+
+    other = spark.newSession()
+    other.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    own = common.session(other)
+    assert other.conf.get("spark.sql.session.timeZone") == "Asia/Tokyo" and own.conf.get("spark.sql.session.timeZone") == "UTC"
+    assert common.session(other) is own and common.session(own) is own
+
+
+def test_label_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("reference,datefrom,dateuntil,mov_type\nr2,2024-01-01 10:00:00,2024-01-01T11:00:00Z, walking \nr1,01/02/2024,2024-02-01 01:00,running\n")
+    (tmp_path / "b.csv").write_text("reference,datefrom,dateuntil,mov_type\nr1,soon,2024-02-01 01:00,not_walking\n")
+    from motionlake.sources import points
+
+    got = points.read_labels(spark, [str(tmp_path / x) for x in ("a.csv", "b.csv")]).collect()
+    assert [(r.reference, str(r.start), str(r.stop), r.label, r.source_file) for r in got] == [("r1", "None", "2024-02-01 01:00:00", "not_walking", "b.csv"), ("r2", "2024-01-01 10:00:00", "2024-01-01 11:00:00", "walking", "a.csv")]
