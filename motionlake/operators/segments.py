@@ -43,6 +43,24 @@ def _numbered(rows: DataFrame, inner: Column, across: Column, *, by: Sequence[st
     return numbered.withColumn(out, F.col("_offset") + F.col("_n")).drop("_facts", "_before", "_new", "_n", "_offset", "_b", *(f"_k{i}" for i in range(len(by) + 1)))
 
 
+def _bucket(df: DataFrame, column: str, bucket_us: int) -> Column:
+    """Time bucket of a row; all in one where the column is no time."""
+    return F.floor(times.micros(column) / bucket_us) if df.schema[column].dataType.typeName().startswith("timestamp") else F.lit(0).cast("long")
+
+
+def row_index(df: DataFrame, *, by: Sequence[str], order: Sequence[str], out: str, bucket_us: int = BUCKET_US) -> DataFrame:
+    """`out`: the place of each row within its keys, from 0; windows hold a time bucket each."""
+    rows = df.withColumn("_b", _bucket(df, order[0], bucket_us))
+    sizes = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_b"])), before.alias("_offset"))
+    same = F.lit(True)
+    for i, c in enumerate([*by, "_b"]):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    placed = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order))).join(offsets, same)
+    return placed.withColumn(out, F.col("_offset") + F.col("_n") - 1).select(*df.columns, out)
+
+
 def gap_segments(df: DataFrame, *, by: Sequence[str], time: str, gap_us: int, tie: Sequence[str] = (), out: str = "segment", change: Sequence[str] = (), bucket_us: int = BUCKET_US) -> DataFrame:
     """Number of the segment within its keys, from 1: a gap of more than gap_us, or a change of a column in `change`,
     begins the next."""
@@ -70,9 +88,7 @@ def global_blocks(segmented: DataFrame, *, by: str = "reference", segment: str =
 def islands(df: DataFrame, flag: Column, *, by: Sequence[str], order: Sequence[str], out: str = "run", bucket_us: int = BUCKET_US) -> DataFrame:
     """Rows with a flag and the number of their run of equal flags within the keys, from 1. Where `order` begins with a
     time, keys are cut into buckets of it, so that no task holds a whole key."""
-    kind = df.schema[order[0]].dataType.typeName()
-    bucket = F.floor(times.micros(order[0]) / bucket_us) if kind.startswith("timestamp") else F.lit(0).cast("long")
-    rows = df.withColumn("flag", flag).withColumn("_b", bucket)
+    rows = df.withColumn("flag", flag).withColumn("_b", _bucket(df, order[0], bucket_us))
     differ = lambda a, b: ~F.col(a)["flag"].eqNullSafe(F.col(b)["flag"])
     return _numbered(rows, differ("_facts", "_before"), differ("_first", "_carry"), by=by, order=order, facts=F.struct("flag"), out=out)
 
@@ -83,16 +99,25 @@ def run_table(df: DataFrame, *, by: Sequence[str], time: str, values: Sequence[C
     return found.where(F.col("n_windows") >= least).withColumn("duration_s", times.seconds_between("run_start", "run_end") + pad_s)
 
 
-def transition_distance(df: DataFrame, *, by: Sequence[str], time: str, label: str, tie: Sequence[str] = (), out: str = "nearest_transition_s") -> DataFrame:
+def in_blocks(df: DataFrame, *, by: Sequence[str], order: Sequence[str], halo: int, block: int) -> tuple[DataFrame, Column]:
+    """Rows with `_i`, their place within the keys, and `_of`, a block of places, each with `halo` rows more on both
+    sides; and which rows are a block's own. Windows over (keys, `_of`) in order of `_i` then see `halo` rows both ways."""
+    placed = row_index(df, by=by, order=order, out="_i")
+    near = F.sequence(F.floor((F.col("_i") - halo) / block), F.floor((F.col("_i") + halo) / block))
+    return placed.withColumn("_of", F.explode(near)), F.floor(F.col("_i") / block) == F.col("_of")
+
+
+def transition_distance(df: DataFrame, *, by: Sequence[str], time: str, label: str, tie: Sequence[str] = (), out: str = "nearest_transition_s", block: int = 100_000) -> DataFrame:
     """Seconds to a neighbouring row of another label, before or after; null where both neighbours agree.
 
-    Only the two rows that touch a change get a distance.
+    Only the two rows that touch a change get a distance. Long segments are cut into blocks of rows.
     """
-    w = Window.partitionBy(*by).orderBy(time, *tie)
+    rows, own = in_blocks(df, by=by, order=[time, *tie], halo=1, block=block)
+    w = Window.partitionBy(*by, "_of").orderBy("_i")
     us = times.micros(time)
     back = F.when(F.lag(label).over(w) != F.col(label), us - F.lag(us).over(w))
     ahead = F.when(F.lead(label).over(w) != F.col(label), F.lead(us).over(w) - us)
-    return df.withColumn(out, F.least(back, ahead) / times.SECOND)
+    return rows.withColumn(out, F.least(back, ahead) / times.SECOND).where(own).select(*(c for c in df.columns if c != out), out)
 
 
 def transition_filter(df: DataFrame, margin_s: float, distance: str = "nearest_transition_s") -> tuple[DataFrame, DataFrame]:
@@ -129,7 +154,7 @@ def hysteresis_states(p: np.ndarray, hi: float, lo: float, k: int, m: int) -> np
     return out
 
 
-def hysteresis(df: DataFrame, probability: str, *, hi: float | Column, lo: float | Column, k: int | Column, m: int | Column, by: Sequence[str], order: Sequence[str], out: str = "state") -> DataFrame:
+def hysteresis(df: DataFrame, probability: str, *, hi: float | Column, lo: float | Column, k: int | Column, m: int | Column, by: Sequence[str], order: Sequence[str], out: str = "state", bucket_us: int = BUCKET_US) -> DataFrame:
     """The states of each sequence.
 
     Where lo is not above hi, a run of k values of at least hi is 1 as a whole, a run of m values below lo is 0, and any
@@ -138,16 +163,16 @@ def hysteresis(df: DataFrame, probability: str, *, hi: float | Column, lo: float
     """
     if isinstance(hi, Column) or lo <= hi:  # columns have to keep to it
         p = F.coalesce(F.nanvl(F.col(probability).cast("double"), F.lit(0.0)), F.lit(0.0))
-        row = F.row_number().over(Window.partitionBy(*by).orderBy(*(F.col(c).asc_nulls_last() for c in order)))  # ties keep one order below
-        inorder = Window.partitionBy(*by).orderBy("_row")
-        rows = df.withColumn("_row", row).withColumn("_side", F.when(p >= hi, 1).when(p < lo, 0))
-        new = (~F.col("_side").eqNullSafe(F.lag("_side").over(inorder))).cast("int")
-        runs = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(inorder))
-        size = F.count(F.lit(1)).over(Window.partitionBy(*by, "_run"))
-        sure = F.when((F.col("_side") == 1) & (size >= k), 1).when((F.col("_side") == 0) & (size >= m), 0)
-        before = inorder.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        made = runs.withColumn("_sure", sure).withColumn("_state", F.coalesce(F.last("_sure", ignorenulls=True).over(before), F.lit(0)).cast("int"))
-        return made.select(*df.columns, F.col("_state").alias(out))
+        runs = islands(df, F.when(p >= hi, 1).when(p < lo, 0), by=by, order=order, out="_run", bucket_us=bucket_us)
+        sizes = runs.where("flag is not null").groupBy(*by, "_run").agg(F.count(F.lit(1)).alias("_size"))
+        near = runs.join(sizes, [*by, "_run"], "left").withColumn("_b", _bucket(df, order[0], bucket_us))
+        sure = near.withColumn("_sure", F.when((F.col("flag") == 1) & (F.col("_size") >= k), 1).when((F.col("flag") == 0) & (F.col("_size") >= m), 0))
+        # the state before a bucket is the last sure one of the buckets before
+        ends = sure.groupBy(*by, "_b").agg(F.max_by(F.col("_sure"), F.when(F.col("_sure").isNotNull(), F.struct(*order))).alias("_last"))
+        ends = ends.withColumn("_carry", F.last("_last", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
+        inside = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        made = sure.withColumn("_state", F.last("_sure", ignorenulls=True).over(inside)).join(ends.select(*by, "_b", "_carry"), [*by, "_b"])
+        return made.select(*df.columns, F.coalesce("_state", "_carry", F.lit(0)).cast("int").alias(out))
     schema = StructType([*df.schema.fields, StructField(out, IntegerType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -167,19 +192,20 @@ def stitched(df: DataFrame, segments: DataFrame, *, on: Sequence[str], order: st
     return df.join(offsets, list(on)).withColumn(out, F.col("_before") + rank).drop("_before")
 
 
-def context_sequences(df: DataFrame, *, by: Sequence[str], order: str, features: Sequence[str], length: int, tie: Sequence[str] = ()) -> DataFrame:
+def context_sequences(df: DataFrame, *, by: Sequence[str], order: str, features: Sequence[str], length: int, tie: Sequence[str] = (), block: int = 100_000) -> DataFrame:
     """`sequence`: features of the length//2 rows on both sides of each row, with the first and last time; rows too
-    near to an end of their block go."""
+    near to an end of their block go. Recordings are cut into blocks of rows, with length//2 more on both sides."""
     if length < 3 or length % 2 == 0:
         raise ValueError("length must be odd and at least 3")
     h = length // 2
-    w = Window.partitionBy(*by).orderBy(order, *tie)
-    rows = df.withColumns({
+    blocks, own = in_blocks(df, by=by, order=[order, *tie], halo=h, block=block)
+    w = Window.partitionBy(*by, "_of").orderBy("_i")
+    rows = blocks.withColumns({
         "sequence": F.collect_list(F.array(*(F.col(c).cast("double") for c in features))).over(w.rowsBetween(-h, h)),
         "seq_start": F.lag(order, h).over(w),
         "seq_stop": F.lead(order, h).over(w),
     })
-    return rows.where(F.size("sequence") == length)
+    return rows.where(own & (F.size("sequence") == length)).select(*df.columns, "sequence", "seq_start", "seq_stop")
 
 
 def first_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:

@@ -291,3 +291,19 @@ def test_label_files(spark, tmp_path):
 
     got = points.read_labels(spark, [str(tmp_path / x) for x in ("a.csv", "b.csv")]).collect()
     assert [(r.reference, str(r.start), str(r.stop), r.label, r.source_file) for r in got] == [("r1", "None", "2024-02-01 01:00:00", "not_walking", "b.csv"), ("r2", "2024-01-01 10:00:00", "2024-01-01 11:00:00", "walking", "a.csv")]
+
+
+def test_states_and_sequences_cross_buckets(spark):
+    rng = random.Random(10)
+    data = [(r, at(i * 1800), i, rng.choice([None, 0.1, 0.3, 0.35, 0.5, 0.6, 0.9])) for r in ("a", "b") for i in range(150)]
+    df = spark.createDataFrame(data, "reference string, t timestamp, i long, p double").repartition(3)
+    for width in (3_600_000_000, 10**15):
+        out = segments.hysteresis(df, "p", hi=0.5, lo=0.3, k=2, m=3, by=["reference"], order=["t", "i"], bucket_us=width)
+        got = {(r.reference, r.i): r.state for r in out.collect()}
+        for ref in "ab":
+            assert [got[ref, i] for i in range(150)] == segments.hysteresis_states(np.array([v or 0.0 for r, _, _, v in data if r == ref]), 0.5, 0.3, 2, 3).tolist()
+    for block in (7, 100_000):
+        s = segments.context_sequences(df, by=["reference"], order="t", features=["i", "p"], length=5, tie=["i"], block=block).collect()
+        assert len(s) == 2 * 146
+        for r in s:
+            assert [x[0] for x in r.sequence] == [r.i + d for d in range(-2, 3)] and r.seq_start == at((r.i - 2) * 1800) and r.seq_stop == at((r.i + 2) * 1800)
