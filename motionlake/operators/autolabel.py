@@ -66,7 +66,7 @@ def window_class(score: Column, low: Column, high: Column, ambiguous: bool = Fal
 
 def label_runs(classed: DataFrame, *, by: Sequence[str], window_us: int, least_s: float) -> DataFrame:
     """Segments of one label without a gap of more than 1.5 windows, as long as least_s at least."""
-    rows = segments.gap_segments(classed.where("label is not null"), by=by, time="window_start", gap_us=int(1.5 * window_us), change=["label"])
+    rows = segments.gap_segments(classed.where("label is not null"), by=by, time="window_start", gap_us=int(1.5 * window_us), change=["label"], bucket_us=10_000 * window_us)
     found = rows.groupBy(*by, "segment").agg(
         F.min("label").alias("label"),
         F.min("window_start").alias("start"),

@@ -49,7 +49,7 @@ def spectrogram(
     found = requested(samples, requests).where(F.col("foot").isin(*feet))
     keys = ["request_id", "reference", "foot"]
     bins = grid.resample_mean(found, keys=keys, signals=signals, step_us=step_us)
-    filled = grid.interpolate_gaps(grid.on_grid(bins, keys=keys, signals=signals, step_us=step_us), signals, keys=keys, limit=limit)
+    filled = grid.interpolate_gaps(grid.on_grid(bins, keys=keys, signals=signals, step_us=step_us), signals, keys=keys, limit=limit, bucket_us=max(DAY_US, 100_000 * step_us))
     each = bins.groupBy("request_id", "foot").agg(F.min("bin_us").alias("low"), F.max("bin_us").alias("high"))
     common = each.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_feet"), F.max("low").alias("low"), F.min("high").alias("high")).where(F.col("n_feet") == len(feet))
     common = common.join(requests.select("request_id", "start", "stop"), "request_id")

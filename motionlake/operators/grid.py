@@ -54,16 +54,16 @@ def on_grid(bins: DataFrame, *, keys: Sequence[str], signals: Sequence[str], ste
     return full.withColumns({f"observed_{s}": F.col(s).isNotNull() for s in signals})
 
 
-def interpolate_gaps(grid: DataFrame, signals: Sequence[str], *, keys: Sequence[str], limit: int | None, edges: bool = False, order: str = "bin_us") -> DataFrame:
+def interpolate_gaps(grid: DataFrame, signals: Sequence[str], *, keys: Sequence[str], limit: int | None, edges: bool = False, order: str = "bin_us", bucket_us: int = DAY_US) -> DataFrame:
     """Linear interpolation by row inside gaps, at most `limit` rows from the left of each; the rest stays null.
 
     A long gap is filled in part, on the line to its far end. Without a limit (none, zero or less) gaps are filled
     whole, and with `edges` the leading and trailing nulls take the nearest value. `order`, micro-seconds, is cut into
-    buckets of a day, so that windows never hold a long recording: what a bucket needs of those around it, its first
+    buckets (of a day, or as wide as some 100,000 rows), so that windows never hold a long recording: what a bucket needs of those around it, its first
     row's number and the nearest values, comes from a row for each bucket.
     """
     bucket = [*keys, "_b"]
-    cut = grid.withColumn("_b", F.floor(F.col(order) / DAY_US))
+    cut = grid.withColumn("_b", F.floor(F.col(order) / bucket_us))
     ahead, back = (Window.partitionBy(*bucket).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (order, F.desc(order)))
     numbered = cut.withColumn("_n", F.row_number().over(Window.partitionBy(*bucket).orderBy(order)))
     seen = {s: F.when(F.col(s).isNotNull(), F.struct(F.col("_n").cast("long").alias("n"), F.col(s).cast("double").alias("v"))) for s in signals}

@@ -17,6 +17,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from motionlake.functions import times
 
 
+#: Width of the time buckets that windows run over; a bucket should hold some million rows of a key at most.
 BUCKET_US = 86_400 * times.SECOND
 
 
@@ -126,9 +127,9 @@ def transition_filter(df: DataFrame, margin_s: float, distance: str = "nearest_t
     return df.where(~near), df.where(near)
 
 
-def min_run(df: DataFrame, flag: Column, k: int | Column, *, by: Sequence[str], order: Sequence[str], out: str = "kept") -> DataFrame:
+def min_run(df: DataFrame, flag: Column, k: int | Column, *, by: Sequence[str], order: Sequence[str], out: str = "kept", bucket_us: int = BUCKET_US) -> DataFrame:
     """1 for flagged rows in runs of at least k rows (rows, not seconds), else 0."""
-    runs = islands(df, F.coalesce(flag, F.lit(False)), by=by, order=order, out="_run")
+    runs = islands(df, F.coalesce(flag, F.lit(False)), by=by, order=order, out="_run", bucket_us=bucket_us)
     # a run may be as long as its key: sizes are counted before the shuffle and joined back
     sizes = runs.where("flag").groupBy(*by, "_run").agg(F.count(F.lit(1)).alias("_size"))
     enough = F.coalesce(F.col("_size") >= k, F.lit(False))

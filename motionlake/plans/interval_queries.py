@@ -93,7 +93,7 @@ _RUNS = """x AS (SELECT *, probability >= 0.1 AS flag FROM pr), y AS (SELECT *,
 
 
 def _runs(spark, sf_dir):
-    rows = segments.islands(predictions(spark, sf_dir), F.col("probability") >= 0.1, by=["reference"], order=["_time", "event_id"])
+    rows = segments.islands(predictions(spark, sf_dir), F.col("probability") >= 0.1, by=["reference"], order=["_time", "event_id"], bucket_us=864_000 * times.SECOND)
     return segments.run_table(rows.where("flag"), by=["reference", "run"], time="_time", values=[F.max("probability").alias("max_probability")])
 
 

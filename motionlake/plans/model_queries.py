@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from motionlake.functions import labels as lab
+from motionlake.functions import times
 from motionlake.operators import corrections, extraction, folds, intervals, metrics, models, segments
 from motionlake.plans import pipelines
 from motionlake.plans.common import EV, LB, PR, events, labels, predictions, query, session, table
@@ -154,7 +155,7 @@ def m16(spark, sf_dir):
 @query("f8_consensus_gate", f"WITH {PR}, x AS (SELECT *, probability >= 0.05 AND other >= 0.3 AS flag FROM {_TWO} pr), y AS (SELECT *, CASE WHEN flag IS DISTINCT FROM lag(flag) OVER w THEN 1 ELSE 0 END AS new FROM x WINDOW w AS (PARTITION BY reference ORDER BY _time, event_id)), z AS (SELECT *, sum(new) OVER (PARTITION BY reference ORDER BY _time, event_id) AS run FROM y) SELECT event_id, CASE WHEN flag AND count(*) OVER (PARTITION BY reference, run) >= 3 THEN 1 ELSE 0 END AS kept FROM z")
 def f8(spark, sf_dir):
     rows = predictions(spark, sf_dir).withColumn("other", ((F.col("event_id") * 7) % 100) / 100)
-    return segments.min_run(rows, (F.col("probability") >= 0.05) & (F.col("other") >= 0.3), 3, by=["reference"], order=["_time", "event_id"]).select("event_id", "kept")
+    return segments.min_run(rows, (F.col("probability") >= 0.05) & (F.col("other") >= 0.3), 3, by=["reference"], order=["_time", "event_id"], bucket_us=864_000 * times.SECOND).select("event_id", "kept")
 
 
 #: crc32 of an id and a seed as text, bit by bit, in SQL.

@@ -113,7 +113,7 @@ def scored(rows: DataFrame, model: PipelineModel, *, threshold: float) -> DataFr
     return models.score(rows, model, threshold=threshold).withColumnRenamed("walking_probability", "probability")
 
 
-def sequence_evaluation(predictions: DataFrame, labels: DataFrame, chosen: DataFrame, *, threshold: float, min_run: int, key: str = "event_id") -> DataFrame:
+def sequence_evaluation(predictions: DataFrame, labels: DataFrame, chosen: DataFrame, *, threshold: float, min_run: int, key: str = "event_id", bucket_us: int = segments.BUCKET_US) -> DataFrame:
     """Metrics of each reference before and after smoothing.
 
     Predictions (key, reference, _time, probability) get the labels around them; those of the chosen segments
@@ -122,10 +122,11 @@ def sequence_evaluation(predictions: DataFrame, labels: DataFrame, chosen: DataF
     rows = intervals.label_points(predictions, labels).where(F.col("label") != lab.NO_LABEL).withColumn("target", lab.target(F.col("label")).cast("int"))
     sequence = segments.stitched(rows, chosen, on=["reference"], order="order_index", time="_time", tie=[key])
     flag: Column = F.col("probability") >= threshold
-    kept = segments.min_run(sequence.withColumn("raw", flag.cast("int")), flag, min_run, by=["reference"], order=["_time", key], out="smoothed")
-    parts = [metrics.binary_metrics(kept, "target", c, by=["reference"]).withColumn("stage", F.lit(c)) for c in ("raw", "smoothed")]
-    span = kept.groupBy("reference").agg(F.min("position").alias("first_position"), F.max("position").alias("last_position"))
-    return parts[0].unionByName(parts[1]).join(span, "reference")
+    kept = segments.min_run(sequence, flag, min_run, by=["reference"], order=["_time", key], out="smoothed", bucket_us=bucket_us)
+    stages = F.inline(F.array(F.struct(F.lit("raw").alias("stage"), flag.cast("int").alias("hat")), F.struct(F.lit("smoothed").alias("stage"), F.col("smoothed").alias("hat"))))
+    judged = kept.select("reference", "target", "position", stages).groupBy("reference", "stage")
+    span = [F.min("position").alias("first_position"), F.max("position").alias("last_position")]
+    return metrics.from_counts(judged.agg(F.count(F.lit(1)).alias("n_rows"), *metrics.confusion("target", "hat"), *span))
 
 
 def hard_negatives(bundle: DataFrame, requests: DataFrame, *, signals: Sequence[str], **how: object) -> DataFrame:

@@ -124,7 +124,7 @@ _FILLED = """n AS (SELECT *, row_number() OVER (PARTITION BY reference ORDER BY
 
 @query("w13_interpolate_gaps", f"WITH {EV}, {_GRID}, {_FILLED} SELECT reference, bin_us, observed_v, coalesce(v, CASE WHEN i - li <= 1 AND ri IS NOT NULL THEN lv + (rv - lv) * (i - li) / (ri - li) END) AS v FROM e", "v")
 def w13(spark, sf_dir):
-    return grid.interpolate_gaps(grid.on_grid(_bins(spark, sf_dir), keys=["reference"], signals=["v"], step_us=12 * HOUR), ["v"], keys=["reference"], limit=1).select("reference", "bin_us", "observed_v", "v")
+    return grid.interpolate_gaps(grid.on_grid(_bins(spark, sf_dir), keys=["reference"], signals=["v"], step_us=12 * HOUR), ["v"], keys=["reference"], limit=1, bucket_us=10 * DAY).select("reference", "bin_us", "observed_v", "v")
 
 
 _CENTERS = "ce AS (SELECT reference, min(bin_us) + 259200000000 AS first_us, max(bin_us) - 259200000000 AS last_us FROM og GROUP BY 1), cc AS (SELECT reference, unnest(range(first_us, last_us + 1, 86400000000)) AS center_us FROM ce WHERE first_us <= last_us)"
@@ -151,7 +151,7 @@ def r10b(spark, sf_dir):
 def _windows(spark, sf_dir):
     on, centers = _centers(spark, sf_dir)
     ends = centers.groupBy("reference").agg(F.min("center_us").alias("first_us"), F.max("center_us").alias("last_us"))
-    filled = grid.interpolate_gaps(on, ["v"], keys=["reference"], limit=2)
+    filled = grid.interpolate_gaps(on, ["v"], keys=["reference"], limit=2, bucket_us=10 * DAY)
     return grid.assemble_windows(filled.join(ends, "reference"), keys=["reference"], first_center="first_us", last_center="last_us", window_us=3 * DAY, step_us=DAY)
 
 
@@ -342,7 +342,7 @@ def a18(spark, sf_dir):
 def w5(spark, sf_dir):
     m = _motion(spark, sf_dir)
     c = m.join(autolabel.thresholds(m, by=["reference"]), "reference").withColumn("label", autolabel.window_class(F.col("score"), F.col("low"), F.col("high"))).where("label is not null")
-    return segments.gap_segments(c, by=["reference"], time="window_start", gap_us=int(1.5 * DAY), change=["label"]).select("reference", "window_start", "segment")
+    return segments.gap_segments(c, by=["reference"], time="window_start", gap_us=int(1.5 * DAY), change=["label"], bucket_us=10 * DAY).select("reference", "window_start", "segment")
 
 
 @query("a36_block_summary", f"WITH {EV}, {_SEG}, g AS (SELECT reference, count(*) FILTER (label = 'walking') AS walking_segments, count(*) FILTER (label = 'not_walking') AS not_walking_segments FROM sg WHERE duration_s >= 200000 GROUP BY 1) SELECT r.reference, raw_rows, n_windows, low, high, coalesce(walking_segments, 0) AS walking_segments, coalesce(not_walking_segments, 0) AS not_walking_segments, CASE WHEN coalesce(walking_segments, 0) + coalesce(not_walking_segments, 0) = 0 THEN 'no_segments' ELSE 'ok' END AS status FROM (SELECT reference, count(*) AS raw_rows FROM ev GROUP BY 1) r JOIN (SELECT reference, count(*) AS n_windows FROM ms GROUP BY 1) m USING (reference) JOIN th USING (reference) LEFT JOIN g USING (reference)", "low high")
@@ -358,24 +358,24 @@ _GAP = f"WITH {EV}, n AS (SELECT event_id, reference, _time, event_type, value,
 
 @query("w1_gap_segments", f"{_GAP}, g AS (SELECT *, CAST(sum(new) OVER (ORDER BY reference, _time, event_id) - 1 AS BIGINT) AS block_id FROM s) SELECT event_id, segment, block_id FROM g")
 def w1(spark, sf_dir):
-    s = segments.gap_segments(events(spark, sf_dir), by=["reference"], time="_time", tie=["event_id"], gap_us=12 * HOUR)
+    s = segments.gap_segments(events(spark, sf_dir), by=["reference"], time="_time", tie=["event_id"], gap_us=12 * HOUR, bucket_us=10 * DAY)
     return segments.global_blocks(s).select("event_id", "segment", "block_id")
 
 
 @query("w3_gap_islands", f"{_GAP} SELECT reference, segment, min(_time) AS run_start, max(_time) AS run_end, count(*) AS n_windows, (epoch_us(max(_time)) - epoch_us(min(_time))) / 1000000.0 + 1 AS duration_s FROM s GROUP BY 1, 2", "duration_s")
 def w3(spark, sf_dir):
-    s = segments.gap_segments(events(spark, sf_dir), by=["reference"], time="_time", tie=["event_id"], gap_us=12 * HOUR)
+    s = segments.gap_segments(events(spark, sf_dir), by=["reference"], time="_time", tie=["event_id"], gap_us=12 * HOUR, bucket_us=10 * DAY)
     return segments.run_table(s, by=["reference", "segment"], time="_time", pad_s=1.0)
 
 
 @query("w4_reason_islands", f"WITH {EV}, n AS (SELECT event_id, reference, _time, CASE WHEN epoch_us(_time) - epoch_us(lag(_time) OVER w) <= 43200000000 AND event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS new FROM ev WINDOW w AS (PARTITION BY reference ORDER BY _time, event_id)) SELECT event_id, CAST(sum(new) OVER (PARTITION BY reference ORDER BY _time, event_id) AS BIGINT) AS segment FROM n")
 def w4(spark, sf_dir):
-    return segments.gap_segments(events(spark, sf_dir), by=["reference"], time="_time", tie=["event_id"], gap_us=12 * HOUR, change=["event_type"]).select("event_id", "segment")
+    return segments.gap_segments(events(spark, sf_dir), by=["reference"], time="_time", tie=["event_id"], gap_us=12 * HOUR, bucket_us=10 * DAY, change=["event_type"]).select("event_id", "segment")
 
 
 @query("a32_joined_labels", f"{_GAP} SELECT reference, segment, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS labels FROM s GROUP BY 1, 2")
 def a32(spark, sf_dir):
-    s = segments.gap_segments(events(spark, sf_dir), by=["reference"], time="_time", tie=["event_id"], gap_us=12 * HOUR)
+    s = segments.gap_segments(events(spark, sf_dir), by=["reference"], time="_time", tie=["event_id"], gap_us=12 * HOUR, bucket_us=10 * DAY)
     return selection.joined_labels(s, by=["reference", "segment"], label="event_type")
 
 
@@ -383,7 +383,7 @@ _TR = f"{_GAP}, t AS (SELECT event_id, value > 20 AS label, least(CASE WHEN (lag
 
 
 def _transitions(spark, sf_dir):
-    s = segments.gap_segments(events(spark, sf_dir), by=["reference"], time="_time", tie=["event_id"], gap_us=12 * HOUR).withColumn("label", F.col("value") > 20)
+    s = segments.gap_segments(events(spark, sf_dir), by=["reference"], time="_time", tie=["event_id"], gap_us=12 * HOUR, bucket_us=10 * DAY).withColumn("label", F.col("value") > 20)
     return segments.transition_distance(s, by=["reference", "segment"], time="_time", label="label", tie=["event_id"])
 
 
@@ -410,7 +410,7 @@ _MINRUN = f"WITH {PR}, x AS (SELECT *, probability >= 0.1 AS flag FROM pr), y AS
 
 @query("w7_min_run", f"{_MINRUN} SELECT event_id, CASE WHEN flag AND count(*) OVER (PARTITION BY reference, run) >= 2 THEN 1 ELSE 0 END AS kept FROM z")
 def w7(spark, sf_dir):
-    return segments.min_run(predictions(spark, sf_dir), F.col("probability") >= 0.1, 2, by=["reference"], order=["_time", "event_id"]).select("event_id", "kept")
+    return segments.min_run(predictions(spark, sf_dir), F.col("probability") >= 0.1, 2, by=["reference"], order=["_time", "event_id"], bucket_us=10 * DAY).select("event_id", "kept")
 
 
 #: The machine, row by row, all references and grid points side by side; then what a later row sets or clears back.
@@ -425,7 +425,7 @@ _HYST = """o AS (SELECT *, row_number() OVER (PARTITION BY reference ORDER BY _t
 
 @query("w8_hysteresis", f"WITH RECURSIVE {PR}, {_HYST.format(grid='(0.1, 0.05, 2, 2)', k1=1, m1=1)} SELECT event_id, state FROM hy")
 def w8(spark, sf_dir):
-    return segments.hysteresis(predictions(spark, sf_dir), "probability", hi=0.1, lo=0.05, k=2, m=2, by=["reference"], order=["_time", "event_id"]).select("event_id", "state")
+    return segments.hysteresis(predictions(spark, sf_dir), "probability", hi=0.1, lo=0.05, k=2, m=2, by=["reference"], order=["_time", "event_id"], bucket_us=10 * DAY).select("event_id", "state")
 
 
 @query("w9_stitched_sequence", f"WITH {PR}, o AS (SELECT reference, row_number() OVER (ORDER BY n DESC, reference) AS order_index FROM (SELECT reference, count(*) AS n FROM ev WHERE event_type = 'signup' GROUP BY 1 HAVING count(*) >= 12)) SELECT event_id, row_number() OVER (ORDER BY order_index, _time, event_id) AS position FROM pr JOIN o USING (reference)")
@@ -571,5 +571,5 @@ def f6(spark, sf_dir):
 def f7(spark, sf_dir):
     p = predictions(spark, sf_dir)
     flag = lab.error_mask(F.col("target"), lab.predicted(F.col("probability"), 0.1), "fp")
-    rows = segments.islands(p, flag, by=["reference"], order=["_time", "event_id"]).where("flag")
+    rows = segments.islands(p, flag, by=["reference"], order=["_time", "event_id"], bucket_us=10 * DAY).where("flag")
     return segments.run_table(rows, by=["reference", "run"], time="_time", least=2).select("reference", "run_start", "n_windows")
