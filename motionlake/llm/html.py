@@ -368,8 +368,9 @@ def extract_text(page: str | None, weights: np.ndarray) -> str:
 def train(pages: DataFrame, sample_rows: int = 400, most: int = 20_000, repeated: int = 5) -> np.ndarray:
     """Weights from blocks of at most `sample_rows` pages (chosen by a hash of the id), `most` blocks at most.
 
-    Boilerplate is what stands in an element that says so, and text that `repeated` of these pages hold, whatever its
-    elements; content is the rest of articles and main elements. Each block counts twice: as it is, and without what its elements say, so that text features learn too. Without
+    Boilerplate is what stands in an element that says so, and, where elements say nothing, text that `repeated` of these
+    pages hold; content is what stands in articles and main elements. (Articles have copies, too: what repeats in them is
+    content all the same.) Each block counts twice: as it is, and without what its elements say, so that text features learn too. Without
     blocks of both kinds the elements alone decide.
     """
 
@@ -389,7 +390,7 @@ def train(pages: DataFrame, sample_rows: int = 400, most: int = 20_000, repeated
     holders: dict[int, set] = {}
     for r in found:
         holders.setdefault(r.text, set()).add(r.page)
-    found = [(r.x, r.y and len(holders[r.text]) < repeated) for r in found if r.y is not None or len(holders[r.text]) >= repeated]
+    found = [(r.x, bool(r.y)) for r in found if r.y is not None or len(holders[r.text]) >= repeated]
     y = np.array([bool(r[1]) for r in found], float)
     if not 0 < y.sum() < len(y):
         weights = np.zeros(N_FEATURES)
