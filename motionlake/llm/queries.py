@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionlake.llm import bpe, decontaminate, html, language, near_duplicates, pii, planes, preferences, quality, topk
+from motionlake.llm import bpe, codes, decontaminate, html, language, near_duplicates, packing, pii, planes, preferences, quality, runs, topk
 from motionlake.llm.common import holdout, shared_path, table
 
 TIKTOKEN = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -141,6 +143,55 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(m) AS compone
 """
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every id of a document bears loss, so the limit on such tokens is that of all."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, end_id=1, limits=packing.Limits(tokens=2048, segments=128, loss=2048))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(codes.integers(table(spark, sf_dir, "embeddings")))
+    digest = hashlib.sha256(",".join(str(x) for x in books.ravel().tolist()).encode()).hexdigest()
+    rows = codes.with_label_error(coded)
+    return rows.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def _op12_sql(rounds: int = 4) -> str:
+    """Plain k-means: every part against every entry, in each round."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT rid, part, min(d) AS d, arg_min(entry, d * 256 + entry) AS entry FROM (SELECT rid, p.part, entry,
+  CAST(list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, c.x) + list_inner_product(c.x, c.x) AS BIGINT) AS d FROM p JOIN c{r} c ON c.part = p.part) GROUP BY rid, part)""")
+        if r < rounds:
+            steps.append(f"""n{r} AS (SELECT part, entry, list(f ORDER BY at) AS x FROM (SELECT part, entry, at, floor(sum(y) / count(*)) AS f
+  FROM (SELECT p.part, entry, unnest(x) AS y, unnest(range(len(x))) AS at FROM a{r} JOIN p ON p.rid = a{r}.rid AND p.part = a{r}.part) GROUP BY part, entry, at) GROUP BY part, entry),
+c{r + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(n.x, c.x) AS x FROM c{r} c LEFT JOIN n{r} n ON n.part = c.part AND n.entry = c.entry)""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT rid, part, list_slice(v, part * (len(v) // 4) + 1, (part + 1) * (len(v) // 4)) AS x FROM v, range(4) t(part)),
+c0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, x FROM p WHERE rid <= 256),
+{",\n".join(steps)},
+b AS (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, at)) AS codebooks_sha256
+      FROM (SELECT part, entry, unnest(x) AS y, unnest(range(len(x))) AS at FROM c{rounds})),
+e AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN e USING (rid), b
+"""
+
+
+def planted_repeats(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Every tenth document, by a hash of its id, repeats a stretch of its words from some word on to its end."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = h // 10 % n
+    p = 1 + (n - a) // (3 + h // 10 % 8)
+    return words[:a] + (words[a : a + p] * -(-(n - a) // p))[: n - a]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(table(spark, sf_dir, "documents"), planted_repeats)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_planes": op2_token_planes,
@@ -152,6 +203,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_quality": op9_quality,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_packing": op11_packing,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL: dict[str, str] = {
@@ -159,4 +213,5 @@ SQL: dict[str, str] = {
     "op4_top_k": OP4_SQL,
     "op7_preferences": OP7_SQL,
     "op10_jaccard_join": OP10_SQL,
+    "op12_vector_codes": _op12_sql(),
 }
