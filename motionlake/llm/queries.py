@@ -162,8 +162,8 @@ def _op12_sql(rounds: int = 4) -> str:
         steps.append(f"""a{r} AS MATERIALIZED (SELECT rid, part, min(d) AS d, arg_min(entry, d * 256 + entry) AS entry FROM (SELECT rid, p.part, entry,
   CAST(list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, c.x) + list_inner_product(c.x, c.x) AS BIGINT) AS d FROM p JOIN c{r} c ON c.part = p.part) GROUP BY rid, part)""")
         if r < rounds:
-            steps.append(f"""n{r} AS (SELECT part, entry, list(f ORDER BY at) AS x FROM (SELECT part, entry, at, floor(sum(y) / count(*)) AS f
-  FROM (SELECT p.part, entry, unnest(x) AS y, unnest(range(len(x))) AS at FROM a{r} JOIN p ON p.rid = a{r}.rid AND p.part = a{r}.part) GROUP BY part, entry, at) GROUP BY part, entry),
+            steps.append(f"""n{r} AS (SELECT part, entry, list(f ORDER BY pos) AS x FROM (SELECT part, entry, pos, floor(sum(y) / count(*)) AS f
+  FROM (SELECT p.part, entry, unnest(x) AS y, unnest(range(len(x))) AS pos FROM a{r} JOIN p ON p.rid = a{r}.rid AND p.part = a{r}.part) GROUP BY part, entry, pos) GROUP BY part, entry),
 c{r + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(n.x, c.x) AS x FROM c{r} c LEFT JOIN n{r} n ON n.part = c.part AND n.entry = c.entry)""")
     return f"""
 WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
@@ -171,8 +171,8 @@ WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS
 p AS MATERIALIZED (SELECT rid, part, list_slice(v, part * (len(v) // 4) + 1, (part + 1) * (len(v) // 4)) AS x FROM v, range(4) t(part)),
 c0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, x FROM p WHERE rid <= 256),
 {",\n".join(steps)},
-b AS (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, at)) AS codebooks_sha256
-      FROM (SELECT part, entry, unnest(x) AS y, unnest(range(len(x))) AS at FROM c{rounds})),
+b AS (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256
+      FROM (SELECT part, entry, unnest(x) AS y, unnest(range(len(x))) AS pos FROM c{rounds})),
 e AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY rid)
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN e USING (rid), b
 """
