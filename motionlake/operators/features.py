@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motionlake.functions import times
+from motionlake.operators import segments
+from motionlake.sources import sinks
+
 STATS = ("mean", "std", "min", "max", "median", "iqr", "ptp", "rms", "energy", "abs_mean", "zcr", "slope", "diff_mean", "diff_std", "diff_max")
 
 
@@ -65,35 +68,69 @@ def array_features(df: DataFrame, *, keys: Sequence[str], samples: str) -> DataF
     return time_features(df.select(*keys, F.posexplode(samples).alias("_place", "_value")), keys=keys, value="_value", order="_place")
 
 
-def peak_cadence(samples: DataFrame, *, keys: Sequence[str], value: str, order: str, hz: float, height: float = 0.6, distance: int = 20) -> DataFrame:
-    """keys, n_peaks, cadence (peaks a minute): local maxima above mean + height * std, at least `distance` samples
-    apart, higher ones first. Local maxima are found by window functions; only they reach Python, by recording."""
-    w = Window.partitionBy(*keys)
-    o = w.orderBy(order)
-    rows = samples.select(*keys, F.col(value).alias("_v"), (F.row_number().over(o) - 1).alias("_i"), F.lag(value).over(o).alias("_p"), F.lead(value).over(o).alias("_n"))
-    rows = rows.withColumns({"_m": F.avg("_v").over(w), "_s": F.stddev_pop("_v").over(w), "_all": F.count(F.lit(1)).over(w)})
-    kept = rows.withColumn("_peak", (F.col("_v") > F.col("_p")) & (F.col("_v") >= F.col("_n")) & (F.col("_v") >= F.col("_m") + height * F.col("_s")))
-    kept = kept.where(F.coalesce("_peak", F.lit(False)) | (F.col("_i") == 0)).select(*keys, "_v", "_i", "_all", F.coalesce("_peak", F.lit(False)).alias("_peak"))
-    kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        peaks = pdf[pdf["_peak"]].sort_values("_i")
-        at, v = peaks["_i"].to_numpy(), peaks["_v"].to_numpy()
-        keep = np.ones(len(at), bool)
-        for i in np.argsort(-v, kind="stable"):
-            if keep[i]:
-                near = np.abs(at - at[i]) < distance
-                near[i] = False
-                keep &= ~near
-        seconds = int(pdf["_all"].iloc[0]) / hz
-        return pdf[list(keys)].head(1).assign(n_peaks=int(keep.sum()), cadence=60.0 * keep.sum() / seconds)
-
-    return kept.groupBy(*keys).applyInPandas(run, f"{kinds}, n_peaks long, cadence double")
+def _plateaus(samples: DataFrame, keys: Sequence[str], value: str, order: str, bucket: int, block: int = 100_000) -> DataFrame:
+    """keys, _v, _at, _before, _after: each stretch of equal values with its middle place (of two the earlier) and the
+    values on both sides, null at the ends. Recordings are cut into buckets, and their stretches into blocks."""
+    known = samples.select(*keys, order, F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("_v"))
+    runs = segments.islands(known, F.col("_v"), by=keys, order=[order], out="_run", place="_i", bucket_us=bucket)
+    level = runs.groupBy(*keys, "_run").agg(F.first("flag").alias("_v"), F.floor((F.min("_i") + F.max("_i")) / 2).alias("_at"))
+    near = level.withColumn("_of", F.explode(F.sequence(F.floor((F.col("_run") - 1) / block), F.floor((F.col("_run") + 1) / block))))
+    w = Window.partitionBy(*keys, "_of").orderBy("_run")
+    return near.withColumns({"_before": F.lag("_v").over(w), "_after": F.lead("_v").over(w)}).where(F.floor(F.col("_run") / block) == F.col("_of")).drop("_of", "_run")
+
+
+def _apart(peaks: DataFrame, keys: Sequence[str], distance: int, out: str) -> DataFrame:
+    """`out`: the number of each peak's neighbourhood; peaks of different ones are at least `distance` places apart."""
+    rows = segments.keyed(peaks, keys, F.floor(F.col("_at") / (1_000 * distance)))
+    far = lambda a, b: F.col(a)["at"] - F.col(b)["at"] >= distance
+    return segments.numbered(rows, far("_facts", "_before"), far("_first", "_carry"), order=["_at"], facts=F.struct(F.col("_at").alias("at")), out=out)
+
+
+def distant_peaks(peaks: DataFrame, *, keys: Sequence[str], distance: int) -> DataFrame:
+    """The peaks (keys, _at, _v) that stay if they have to be `distance` places apart: higher ones first, of equal ones the
+    later.
+
+    A peak that no higher one is near to stays, and takes those near to it away. What these leave undecided falls into
+    small neighbourhoods, each settled as one list; peaks that rise one after the other, nearer than the distance, make
+    the longest ones.
+    """
+    if distance <= 1:
+        return peaks.select(*keys, "_at", "_v")
+    path, kinds = sinks.scratch_path(peaks.sparkSession, "peaks"), peaks.select(*keys, "_at", "_v").schema
+    peaks.select(*keys, "_at", "_v").write.parquet(path)  # few rows of a recording, read several times
+    peaks = peaks.sparkSession.read.schema(kinds).parquet(path)
+    rank = F.struct("_v", "_at")
+    near = lambda of: Window.partitionBy(*keys, of).orderBy("_at").rangeBetween(1 - distance, distance - 1)
+    first = _apart(peaks.select(*keys, "_at", "_v"), keys, distance, "_near")
+    first = first.withColumn("_top", rank == F.max(rank).over(near("_near")))
+    first = first.withColumn("_hit", F.max("_top").over(near("_near")))
+    rest = _apart(first.where(~F.col("_hit")).select(*keys, "_at", "_v"), keys, distance, "_near")
+
+    listed = rest.groupBy(*keys, "_near").agg(F.sort_array(F.collect_list(rank), asc=False).alias("_all"))
+    free = lambda kept, x: ~F.exists(kept, lambda y: F.abs(y["_at"] - x["_at"]) < distance)
+    settled = F.aggregate("_all", F.array().cast(listed.schema["_all"].dataType), lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    return first.where("_top").select(*keys, "_at", "_v").unionByName(listed.select(*keys, F.inline(settled)))
+
+
+def peak_cadence(samples: DataFrame, *, keys: Sequence[str], value: str, order: str, hz: float | None = None, height: float = 0.6, distance: int = 20, bucket: int = segments.BUCKET_US) -> DataFrame:
+    """keys, n_peaks, cadence (peaks a minute, 0 where no time passes): stretches of equal values that lie above both
+    neighbours and reach mean + height * sample deviation, at least `distance` samples apart. A stretch counts at its
+    middle; one at either end is none. order: a time, or a sample number at `hz`. Null and NaN values are no peaks."""
+    x = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    number = times.micros(order) / times.SECOND if hz is None else F.col(order) / hz
+    facts = samples.groupBy(*keys).agg((F.avg(x) + height * F.stddev_samp(x)).alias("_least"), (F.max(number) - F.min(number)).alias("_seconds"))
+    level = _plateaus(samples, keys, value, order, bucket).where((F.col("_v") > F.col("_before")) & (F.col("_v") > F.col("_after")))
+    same = facts.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), "_least")
+    met = functools.reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)))
+    peaks = level.join(same, met).where(F.col("_v") >= F.col("_least")).select(*keys, "_at", "_v")
+    found = distant_peaks(peaks, keys=keys, distance=distance).groupBy(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys))).agg(F.count(F.lit(1)).alias("_n"))
+    n = F.coalesce("_n", F.lit(0))
+    return facts.join(found, met, "left").select(*keys, n.alias("n_peaks"), F.when(F.col("_seconds") > 0, 60.0 * n / F.col("_seconds")).otherwise(0.0).alias("cadence"))
 
 
 def recording_features(samples: DataFrame, *, keys: Sequence[str], value: str, time_us: str) -> DataFrame:
-    """Duration and magnitude statistics of each recording."""
-    return samples.groupBy(*keys).agg(((F.max(time_us) - F.min(time_us)) / 1e6).alias("duration_s"), F.avg(value).alias("mean_value"), F.stddev_pop(value).alias("std_value"), F.count(F.lit(1)).alias("n_samples"))
+    """Duration and magnitude statistics of each recording (sample deviation)."""
+    return samples.groupBy(*keys).agg(((F.max(time_us) - F.min(time_us)) / 1e6).alias("duration_s"), F.avg(value).alias("mean_value"), F.stddev_samp(value).alias("std_value"), F.count(F.lit(1)).alias("n_samples"))
 
 
 def in_columns(features: DataFrame, *, keys: Sequence[str], name: Column, names: Sequence[str], stats: Sequence[str] = STATS) -> DataFrame:

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,36 +80,107 @@ def interval_overlaps(intervals: DataFrame, *, by: str = "reference", start: str
     return intervals.withColumn("previous_stop", F.lag(stop).over(order)).where(F.col(start) < F.col("previous_stop"))
 
 
+class _Longest:
+    """Intervals still there, in order: of every stretch of them (a node of a binary tree) the greatest length and its
+    label, and the greatest length of any other label. Finds the next interval of another label that is long enough, and
+    takes intervals out, in logarithmic time."""
+
+    GONE = -(2**63)
+
+    def __init__(self, lengths: np.ndarray, labels: np.ndarray):
+        self.size = 1 << max(1, (len(lengths) - 1).bit_length())
+        self.top, self.label, self.other = ([v] * (2 * self.size) for v in (self.GONE, -2, self.GONE))
+        self.top[self.size : self.size + len(lengths)] = lengths.tolist()
+        self.label[self.size : self.size + len(labels)] = labels.tolist()
+        for node in range(self.size - 1, 0, -1):
+            self._join(node)
+
+    def _join(self, node: int) -> None:
+        a, b = sorted((2 * node, 2 * node + 1), key=self.top.__getitem__)
+        self.top[node], self.label[node] = self.top[b], self.label[b]
+        self.other[node] = max(self.other[b], self.top[a] if self.label[a] != self.label[b] else self.other[a])
+
+    def _best(self, node: int, label: int) -> int:
+        return self.top[node] if self.label[node] != label else self.other[node]
+
+    def take(self, i: int) -> None:
+        node = i + self.size
+        self.top[node] = self.GONE
+        while node > 1:
+            node //= 2
+            self._join(node)
+
+    def next(self, low: int, high: int, label: int, least: int) -> int:
+        """The first place in [low, high) of another label and at least this length; high if there is none."""
+        if low >= high:
+            return high
+        node = low + self.size
+        while self._best(node, label) < least:
+            while node & 1:
+                node //= 2
+            if not node:
+                return high
+            node += 1
+        while node < self.size:
+            node *= 2
+            if self._best(node, label) < least:
+                node += 1
+        return min(node - self.size, high)
+
+
+def _sweep(start: np.ndarray, stop: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which intervals go, for intervals in order, labels as numbers. Each interval that is still there meets those that
+    begin before it ends: the first of another label that is as long or longer ends it, and all others of another label
+    before that one go. Every step takes an interval out, so all of it is n log n."""
+    length, gone = stop - start, np.zeros(len(start), bool)
+    there, until = _Longest(length, label), np.searchsorted(start, stop, side="left")
+    for i in range(len(start)):
+        if gone[i]:
+            continue
+        winner = there.next(i + 1, int(until[i]), int(label[i]), int(length[i]))
+        j = there.next(i + 1, winner, int(label[i]), _Longest.GONE + 1)
+        while j < winner:
+            gone[j] = True
+            there.take(j)
+            j = there.next(j + 1, winner, int(label[i]), _Longest.GONE + 1)
+        if winner < until[i]:
+            gone[i] = True
+    return gone
+
+
 def resolve_conflicts(intervals: DataFrame, *, by: str = "reference", label: str = "label", start: str = "start", stop: str = "stop") -> DataFrame:
-    """`dropped` for each interval: pairs of overlapping, differently labelled intervals are met in order, the
-    shorter goes (of equal ones the earlier), and what has gone no longer counts. Chains make this depend on the
-    order, so each chain of overlapping intervals is one pass in one task; chains are cut by the latest stop so far."""
+    """`dropped` for each interval: pairs of overlapping, differently labelled intervals are met in order of (start, stop,
+    label), the shorter goes (of equal ones the earlier), and what has gone no longer counts.
+
+    Chains of overlapping intervals, cut by the latest stop so far, do not touch each other; each is swept in one
+    task. Most chains are one interval or agree in label and need none. Null labels are equal; an interval without a start
+    or stop meets no other.
+    """
     from pyspark.sql.types import BooleanType, StructField, StructType
 
     schema = StructType([*intervals.schema.fields, StructField("dropped", BooleanType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([start, stop, label], kind="stable").reset_index(drop=True)
-        begin, end, kind = pdf[start].to_numpy(), pdf[stop].to_numpy(), pdf[label].to_numpy()
-        gone = [False] * len(pdf)
-        for i in range(len(pdf)):
-            for j in range(i + 1, len(pdf)):
-                if gone[i] or begin[j] >= end[i]:
-                    break
-                if not gone[j] and kind[i] != kind[j]:
-                    gone[i if end[i] - begin[i] <= end[j] - begin[j] else j] = True
-        return pdf.drop(columns="_chain").assign(dropped=gone)
-
-    order = Window.partitionBy(by).orderBy(F.col(start).asc_nulls_last(), F.col(stop).asc_nulls_last(), F.col(label).asc_nulls_last())
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in (start, stop, label)]).drop_columns(["_cell"])
+        bounds = [table[c].cast(pa.int64()).to_numpy() for c in (start, stop)]
+        names = table[label].combine_chunks().dictionary_encode().indices
+        gone = _sweep(*bounds, np.asarray(names.fill_null(-1).to_numpy(zero_copy_only=False), np.int64))
+        return table.append_column("dropped", pa.array(gone))
+
+    whole = intervals.where(F.col(start).isNotNull() & F.col(stop).isNotNull())
+    order = Window.partitionBy(by).orderBy(start, stop, F.col(label).asc_nulls_last())
     latest = F.max(stop).over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.coalesce((F.col(start) >= latest).cast("int"), F.lit(0))
-    chained = intervals.withColumn("_chain", new).withColumn("_chain", F.sum("_chain").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    chained = whole.withColumn("_chain", new).withColumn("_chain", F.sum("_chain").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     chain = Window.partitionBy(by, "_chain")
     known = F.count(label).over(chain)
     alike = F.min(label).over(chain).eqNullSafe(F.max(label).over(chain)) & ((known == F.count(F.lit(1)).over(chain)) | (known == 0))
-    rows = chained.withColumn("_alike", alike)  # most chains are a single interval
+    # chains of one reference do not touch each other, so short ones share a cell
+    cell = F.floor(F.min("_at").over(chain) / 10_000)
+    rows = chained.withColumn("_at", F.row_number().over(order)).withColumns({"_alike": alike, "_cell": cell})
     calm = rows.where("_alike").select(*intervals.columns, F.lit(False).alias("dropped"))
-    return calm.unionByName(rows.where("not _alike").drop("_alike").groupBy(by, "_chain").applyInPandas(run, schema))
+    open_ = intervals.where(F.col(start).isNull() | F.col(stop).isNull()).withColumn("dropped", F.lit(False))
+    return calm.unionByName(open_).unionByName(rows.where("not _alike").drop("_alike", "_chain", "_at").groupBy(by, "_cell").applyInArrow(run, schema))
 
 
 def shifted(candidates: DataFrame, offsets_minutes: Sequence[int], start: str = "start", stop: str = "stop") -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motionlake.operators.segments import hysteresis
+from motionlake.functions import times
+from motionlake.operators.segments import BUCKET_US, hysteresis, keyed, time_bucket
 
 
 def _over(a: Column, b: Column) -> Column:
@@ -119,21 +121,31 @@ def sweep_threshold(df: DataFrame, y: str, probability: str, grid: Sequence[floa
     return from_counts(counts)
 
 
-def _run_metrics(df: DataFrame, y: str, flags: Sequence[tuple[dict[str, float], Column]], least: Sequence[int], points: Sequence[dict[str, float]], *, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+def _run_metrics(df: DataFrame, y: str, flags: Sequence[tuple[dict[str, float], Column]], least: Sequence[int], points: Sequence[dict[str, float]], *, by: Sequence[str], order: Sequence[str], bucket_us: int) -> DataFrame:
     """Metrics of flagged rows in runs of at least min_run rows, for each of the points.
 
-    Rows are sorted once for all flags; a histogram of run lengths for each flag then gives every min_run, so that rows
-    are not repeated for each point of the grid.
+    Rows are sorted once for all flags, by time buckets. A bucket comes down to a histogram of the runs inside it and its
+    first and last run for each flag; those of neighbouring buckets that go on into each other are put together, and the
+    histograms are added. So no window holds a whole key, and rows are not repeated for each point of the grid.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
     names = [f"_f{i}" for i in range(len(flags))]
-    rows = df.select(*by, *(c for c in order if c not in by), F.col(y).alias("_y"), *(F.coalesce(f, F.lit(False)).alias(n) for n, (_, f) in zip(names, flags, strict=True)))
-    runs = rows.withColumns({f"_c{i}": (~F.col(n).eqNullSafe(F.lag(n).over(w))).cast("int") for i, n in enumerate(names)})
-    runs = runs.withColumns({f"_r{i}": F.sum(f"_c{i}").over(w) for i in range(len(names))})
-    each = runs.select(*by, "_y", F.posexplode(F.array(*(F.struct(F.col(n).alias("flag"), F.col(f"_r{i}").alias("run")) for i, n in enumerate(names)))).alias("_of", "_x"))
-    lengths = each.groupBy(*by, "_of", "_x.run", "_x.flag").agg(F.count(F.lit(1)).alias("length"), F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg"))
+    kept = df.select(*dict.fromkeys([*by, *order]), F.col(y).alias("_y"), *(F.coalesce(f, F.lit(False)).alias(n) for n, (_, f) in zip(names, flags, strict=True)))
+    rows = keyed(kept, by, time_bucket(kept, order[0], bucket_us))
+    w, bucket = Window.partitionBy("_k", "_b").orderBy(*order), Window.partitionBy("_k", "_b")
+    rows = rows.withColumns({f"_c{i}": F.when(F.lag(n).over(w).isNull() | (F.col(n) == F.lag(n).over(w)), 0).otherwise(1) for i, n in enumerate(names)})
+    rows = rows.withColumns({f"_r{i}": F.sum(f"_c{i}").over(w) for i in range(len(names))})
+    each = rows.withColumns({f"_t{i}": F.max(f"_r{i}").over(bucket) for i in range(len(names))})
+    each = each.select("_k", "_b", "_y", F.posexplode(F.array(*(F.struct(F.col(n).alias("flag"), F.col(f"_r{i}").alias("run"), F.col(f"_t{i}").alias("top")) for i, n in enumerate(names)))).alias("_of", "_x"))
+    made = [F.count(F.lit(1)).alias("length"), F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg")]
+    runs = each.groupBy("_k", "_b", "_of", "_x.run", "_x.flag", "_x.top").agg(*made)
+    inside = (F.col("run") > 0) & (F.col("run") < F.col("top"))
+    line = Window.partitionBy("_k", "_of").orderBy("_b", "run")
+    last = F.lag(F.struct("_b", "flag")).over(line)
+    edges = runs.where(~inside).withColumn("_new", F.when((last["_b"] < F.col("_b")) & (last["flag"] == F.col("flag")), 0).otherwise(1))
+    edges = edges.withColumn("_island", F.sum("_new").over(line)).groupBy("_k", "_of", "_island", "flag").agg(*(F.sum(c).alias(c) for c in ("length", "pos", "neg")))
     # runs longer than any limit count alike
-    hist = lengths.groupBy("_of", "flag", F.least("length", F.lit(max(least))).alias("length")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    found = runs.where(inside).select("_of", "flag", "length", "pos", "neg").unionByName(edges.select("_of", "flag", "length", "pos", "neg"))
+    hist = found.groupBy("_of", "flag", F.least("length", F.lit(max(least))).alias("length")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     of = [next(i for i, (p, _) in enumerate(flags) if all(point[k] == v for k, v in p.items())) for point in points]
     grid = F.array(*(F.struct(F.lit(i).alias("i"), *(F.lit(v).alias(k) for k, v in point.items())) for i, point in zip(of, points, strict=True)))
     met = hist.withColumn("_p", F.explode(grid)).where("_p.i = _of")
@@ -143,20 +155,20 @@ def _run_metrics(df: DataFrame, y: str, flags: Sequence[tuple[dict[str, float],
     return from_counts(counts)
 
 
-def sweep_min_run(df: DataFrame, y: str, probability: str, grid: Sequence[tuple[float, int]], *, by: Sequence[str], order: Sequence[str], gate: tuple[str, float] | None = None) -> DataFrame:
+def sweep_min_run(df: DataFrame, y: str, probability: str, grid: Sequence[tuple[float, int]], *, by: Sequence[str], order: Sequence[str], gate: tuple[str, float] | None = None, bucket_us: int = BUCKET_US) -> DataFrame:
     """Metrics of thresholded and persistence-filtered predictions for each (threshold, min_run)."""
     also = F.col(gate[0]) >= gate[1] if gate else F.lit(True)
     flags = [({"threshold": t}, (F.col(probability) >= t) & also) for t in sorted({float(t) for t, _ in grid})]
     points = [{"threshold": float(t), "min_run": int(k)} for t, k in grid]
-    return _run_metrics(df, y, flags, [k for _, k in grid], points, by=by, order=order)
+    return _run_metrics(df, y, flags, [k for _, k in grid], points, by=by, order=order, bucket_us=bucket_us)
 
 
-def sweep_consensus(df: DataFrame, y: str, first: str, second: str, grid: Sequence[tuple[float, float, int]], *, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+def sweep_consensus(df: DataFrame, y: str, first: str, second: str, grid: Sequence[tuple[float, float, int]], *, by: Sequence[str], order: Sequence[str], bucket_us: int = BUCKET_US) -> DataFrame:
     """Metrics where both probabilities reach their thresholds, then runs are filtered."""
     pairs = sorted({(float(a), float(b)) for a, b, _ in grid})
     flags = [({"first_threshold": a, "second_threshold": b}, (F.col(first) >= a) & (F.col(second) >= b)) for a, b in pairs]
     points = [{"first_threshold": float(a), "second_threshold": float(b), "min_run": int(k)} for a, b, k in grid]
-    return _run_metrics(df, y, flags, [k for _, _, k in grid], points, by=by, order=order)
+    return _run_metrics(df, y, flags, [k for _, _, k in grid], points, by=by, order=order, bucket_us=bucket_us)
 
 
 def sweep_hysteresis(df: DataFrame, y: str, probability: str, grid: Sequence[tuple[float, float, int, int]], *, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -178,9 +190,14 @@ def ranked_reviews(df: DataFrame, order: Sequence[Column], n: int, prefix: str =
 
 
 def window_sizes(samples: DataFrame, sizes_s: Sequence[int], *, time: str = "_time", feet: Sequence[str] = ("Left", "Right")) -> DataFrame:
-    """For each window size: distinct window centers and the rows of each foot."""
-    from motionlake.functions import times
+    """For each window size: distinct window centers and the rows of each foot.
 
-    each = samples.withColumn("window_s", F.explode(F.array(*(F.lit(int(s)) for s in sizes_s))))
-    center = F.floor(times.micros(time) / (F.col("window_s").cast("long") * times.SECOND))
-    return each.groupBy("window_s").agg(F.countDistinct(center).alias("distinct_centers"), *(F.count_if(F.col("foot") == f).alias(f"{f.lower()}_rows") for f in feet))
+    Rows are counted once, in bins as wide as the greatest common divisor of all sizes; those bins, not the rows, are
+    rolled up to the windows of each size. Rows without a time count for their foot, not as a center.
+    """
+    width = math.gcd(*(int(s) for s in sizes_s))
+    names = [f"{f.lower()}_rows" for f in feet]
+    bins = samples.groupBy(F.floor(times.micros(time) / (width * times.SECOND)).alias("_bin")).agg(*(F.count_if(F.col("foot") == f).alias(n) for f, n in zip(feet, names, strict=True)))
+    each = bins.withColumn("window_s", F.explode(F.array(*(F.lit(int(s)) for s in sizes_s))))
+    centers = each.groupBy("window_s", F.floor(F.col("_bin") * width / F.col("window_s")).alias("_center")).agg(*(F.sum(n).alias(n) for n in names))
+    return centers.groupBy("window_s").agg(F.count("_center").alias("distinct_centers"), *(F.sum(n).alias(n) for n in names))

@@ -417,13 +417,14 @@ def c6b(spark, sf_dir):
 
 
 def _bundle(spark, sf_dir):
-    """Bundle rows: two signals, times cut to the second."""
-    e = _samples(spark, sf_dir)
+    """Bundle rows: two signals, times cut to the second. Values have two decimals, whose means end in exact halves at the
+    last digit that is compared; scaled by a tenth of pi they don't."""
+    e = _samples(spark, sf_dir).withColumn("v", F.col("v") * 0.3141592653589793)
     return e.select("reference", "foot", F.when(F.col("event_id") % 3 == 0, "Gx").otherwise("Ax").alias("signal"), F.col("event_id").alias("sample_order"), F.date_trunc("second", "_time").alias("_time"), F.col("v").alias("value"))
 
 
 _BUNDLE = """SELECT reference, foot, make_timestamp(us) AS _time, signal, avg(v) AS v FROM (SELECT reference, foot, signal, v, epoch_us(sec) + (row_number() OVER (PARTITION BY reference, foot, signal, sec ORDER BY event_id) - 1) * 1000000 // count(*) OVER (PARTITION BY reference, foot, signal, sec) AS us
-  FROM (SELECT event_id, reference, CASE WHEN event_id % 2 = 0 THEN 'Left' ELSE 'Right' END AS foot, CASE WHEN event_id % 3 = 0 THEN 'Gx' ELSE 'Ax' END AS signal, date_trunc('second', _time) AS sec, value AS v FROM ev)) GROUP BY ALL"""
+  FROM (SELECT event_id, reference, CASE WHEN event_id % 2 = 0 THEN 'Left' ELSE 'Right' END AS foot, CASE WHEN event_id % 3 = 0 THEN 'Gx' ELSE 'Ax' END AS signal, date_trunc('second', _time) AS sec, value * CAST(0.3141592653589793 AS DOUBLE) AS v FROM ev)) GROUP BY ALL"""
 _SPANS = "SELECT reference AS request_id, reference, min(start) AS start, max(stop) AS stop FROM lb GROUP BY reference"
 _BUNDLE_HOW = _HOW | {"signals": ["Ax", "Gx"], "least": 0.03}
 _FIVE = f"""{LB}, {_spectrogram_sql(_BUNDLE, _SPANS, "'Ax', 'Gx'", 0.03)},
@@ -450,7 +451,8 @@ def c3(spark, sf_dir):
 def _streamed(spark, sf_dir, make, mode="append"):
     """The rows that a streaming query over the events, a file at a time, has written to a table of files."""
     spark = session(spark)
-    out, path = make(_shaped(_source(spark, sf_dir))), _fresh(spark)
+    late_s, _ = _span(spark, sf_dir)
+    out, path = make(_shaped(_source(spark, sf_dir)), f"{late_s} seconds"), _fresh(spark)
     if mode == "append":
         _append(out, path)
     else:
@@ -459,6 +461,13 @@ def _streamed(spark, sf_dir, make, mode="append"):
     return spark.read.schema(out.schema).parquet(f"{path}/rows")
 
 
+def _span(spark, sf_dir):
+    """Seconds that no row of the table is later than, in any order of its files, and its last time in microseconds."""
+    us = F.unix_micros("_time")
+    low, high = events(spark, sf_dir).agg(F.min(us), F.max(us)).collect()[0]
+    return (high - low) // 1_000_000 + 2 if high is not None else 1, high
+
+
 def _source(spark, sf_dir):
     spark = session(spark)
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -483,9 +492,7 @@ def _closed(spark, sf_dir, make, size_s):
     the order of its files, until an event behind all others closes every window. That event's own never closes."""
     spark = session(spark)
     source, path = _source(spark, sf_dir), _fresh(spark)
-    us = F.unix_micros("_time")
-    low, high = events(spark, sf_dir).agg(F.min(us), F.max(us)).collect()[0]
-    late_s = (high - low) // 1_000_000 + 2 if high is not None else 1
+    late_s, high = _span(spark, sf_dir)
     out = make(_shaped(source.unionByName(_folder_stream(spark, f"{path}/closing", source.schema))), f"{late_s} seconds")
     _append(out, path)
     if high is not None:
@@ -532,7 +539,7 @@ def _is_folder(spark, sf_dir) -> bool:
 
 @query("x1_stream_dedup", "SELECT user_id || '' AS reference, event_type AS foot, count(DISTINCT ts) AS n_rows FROM events GROUP BY 1, 2")
 def x1(spark, sf_dir):
-    rows = _streamed(spark, sf_dir, lambda e: live.dedup_samples(e.unionByName(e), ["reference", "foot", "_time"], late="40 days"))
+    rows = _streamed(spark, sf_dir, lambda e, late: live.dedup_samples(e.unionByName(e), ["reference", "foot", "_time"], late=late))
     return rows.groupBy("reference", "foot").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -555,7 +562,7 @@ def x4(spark, sf_dir):
 def x5(spark, sf_dir):
     first = events(spark, sf_dir).groupBy(F.col("reference").cast("string").alias("reference")).agg(F.min("_time").alias("start"))
     l = first.select("reference", "start", (F.col("start") + F.expr("INTERVAL 5 DAYS")).alias("stop"), F.lit("walking").alias("label"))  # noqa: E741
-    return _streamed(spark, sf_dir, lambda e: live.label_stream(e, l)).groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
+    return _streamed(spark, sf_dir, lambda e, late: live.label_stream(e, l)).groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("x6_stream_hysteresis", f"WITH RECURSIVE {PR}, {_HYST.format(grid='(0.1, 0.05, 2, 2)', k1=1, m1=1)} SELECT reference || '' AS reference, _time, probability, state FROM hy", "probability")
@@ -565,7 +572,7 @@ def x6(spark, sf_dir):
 
 @query("x7_stream_coverage", "SELECT user_id || '' AS reference, event_type AS foot, count(*) AS n_rows FROM events GROUP BY 1, 2")
 def x7(spark, sf_dir):
-    rows = _streamed(spark, sf_dir, lambda e: live.live_coverage(e, window="1 day", late="40 days"), mode="update")
+    rows = _streamed(spark, sf_dir, lambda e, late: live.live_coverage(e, window="1 day", late=late), mode="update")
     last = rows.groupBy("reference", "foot", "window_start").agg(F.max("n_rows").alias("n_rows"))
     return last.groupBy("reference", "foot").agg(F.sum("n_rows").alias("n_rows"))
 

@@ -543,18 +543,20 @@ def r8b(spark, sf_dir):
     return rows.withColumn("near_mean", F.avg("value").over(w)).where("not halo").select("event_id", "near_mean")
 
 
-@query("a34_peak_cadence", """WITH RECURSIVE x AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
-  s AS (SELECT vec_id, avg(v) + 0.6 * stddev_pop(v) AS high, count(*) AS n FROM x GROUP BY 1), q AS (SELECT *, lag(v) OVER w AS p, lead(v) OVER w AS f FROM x WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
-  pk AS (SELECT q.vec_id, i, row_number() OVER (PARTITION BY q.vec_id ORDER BY v DESC, i) AS k FROM q JOIN s USING (vec_id) WHERE v > p AND v >= f AND v >= high),
+@query("a34_peak_cadence", """WITH RECURSIVE x AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, round(CAST(unnest(embedding) AS DOUBLE), 1) AS v FROM embeddings),
+  s AS (SELECT vec_id, avg(v) + 0.6 * stddev_samp(v) AS high, (max(i) - min(i)) / 50.0 AS seconds FROM x GROUP BY 1), c AS (SELECT *, CASE WHEN v = lag(v) OVER w THEN 0 ELSE 1 END AS new FROM x WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
+  l AS (SELECT vec_id, run, min(v) AS v, (min(i) + max(i)) // 2 AS i FROM (SELECT *, sum(new) OVER (PARTITION BY vec_id ORDER BY i) AS run FROM c) GROUP BY 1, 2), q AS (SELECT *, lag(v) OVER w AS p, lead(v) OVER w AS f FROM l WINDOW w AS (PARTITION BY vec_id ORDER BY run)),
+  pk AS (SELECT q.vec_id, i, row_number() OVER (PARTITION BY q.vec_id ORDER BY v DESC, i DESC) AS k FROM q JOIN s USING (vec_id) WHERE v > p AND v > f AND v >= high),
   r AS (SELECT vec_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM s
     UNION ALL SELECT r.vec_id, pk.k, CASE WHEN len(list_filter(kept, lambda y: abs(y - i) < 4)) > 0 THEN kept ELSE list_append(kept, i) END FROM r JOIN pk ON pk.vec_id = r.vec_id AND pk.k = r.k + 1),
-  f AS (SELECT vec_id, max(len(kept)) AS n_peaks FROM r GROUP BY 1) SELECT vec_id, n_peaks, 60.0 * n_peaks / (n / 50.0) AS cadence FROM f JOIN s USING (vec_id)""", "cadence")
+  f AS (SELECT vec_id, max(len(kept)) AS n_peaks FROM r GROUP BY 1) SELECT vec_id, n_peaks, CASE WHEN seconds > 0 THEN 60.0 * n_peaks / seconds ELSE 0 END AS cadence FROM f JOIN s USING (vec_id)""", "cadence")
 def a34(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.transform("embedding", lambda x: x.cast("double"))).alias("i", "v"))
+    """Components are rounded to one digit, so that plateaus and ties occur."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.transform("embedding", lambda x: F.round(x.cast("double"), 1))).alias("i", "v"))
     return features.peak_cadence(e, keys=["vec_id"], value="v", order="i", hz=50.0, distance=4)
 
 
-@query("a34_recording_features", f"WITH {EV} SELECT reference, (epoch_us(max(_time)) - epoch_us(min(_time))) / 1e6 AS duration_s, avg(value) AS mean_value, stddev_pop(value) AS std_value, count(*) AS n_samples FROM ev GROUP BY 1", "duration_s mean_value std_value")
+@query("a34_recording_features", f"WITH {EV} SELECT reference, (epoch_us(max(_time)) - epoch_us(min(_time))) / 1e6 AS duration_s, avg(value) AS mean_value, stddev_samp(value) AS std_value, count(*) AS n_samples FROM ev GROUP BY 1", "duration_s mean_value std_value")
 def a34b(spark, sf_dir):
     return features.recording_features(events(spark, sf_dir).withColumn("us", times.micros("_time")), keys=["reference"], value="value", time_us="us")
 

@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from definitions import states_by_definition
+
 from motionlake.functions import contracts, labels, times
 from motionlake.operators import autolabel, balance, features, folds, grid, intervals, metrics, reshape, segments, spectral
 
@@ -86,7 +88,7 @@ def test_run_at_the_end_and_runs_at_segment_borders(spark):
 
 def test_hysteresis_sets_and_clears_back():
     p = np.array([0.9, 0.1, 0.9, 0.9, 0.5, 0.1, 0.5, 0.1, 0.1, 0.9])
-    assert segments.hysteresis_states(p, 0.8, 0.3, 2, 2).tolist() == [0, 0, 1, 1, 1, 1, 1, 0, 0, 0]
+    assert states_by_definition(p, 0.8, 0.3, 2, 2) == [0, 0, 1, 1, 1, 1, 1, 0, 0, 0]
 
 
 def test_robust_score_falls_back(spark):
@@ -301,7 +303,7 @@ def test_states_and_sequences_cross_buckets(spark):
         out = segments.hysteresis(df, "p", hi=0.5, lo=0.3, k=2, m=3, by=["reference"], order=["t", "i"], bucket_us=width)
         got = {(r.reference, r.i): r.state for r in out.collect()}
         for ref in "ab":
-            assert [got[ref, i] for i in range(150)] == segments.hysteresis_states(np.array([v or 0.0 for r, _, _, v in data if r == ref]), 0.5, 0.3, 2, 3).tolist()
+            assert [got[ref, i] for i in range(150)] == states_by_definition([v or 0.0 for r, _, _, v in data if r == ref], 0.5, 0.3, 2, 3)
     for block in (7, 100_000):
         s = segments.context_sequences(df, by=["reference"], order="t", features=["i", "p"], length=5, tie=["i"], block=block).collect()
         assert len(s) == 2 * 146

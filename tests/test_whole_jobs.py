@@ -6,6 +6,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from definitions import dropped_by_definition, states_by_definition
+
 from motionlake.operators import intervals, segments
 from motionlake.plans import common, registry
 
@@ -44,13 +46,13 @@ def test_hysteresis_is_native_and_equals_the_machine(spark):
     rng = random.Random(4)
     data = [(r, i, rng.choice([None, float("nan"), 0.1, 0.3, 0.35, 0.5, 0.6, 0.9])) for r in ("a", "b", "c") for i in range(300)]
     df = spark.createDataFrame(data, "reference string, i long, p double").repartition(5)
-    for hi, lo, k, m in [(0.5, 0.3, 2, 3), (0.5, 0.5, 1, 1), (0.6, 0.2, 3, 1), (0.3, 0.3, 1, 4), (0.3, 0.6, 2, 2)]:
-        out = segments.hysteresis(df, "p", hi=hi, lo=lo, k=k, m=m, by=["reference"], order=["i"])
+    for hi, lo, k, m in [(0.5, 0.3, 2, 3), (0.5, 0.5, 1, 1), (0.6, 0.2, 3, 1), (0.3, 0.3, 1, 4), (0.3, 0.6, 2, 2), (0.3, 0.6, 1, 1), (0.35, 0.9, 3, 2), (0.3, 0.6, 1, 4)]:
+        out = segments.hysteresis(df, "p", hi=hi, lo=lo, k=k, m=m, by=["reference"], order=["i"], block=37)
         got = {(r.reference, r.i): r.state for r in out.collect()}
         for ref in "abc":
             p = [0.0 if v is None or v != v else v for r, _, v in data if r == ref]
-            assert [got[ref, i] for i in range(300)] == segments.hysteresis_states(p, hi, lo, k, m).tolist(), (hi, lo, k, m)
-        assert ("InPandas" in out._jdf.queryExecution().toString()) == (lo > hi)
+            assert [got[ref, i] for i in range(300)] == states_by_definition(p, hi, lo, k, m), (hi, lo, k, m)
+        assert "Pandas" not in out._jdf.queryExecution().toString()
 
 
 def test_conflicts_are_resolved_chain_by_chain(spark):
@@ -62,13 +64,5 @@ def test_conflicts_are_resolved_chain_by_chain(spark):
     want = {}
     for ref in {x[0] for x in data}:
         own = sorted(x for x in data if x[0] == ref)
-        gone = [False] * len(own)
-        for i, a in enumerate(own):
-            for j in range(i + 1, len(own)):
-                if gone[i] or own[j][1] >= a[2]:
-                    break
-                if not gone[j] and a[3] != own[j][3]:
-                    gone[i if a[2] - a[1] <= own[j][2] - own[j][1] else j] = True
-        want |= dict(zip(own, gone))
+        want |= dict(zip(own, dropped_by_definition([x[1:] for x in own]), strict=True))
     assert {(r.reference, r.start, r.stop, r.label): r.dropped for r in out.collect()} == want and any(want.values())
-    assert "_chain" in out._jdf.queryExecution().analyzed().toString()
