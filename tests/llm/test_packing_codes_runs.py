@@ -308,3 +308,30 @@ def test_periodic_runs_edges(spark):
         runs.report(table.withColumn("doc_id", F.lit("x")))
     long = spark.createDataFrame([(3, ("word " * 10 + "other ") * 30_000)], "doc_id long, text string")  # two megabytes
     assert [(r.n_runs, r.period, r.length) for r in runs.report(long).select("n_runs", "period", "length").collect()] == [(30_001, 11, 330_000)]
+
+
+# 1 and broadcasts
+
+
+def test_decontamination_without_any_broadcast(spark):
+    """One plan at every size: thin rows, evenly dealt, and the same result."""
+    from motionlake.llm import decontaminate
+
+    rng = random.Random(3)
+    prose = lambda n, v: " ".join(f"w{rng.randrange(v)}" for _ in range(n))
+    items = spark.createDataFrame([(1, prose(30, 40)), (2, "short item here"), (3, None)], "item_id long, text string")
+    passage = items.collect()[0].text
+    texts = [*ODD, *(prose(50, 40) for _ in range(10)), f"{prose(10, 400)} {passage} {prose(10, 400)}", "a SHORT item-here short item"] + [passage] * 3
+    found = lambda: sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.find(docs(spark, texts), items).collect())
+    want = found()
+    assert sum(r[2] > 0 for r in want) == 5
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        assert found() == want
+        plan = decontaminate.find(docs(spark, texts), items)._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "Python" not in plan
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
