@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,40 +39,86 @@ def group_profile(df: DataFrame, *, group: str, target: str, time: str | None =
     return df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(target) == 0).alias("target_0"), F.count_if(F.col(target) == 1).alias("target_1"), *span)
 
 
-def group_folds(df: DataFrame, *, group: str, target: str, source: str, k: int, restarts: int = 500, seed: int = 0, most_groups: int = 100_000) -> DataFrame:
-    """A fold for each group: groups are placed one by one, in a random order with the largest first, where the
-    squared deviation from even counts of (source, class) stays least; the best of many restarts stays.
+#: How much an uneven count of classes, and of classes within sources, weighs against one of rows and
+#: sources; and what an uneven number of groups costs while groups are placed.
+CLASS_WEIGHT, GROUP_WEIGHT = 2.0, 0.05
 
-    Counts of groups are small (a row for each group and cell) and checked against most_groups; restarts run in
-    parallel.
+
+def group_counts(df: DataFrame, *, group: str, target: str, source: str | None) -> DataFrame:
+    """group, cell, weight, n: for each group its rows, rows of each class, of each source and of each class in a source."""
+    kinds = [("rows", F.lit("rows"), 1.0), ("class", F.col(target).cast("string"), CLASS_WEIGHT)]
+    if source:
+        kinds += [("source", F.col(source).cast("string"), 1.0), ("both", F.concat_ws("|", F.col(source).cast("string"), F.col(target).cast("string")), CLASS_WEIGHT)]
+    cells = df.groupBy(group, target, *([source] if source else [])).agg(F.count(F.lit(1)).alias("_rows"))
+    each = cells.select(group, "_rows", F.inline(F.array(*(F.struct(F.concat_ws(":", F.lit(k), v).alias("cell"), F.lit(w).alias("weight")) for k, v, w in kinds))))
+    return each.groupBy(group, "cell", "weight").agg(F.sum("_rows").alias("n"))
+
+
+def plan_score(df: DataFrame, folds: DataFrame, *, group: str, target: str, source: str | None, k: int) -> DataFrame:
+    """plan_score of a plan (group, fold), one row: over all cells and folds the squared share by which a fold misses an
+    even count, weighted. Lower is better."""
+    counts = group_counts(df, group=group, target=target, source=source)
+    sums = counts.join(folds.select(group, "fold"), group).groupBy("cell", "weight", "fold").agg(F.sum("n").alias("n"))
+    goals = sums.groupBy("cell", "weight").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    goal = F.col("total") / k
+    # folds without rows of a cell miss all of it; the sum over k folds of (n - goal)^2 is squares - k * goal^2
+    return goals.agg(F.sum(F.col("weight") * (F.col("squares") - k * goal * goal) / (goal * goal)).alias("plan_score"))
+
+
+def group_folds(df: DataFrame, *, group: str, target: str, source: str | None, k: int, restarts: int = 500, seed: int = 0) -> DataFrame:
+    """A fold for each group (null groups have none), and plan_score of the plan.
+
+    Groups are placed one by one where the weighted squared deviation from even counts, with a penalty for uneven numbers
+    of groups, grows least: at first the largest groups first, then in random orders; the plan with the best score stays.
+
+    A group is known by its counts alone. Groups of equal counts are one row with a multiplicity, and how many of them go
+    to which fold is what a restart decides; restarts run in parallel tasks. The names of groups never leave Spark: the
+    plan of the counts is joined back, and a group takes its place among its equals by its name.
     """
-    cells = df.groupBy(group, F.concat_ws("|", F.col(source).cast("string"), F.col(target).cast("string")).alias("cell")).agg(F.count(F.lit(1)).alias("n")).limit(most_groups + 1).toPandas()
-    if len(cells) > most_groups:
-        raise ValueError(f"more than {most_groups} groups and cells")
-    counts = cells.pivot_table(index=group, columns="cell", values="n", fill_value=0).sort_index()
-    table, names = counts.to_numpy(float), list(counts.index)
-
-    def place(r: int) -> tuple[float, np.ndarray]:
-        rng = np.random.default_rng([seed, r])
-        order = np.argsort(-(table.sum(1) * rng.uniform(0.7, 1.3, len(table))), kind="stable")
-        goal, sums, fold = table.sum(0) / k, np.zeros((k, table.shape[1])), np.zeros(len(table), int)
-        scale = 1 / np.maximum(goal, 1)
-        for g in order:
-            cost = (((sums + table[g] - goal) * scale) ** 2 - ((sums - goal) * scale) ** 2).sum(1)
-            fold[g] = int(cost.argmin())
-            sums[fold[g]] += table[g]
-        return float((((sums - goal) * scale) ** 2).sum()), fold
+    counts = group_counts(df.where(F.col(group).isNotNull()), group=group, target=target, source=source)
+    shape = counts.groupBy(group).agg(F.to_json(F.array_sort(F.collect_list(F.struct("cell", "weight", "n")))).alias("_shape"))
+    kinds = shape.groupBy("_shape").agg(F.count(F.lit(1)).alias("many"))
+    listed = kinds.agg(F.array_sort(F.collect_list(F.struct("_shape", "many"))).alias("kinds"))  # a row of distinct counts
+
+    def tables(shapes: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        known = [{c["cell"]: (c["n"], c["weight"]) for c in json.loads(s["_shape"])} for s in shapes]
+        cells = sorted({c for x in known for c in x})
+        table = np.array([[x.get(c, (0, 0.0))[0] for c in cells] for x in known], float)
+        weight = np.array([max(x[c][1] for x in known if c in x) for c in cells])
+        return table, weight, np.array([s["many"] for s in shapes])
+
+    def place(table: np.ndarray, weight: np.ndarray, many: np.ndarray, attempt: int) -> tuple[float, np.ndarray]:
+        rng = np.random.default_rng([seed, attempt])
+        each = np.repeat(np.arange(len(table)), many)
+        order = rng.permutation(each) if attempt else each[np.argsort(-(table.sum(1)[each]), kind="stable")]
+        goal = (table * many[:, None]).sum(0) / k
+        scale = weight / np.where(goal > 0, goal, 1.0) ** 2
+        sums, groups, dealt = np.zeros((k, table.shape[1])), np.zeros(k), np.zeros((len(table), k), np.int64)
+        for kind in order.tolist():
+            # how much more a fold costs with this group: (a + x)^2 - a^2 = x (2a + x)
+            more = (scale * table[kind] * (2 * (sums - goal) + table[kind])).sum(1) + GROUP_WEIGHT * (2 * (groups - len(each) / k) + 1)
+            f = int(more.argmin())
+            sums[f] += table[kind]
+            groups[f] += 1
+            dealt[kind, f] += 1
+        return float((scale * (sums - goal) ** 2).sum()), dealt
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = min((place(int(r))[0], int(r)) for pdf in batches for r in pdf["id"])
-        yield pd.DataFrame({"score": [best[0]], "restart": [best[1]]})
+        best = None
+        for pdf in batches:
+            for attempt, shapes in zip(pdf["id"], pdf["kinds"], strict=True):
+                score, dealt = place(*tables(list(shapes)), int(attempt))
+                if best is None or score < best[0]:
+                    best = (score, int(attempt), [s["_shape"] for s in shapes], dealt)
+        if best:
+            yield pd.DataFrame({"plan_score": best[0], "attempt": best[1], "_shape": best[2], "_dealt": list(best[3])})
 
     spark = df.sparkSession
-    tries = spark.range(0, restarts, 1, min(8, restarts)).mapInPandas(run, "score double, restart long")
-    chosen = tries.orderBy("score", "restart").limit(1).collect()[0]
-    fold = place(chosen.restart)[1]
-    plan = pd.DataFrame({group: names, "fold": fold.astype("int32"), "plan_score": chosen.score})
-    return spark.createDataFrame(plan, f"{group} {df.schema[group].dataType.simpleString()}, fold int, plan_score double")
+    tries = spark.range(0, max(1, restarts), 1, min(32, max(1, restarts))).crossJoin(F.broadcast(listed)).mapInPandas(run, "plan_score double, attempt long, _shape string, _dealt array<long>")
+    best = tries.groupBy("_shape").agg(F.min_by(F.struct("_dealt", "plan_score"), F.struct("plan_score", "attempt")).alias("_best"))
+    place_of = F.row_number().over(Window.partitionBy("_shape").orderBy(group)) - 1
+    upto = F.aggregate(F.col("_best._dealt"), F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("fold")), lambda a, n: F.struct((a["sum"] + n).alias("sum"), (a["fold"] + (F.col("_at") >= a["sum"] + n).cast("int")).alias("fold")))
+    return shape.withColumn("_at", place_of).join(best, "_shape").select(group, upto["fold"].alias("fold"), F.col("_best.plan_score").alias("plan_score"))
 
 
 def fold_summary(df: DataFrame, folds: DataFrame, *, group: str, target: str) -> DataFrame:

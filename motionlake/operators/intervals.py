@@ -245,20 +245,34 @@ def keep_core(df: DataFrame, center: str = "time_center", start: str = "core_sta
     return df.where((F.col(center) >= F.col(start)) & (F.col(center) < F.col(stop)))
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, *, on: str, key: str, by: str = "reference", tolerance_us: int, right_columns: Sequence[str], tie: str) -> DataFrame:
+def asof_nearest(left: DataFrame, right: DataFrame, *, on: str, key: str, by: str = "reference", tolerance_us: int, right_columns: Sequence[str], tie: str, bucket_us: int = DAY_US) -> DataFrame:
     """Each left row (unique `key`) with the nearest right row of its reference within the tolerance, both included.
 
-    At equal distance the earlier row wins, then the larger `tie`. Left rows without a match go. Buckets as wide as
-    the tolerance keep the join an equi join; only buckets next to each other meet.
+    At equal distance the earlier row wins, then the larger `tie`. Left rows without a match, a time or a reference go.
+    Both sides stand in one table, once each, sorted by time buckets: a left row takes the last right row before it and
+    the next one behind it. Where its bucket has none, it is the last of the buckets before or the first of those after,
+    which one row for each bucket carries over. So rows are shuffled once, and no reference is one task.
     """
-    width = max(int(tolerance_us), 1)
-    cut = right.select(F.col(by), F.col(on).alias("_right_time"), F.col(tie).alias("_tie"), *(F.col(c).alias(f"right_{c}") for c in right_columns))
-    cut = cut.withColumn("_bucket", _bucket(times.micros("_right_time"), width))
-    near = left.withColumn("_b", _bucket(times.micros(on), width)).withColumn("_bucket", F.explode(F.sequence(F.col("_b") - 1, F.col("_b") + 1))).drop("_b")
-    away = times.micros("_right_time") - times.micros(on)
-    met = near.join(cut, [by, "_bucket"]).where(F.abs(away) <= tolerance_us)
-    best = met.groupBy(key).agg(F.min_by(F.struct("_right_time", *(f"right_{c}" for c in right_columns)), F.struct(F.abs(away), away > 0, -F.col("_tie"))).alias("_m"))
-    return left.join(best, key).select(*left.columns, F.col("_m._right_time").alias("right_time"), *(F.col(f"_m.right_{c}") for c in right_columns))
+    kept = F.struct(F.col(on).alias("time"), F.col(tie).alias("tie"), *(F.col(c).alias(f"right_{c}") for c in right_columns))
+    own = left.withColumn("_row", F.struct(*left.columns))
+    sides = own.select(F.col(by).alias("_by"), F.col(on).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[tie].dataType).alias("_tie"), "_row", F.lit(None).cast(right.select(kept).schema[0].dataType).alias("_right"))
+    other = right.select(F.col(by).alias("_by"), F.col(on).alias("_at"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), F.lit(None).cast(own.schema["_row"].dataType).alias("_row"), kept.alias("_right"))
+    rows = sides.unionByName(other).where(F.col("_by").isNotNull() & F.col("_at").isNotNull()).withColumn("_b", _bucket(times.micros("_at"), bucket_us))
+    # of right rows at one time the larger tie comes last in either direction; a left row sees those of its own time as before it
+    forth = [F.asc("_at"), F.asc("_side"), F.asc("_tie")]
+    back = [F.desc("_at"), F.desc("_side"), F.asc("_tie")]
+    there = rows.where("_side = 0").groupBy("_by", "_b").agg(F.max_by("_right", F.struct("_at", "_tie")).alias("_last"), F.max_by("_right", F.struct(-times.micros("_at"), "_tie")).alias("_first"))
+    buckets = rows.select("_by", "_b").distinct().join(there, ["_by", "_b"], "left")
+    line = Window.partitionBy("_by").orderBy("_b")
+    carried = buckets.select(
+        "_by", "_b", F.last("_last", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("_left_of"), F.first("_first", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_right_of")
+    )
+    inside = lambda order: F.last("_right", ignorenulls=True).over(Window.partitionBy("_by", "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    met = rows.withColumns({"_p": inside(forth), "_n": inside(back)}).where("_side = 1").join(carried, ["_by", "_b"])
+    met = met.withColumns({"_p": F.coalesce("_p", "_left_of"), "_n": F.coalesce("_n", "_right_of")})
+    away = lambda c: F.abs(times.micros(F.col(c)["time"]) - times.micros("_at"))
+    met = met.withColumn("_m", F.when(F.col("_n").isNull() | (away("_p") <= away("_n")), F.col("_p")).otherwise(F.col("_n")))
+    return met.where(away("_m") <= tolerance_us).select("_row.*", F.col("_m.time").alias("right_time"), *(F.col(f"_m.right_{c}") for c in right_columns))
 
 
 def _training_rows(rows: DataFrame, folds: DataFrame, by: str, seconds: float, hit) -> DataFrame:

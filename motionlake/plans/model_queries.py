@@ -182,6 +182,18 @@ def m3(spark, sf_dir):
     return _plan(spark, sf_dir)
 
 
+_SOURCES = """cc AS (SELECT source, quality, lang, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY ALL),
+  ce AS (SELECT source, lang || '' AS cell, 1.0 AS w, n FROM cc UNION ALL SELECT source, '', 1.0, n FROM cc UNION ALL SELECT source, '0' || quality, 2.0, n FROM cc UNION ALL SELECT source, lang || quality, 2.0, n FROM cc)"""
+
+
+@query("m3_plan_score", f"WITH {_SOURCES}, fo AS (SELECT source, CAST((dense_rank() OVER (ORDER BY source) - 1) % 3 AS INTEGER) AS fold FROM (SELECT DISTINCT source FROM ce)), s AS (SELECT cell, w, fold, sum(n) AS n FROM ce JOIN fo USING (source) GROUP BY ALL), t AS (SELECT cell, w, sum(n) / 3.0 AS goal FROM s GROUP BY ALL) SELECT sum(w * pow((coalesce(n, 0) - goal) / goal, 2)) AS plan_score FROM t CROSS JOIN (SELECT unnest(range(3)) AS fold) f LEFT JOIN s USING (cell, w, fold)", "plan_score")
+def m3b(spark, sf_dir):
+    """The objective of a given plan: sources dealt in turn."""
+    d = _judged(spark, sf_dir)
+    turn = d.select("source").distinct().withColumn("fold", ((F.dense_rank().over(Window.orderBy("source")) - 1) % 3).cast("int"))  # a row for each source
+    return folds.plan_score(d, turn, group="source", target="quality", source="lang", k=3)
+
+
 @query("m4_fold_summary")
 def m4(spark, sf_dir):
     return folds.fold_summary(_judged(spark, sf_dir).drop("fold"), _plan(spark, sf_dir), group="source", target="quality")
@@ -199,11 +211,15 @@ def m5(spark, sf_dir):
     return folds.rotating_validation(f, group="source")
 
 
+#: Components of a vector in the embeddings table; all of them are features.
+_PARTS = 64
+
+
 def _ml(spark, sf_dir):
     """A binary table: vectors of two groups of labels."""
     e = table(spark, sf_dir, "embeddings")
-    rows = e.select("vec_id", (F.col("label") < 5).cast("int").alias("target"), (F.col("vec_id") % 3).cast("int").alias("fold"), *(F.col("embedding")[i].cast("double").alias(f"p_{i:03d}") for i in range(8)))
-    return rows, [f"p_{i:03d}" for i in range(8)]
+    rows = e.select("vec_id", (F.col("label") < 5).cast("int").alias("target"), (F.col("vec_id") % 3).cast("int").alias("fold"), *(F.col("embedding")[i].cast("double").alias(f"p_{i:03d}") for i in range(_PARTS)))
+    return rows, [f"p_{i:03d}" for i in range(_PARTS)]
 
 
 def _scored(pred):

@@ -51,15 +51,16 @@ def a6(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir):
-    return labels(spark, sf_dir).where("label_id % 3 = 0").withColumn("priority", F.col("label_id") % 7)
+    """Intervals that are not labelled as walking are to be looked at again."""
+    return labels(spark, sf_dir).where("label = 'not_walking'").withColumn("priority", F.col("label_id") % 7)
 
 
-@query("a7_candidate_summary", f"WITH {LB} SELECT reference, min(label_id % 7) AS best_priority, min(start) AS first_start, max(stop) AS last_stop, count(*) AS n_candidates FROM lb WHERE label_id % 3 = 0 GROUP BY 1")
+@query("a7_candidate_summary", f"WITH {LB} SELECT reference, min(label_id % 7) AS best_priority, min(start) AS first_start, max(stop) AS last_stop, count(*) AS n_candidates FROM lb WHERE label = 'not_walking' GROUP BY 1")
 def a7(spark, sf_dir):
     return coverage.candidate_summary(_candidates(spark, sf_dir))
 
 
-_CLASS = f"""WITH {LB}, {_INV}, {_LS}, ca AS (SELECT reference, min(label_id % 7) AS best_priority, count(*) AS n_candidates FROM lb WHERE label_id % 3 = 0 GROUP BY 1),
+_CLASS = f"""WITH {LB}, {_INV}, {_LS}, ca AS (SELECT reference, min(label_id % 7) AS best_priority, count(*) AS n_candidates FROM lb WHERE label = 'not_walking' GROUP BY 1),
   en AS (SELECT inv.reference, total_rows, valid_both_feet, common_hours, coalesce(intervals_walking, 0) AS w, coalesce(intervals_not_walking, 0) AS n, coalesce(n_candidates, 0) AS n_candidates, best_priority FROM inv LEFT JOIN ls USING (reference) LEFT JOIN ca USING (reference)),
   cl AS (SELECT *, CASE WHEN total_rows = 0 THEN 'no_data' WHEN NOT valid_both_feet THEN 'one_foot_only' WHEN w > 0 AND n > 0 THEN 'labelled_both_classes' WHEN w + n > 0 THEN 'labelled_one_class' WHEN n_candidates > 0 THEN 'candidate_to_label' ELSE 'unlabelled' END AS reference_class FROM en)"""
 
