@@ -63,18 +63,55 @@ def error_summary(df: DataFrame, y: str, yhat: str, by: str = "reference") -> Da
     return found.withColumns({"fp_rate": _over(F.col("fp"), F.col("fp") + F.col("tn")), "fn_rate": _over(F.col("fn"), F.col("fn") + F.col("tp"))}).orderBy(F.desc("fp"), F.desc("fn"), by)
 
 
+def percentiles(df: DataFrame, value: str, shares: dict[str, float], *, by: Sequence[str] = (), bins: int = 1024, passes: int = 2) -> DataFrame:
+    """by, and a column for each share: exact percentiles, interpolated between neighbouring values.
+
+    Ranks are narrowed down: a pass counts the rows of each group in `bins` bins between two bounds, and only the bins that
+    hold a wanted rank, with their own least and greatest value as bounds, go on. After the last pass the distinct values
+    inside are counted one by one. So what a task holds is a fixed number of bins, not all values of a group, and a group of
+    any size is counted by many tasks. Null and NaN values are left out; a group without others has nulls.
+    """
+    x = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    rows = df.select(F.struct(F.lit(0), *by).alias("_k"), x.alias("_x"))
+    facts = rows.groupBy("_k").agg(F.count("_x").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+    place = {name: F.lit(float(q)) * (F.col("n") - 1) for name, q in shares.items()}
+    ranks = F.array_distinct(F.array(*(f(p).cast("long") for p in place.values() for f in (F.floor, F.ceil))))
+    state = facts.where("n > 0").select("_k", F.array(F.struct("lo", "hi", F.lit(0).cast("long").alias("base"), ranks.alias("ranks"))).alias("_open"))
+
+    def counted(state: DataFrame, of: Column) -> DataFrame:
+        """Rows by open stretch and `of`, with how many rows of the group stand before, and the wanted ranks inside."""
+        inside = F.filter("_open", lambda o: (F.col("_x") >= o["lo"]) & (F.col("_x") <= o["hi"]))
+        each = rows.where("_x is not null").join(state, "_k").select("_k", "_x", F.explode(inside).alias("_o")).withColumn("_of", of)
+        found = each.groupBy("_k", "_o", "_of").agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+        line = Window.partitionBy("_k", "_o").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+        found = found.withColumn("base", F.col("_o.base") + F.coalesce(F.sum("n").over(line), F.lit(0)))
+        return found.withColumn("ranks", F.filter("_o.ranks", lambda r: (r >= F.col("base")) & (r < F.col("base") + F.col("n")))).where(F.size("ranks") > 0)
+
+    wide = F.col("_o.hi") - F.col("_o.lo")
+    for _ in range(passes):
+        number = F.when(wide > 0, F.least(F.floor((F.col("_x") - F.col("_o.lo")) / wide * bins), F.lit(bins - 1))).otherwise(0)
+        state = counted(state, number).groupBy("_k").agg(F.collect_list(F.struct("lo", "hi", "base", "ranks")).alias("_open"))
+    values = counted(state, F.col("_x")).select("_k", F.explode("ranks").alias("rank"), F.col("_of").alias("v"))
+    known = values.groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("_v"))
+    at = lambda p, f: F.try_element_at("_v", f(p).cast("long"))
+    made = [(at(p, F.floor) + (at(p, F.ceil) - at(p, F.floor)) * (p - F.floor(p))).alias(name) for name, p in place.items()]
+    return facts.join(known, "_k", "left").select(*(F.col("_k")[c].alias(c) for c in by), *made)
+
+
 def distribution(df: DataFrame, value: str, *, by: Sequence[str] = (), limits: Sequence[float] = (1.0, 0.99, 0.95, 0.9)) -> DataFrame:
     """Rows, mean, population deviation, extremes, percentiles, and rows below each limit."""
     q = {"p01": 0.01, "p05": 0.05, "p50": 0.5, "p95": 0.95}
-    return df.groupBy(*by).agg(
+    found = df.groupBy(F.struct(F.lit(0), *by).alias("_k")).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.avg(value).alias("mean"),
         F.stddev_pop(value).alias("std"),
         F.min(value).alias("min"),
-        *(F.percentile(value, F.lit(p)).alias(name) for name, p in q.items()),
         F.max(value).alias("max"),
         *(F.count_if(F.col(value) < x).alias(f"below_{str(x).replace('.', '_')}") for x in limits),
     )
+    ranked = percentiles(df, value, q, by=by).select(F.struct(F.lit(0), *by).alias("_k"), *q)
+    columns = ["n_rows", "mean", "std", "min", *q, "max", *(c for c in found.columns if c.startswith("below_"))]
+    return found.join(ranked, "_k").select(*(F.col("_k")[c].alias(c) for c in by), *columns)
 
 
 def dataset_summary(df: DataFrame, levels: Sequence[str], distinct: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -31,6 +33,62 @@ def replace(df: DataFrame, path: str, by: str = "reference") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def _manifests(spark: SparkSession, path: str) -> tuple[object, list[str]]:
+    """The file system of a table of chunks, and its manifests in order."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest-*.json"))
+    return files, sorted(str(x.getPath().toString()) for x in found or [])
+
+
+def committed_chunks(spark: SparkSession, path: str) -> dict[str, str]:
+    """The folder of each chunk that the last manifest lists."""
+    _, found = _manifests(spark, path)
+    return json.loads(spark.read.text(found[-1], wholetext=True).first()[0]) if found else {}
+
+
+def append_chunk(df: DataFrame, path: str, chunk: str) -> None:
+    """Append a named chunk to the table at `path`, as often as wanted: a chunk that is there already is replaced.
+
+    The rows go to a folder of their own. Only then a new manifest, the list of all chunks and their folders, is written
+    beside the old one and takes the next number by a rename, which either happens or does not. Readers follow the last
+    manifest: a write that was killed leaves a folder that nothing lists, and repeating it neither doubles nor loses rows.
+    Of two writers at once the later one fails at the rename and has to repeat. An empty chunk is listed, too.
+    """
+    spark = df.sparkSession
+    known, folder = committed_chunks(spark, path), f"chunks/{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{folder}")
+    files, found = _manifests(spark, path)
+    number = int(re.search(r"manifest-(\d+)\.json$", found[-1])[1]) + 1 if found else 0
+    jvm = spark._jvm.org.apache.hadoop.fs.Path
+    draft, final = jvm(f"{path}/draft-{uuid.uuid4().hex}"), jvm(f"{path}/manifest-{number:08d}.json")
+    out = files.create(draft, False)
+    out.write(bytearray(json.dumps(known | {chunk: folder}, sort_keys=True).encode()))
+    out.close()
+    if files.exists(final) or not files.rename(draft, final):
+        files.delete(draft, False)
+        raise RuntimeError(f"another writer has committed to {path}; repeat the append")
+
+
+def read_chunks(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """All committed rows. A table without chunks needs a schema."""
+    folders = [f"{path}/{x}" for x in committed_chunks(spark, path).values()]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(*folders)
+
+
+def remove_uncommitted(spark: SparkSession, path: str) -> int:
+    """Delete folders that the last manifest does not list, and older manifests; no writer may be at work. Returns how many
+    folders went."""
+    files, found = _manifests(spark, path)
+    jvm, kept = spark._jvm.org.apache.hadoop.fs.Path, {x.rsplit("/", 1)[-1] for x in committed_chunks(spark, path).values()}
+    gone = [x.getPath() for x in files.globStatus(jvm(f"{path}/chunks/*")) or [] if x.getPath().getName() not in kept]
+    for old in [*gone, *(jvm(x) for x in found[:-1])]:
+        files.delete(old, True)
+    return len(gone)
+
+
 def save(df: DataFrame, path: str) -> None:
     """Parquet or CSV, as the path ends."""
     if path.endswith(".csv"):
