@@ -241,7 +241,7 @@ def m8(spark, sf_dir):
 @query("m9_logistic_regression")
 def m9(spark, sf_dir):
     rows, names = _ml(spark, sf_dir)
-    return _scored(models.out_of_fold(rows, models.logistic(names, "target", rounds=30), [0, 1, 2]))
+    return _scored(models.out_of_fold(rows, models.logistic(names, "target"), [0, 1, 2]))
 
 
 @query("m10_sequence_classifier")
@@ -254,7 +254,7 @@ def m10(spark, sf_dir):
     def train(f):
         return intervals.sequence_embargo(flat.where(F.col("fold") != f).drop("fold"), bounds.where(F.col("fold") == f), seconds=15)
 
-    return _scored(models.out_of_fold(flat, models.sequence_classifier("target", 5, rounds=20), [0, 1, 2], train_on=train))
+    return _scored(models.out_of_fold(flat, models.sequence_classifier("target", 5), [0, 1, 2], train_on=train))
 
 
 @query("m11_batch_scoring")
@@ -262,14 +262,14 @@ def m11(spark, sf_dir):
     """A fitted model is saved, read back and applied to all rows."""
     rows, names = _ml(spark, sf_dir)
     path = sinks.scratch_path(session(spark), "model")
-    models.save(models.logistic(names, "target", rounds=30).fit(rows.where("fold <> 0")), path)
+    models.save(models.logistic(names, "target").fit(rows.where("fold <> 0")), path)
     return models.score(rows, models.load(path), threshold=0.6).groupBy("prediction_label").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("walking_probability").alias("mean_probability"))
 
 
 @query("m12_feature_importance")
 def m12(spark, sf_dir):
     rows, names = _ml(spark, sf_dir)
-    return models.importances(rows, models.random_forest(names, "target", trees=20).fit(rows), names)
+    return models.importances(rows, models.random_forest(names, "target").fit(rows), names)
 
 
 @query("m17_offset_sensitivity")
@@ -427,7 +427,7 @@ def c6b(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_id", "reference", "_time", "value", F.hour("_time").cast("double").alias("hour"))
     known = intervals.label_points(rows, labels(spark, sf_dir)).where("label <> 'NO_LABEL' and reference % 2 = 0").withColumn("target", lab.target(F.col("label")).cast("int"))
     path = sinks.scratch_path(session(spark), "model")
-    models.save(models.logistic(["value", "hour"], "target", rounds=30).fit(known), path)
+    models.save(models.logistic(["value", "hour"], "target").fit(known), path)
     scored = pipelines.scored(rows, models.load(path), threshold=0.5).select("event_id", "reference", "_time", "probability")
     return pipelines.sequence_evaluation(scored, labels(spark, sf_dir), _chosen(spark, sf_dir), threshold=0.5, min_run=2).select("reference", "stage", *_SHORT)
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from motionlake.operators import folds, intervals, metrics
+from motionlake.operators import folds, intervals, metrics, models
 from motionlake.sources import sinks
 
 T0 = datetime(2024, 1, 1)
@@ -92,3 +92,22 @@ def test_chunks_can_be_repeated_and_killed(spark, tmp_path):
     other = rows.where("part = 1").withColumn("id", F.col("id") + 1000)
     sinks.append_chunk(other, path, "c1")
     assert len(ids()) == 90 and max(ids()) == 1088
+
+
+def test_logistic_fit_is_at_its_optimum(spark):
+    """Without a penalty the best fit has no gradient: residuals are orthogonal to every feature and sum to zero."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (400, 3)) * [1, 10, 0.1]
+    y = (x @ [1.0, -0.1, 4.0] + rng.logistic(0, 1, 400) > 0.3).astype(int)
+    df = spark.createDataFrame([(*map(float, r), int(t)) for r, t in zip(x, y, strict=True)], "a double, b double, c double, y int")
+    out = models.score(df, models.logistic(["a", "b", "c"], "y").fit(df)).toPandas()
+    rest = out["walking_probability"] - out["y"]
+    assert abs(rest.sum()) < 0.05 and all(abs((rest * out[c] / out[c].std()).sum()) < 0.05 for c in "abc")
+
+
+def test_out_of_fold_predictions_cover_every_row_once(spark):
+    df = spark.range(90).select("id", (F.col("id") % 3).cast("int").alias("fold"), (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 2 + F.rand(1)).alias("a"))
+    out = models.out_of_fold(df, models.logistic(["a"], "y"), [0, 1, 2]).collect()
+    assert sorted(r.id for r in out) == list(range(90))
+    alone = models.score(df.where("fold = 1"), models.logistic(["a"], "y").fit(df.where("fold <> 1")))
+    assert {r.id: r.walking_probability for r in alone.collect()} == {r.id: pytest.approx(r.walking_probability) for r in out if r.fold == 1}
