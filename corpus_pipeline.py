@@ -16,19 +16,27 @@ from motionlake.llm.common import holdout, shared_path, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more. Null and empty texts are scored like any other; repeated rows are judged each by its
+    own text; without labels every score is 0.5 and all stay. An empty table stays empty."""
     model, _ = quality.train(docs, table(spark, sf_dir, "labels"), ~holdout("doc_id", 3, 1))
     return quality.keep(docs, model)
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the row with the smallest id. Rows without an id, and texts without words, are near to
+    nothing and stay; of the rows of a repeated id one stays."""
     return near_duplicates.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated. Each row is judged by its own text, with or without an id; a null text holds
+    nothing; an empty benchmark removes nothing."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, spans of personal data replaced. A null text stays null; where there is nothing to learn from, base
+    patterns alone are redacted."""
     return pii.redact(docs, pii.train(docs))
 
 
@@ -51,6 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table, each written and read again. Other columns go along; an empty table gives none."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = shared_path(spark, f"pipeline-{name.replace(' ', '-')}")
