@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from motionlake.functions import times
+from motionlake.operators import intervals
+
 
 def stratified_folds(df: DataFrame, *, target: str, key: str, k: int, seed: int = 0, out: str = "fold") -> DataFrame:
     """Folds 0..k-1 with even shares of each class. The order within a class is that of a hash of key and seed.
@@ -33,6 +36,40 @@ def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:
     return each.select(*df.columns, F.col("_g.g").alias("fold_group")).withColumn("is_test", F.col(group).eqNullSafe(F.col("fold_group")))
 
 
+def held_out(rows: DataFrame, *, by: str, block: str, time: str = "_time", seconds: float = 0.0, width_us: int = intervals.DAY_US, out: str = "held") -> DataFrame:
+    """`out`: the blocks of the same `by` that must not learn from a row: its own and those that it is within `seconds` of.
+
+    A mask in place of a plan: no row is repeated for the folds that may learn from it, and a fold's training rows are
+    those whose mask lacks it (`training_rows`). The spans that touch a time bucket are one row, so rows are shuffled
+    once, and a hot key is spread over its buckets. A row without a time is held out by its own block alone.
+    """
+    e = int(seconds * times.SECOND)
+    us = times.micros(time)
+    spans = rows.groupBy(by, block).agg((F.min(us) - e).alias("low"), (F.max(us) + e).alias("high")).where("low is not null")
+    dealt = spans.withColumn("_of", F.explode(F.sequence(F.floor(F.col("low") / width_us), F.floor(F.col("high") / width_us))))
+    near = dealt.groupBy(F.col(by).alias("_by"), "_of").agg(F.collect_list(F.struct("low", "high", F.col(block).alias("block"))).alias("_near"))
+    timed = rows.withColumn("_bucket", F.floor(us / width_us))
+    met = timed.join(near, timed[by].eqNullSafe(near["_by"]) & (timed["_bucket"] == near["_of"]), "left")
+    around = F.transform(F.filter("_near", lambda x: (us >= x["low"]) & (us <= x["high"])), lambda x: x["block"])
+    own = F.array(F.col(block))
+    return met.select(*(F.col(c) for c in rows.columns), F.array_sort(F.array_union(own, F.coalesce(around, own))).alias(out))
+
+
+def training_rows(df: DataFrame, fold: int, *, held: str = "held") -> DataFrame:
+    """The rows that a fold may learn from: those whose mask lacks it."""
+    return df.where(~F.array_contains(held, F.lit(fold)))
+
+
+def training_sizes(df: DataFrame, *, by: str, block: str, held: str = "held", target: str | None = None) -> DataFrame:
+    """by, block, n_test, n_train (and n_train_1, those of class 1): all rows less those that the block holds out."""
+    ones = F.count_if(F.col(target) == 1) if target else F.lit(0)
+    total = df.agg(F.count(F.lit(1)).alias("_n"), ones.alias("_ones"))
+    mine = F.col("_own") == F.col(block)
+    out = df.withColumn("_own", F.col(block)).withColumn(block, F.explode(held)).groupBy(by, block).agg(F.count_if(mine).alias("n_test"), F.count(F.lit(1)).alias("_out"), ones.alias("_ones_out"))
+    made = [(F.col("_n") - F.col("_out")).alias("n_train")] + ([(F.col("_ones") - F.col("_ones_out")).alias("n_train_1")] if target else [])
+    return out.crossJoin(F.broadcast(total)).select(by, block, "n_test", *made)  # one row
+
+
 def group_profile(df: DataFrame, *, group: str, target: str, time: str | None = None) -> DataFrame:
     """Rows, class counts and span of each group."""
     span = [F.min(time).alias("first_time"), F.max(time).alias("last_time")] if time else []

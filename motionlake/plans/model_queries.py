@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from motionlake.functions import labels as lab
 from motionlake.functions import times
-from motionlake.operators import corrections, extraction, folds, intervals, metrics, models, segments
+from motionlake.operators import corrections, extraction, ferns, folds, intervals, metrics, models, segments
 from motionlake.plans import pipelines
 from motionlake.plans.common import EV, LB, PR, events, labels, predictions, query, session, table
 from motionlake.plans.window_queries import _HYST
@@ -275,8 +275,49 @@ def m12(spark, sf_dir):
 @query("m17_offset_sensitivity")
 def m17(spark, sf_dir):
     """Labels shifted by up to two hours, as days stand for minutes here; a forest for each offset and fold of time blocks."""
-    points = predictions(spark, sf_dir).drop("target").withColumn("hour", F.hour("_time").cast("double")).withColumnRenamed("probability", "p")
-    return models.sweep_offsets(points, labels(spark, sf_dir), ["p", "hour"], [-7200, -3600, 0, 3600, 7200], gap_s=43_200, embargo_s=15, trees=20, tie=["event_id"])
+    return models.sweep_offsets(_shifted_points(spark, sf_dir), labels(spark, sf_dir), ["p", "hour"], [-7200, -3600, 0, 3600, 7200], gap_s=43_200, embargo_s=15, trees=20, tie=["event_id"])
+
+
+_OFFSETS = [-7200, -3600, -60, 0, 60, 3600, 7200]
+_LEAVES = ", ".join(" + ".join(f"{2 ** (len(q) - 1 - i)} * CAST({'ph'[f]} > m{f} + ({z}) * s{f} AS INTEGER)" for i, (f, z) in enumerate(q)) for q in ferns.questions(2))
+_LABELLED = f"""{LB}, pr AS (SELECT event_id, reference, _time, least(value / 200, 1.0) AS p, CAST(hour(_time) AS DOUBLE) AS h FROM ev WHERE value IS NOT NULL AND _time IS NOT NULL),
+  fa AS (SELECT avg(p) AS m0, stddev_pop(p) AS s0, avg(h) AS m1, stddev_pop(h) AS s1 FROM pr),
+  lo AS (SELECT o, pr.event_id, pr.reference, pr._time, pr.p, pr.h, arg_max(label, (start, stop, label)) = 'walking' AS y FROM pr CROSS JOIN (SELECT unnest({_OFFSETS}) AS o) JOIN lb ON lb.reference = pr.reference AND pr._time >= start + to_seconds(o) AND pr._time < stop + to_seconds(o) GROUP BY ALL),
+  ga AS (SELECT *, CASE WHEN epoch_us(_time) - epoch_us(lag(_time) OVER w) <= 43200000000 THEN 0 ELSE 1 END AS new FROM lo WINDOW w AS (PARTITION BY o, reference ORDER BY _time, event_id)),
+  bl AS (SELECT *, sum(new) OVER (PARTITION BY o, reference ORDER BY _time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS block FROM ga),
+  sp AS (SELECT o, reference, block, min(_time) - INTERVAL 15 SECOND AS low, max(_time) + INTERVAL 15 SECOND AS high FROM bl GROUP BY ALL)"""
+_FERNS = f"""{_LABELLED}, le AS (SELECT bl.*, unnest([{_LEAVES}]) AS leaf, generate_subscripts([{_LEAVES}], 1) AS fern FROM bl, fa),
+  al AS (SELECT o, fern, leaf, count(*) AS n, count_if(y) AS ones FROM le GROUP BY ALL),
+  ou AS (SELECT le.o, le.reference, sp.block, fern, leaf, count(*) AS n_out, count_if(y) AS ones_out FROM le JOIN sp ON sp.o = le.o AND sp.reference = le.reference AND le._time >= low AND le._time <= high GROUP BY ALL),
+  vo AS (SELECT ou.*, (1000000 * (ones - ones_out + 1)) // (n - n_out + 2) AS vote FROM ou JOIN al USING (o, fern, leaf)),
+  sa AS (SELECT o, reference, block, event_id, y, sum(vote) AS said, count(*) AS n FROM le JOIN vo USING (o, reference, block, fern, leaf) GROUP BY ALL),
+  co AS (SELECT CAST(o AS DOUBLE) AS offset_s, count(DISTINCT (reference, block)) AS blocks, {_COUNTS.format(y="CAST(y AS INTEGER)", h="said >= 125000 * n")} FROM sa GROUP BY 1)"""
+
+
+def _shifted_points(spark, sf_dir):
+    return predictions(spark, sf_dir).drop("target").withColumn("hour", F.hour("_time").cast("double")).withColumnRenamed("probability", "p")
+
+
+@query("m17_block_offsets", f"WITH {_FERNS} SELECT offset_s, blocks, tp, fp, fn, tn, {_MET} FROM co")
+def m17b(spark, sf_dir):
+    """Labels shifted by up to two hours; every time block is left out in its turn, with an embargo of 15 seconds.
+    About an eighth of the labelled rows walk, hence the threshold."""
+    out = ferns.sweep_offsets(_shifted_points(spark, sf_dir), labels(spark, sf_dir), ["p", "hour"], _OFFSETS, gap_s=43_200, embargo_s=15, threshold=0.125, tie=["event_id"])
+    return out.select("offset_s", "blocks", *_SHORT)
+
+
+_MASKED = f"""{PR}, ga AS (SELECT *, CASE WHEN epoch_us(_time) - epoch_us(lag(_time) OVER w) <= 86400000000 THEN 0 ELSE 1 END AS new FROM pr WINDOW w AS (PARTITION BY reference ORDER BY _time, event_id)),
+  bl AS (SELECT *, CAST(sum(new) OVER (PARTITION BY reference ORDER BY _time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS block FROM ga),
+  sp AS (SELECT reference, block, count(*) AS n_test, min(_time) - INTERVAL 36 HOUR AS low, max(_time) + INTERVAL 36 HOUR AS high FROM bl GROUP BY ALL),
+  ou AS (SELECT sp.reference, sp.block, n_test, count(*) AS n_out, count_if(target = 1) AS ones_out FROM sp JOIN bl ON bl.reference = sp.reference AND _time >= low AND _time <= high GROUP BY ALL)"""
+
+
+@query("m2_training_masks", f"WITH {_MASKED} SELECT reference, block, n_test, (SELECT count(*) FROM bl) - n_out AS n_train, (SELECT count_if(target = 1) FROM bl) - ones_out AS n_train_1 FROM ou")
+def m2b(spark, sf_dir):
+    """Every time block is a fold, rows within 36 hours of it don't teach it; rows carry masks and stand once."""
+    rows = segments.gap_segments(predictions(spark, sf_dir), by=["reference"], time="_time", tie=["event_id"], gap_us=86_400 * times.SECOND, out="block")
+    masked = folds.held_out(rows, by="reference", block="block", seconds=36 * 3600)
+    return folds.training_sizes(masked, by="reference", block="block", target="target")
 
 
 @query("m18_class_weight_sweep")
