@@ -191,20 +191,34 @@ def _fit(texts: list[list[str]], langs: list[str], rounds: int, seed: int) -> Fi
 def train(docs: DataFrame, learn: Column | None = None, sample_rows: int = 800, most_chars: int = 50_000, rounds: int = 3, seed: int = 3) -> Field | None:
     """Fit on whole texts of documents with a language for which `learn` holds; None if there is none.
 
-    The sample is bounded: at most `sample_rows` documents, of each language about as many as of any other (all it has,
-    if fewer), none longer than `most_chars`; so at most their product reaches the driver. A document is chosen by a
-    hash of its id.
+    The sample is bounded in all, not by the length of any text: of each language about sample_rows / languages documents
+    (all it has, if fewer), at most that many times `most_chars` characters together, and always one. Documents are taken
+    in the order of a hash of id and text, those of at most `most_chars` first, so that a language of long texts only is
+    learned as well. Null languages teach nothing; repeated rows stand together in that order.
     """
-    known = docs.where(F.col("lang").isNotNull() & (F.length("text") <= most_chars))
+    known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
     known = (known.where(learn) if learn is not None else known).select("doc_id", "text", "lang")
     sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample_rows).collect()  # one row a language
     if not sizes:
         return None
     each = -(-sample_rows // len(sizes))
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r.lang, min(1.0, 1.2 * each / r["count"]))))
-    h = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1_000_000)) / 1_000_000
-    place = h / F.try_element_at(share, F.col("lang"))  # from 0 to 1 in each language
-    rows = known.where(place < 1).orderBy(place, "doc_id", "text").limit(sample_rows).collect()
+    h = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"), "text"), F.lit(1_000_000_000)) / 1_000_000_000
+    placed = known.withColumns({"place": h / F.try_element_at(share, F.col("lang")), "long": F.length("text") > most_chars}).where("place < 1")
+    facts = placed.select("lang", "long", "place", F.length("text").alias("n")).orderBy("long", "place").limit(4 * sample_rows).collect()  # no texts
+    taken: dict[str, list[int]] = {}
+    cuts: dict[tuple[str, bool], float] = {}
+    for r in facts:
+        rows_of, chars = taken.setdefault(r.lang, [0, 0])
+        if rows_of == 0 or (rows_of < each and chars + r.n <= each * most_chars):
+            taken[r.lang] = [rows_of + 1, chars + r.n]
+            cuts[r.lang, r.long] = r.place
+        else:
+            taken[r.lang][0] = each  # nothing behind the first that doesn't fit
+    if not cuts:
+        return None
+    cut = lambda long: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for r in sizes for x in (r.lang, cuts.get((r.lang, long), -1.0)))), F.col("lang")), F.lit(-1.0))
+    rows = placed.where(F.col("place") <= F.when(F.col("long"), cut(True)).otherwise(cut(False))).orderBy("long", "place", "doc_id").limit(sample_rows + len(sizes)).collect()
     rows = [(t, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id)) if (t := words_of(r.text))]
     return _fit([r[0] for r in rows], [r[1] for r in rows], rounds, seed) if rows else None
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -34,11 +35,11 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Wider generators; what they find is only a candidate.
 _WIDER = {
-    "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}(?:@| ?[\[(] ?(?:at|AT) ?[\])] ?)[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[(] ?(?:dot|DOT) ?[\])] ?)[A-Za-z0-9-]{2,63}){1,4}"),
-    "ip": re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])"),
+    "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}(?:@| ?[\[(] ?(?:at|AT) ?[\])] ?)[A-Za-z0-9-]++(?:(?:\.| ?[\[(] ?(?:dot|DOT) ?[\])] ?)[A-Za-z0-9-]{2,}+)+"),
+    "ip": re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f:]++(?![0-9A-Za-z:])"),
     "card": re.compile(r"(?<![0-9A-Za-z.])[0-9]{4}(?:[ ._/-]?[0-9]{4}){2}[ ._/-]?[0-9]{1,7}(?![0-9A-Za-z])"),
     "phone": re.compile(r"(?<![0-9A-Za-z+.])(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"),
-    "secret": re.compile(r"(?<![0-9A-Za-z_])(?=[A-Za-z_-]{0,256}[0-9])(?=[0-9_-]{0,256}[A-Za-z])[0-9A-Za-z_-]{20,256}(?![0-9A-Za-z_-])"),
+    "secret": re.compile(r"(?<![0-9A-Za-z_-])[0-9A-Za-z_-]{20,}+"),
 }
 _HINTS = {
     "email": ("mail", "contact", "write"),
@@ -47,7 +48,9 @@ _HINTS = {
     "phone": ("tel", "phone", "call", "mobile", "fax"),
     "secret": ("token", "secret", "password", "passwd", "api", "key", "auth", "bearer", "credential"),
 }
-#: What stands before a key.
+#: Words that stand before keys, and the pattern of what does; rewritten copies of each datum.
+_SECRETS = ("token", "secret", "password", "passwd", "api_key", "access key", "private key", "auth", "bearer", "credential")
+COPIES = 3
 _KEY = re.compile(r"(?:token|secret|password|passwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|bearer|credential)s?[\"']?\s{0,2}[:=]?\s{0,2}[\"']?$")
 
 
@@ -61,6 +64,23 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def is_ipv6(run: str) -> bool:
+    """Whether a run of hexadecimal digits and colons is an address: eight groups, or fewer around one `::`."""
+    if run.count(":") < 2 or len(run) > 39:
+        return False
+    groups = run.split(":")
+    if any(len(g) > 4 for g in groups) or ":::" in run or run.count("::") > 1:
+        return False
+    if "::" not in run:
+        return len(groups) == 8 and all(groups)
+    return 0 < sum(map(bool, groups)) < 8 and (groups[0] != "" or groups[1] == "") and (groups[-1] != "" or groups[-2] == "")
+
+
+def is_mixed(run: str) -> bool:
+    """Whether a run holds a letter and a digit."""
+    return any(c.isalpha() for c in run) and any(c.isdigit() for c in run)
+
+
 def _only_digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -106,9 +126,10 @@ def wider_spans(text: str) -> list[tuple[int, int, str]]:
     for kind, pattern in _WIDER.items():
         if kind == "email" and "@" not in text and "(" not in text and "[" not in text:
             continue
-        if kind == "ip" and text.count(":") < 7:
+        if kind == "ip" and text.count(":") < 2:
             continue
-        out += [(*m.span(), kind) for m in pattern.finditer(text)]
+        fits = {"ip": is_ipv6, "secret": is_mixed}.get(kind)
+        out += [(*m.span(), kind) for m in pattern.finditer(text) if fits is None or fits(m[0])]
     return out
 
 
@@ -128,9 +149,9 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
         len(groups),
         float(groups[0] if groups else 0),
         float(max(groups, default=0)),
-        float(len(set(groups)) == 1),
-        float(bool(digits) and luhn(digits)),
-        float(max((int(x[-6:]) for x in re.findall(r"[0-9]+", span)), default=0) <= 255),
+        float(kind in ("card", "phone") and len(set(groups)) == 1),
+        float(kind == "card" and luhn(digits)),
+        float(kind == "ip" and max((int(x[-6:]) for x in re.findall(r"[0-9]+", span)), default=0) <= 255),
         float(span.count(".")),
         float(span.count(":")),
         float(sum(span.count(c) for c in " -_/")),
@@ -162,12 +183,21 @@ def _rewritten(span: str, kind: str, rng: np.random.Generator) -> tuple[str, boo
         if rng.integers(2):
             words = "".join("abcdefghijklmnopqrstuvwxyz"[i] for i in rng.integers(26, size=6))
             return f"{words}-{words}-{words}-{rng.integers(100)}", False
-        return "".join("0123456789abcdefghijklmnopqrstuvwxyzABCDEF"[i] for i in rng.integers(42, size=int(rng.integers(20, 64)))), True
+        return "".join("0123456789abcdefghijklmnopqrstuvwxyzABCDEF"[i] for i in rng.integers(42, size=int(20 * 100 ** rng.random()))), True
     digits = _only_digits(span)
     if kind == "ip":
-        if rng.integers(2):  # times, one after the other, look alike
+        how = rng.integers(6)
+        if how == 0:  # times, one after the other, look alike
             return ":".join(f"{i:02d}" for i in rng.integers(60, size=8)), False
-        return ":".join(f"{i:x}" for i in rng.integers(1, 65536, size=8)), True
+        if how == 1:  # and so do names of code that happen to be hexadecimal
+            return "::".join("".join("abcdef"[i] for i in rng.integers(6, size=int(rng.integers(2, 5)))) for _ in range(2)), False
+        groups = [f"{i:x}" for i in rng.integers(1, 65536, size=8)]
+        if rng.integers(2):  # link-local, documentation and private prefixes
+            groups[0] = ("fe80", "2001", "fd00")[rng.integers(3)]
+        if how > 3:
+            cut = int(rng.integers(1, 4))
+            return ":".join(groups[:cut]) + "::" + ":".join(groups[cut : cut + int(rng.integers(1, 4))]), True
+        return ":".join(groups), True
     if kind == "card":
         if rng.integers(2):  # a wrong check digit
             digits = digits[:-1] + str((int(digits[-1]) + 1 + rng.integers(9)) % 10)
@@ -238,16 +268,19 @@ class Detector:
 
 def cases(text: str) -> list[tuple[str, int, int, str, bool]]:
     """What trees learn from a text: (text, start, end, kind, whether it is personal data)."""
-    rng = np.random.default_rng(len(text))
+    rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
     good, bad = base_spans(text)
     keys = [s for s in wider_spans(text) if s[2] == "secret"]
     good_keys = [s for s in keys if _KEY.search(text[max(0, s[0] - 30) : s[0]].lower())]
     out = [(text, *s, True) for s in good + good_keys] + [(text, *s, False) for s in bad if s[1] - s[0] > 5]
     out += [(text, *s, False) for s in keys if s not in good_keys]
     for a, b, kind in good + good_keys:
-        if other := _rewritten(text[a:b], kind, rng):
-            around = text[max(0, a - 40) : a]
-            out.append((around + other[0] + text[b : b + 20], len(around), len(around) + len(other[0]), kind, other[1]))
+        for _ in range(COPIES):
+            if other := _rewritten(text[a:b], kind, rng):
+                around = text[max(0, a - 40) : a]
+                if kind == "secret" and other[1] and rng.integers(2):  # another word before it
+                    around = _KEY.sub("", around) + _SECRETS[rng.integers(len(_SECRETS))] + (": ", " = ", "=", " ", '="')[rng.integers(5)]
+                out.append((around + other[0] + text[b : b + 20], len(around), len(around) + len(other[0]), kind, other[1]))
     return out
 
 
