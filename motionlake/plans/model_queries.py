@@ -12,7 +12,7 @@ from motionlake.plans import pipelines
 from motionlake.plans.common import EV, LB, PR, events, labels, predictions, query, session, table
 from motionlake.plans.window_queries import _HYST
 from motionlake.sources import sinks
-from motionlake.streaming import live
+from motionlake.streaming import live, replay
 
 _M = "round(CASE WHEN {tp}+{fp}=0 THEN 0 ELSE {tp}/({tp}+{fp}) END, 6) AS precision, round(CASE WHEN {tp}+{fn}=0 THEN 0 ELSE {tp}/({tp}+{fn}) END, 6) AS recall, round(CASE WHEN 2*{tp}+{fp}+{fn}=0 THEN 0 ELSE 2*{tp}/(2*{tp}+{fp}+{fn}) END, 6) AS f1"
 _COUNTS = "count(*) FILTER ({y} = 1 AND {h}) AS tp, count(*) FILTER ({y} = 0 AND {h}) AS fp, count(*) FILTER ({y} = 1 AND NOT ({h})) AS fn, count(*) FILTER ({y} = 0 AND NOT ({h})) AS tn"
@@ -505,88 +505,36 @@ def c3(spark, sf_dir):
     return pipelines.hard_negatives(_bundle(spark, sf_dir), spans, **_BUNDLE_HOW).select("reference", "center_us", "mov_type", *_HARD, "target")
 
 
-def _streamed(spark, sf_dir, make, mode="append"):
-    """The rows that a streaming query over the events, a file at a time, has written to a table of files."""
+def _streamed(spark, sf_dir, make):
+    """The rows that a stateless streaming query over the events, a file at a time, has written to a table of files."""
     spark = session(spark)
-    late_s, _ = _span(spark, sf_dir)
-    out, path = make(_shaped(_source(spark, sf_dir)), f"{late_s} seconds"), _fresh(spark)
-    if mode == "append":
-        _append(out, path)
-    else:
-        run = out.writeStream.outputMode(mode).foreachBatch(lambda df, i: df.write.mode("append").parquet(f"{path}/rows")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-        run.awaitTermination()
+    source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("maxFilesPerTrigger", 4)
+    out, path = make(_shaped(source.parquet(f"{sf_dir}/events.parquet" if _is_folder(spark, sf_dir) else f"{sf_dir}/events*.parquet"))), sinks.scratch_path(spark, "stream")
+    replay.append(out, path)
     return spark.read.schema(out.schema).parquet(f"{path}/rows")
 
 
-def _span(spark, sf_dir):
-    """Seconds that no row of the table is later than, in any order of its files, and its last time in microseconds."""
-    us = F.unix_micros("_time")
-    low, high = events(spark, sf_dir).agg(F.min(us), F.max(us)).collect()[0]
-    return (high - low) // 1_000_000 + 2 if high is not None else 1, high
-
-
-def _source(spark, sf_dir):
-    spark = session(spark)
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet" if _is_folder(spark, sf_dir) else f"{sf_dir}/events*.parquet")
-
-
 def _shaped(e):
     return e.select("event_id", F.col("user_id").cast("string").alias("reference"), F.col("event_type").alias("foot"), F.col("ts").cast("timestamp").alias("_time"), "value")
 
 
-def _fresh(spark):
-    return sinks.scratch_path(spark, "stream")
-
-
-def _append(out, path):
-    """What the source holds beyond the checkpoint."""
-    out.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-
-
-def _closed(spark, sf_dir, make, size_s):
-    """All rows of windows of up to size_s, in append mode: the watermark stays behind the table's first event, whatever
-    the order of its files, until an event behind all others closes every window. That event's own never closes."""
+def _in_order(spark, sf_dir, make, close=None, run=replay.append):
+    """The events through a stream, one slice of time after the other, a slice for every four files (at most 256).
+    close: from the shaped events to the rows that close what is open at the end."""
     spark = session(spark)
-    source, path = _source(spark, sf_dir), _fresh(spark)
-    late_s, high = _span(spark, sf_dir)
-    out = make(_shaped(source.unionByName(_folder_stream(spark, f"{path}/closing", source.schema))), f"{late_s} seconds")
-    _append(out, path)
-    if high is not None:
-        at = F.timestamp_micros(F.lit(high + (late_s + size_s + 2) * 1_000_000))
-        last = [(at if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in source.schema.fields]
-        spark.range(1).select(*last).write.mode("append").parquet(f"{path}/closing")
-        _append(out, path)
-    return spark.read.schema(out.schema).parquet(f"{path}/rows")
+    e = _shaped(table(spark, sf_dir, "events")).withColumn("end", F.lit(False))
+    n = min(max(-(-len(spark.read.parquet(f"{sf_dir}/events.parquet").inputFiles()) // 4), 1), 256)
+    return replay.in_time_order(e, make, sinks.scratch_path(spark, "stream"), slices=n, closing=close(e) if close else None, run=run)[0]
 
 
-def _folder_stream(spark, path, schema):
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
-    return spark.readStream.schema(schema).parquet(path)
+def _only(e, **values):
+    """Columns of e: those that are named, all others null."""
+    return [values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in e.schema.fields]
 
 
-def _in_order(spark, sf_dir, make):
-    """As _streamed, but batches follow time, one slice of the table after the other (a slice for every four files),
-    and rows with `end` close all references."""
-    spark = session(spark)
-    path = _fresh(spark)
-    e = _shaped(table(spark, sf_dir, "events")).withColumn("end", F.lit(False))
-    n = -(-len(spark.read.parquet(f"{sf_dir}/events.parquet").inputFiles()) // 4)
-    bounds = e.agg(F.percentile_approx(F.unix_micros("_time"), [i / n for i in range(1, n)], 10_000)).collect()[0][0] if n > 1 else None
-    number = F.lit(0)
-    for b in sorted(set(bounds or [])):
-        number = number + F.when(F.unix_micros("_time") < b, 0).otherwise(1)  # without a time: the last one
-    e.withColumn("slice", number).write.partitionBy("slice").parquet(f"{path}/slices")
-    out = make(_folder_stream(spark, f"{path}/in", e.schema))
-    for i in range(len(set(bounds or [])) + 1):
-        rows = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in e.schema)}, slice int").parquet(f"{path}/slices").where(F.col("slice") == i)
-        rows.drop("slice").write.mode("append").parquet(f"{path}/in")
-        _append(out, path)
-    ends = e.select("reference").distinct().select(*(F.lit(True).alias(c) if c == "end" else F.col(c) if c == "reference" else F.lit(None).cast(e.schema[c].dataType).alias(c) for c in e.columns))
-    ends.write.mode("append").parquet(f"{path}/in")
-    _append(out, path)
-    return spark.read.schema(out.schema).parquet(f"{path}/rows")
+def _after_all(size_s):
+    """One row that lies behind all others by more than size_s. Its own window never closes."""
+    return lambda e: e.agg(F.max("_time").alias("high")).where("high IS NOT NULL").select(*_only(e, _time=F.timestamp_micros(F.unix_micros("high") + (size_s + 2) * 1_000_000)))
 
 
 def _is_folder(spark, sf_dir) -> bool:
@@ -596,40 +544,40 @@ def _is_folder(spark, sf_dir) -> bool:
 
 @query("x1_stream_dedup", "SELECT user_id || '' AS reference, event_type AS foot, count(DISTINCT ts) AS n_rows FROM events GROUP BY 1, 2")
 def x1(spark, sf_dir):
-    rows = _streamed(spark, sf_dir, lambda e, late: live.dedup_samples(e.unionByName(e), ["reference", "foot", "_time"], late=late))
+    rows = _in_order(spark, sf_dir, lambda e: live.dedup_samples(e.unionByName(e), ["reference", "foot", "_time"], late=replay.NO_DELAY))
     return rows.groupBy("reference", "foot").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("x2_stream_energy", "SELECT user_id || '' AS reference, event_type AS foot, date_trunc('day', ts) AS window_start, coalesce(stddev_samp(value), 0) AS energy, count(*) AS samples FROM events GROUP BY 1, 2, 3", "energy")
 def x2(spark, sf_dir):
-    return _closed(spark, sf_dir, lambda e, late: live.motion_energy(e, by=["reference", "foot"], value="value", window="1 day", late=late), 86_400)
+    return _in_order(spark, sf_dir, lambda e: live.motion_energy(e, by=["reference", "foot"], value="value", window="1 day", late=replay.NO_DELAY), _after_all(86_400))
 
 
 @query("x3_stream_sliding", "SELECT event_type AS foot, w AS window_start, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max FROM (SELECT *, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS w FROM events) GROUP BY 1, 2", "mean std min max")
 def x3(spark, sf_dir):
-    return _closed(spark, sf_dir, lambda e, late: live.sliding_statistics(e, by=["foot"], value="value", size="2 days", slide="1 day", late=late), 2 * 86_400)
+    return _in_order(spark, sf_dir, lambda e: live.sliding_statistics(e, by=["foot"], value="value", size="2 days", slide="1 day", late=replay.NO_DELAY), _after_all(2 * 86_400))
 
 
 @query("x4_stream_sessions", "WITH n AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 43200000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM n) SELECT user_id || '' AS reference, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, k")
 def x4(spark, sf_dir):
-    return _closed(spark, sf_dir, lambda e, late: live.activity_sessions(e, by=["reference"], gap="12 hours", late=late), 43_200)
+    return _in_order(spark, sf_dir, lambda e: live.activity_sessions(e, by=["reference"], gap="12 hours", late=replay.NO_DELAY), _after_all(43_200))
 
 
 @query("x5_stream_labels", "WITH f AS (SELECT user_id, min(ts) AS start, min(ts) + INTERVAL 5 DAY AS stop FROM events GROUP BY 1) SELECT CASE WHEN ts < stop THEN 'walking' ELSE 'NO_LABEL' END AS label, count(*) AS n_rows FROM events JOIN f USING (user_id) GROUP BY 1")
 def x5(spark, sf_dir):
     first = events(spark, sf_dir).groupBy(F.col("reference").cast("string").alias("reference")).agg(F.min("_time").alias("start"))
     l = first.select("reference", "start", (F.col("start") + F.expr("INTERVAL 5 DAYS")).alias("stop"), F.lit("walking").alias("label"))  # noqa: E741
-    return _streamed(spark, sf_dir, lambda e, late: live.label_stream(e, l)).groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
+    return _streamed(spark, sf_dir, lambda e: live.label_stream(e, l)).groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("x6_stream_hysteresis", f"WITH RECURSIVE {PR}, {_HYST.format(grid='(0.1, 0.05, 2, 2)', k1=1, m1=1)} SELECT reference || '' AS reference, _time, probability, state FROM hy", "probability")
 def x6(spark, sf_dir):
-    return _in_order(spark, sf_dir, lambda e: live.live_hysteresis(e.withColumn("probability", F.least(F.col("value") / 200, F.lit(1.0))), key="reference", time="_time", hi=0.1, lo=0.05, k=2, m=2, tie=["event_id"], end="end"))
+    return _in_order(spark, sf_dir, lambda e: live.live_hysteresis(e.withColumn("probability", F.least(F.col("value") / 200, F.lit(1.0))), key="reference", time="_time", hi=0.1, lo=0.05, k=2, m=2, tie=["event_id"], end="end"), lambda e: e.select("reference").distinct().select(*_only(e, reference=F.col("reference"), end=F.lit(True))))
 
 
 @query("x7_stream_coverage", "SELECT user_id || '' AS reference, event_type AS foot, count(*) AS n_rows FROM events GROUP BY 1, 2")
 def x7(spark, sf_dir):
-    rows = _streamed(spark, sf_dir, lambda e, late: live.live_coverage(e, window="1 day", late=late), mode="update")
+    rows = _in_order(spark, sf_dir, lambda e: live.live_coverage(e, window="1 day", late=replay.NO_DELAY), run=replay.update)
     last = rows.groupBy("reference", "foot", "window_start").agg(F.max("n_rows").alias("n_rows"))
     return last.groupBy("reference", "foot").agg(F.sum("n_rows").alias("n_rows"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from motionlake.operators import autolabel, segments
 from motionlake.sources import points, sinks
-from motionlake.streaming import live
+from motionlake.streaming import live, replay
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "reference string, foot string, _time timestamp, value double, probability double"
@@ -107,3 +107,35 @@ def test_registered_streams_keep_every_row(spark, tmp_path):
     p = e.withColumn("probability", F.least(F.col("value") / 200, F.lit(1.0)))
     states = segments.hysteresis(p, "probability", hi=0.1, lo=0.05, k=2, m=2, by=["reference"], order=["_time", "event_id"])
     assert rows(registry.QUERIES["x6_stream_hysteresis"](spark, sf_dir)) == rows(states.select("reference", "_time", "probability", "state"))
+
+    counts = sorted(map(tuple, e.groupBy("reference", "foot").agg(F.countDistinct("_time").alias("n")).collect()))
+    assert sorted(map(tuple, registry.QUERIES["x1_stream_dedup"](spark, sf_dir).select("reference", "foot", "n_rows").collect())) == counts
+    assert sorted(map(tuple, registry.QUERIES["x7_stream_coverage"](spark, sf_dir).select("reference", "foot", "n_rows").collect())) == sorted(map(tuple, e.groupBy("reference", "foot").count().collect()))
+
+
+def test_state_of_a_replay_is_bounded_by_open_windows(spark, tmp_path):
+    """200 windows of shuffled rows in eight slices: no more are held than one slice makes, and none is lost or doubled."""
+    data = [(f"r{i % 2}", "Left", T0 + timedelta(seconds=(i * 7919) % 1000), float(i % 13), 0.0) for i in range(3000)]
+    rows = spark.createDataFrame(data, SCHEMA)
+    closing = rows.limit(1).withColumn("_time", F.lit(T0 + timedelta(hours=1)))
+
+    def make(stream):
+        return live.motion_energy(stream, by=["reference"], value="value", window="10 seconds", late=replay.NO_DELAY)
+
+    got, held = replay.in_time_order(rows, make, str(tmp_path / "eight"), slices=8, closing=closing)
+    want = autolabel.motion_energy(rows, by=["reference"], value="value", window_us=10_000_000)
+    keys = ["reference", "window_start", F.round("energy", 6), "samples"]
+    assert sorted(map(tuple, got.select(*keys).collect())) == sorted(map(tuple, want.select(*keys).collect())) and got.count() == 200
+    assert len(held) == 9 and max(held) <= 2 * (1000 // 8 // 10 + 3) and held[-1] == 1
+    whole, held = replay.in_time_order(rows, make, str(tmp_path / "one"), slices=1, closing=closing)
+    assert whole.count() == 200 and len(held) == 2
+
+
+def test_replay_of_ties_missing_times_and_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "Left", T0, 1.0, 0.0)] * 50 + [("a", "Left", None, 2.0, 0.0), (None, None, T0, None, None)], SCHEMA)
+    got, held = replay.in_time_order(rows, lambda stream: stream, str(tmp_path / "ties"), slices=4)
+    assert got.count() == 52 and got.columns == rows.columns and held == [0] * len(held)
+    got, held = replay.in_time_order(rows.limit(0), lambda stream: stream, str(tmp_path / "none"), slices=4)
+    assert got.count() == 0 and got.columns == rows.columns and held == []
+    with pytest.raises(ValueError):
+        replay.in_time_order(rows, lambda stream: stream, str(tmp_path / "many"), slices=257)
