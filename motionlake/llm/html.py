@@ -1,8 +1,11 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
 A page becomes a row of text blocks with features of their text and of the elements around them. A logistic
-classifier, trained on blocks whose elements say what they are (an article against navigation, footers, adverts
-and the like), prices each block as content or boilerplate: the two prices are its terminal capacities.
+classifier prices each block as content or boilerplate: the two prices are its terminal capacities. It is trained on
+blocks whose elements say what they are (an article against navigation, footers, adverts and the like) and, where
+elements say nothing, on places of a host's template: texts that change from page to page in the element that holds
+most of them are content, texts that repeat there or change elsewhere are not.
+Where elements speak they decide alone, so that no cell, caption or label of an article is lost for being short.
 Neighbouring blocks and blocks of one parent are tied by smoothness edges, and the minimum cut between the two
 terminals labels all blocks of the page at once.
 """
@@ -11,6 +14,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +22,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 from motionlake.llm.chunks import blocks as text_blocks
 from motionlake.llm.common import bounded_sample, in_arrow
@@ -29,7 +34,7 @@ _NAME = re.compile(r"(/?)([A-Za-z][A-Za-z0-9:-]*)")
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 #: Fixed values of HTML: elements without content, with raw content, and such as begin a new block of text.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title svg iframe object canvas select option".split())
+_RAW = frozenset("script style noscript template textarea title iframe object canvas select option".split())
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hr html label legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -38,7 +43,9 @@ _BLOCK = frozenset(
 _CLOSES = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")} | dict.fromkeys(
     "p div article section ul ol table h1 h2 h3 h4 h5 h6 nav footer aside header form blockquote pre".split(), ("p",)
 )
-_BAD_ELEMENTS = frozenset("nav footer aside form menu dialog button label fieldset legend".split())
+_BAD_ELEMENTS = frozenset("nav footer aside form menu dialog".split())
+#: Boilerplate outside articles only.
+_BAD_OUTSIDE = frozenset("header button label fieldset legend".split())
 #: Words in class, id and role that mark boilerplate, and such as mark content.
 _BAD_WORDS = frozenset(
     "ad ads advert advertisement advertising adverts banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side widget related "
@@ -57,13 +64,14 @@ class Block:
     parent: int  # number of the element around it
     tag: str
     bad: bool  # inside an element that says it is boilerplate
-    good: bool  # inside an article or main element
+    good: bool  # inside an article or main element, and not bad
     worded: bool  # inside an element whose class or id speaks of content
     hidden: bool
+    above: tuple[int, ...]  # places of the element around it and the two around that: hashes of tags and classes from the root
 
 
 class _Element:
-    __slots__ = ("bad", "good", "hidden", "link", "number", "tag", "worded")
+    __slots__ = ("above", "bad", "good", "hidden", "link", "number", "tag", "worded")
 
     def __init__(self, tag: str, number: int, up: _Element | None, attributes: str):
         words: set[str] = set()
@@ -76,9 +84,11 @@ class _Element:
                 elif (name == "style" and _HIDDEN.search(value)) or name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
                     self.hidden = True
         self.tag, self.number = tag, number
+        around = up.above if up else ()
+        self.above = (zlib.crc32(f"{tag} {' '.join(sorted(words))}".encode(), around[0] if around else 0), *around[:2])
         up_good = up.good if up else False
         self.good = up_good or tag in ("article", "main")
-        bad = tag in _BAD_ELEMENTS or (tag == "header" and not up_good) or (tag not in ("html", "body", "article", "main") and bool(words & _BAD_WORDS) and not (tag in ("h1", "header") and up_good))
+        bad = tag in _BAD_ELEMENTS or (tag in _BAD_OUTSIDE and not up_good) or (tag not in ("html", "body", "article", "main") and bool(words & _BAD_WORDS) and not (tag in ("h1", "header") and up_good))
         self.bad = bad or (up.bad if up else False)
         self.worded = bool(words & _GOOD_WORDS) or (up.worded if up else False)
         self.link = tag == "a" or (up.link if up else False)
@@ -200,7 +210,8 @@ def parse(page: str | None) -> list[Block]:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip(" ")
             if text:
                 e = owner if owner.tag in _BLOCK else stack.block()
-                out.append(Block(text, linked, e.number, e.tag, e.bad or owner.bad, e.good, e.worded, e.hidden or owner.hidden))
+                bad = e.bad or owner.bad
+                out.append(Block(text, linked, e.number, e.tag, bad, e.good and not bad, e.worded, e.hidden or owner.hidden, e.above))
             parts.clear()
         linked = 0
 
@@ -232,7 +243,7 @@ def parse(page: str | None) -> list[Block]:
             end = re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(page, at)
             go_on = end.end() if end else len(page)
         elif kind == "open":
-            if tag == "br":
+            if tag in ("br", "text"):  # a line, and a label in a drawing
                 add(" ")
             if tag in _BLOCK:
                 flush()
@@ -245,14 +256,26 @@ def parse(page: str | None) -> list[Block]:
 
 
 N_FEATURES = 16
+N_TEXT = 12  # the bias and features of text and tag; what elements say follows
 
 
 def features(found: list[Block]) -> np.ndarray:
+    """A row for each block. Where elements say what a block is, features of its text are zero."""
+    rows = text_features(found)
+    for i, b in enumerate(found):
+        if b.bad or b.good:
+            rows[i, 1:N_TEXT] = 0
+        rows[i, N_TEXT:] = (b.bad * 4.0, b.good * 4.0, b.worded * 2.0, b.hidden * 4.0)
+    return rows
+
+
+def text_features(found: list[Block]) -> np.ndarray:
+    """The same without what elements say."""
     rows = np.zeros((len(found), N_FEATURES))
     for i, b in enumerate(found):
         size = len(b.text)
         words = b.text.count(" ") + 1
-        rows[i] = (
+        rows[i, :N_TEXT] = (
             1.0,
             min(np.log1p(size), 8.0) / 4,
             min(words, 100) / 50,
@@ -265,10 +288,6 @@ def features(found: list[Block]) -> np.ndarray:
             float("©" in b.text or "·" in b.text),
             float(i == 0),
             float(i == len(found) - 1),
-            b.bad * 4.0,
-            b.good * 2.0,
-            b.worded * 2.0,
-            b.hidden * 4.0,
         )
     return rows
 
@@ -365,45 +384,89 @@ def extract_text(page: str | None, weights: np.ndarray) -> str:
     return "\n\n".join(b.text for b in main_blocks(parse(page), weights))
 
 
-def train(pages: DataFrame, sample_rows: int = 400, most: int = 20_000, repeated: int = 5) -> np.ndarray:
-    """Weights from blocks of at most `sample_rows` pages (chosen by a hash of the id), `most` blocks at most.
+def host_sample(pages: DataFrame, hosts: int, per_host: int) -> DataFrame:
+    """About `per_host` pages each of at most `hosts` hosts that have three or more, both chosen by hashes. Pages are
+    counted by host over the whole table; only the counts of the chosen hosts reach the driver."""
+    host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1))
+    named = pages.select("page_id", "html", host.alias("host"))
+    counts = named.where("host != ''").groupBy("host").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").orderBy(F.xxhash64("host"), "host").limit(hosts).collect()
+    if not counts:
+        return named.limit(0)
+    step = F.create_map(*[F.lit(x) for r in counts for x in (r.host, -(-r.n // per_host))])[F.col("host")]
+    return named.where(F.col("host").isin([r.host for r in counts]) & (F.pmod(F.xxhash64(F.col("page_id").cast("string"), F.lit("host")), step) == 0)).limit(hosts * per_host)
 
-    Boilerplate is what stands in an element that says so, and, where elements say nothing, text that `repeated` of these
-    pages hold; content is what stands in articles and main elements. (Articles have copies, too: what repeats in them is
-    content all the same.) Each block counts twice: as it is, and without what its elements say, so that text features learn too. Without
-    blocks of both kinds the elements alone decide.
-    """
+
+def _blocks_of(sample: DataFrame, most: int) -> list[Row]:
+    """At most `most` blocks of a sample of pages (page_id, html, host) with what `train` needs of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
-            for page, html_ in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            rows: list[list] = [[] for _ in kinds]
+            for page, html_, host in zip(*(batch.column(c).to_pylist() for c in ("page_id", "html", "host")), strict=True):
                 found = parse(html_)
                 rows[0] += features(found).tolist()
-                rows[1] += [False if b.bad else True if b.good else None for b in found]
-                rows[2] += [xxhash.xxh3_64_intdigest(b.text.encode("utf-8", "surrogatepass")) >> 1 for b in found]
-                rows[3] += [page] * len(found)
-            kinds = [pa.list_(pa.float64()), pa.bool_(), pa.int64(), batch.schema.field("page_id").type]
-            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=["x", "y", "text", "page"])
-
-    found = in_arrow(bounded_sample(pages.select("page_id", "html"), "page_id", sample_rows), run, f"x array<double>, y boolean, text long, page {pages.schema['page_id'].dataType.simpleString()}").limit(most).collect()
-    holders: dict[int, set] = {}
+                rows[1] += text_features(found).tolist()
+                rows[2] += [False if b.bad else True if b.good else None for b in found]
+                rows[3] += [xxhash.xxh3_64_intdigest(b.text.encode("utf-8", "surrogatepass")) >> 1 for b in found]
+                rows[4] += [max(len(b.text) - b.linked, 0) for b in found]
+                rows[5] += [list(b.above) for b in found]
+                rows[6] += [str(page)] * len(found)
+                rows[7] += [host] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=names)
+
+    names = ["x", "plain", "y", "text", "size", "above", "page", "host"]
+    kinds = [pa.list_(pa.float64()), pa.list_(pa.float64()), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string()]
+    return in_arrow(sample.select("page_id", "html", "host"), run, "x array<double>, plain array<double>, y boolean, text long, size long, above array<long>, page string, host string").limit(most).collect()
+
+
+def template_labels(found: list[Row]) -> list[bool | None]:
+    """What places of templates say of blocks whose elements say nothing (y is null); None for all others.
+
+    A place, an element with its tags and classes from the root, changes if three pages or more of the host hold it and
+    more than half of its texts differ; else it repeats. The body of a host is the element around the places that change
+    and hold most text outside links. What changes there is content; what repeats, or changes elsewhere, is boilerplate.
+    """
+    places: dict[tuple, tuple[set, list, set]] = {}
+    for r in found:
+        pages, n, texts = places.setdefault((r.host, r.above[0]), (set(), [], set()))
+        pages.add(r.page)
+        n.append(1)
+        texts.add(r.text)
+    changes = {k: 2 * len(texts) > len(n) for k, (pages, n, texts) in places.items() if len(pages) >= 3}
+    sizes: dict[str, dict[int, int]] = {}
     for r in found:
-        holders.setdefault(r.text, set()).add(r.page)
-    found = [(r.x, bool(r.y)) for r in found if r.y is not None or len(holders[r.text]) >= repeated]
-    y = np.array([bool(r[1]) for r in found], float)
+        if r.y is not False and changes.get((r.host, r.above[0])):
+            around = sizes.setdefault(r.host, {})
+            around[r.above[-1 if len(r.above) < 2 else 1]] = around.get(r.above[-1 if len(r.above) < 2 else 1], 0) + r.size
+    body = {host: max(around, key=lambda k: (around[k], k)) for host, around in sizes.items()}
+    return [None if r.y is not None or (r.host, r.above[0]) not in changes else changes[r.host, r.above[0]] and body.get(r.host) in r.above for r in found]
+
+
+def train(pages: DataFrame, sample_rows: int = 400, most: int = 20_000, hosts: int = 40, per_host: int = 10) -> np.ndarray:
+    """Weights from blocks of two bounded samples, `most` blocks of each at most: `sample_rows` pages chosen by a hash of
+    the id, and about `per_host` pages of `hosts` hosts.
+
+    In the first, boilerplate is what stands in an element that says so, and content what stands in articles and main
+    elements. (Articles have copies, too: what repeats in them is content all the same.) In the second, blocks whose
+    elements say nothing are labelled by the host's template (`template_labels`). Each block counts as it is and without
+    what its elements say, so that text features learn too. Without blocks of both kinds fixed weights decide.
+    """
+    said = [(r.x, r.plain, r.y) for r in _blocks_of(bounded_sample(pages.select("page_id", "html", F.lit(None).cast("string").alias("host")), "page_id", sample_rows), most) if r.y is not None]
+    placed = _blocks_of(host_sample(pages, hosts, per_host), most)
+    found = said + [(r.x, r.plain, y) for r, y in zip(placed, template_labels(placed), strict=True) if y is not None]
+    y = np.array([r[2] for r in found], float)
     if not 0 < y.sum() < len(y):
         weights = np.zeros(N_FEATURES)
-        weights[[0, 2, 3, 12, 13, 15]] = (-0.5, 1.0, -3.0, -3.0, 3.0, -3.0)
+        weights[[0, 2, 3, 12, 13, 15]] = (-0.5, 1.0, -3.0, -3.0, 1.5, -3.0)
         return weights
-    x = np.array([r[0] for r in found])
-    plain = x.copy()
-    plain[:, 12:] = 0
+    x, plain = np.array([r[0] for r in found]), np.array([r[1] for r in found])
     return fit(np.vstack([x, x, plain]), np.concatenate([y, y, y]))
 
 
 def extract(pages: DataFrame, weights: np.ndarray) -> DataFrame:
-    """page_id, url, text, n_chars of each row; a page that is null, empty or without content has an empty text."""
+    """page_id, url, text, n_chars of each row; a page that is null, empty or without content has an empty text. Rows
+    that repeat come out as often as they stand; other columns are left out; an empty table gives an empty result. Pages are
+    parsed whole, one at a time, in time that grows with their length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

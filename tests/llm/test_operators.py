@@ -504,6 +504,45 @@ def test_pages_with_other_columns_and_repeated_rows(spark):
     assert html.extract(pages.limit(0), weights).count() == 0
 
 
+def test_nothing_of_an_article_is_dropped(spark):
+    """Cells, captions, labels, buttons and drawings in an article are kept; forms, headers outside it and the like go."""
+    kept = ["1", "2", "Figure 1", "Figure 1 shows it.", "Press", "axis", "a", "z"]
+    article = "<article><h1>Title</h1><table><caption>1</caption><tr><td>2</td></tr></table><figure><figcaption>Figure 1</figcaption></figure><label>Figure 1 shows it.</label><button>Press</button>"
+    article += "<svg viewBox='0'><title>no</title><style>no</style><text>axis</text></svg><ul><li>a</li></ul><form><label>no</label><button>no</button></form><p>z</p></article>"
+    pages = spark.createDataFrame([(i, "u", PAGE) for i in range(5)] + [(9, "u", "<header><button>no</button></header><label>no</label>" + article + "<fieldset>no</fieldset>")], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(pages, html.train(pages.where("page_id < 5"))).collect()}
+    assert got[9].split("\n\n") == ["Title", *kept]
+
+
+def silent_page(host: int, page: int) -> tuple[str, list[str]]:
+    """A page whose elements say nothing of their part, and its main text; each host has classes and a depth of its own."""
+    rng = np.random.default_rng(1000 * host + page)
+    word = lambda: "".join(rng.choice(list("abdeilmnorstu"), int(rng.integers(3, 9))))
+    text = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    c = [f"k{chr(97 + host)}{chr(110 + i)}" for i in range(4)]
+    main = [" ".join(word() for _ in range(5)), *(text(int(rng.integers(12, 60))) for _ in range(int(rng.integers(2, 7)))), *(word() for _ in range(3)), text(20)]
+    body = f"<h2>{main[0]}</h2>" + "".join(f"<p>{t}</p>" for t in main[1:-4]) + "<ul>" + "".join(f"<li>{t}</li>" for t in main[-4:-1]) + f"</ul><p>{main[-1]}</p>"
+    top = f"<div class='{c[0]}'>" + "".join(f"<li><a href='/{t}'>{t}</a></li>" for t in ("Home", "News", "About us", f"Host {host}")) + "</div>"
+    more = f"<div class='{c[2]}'>" + "".join(f"<div><a href='/{i}'>{word()} {word()} {word()}</a></div>" for i in range(4)) + "</div>"
+    wrap = "<div>" * (host % 3)
+    return f"<html><body>{wrap}{top}<div class='{c[1]}'>{body}</div>{more}<div class='{c[3]}'>\u00a9 host {host} \u00b7 all rights</div></body></html>", main
+
+
+def test_main_text_learned_from_templates(spark):
+    """No element and no class says anything: labels come from hosts' templates, and pages of other hosts are read by them."""
+    made = [(100 * h + p, f"https://h{h}.example/{p}", *silent_page(h, p)) for h in range(12) for p in range(8)]
+    pages = spark.createDataFrame([r[:3] for r in made], "page_id long, url string, html string")
+    assert all(not (b.bad or b.good or b.worded) for r in made for b in html.parse(r[2]))
+    placed = html._blocks_of(html.host_sample(pages, 40, 10), 20_000)
+    assert len(placed) == sum(len(html.parse(r[2])) for r in made) and None not in html.template_labels(placed)
+    weights = html.train(pages.where("page_id < 800"))
+    got = {r.page_id: r.text for r in html.extract(pages.where("page_id >= 800"), weights).collect()}
+    right = [got[i] == "\n\n".join(main) for i, _, _, main in made if i >= 800]
+    assert len(right) == 32 and sum(right) >= 29
+    assert html.host_sample(pages.where("page_id % 100 < 2"), 40, 10).count() == 0
+    assert html.host_sample(pages, 3, 4).count() <= 12
+
+
 def test_minimum_cut_equals_enumeration():
     import itertools
 
