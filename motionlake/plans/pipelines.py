@@ -12,6 +12,7 @@ from motionlake.functions import labels as lab
 from motionlake.functions import times
 from motionlake.operators import autolabel, corrections, coverage, extraction, intervals, metrics, models, reshape, segments, selection
 from motionlake.operators.coverage import FEET
+from motionlake.sources import sinks
 
 
 def label_windows(windows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def reproduce(samples: DataFrame, labels: DataFrame, path: str, *, signals: Sequ
     Returns the three tables as one, with `report` (fold, summary or block) first. References are the groups of folds.
     """
     data = main_dataset(samples, requests_of(labels), labels, signals=signals, **how)
-    data = data.withColumn("fold", F.pmod(F.xxhash64("reference"), F.lit(folds)).cast("int"))
+    data = sinks.written(data.withColumn("fold", F.pmod(F.xxhash64("reference"), F.lit(folds)).cast("int")), "dataset")  # all fits and scores read it
     features = [c for c in data.columns if c.split("_")[0] in FEET]
     forest = models.random_forest(features, "target", trees=trees, leaf=leaf)
     by_fold = metrics.binary_metrics(models.out_of_fold(data, forest, range(folds)), "target", "prediction", by=["fold"])
