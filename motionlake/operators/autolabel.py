@@ -11,6 +11,10 @@ from motionlake.functions import labels as lab
 from motionlake.functions import times
 from motionlake.operators import segments
 
+#: Digits by which a score is compared with a threshold. The last digits of a mean depend on the order of rows; scores that
+#: are equal but for those fall on one side.
+DIGITS = 8
+
 
 def motion_energy(samples: DataFrame, *, by: Sequence[str], value: str, time: str = "_time", window_us: int = times.SECOND) -> DataFrame:
     """Sample deviation (0 for a single sample) and samples of each key and window."""
@@ -59,7 +63,8 @@ def with_thresholds(scores: DataFrame, *, by: Sequence[str], low_q: float = 0.35
 
 
 def window_class(score: Column, low: Column, high: Column, ambiguous: bool = False) -> Column:
-    """walking from the high threshold on, else not_walking up to the low one, else ambiguous or null."""
+    """walking from the high threshold on, else not_walking up to the low one, else ambiguous or null; all to DIGITS."""
+    score, low, high = (F.round(c, DIGITS) for c in (score, low, high))
     out = F.when(score >= high, lab.WALKING).when(score <= low, lab.NOT_WALKING)
     return out.otherwise("ambiguous") if ambiguous else out
 
