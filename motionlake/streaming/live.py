@@ -52,21 +52,21 @@ def live_coverage(samples: DataFrame, *, time: str = "_time", window: str = "1 h
 
 
 class _Hysteresis(StatefulProcessor):
-    """Keeps rows whose state may still be set back, and the machine's counters, for each sequence."""
+    """Keeps rows whose state may still be set back, and the machine's counters, for each sequence. They are one value: each
+    call for state is a round trip out of Python, for every sequence of every batch."""
 
     def __init__(self, hi: float, lo: float, k: int, m: int, key: str, time: str, tie: Sequence[str] = ()):
         self.hi, self.lo, self.k, self.m, self.key, self.time, self.tie = hi, lo, k, m, key, time, list(tie)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.machine = handle.getValueState("machine", "on boolean, run int")
-        self.held = handle.getListState("held", "t timestamp, p double")
+        self.machine = handle.getValueState("machine", "on boolean, run int, us array<long>, p array<double>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
-        on, run = self.machine.get() if self.machine.exists() else (False, 0)
-        held = list(self.held.get())
         frames = [pdf for pdf in rows if len(pdf)]
         if not frames:
             return
+        on, run, us, p = self.machine.get() or (False, 0, [], [])
+        held = [(pd.NaT if t is None else pd.Timestamp(t, unit="us"), x) for t, x in zip(us, p, strict=True)]
         new = pd.concat(frames)
         ended = bool(new["ends"].any())
         new = new[~new["ends"]].sort_values([self.time, *self.tie], kind="stable")
@@ -92,10 +92,7 @@ class _Hysteresis(StatefulProcessor):
         if ended:  # no later row sets these back
             out += [(*x, int(on)) for x in held]
             held, on, run = [], False, 0
-        self.machine.update((on, run))
-        self.held.clear()
-        if held:
-            self.held.put([(pd.Timestamp(t).to_pydatetime(), float(p)) for t, p in held])
+        self.machine.update((on, run, [None if pd.isna(t) else pd.Timestamp(t).value // 1000 for t, _ in held], [float(x) for _, x in held]))
         if out:
             yield pd.DataFrame({self.key: [key[0]] * len(out), self.time: [x[0] for x in out], "probability": [x[1] for x in out], "state": pd.Series([x[2] for x in out], dtype="int32")})
 
